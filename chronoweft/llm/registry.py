@@ -21,6 +21,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.unigram import encode_report
+
+    return encode_report(table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
