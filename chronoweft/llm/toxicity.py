@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, over overlapping windows.
 
-A word enters as the sum of a hashed word embedding and the mean of hashed embeddings of its character
+A word enters as the sum of a hashed word embedding and the scaled sum of hashed embeddings of its character
 3-, 4- and 5-grams. The network reads windows of 16 words, each starting 8 after the last, so every
 word stands in two windows; attention weighs a window's positions, and a document's score is that of its
 highest window. Trained in numpy: first on drawn windows with their document's label, then on the
@@ -22,7 +22,7 @@ from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights, sig
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
 WINDOW, STRIDE = 16, 8
-WORDS, GRAMS, WIDE, HIDDEN = 1 << 13, 1 << 14, 10, 8
+WORDS, GRAMS, WIDE, HIDDEN = 1 << 15, 1 << 16, 10, 8
 _tables: dict[str, WordTable] = {}
 
 
@@ -45,11 +45,11 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         h = np.zeros((len(x), x.shape[1] - n + 1), np.uint64)
         for k in range(n):
             h = (h ^ (x[:, k : k + h.shape[1]] + np.uint64(n))) * mix
-        grams.append(h >> np.uint64(50))
+        grams.append(h >> np.uint64(48))
         there.append(np.arange(h.shape[1])[None, :] + n <= length[:, None] + 1)
     weight = np.concatenate(there, 1).astype(F32)
-    weight /= np.maximum(weight.sum(1, keepdims=True), 1)
-    return (word >> np.uint64(51)).astype(np.int64), np.concatenate(grams, 1).astype(np.int64), weight
+    weight /= np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
+    return (word >> np.uint64(49)).astype(np.int64), np.concatenate(grams, 1).astype(np.int64), weight
 
 
 def _vectors(w: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
@@ -80,7 +80,7 @@ def _logits(w: dict[str, np.ndarray], xf: np.ndarray, xb: np.ndarray, mask: np.n
 def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rate: float = 0.01, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights from (text, label) pairs; without both labels, weights that score everything alike."""
     rng = np.random.default_rng(seed)
-    w = {"word": (0.1 * rng.standard_normal((WORDS, WIDE))).astype(F32), "gram": (0.3 * rng.standard_normal((GRAMS, WIDE))).astype(F32)}
+    w = {"word": np.zeros((WORDS, WIDE), F32), "gram": (0.1 * rng.standard_normal((GRAMS, WIDE))).astype(F32)}
     w |= gru_weights(rng, "f", WIDE, HIDDEN) | gru_weights(rng, "b", WIDE, HIDDEN)
     w |= {"att": np.zeros(2 * HIDDEN, F32), "out": np.zeros(2 * HIDDEN, F32), "bias": np.full(1, -2, F32)}
     if len({y for _, y in samples}) < 2:
