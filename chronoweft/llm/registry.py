@@ -39,12 +39,24 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_report(table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweft.llm.language_id import language_id
 
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
