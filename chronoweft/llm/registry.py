@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweft.llm.toxicity import toxicity
 
@@ -33,6 +39,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweft.llm.template_extraction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweft.llm.unigram import encode_report
 
