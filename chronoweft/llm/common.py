@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,8 @@ def is_held_out(doc_id: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of few and large input splits dealt to all cores (round robin, so no key can be hot)."""
     return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def with_carried(schema: str, df: DataFrame, carry: Sequence[str]) -> str:
+    """``schema`` with the columns of ``df`` that a per-row operator hands on."""
+    return ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in carry))])

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out
+from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -116,13 +116,14 @@ def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list
     return [(r["text"], r["lang"]) for r in found.orderBy("h", "lang", "text").limit(max_documents).collect()]
 
 
-def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 1200, train_on: DataFrame | None = None, **options) -> DataFrame:
+def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 1200, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_positions for every row of ``docs`` (doc_id, text, lang).
 
     Trains on a bounded sample of ``train_on`` (default: ``docs``), the bound being the two parameters;
     every whole text is then scored. ``und`` with score 0 if the text is null or has no letter, and for
     all texts if no row is labelled. Ties go to the alphabetically first language. Needs no shuffle
-    beyond the choice of the sample; further columns of ``docs`` are ignored.
+    beyond the choice of the sample; of further columns of
+    ``docs`` those in ``carry`` are returned as well.
     """
     spark = docs.sparkSession
     learn = (docs if train_on is None else train_on).select("doc_id", "text", "lang")
@@ -152,7 +153,7 @@ def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 120
                     "doc_id": b["doc_id"], "held_out": b["held_out"],
                     "lang_pred": [langs[i] if k else UNKNOWN for i, k in zip(best, known)],
                     "score": np.where(known, np.clip(score, 0, 1), 0.0), "n_positions": positions.astype(np.int64),
-                })
+                } | {c: b[c] for c in carry})
 
-    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, n_positions long")
+    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *(c for c in carry if c != "text"))
+    return rows.mapInPandas(run, with_carried("doc_id long, held_out boolean, lang_pred string, score double, n_positions long", docs, carry))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweft.llm.common import table
 
@@ -21,6 +22,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: of odd ids in ``source/lang/<id div 100>/``, of even ids one level up; a document
+    whose first line names a licence is the licence file of its directory."""
+    from chronoweft.llm.license_scan import license_scan
+
+    docs = table(spark, sf_dir, "documents")
+    home = F.concat_ws("/", "source", "lang")
+    odd = F.concat_ws("/", home, F.floor(F.col("doc_id") / 100).cast("string"))
+    path = F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, home).otherwise(odd), F.col("doc_id").cast("string"))
+    notice = F.col("text").rlike(r"(?i)^[^\n]*(licensed under|released under|spdx-license|permission is hereby granted)")
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", F.coalesce(notice, F.lit(False)).alias("is_license"))
+    return license_scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweft.llm.mtree import top_k
 
@@ -69,9 +84,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    out = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return out | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from chronoweft.llm.oracles import SQL
+
+    return SQL

@@ -10,14 +10,14 @@ highest windows of each document, as one bad passage makes a document toxic.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out
+from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights, sigmoid
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -168,14 +168,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_each: int, max_chars
     return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_each: int = 2500, max_chars: int = 10_000, train_on: DataFrame | None = None, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_each: int = 2500, max_chars: int = 10_000, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), n_windows for every row.
 
     Learns from a bounded sample of the labelled rows of ``train_on`` (default: ``docs``): at most
     ``max_each`` of each label, each at most ``max_chars`` long. Every window of every whole text is
     scored; null and empty texts are one empty window. Rows are scored one by one, so repeated rows and
     ties are alike; without labels of both kinds every score is that of the starting weights. Needs no
-    shuffle of the texts.
+    shuffle of the texts. ``carry``: columns of ``docs`` to return as well.
     """
     spark = docs.sparkSession
     weights = train(training_sample(docs if train_on is None else train_on, labels, max_each, max_chars), **options)
@@ -206,6 +206,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_eac
                     x[~mask] = blank
                     np.maximum.at(top, d, _logits(w, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask))
                 score = sigmoid(top)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32), "n_windows": np.bincount(doc, minlength=len(b))})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32), "n_windows": np.bincount(doc, minlength=len(b))} | {c: b[c] for c in carry})
 
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
+    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *(c for c in carry if c != "text")).mapInPandas(run, with_carried("doc_id long, held_out boolean, score double, predicted int, n_windows long", docs, carry))
