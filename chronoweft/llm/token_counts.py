@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from chronoweft.llm.common import CACHE_ENTRIES
 from chronoweft.llm.pieces import Pieces, units
 
+#: Characters of a beginning whose counts are kept, and units whose totals are (about 160 bytes each).
+STEM, UNITS_KNOWN = 7, 1_500_000
 _counters: dict[str, PrefixCounter] = {}
 
 
@@ -30,6 +32,7 @@ class PrefixCounter:
         self.pieces = Pieces(path)
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
+        self.stems: dict[str, tuple[list[int], list[str]]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text: join the neighbours of the best score, leftmost first."""
@@ -53,8 +56,10 @@ class PrefixCounter:
     def unit_counts(self, unit: str) -> list[int]:
         """Tokens of ``unit[:i]`` for i from 0 to its length."""
         known, longest, ok, pairs = self.pieces.score, self.pieces.longest, self.pair_ok.get, self.pairs
-        counts, last = [0], [""]
-        for i in range(1, len(unit) + 1):
+        # words share beginnings, and the counts of a beginning are those of the word up to there
+        stem = self.stems.get(unit[:STEM])
+        counts, last = (stem[0].copy(), stem[1].copy()) if stem else ([0], [""])
+        for i in range(len(counts), len(unit) + 1):
             for at in range(i - 1, max(0, i - longest) - 1, -1):  # short ones first: most last tokens are short
                 t = unit[at:i]
                 if at == i - 1 or t in known:
@@ -65,18 +70,21 @@ class PrefixCounter:
                         break
             else:
                 raise AssertionError(f"no encoding ends at {i} of {unit!r}")
+        if not stem and len(unit) >= STEM and len(self.stems) < CACHE_ENTRIES // 2:
+            self.stems[unit[:STEM]] = counts[: STEM + 1], last[: STEM + 1]
         return counts
 
-    def total(self, unit: str) -> int:
-        n = self.totals.get(unit)
-        if n is None:
-            n = self.unit_counts(unit)[-1]
-            if len(self.totals) < 2 * CACHE_ENTRIES and len(unit) <= 64:
-                self.totals[unit] = n
-        return n
-
     def count(self, text: str | None) -> int:
-        return sum(map(self.total, units(text)))
+        """Tokens of a text: the last prefix counts of its units, which are kept by unit."""
+        all_units, totals = units(text), self.totals
+        found = list(map(totals.get, all_units))
+        if None in found:
+            for i, n in enumerate(found):
+                if n is None:
+                    found[i] = n = self.unit_counts(u := all_units[i])[-1]
+                    if len(totals) < UNITS_KNOWN and len(u) <= 64:
+                        totals[u] = n
+        return sum(found)
 
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of ``text[:i]`` for every i from 0 to its length; [0] for null and empty texts."""

@@ -121,7 +121,7 @@ class Unigram:
         if found is None:
             ids = self.viterbi(unit)
             found = np.array(ids, "<u4").tobytes(), sum(i in self.byte_ids for i in ids)
-            if len(self.known) < CACHE_ENTRIES and len(unit) <= 64:
+            if len(self.known) < 2 * CACHE_ENTRIES and len(unit) <= 64:
                 self.known[unit] = found
         return found
 
