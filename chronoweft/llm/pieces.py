@@ -18,7 +18,9 @@ def units(text: str | None) -> list[str]:
     if not text:
         return []
     s = MARK + text.replace(" ", MARK)
-    return _UNIT.findall(s)
+    if MARK + MARK in s:
+        return _UNIT.findall(s)
+    return s.replace(MARK, "\x00" + MARK).split("\x00")[1:] if "\x00" not in s else _UNIT.findall(s)
 
 
 class Pieces:

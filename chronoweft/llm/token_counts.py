@@ -30,44 +30,55 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.pair_ok: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, int]] = {}  # weights of last pieces by the piece before
+        self.kept = 0
         self.totals: dict[str, int] = {}
         self.stems: dict[str, tuple[list[int], list[str]]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text: join the neighbours of the best score, leftmost first."""
-        parts, score = list(text), self.pieces.score
-        while len(parts) > 1:
-            best, at = max(((score.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best == float("-inf"):
-                break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        parts, score, none = list(text), self.pieces.score.get, float("-inf")
+        joined = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined and (best := max(joined)) > none:
+            i = joined.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if i:
+                joined[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(joined):
+                joined[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
-    def pairs(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.pair_ok.get(key)
-        if found is None:
-            found = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self.pair_ok) < CACHE_ENTRIES:
-                self.pair_ok[key] = found
-        return found
+    def weight(self, a: str, b: str) -> int:
+        """Tokens that ``b`` adds as the last piece after ``a``: 0 if the two aren't neighbours in any
+        encoding, 1 for a piece, the number of its bytes for a character without one."""
+        known = b in self.pieces.score
+        n = 0
+        if (known or len(b) == 1) and self.merge(a + b) == ([a, b] if a else [b]):
+            n = 1 if known else len(b.encode("utf-8", "surrogatepass"))
+        if self.kept < 2 * CACHE_ENTRIES:
+            self.kept += 1
+            self.after.setdefault(a, {})[b] = n
+        return n
 
     def unit_counts(self, unit: str) -> list[int]:
         """Tokens of ``unit[:i]`` for i from 0 to its length."""
-        known, longest, ok, pairs = self.pieces.score, self.pieces.longest, self.pair_ok.get, self.pairs
         # words share beginnings, and the counts of a beginning are those of the word up to there
         stem = self.stems.get(unit[:STEM])
         counts, last = (stem[0].copy(), stem[1].copy()) if stem else ([0], [""])
+        longest, after, none = self.pieces.longest, self.after.get, {}
+        rows = [after(a, none) for a in last]
         for i in range(len(counts), len(unit) + 1):
             for at in range(i - 1, max(0, i - longest) - 1, -1):  # short ones first: most last tokens are short
                 t = unit[at:i]
-                if at == i - 1 or t in known:
-                    found = ok((last[at], t))
-                    if found or found is None and pairs(last[at], t):
-                        last.append(t)
-                        counts.append(counts[at] + (1 if t in known else len(t.encode("utf-8", "surrogatepass"))))
-                        break
+                n = rows[at].get(t)
+                if n is None:
+                    n = self.weight(last[at], t)
+                if n:
+                    counts.append(counts[at] + n)
+                    last.append(t)
+                    rows.append(after(t, none))
+                    break
             else:
                 raise AssertionError(f"no encoding ends at {i} of {unit!r}")
         if not stem and len(unit) >= STEM and len(self.stems) < CACHE_ENTRIES // 2:
