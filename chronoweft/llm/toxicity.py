@@ -139,20 +139,26 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
             "word": fold(d_v, word[used], WORDS), "gram": fold(d_v[on[0]] * k[on][:, None], g[on], GRAMS),
         })
 
+    def passes(rows: int, steps: int) -> int:
+        """Passes over so many rows for at least that many steps: small samples are read again."""
+        return min(40, max(1, -(-steps * batch // max(1, rows))))
+
     pick = np.argsort(rng.random(len(doc)) + doc, kind="stable")  # windows of each document in drawn order
     turn = np.arange(len(doc)) - np.repeat(np.searchsorted(doc, np.arange(len(lengths))), np.bincount(doc, minlength=len(lengths)))
     chosen = pick[turn < drawn]
-    order = rng.permutation(chosen)
-    for i in range(0, len(order), batch):
-        learn(order[i : i + batch], y[doc[order[i : i + batch]]])
+    for _ in range(passes(len(chosen), 150)):
+        order = rng.permutation(chosen)
+        for i in range(0, len(order), batch):
+            learn(order[i : i + batch], y[doc[order[i : i + batch]]])
     for _ in range(3):  # the highest window of each document, and one drawn window of the clean ones
         adam.rate = 0.5 * adam.rate
         logit = scores(np.arange(len(doc)))
         top = np.lexsort((-logit, doc))[np.searchsorted(doc, np.arange(len(lengths)))]
         more = rng.permutation(np.flatnonzero(y[doc] == 0))[: len(lengths)]
-        order = rng.permutation(np.concatenate([top, top, more]))
-        for i in range(0, len(order), batch):
-            learn(order[i : i + batch], y[doc[order[i : i + batch]]])
+        for _ in range(passes(2 * len(top) + len(more), 30)):
+            order = rng.permutation(np.concatenate([top, top, more]))
+            for i in range(0, len(order), batch):
+                learn(order[i : i + batch], y[doc[order[i : i + batch]]])
     return w
 
 
