@@ -27,34 +27,44 @@ _tables: dict[str, WordTable] = {}
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word bucket, n-gram buckets [words, grams], weight of each gram: 0 where there is none).
+    """(word bucket, n-gram buckets of all words one after the other, their number in each word).
 
     Letters are taken in lower case and punctuation at either end is left off; bytes stand for characters.
+    Every word has a gram at least: nothing but the two ends is one.
     """
     clean = [w.lower().strip(".,;:!?\"'()[]{}*#%&$|") for w in words]
     size = max([4, *(len(w.encode("utf-8", "replace")) for w in clean)])
     x = byte_matrix(clean, size).astype(np.uint64)
-    x = np.concatenate([np.full((len(x), 1), 256, np.uint64), x, np.zeros((len(x), 1), np.uint64)], 1)
-    length = (x > 0).sum(1)
+    x = np.concatenate([np.full((len(x), 1), 256, np.uint64), x, np.zeros((len(x), 2), np.uint64)], 1)
+    length = np.maximum((x > 0).sum(1), 2)
     x[np.arange(len(x)), length] = 257
     mix, word = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(x), np.uint64)
     for i in range(x.shape[1]):
         word = np.where(i <= length, (word ^ x[:, i]) * mix, word)
-    grams, there = [], []
+    owner, grams = [], []
     for n in (3, 4, 5):
         h = np.zeros((len(x), x.shape[1] - n + 1), np.uint64)
         for k in range(n):
             h = (h ^ (x[:, k : k + h.shape[1]] + np.uint64(n))) * mix
-        grams.append(h >> np.uint64(48))
-        there.append(np.arange(h.shape[1])[None, :] + n <= length[:, None] + 1)
-    weight = np.concatenate(there, 1).astype(F32)
-    weight /= np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
-    return (word >> np.uint64(49)).astype(np.int64), np.concatenate(grams, 1).astype(np.int64), weight
+        at = np.nonzero(np.arange(h.shape[1])[None, :] + n <= length[:, None] + 1)
+        owner.append(at[0])
+        grams.append((h[at] >> np.uint64(48)).astype(np.int32))
+    owners = np.concatenate(owner)
+    by_word = np.argsort(owners, kind="stable")
+    return (word >> np.uint64(49)).astype(np.int32), np.concatenate(grams)[by_word], np.bincount(owners, minlength=len(x))
+
+
+def _sums(w: dict[str, np.ndarray], word: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Word vectors from their features."""
+    if not len(word):
+        return np.zeros((0, WIDE), F32)
+    total = np.add.reduceat(w["gram"][grams], np.cumsum(counts) - counts)
+    return w["word"][word] + total / np.sqrt(counts)[:, None].astype(F32)
 
 
 def _vectors(w: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
-    word, grams, weight = word_features(words)
-    return w["word"][word] + (w["gram"][grams] * weight[:, :, None]).sum(1)
+    parts = [_sums(w, *word_features(words[i : i + 4096])) for i in range(0, len(words), 4096)]
+    return np.concatenate([np.zeros((0, WIDE), F32), *parts])
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ def _logits(w: dict[str, np.ndarray], xf: np.ndarray, xb: np.ndarray, mask: np.n
     return pooled @ w["out"] + w["bias"][0]
 
 
-def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rate: float = 0.01, seed: int = 11) -> dict[str, np.ndarray]:
+def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rate: float = 0.01, decay: float = 0.004, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights from (text, label) pairs; without both labels, weights that score everything alike."""
     rng = np.random.default_rng(seed)
     w = {"word": np.zeros((WORDS, WIDE), F32), "gram": (0.1 * rng.standard_normal((GRAMS, WIDE))).astype(F32)}
@@ -85,12 +95,15 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
     w |= {"att": np.zeros(2 * HIDDEN, F32), "out": np.zeros(2 * HIDDEN, F32), "bias": np.full(1, -2, F32)}
     if len({y for _, y in samples}) < 2:
         return w
-    split = [segments(t) for t, _ in samples]
-    vocabulary = {s: i + 1 for i, s in enumerate(dict.fromkeys(s for x in split for s in x))}
-    word, grams, weight = word_features(["", *vocabulary])
-    weight[0] = 0
-    flat = np.array([vocabulary[s] for x in split for s in x] + [0] * WINDOW)
-    lengths = np.array([len(x) for x in split])
+    vocabulary: dict[str, int] = {"": 0}
+    tokens_of = [np.array([vocabulary.setdefault(s, len(vocabulary)) for s in segments(t)], np.int32) for t, _ in samples]
+    known = list(vocabulary)
+    parts = [word_features(known[i : i + 4096]) for i in range(0, len(known), 4096)]
+    word, grams, counts = (np.concatenate(p) for p in zip(*parts))
+    del vocabulary, known, parts
+    places = np.cumsum(counts) - counts
+    flat = np.concatenate([*tokens_of, np.zeros(WINDOW, np.int32)])
+    lengths = np.array([len(x) for x in tokens_of])
     start = np.cumsum(lengths) - lengths
     doc, first = windows(lengths)
     y = np.array([v for _, v in samples], F32)
@@ -101,7 +114,7 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
         return np.where(mask, flat[np.minimum(start[doc[rows]][None, :] + at, len(flat) - 1)], 0), mask
 
     def scores(rows: np.ndarray) -> np.ndarray:
-        vec = w["word"][word] + np.concatenate([(w["gram"][grams[i : i + 8192]] * weight[i : i + 8192, :, None]).sum(1) for i in range(0, len(word), 8192)])
+        vec = np.concatenate([_sums(w, word[i : i + 4096], grams[places[i] : places[i] + counts[i : i + 4096].sum()], counts[i : i + 4096]) for i in range(0, len(word), 4096)])
         vec[0] = 0
         pf, pb = vec @ w["f_w"] + w["f_b"], vec @ w["b_w"] + w["b_b"]
         out = []
@@ -116,8 +129,9 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
         ids, mask = tokens(rows)
         used, back = np.unique(ids, return_inverse=True)
         back = back.reshape(ids.shape)
-        g, k = grams[used], weight[used]
-        vec = (w["word"][word[used]] + (w["gram"][g] * k[:, :, None]).sum(1)) * (used > 0)[:, None]
+        n = counts[used]
+        g = grams[np.repeat(places[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        vec = _sums(w, word[used], g, n) * (used > 0)[:, None]
         keep: dict = {}
         p = sigmoid(_logits(w, (vec @ w["f_w"] + w["f_b"])[back], (vec @ w["b_w"] + w["b_b"])[back], mask, keep))
         d = ((p - target) / len(rows)).astype(F32)
@@ -132,12 +146,13 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
         fold = lambda x, i, n: np.stack([np.bincount(i, c, n) for c in x.T], 1).astype(F32)
         v_f, v_b = fold(d_f.reshape(at.size, -1), at, len(used)), fold(d_b.reshape(at.size, -1), at, len(used))
         d_v = (v_f @ w["f_w"].T + v_b @ w["b_w"].T) * (used > 0)[:, None]
-        on = np.nonzero(k)
         adam.step({
             "out": keep["pooled"].T @ d, "bias": d.sum(keepdims=True), "att": (d_e[:, :, None] * h).sum((0, 1)), "f_u": u_f, "b_u": u_b,
             "f_w": vec.T @ v_f, "b_w": vec.T @ v_b, "f_b": v_f.sum(0), "b_b": v_b.sum(0),
-            "word": fold(d_v, word[used], WORDS), "gram": fold(d_v[on[0]] * k[on][:, None], g[on], GRAMS),
+            "word": fold(d_v, word[used], WORDS), "gram": fold(np.repeat(d_v / np.sqrt(n)[:, None], n, 0), g, GRAMS),
         })
+        for k in ("word", "gram"):  # embeddings of rare words fade unless examples keep bearing them out
+            w[k] *= F32(1 - decay)
 
     def passes(rows: int, steps: int) -> int:
         """Passes over so many rows for at least that many steps: small samples are read again."""
@@ -162,29 +177,29 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_each: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``max_each`` documents of each label outside the held-out fold (least hashes of the id), of
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> list[tuple[str, int]]:
+    """At most ``max_toxic`` and ``max_clean`` documents of the two labels outside the held-out fold (least hashes of the id), of
     at most ``max_chars`` characters."""
     rows = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where("toxic in (0, 1)").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id")).limit(max_each) for v in (0, 1)]
-    ids = some[0].union(some[1])  # at most 2 * max_each rows
+    some = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id")).limit(n) for v, n in ((0, max_clean), (1, max_toxic))]
+    ids = some[0].union(some[1])  # at most max_toxic + max_clean rows
     short = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
     found = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
     return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_each: int = 2500, max_chars: int = 10_000, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = 2500, max_clean: int = 4500, max_chars: int = 10_000, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), n_windows for every row.
 
     Learns from a bounded sample of the labelled rows of ``train_on`` (default: ``docs``): at most
-    ``max_each`` of each label, each at most ``max_chars`` long. Every window of every whole text is
+    ``max_toxic`` and ``max_clean`` of the two labels, each at most ``max_chars`` long. Every window of every whole text is
     scored; null and empty texts are one empty window. Rows are scored one by one, so repeated rows and
     ties are alike; without labels of both kinds every score is that of the starting weights. Needs no
     shuffle of the texts. ``carry``: columns of ``docs`` to return as well.
     """
     spark = docs.sparkSession
-    weights = train(training_sample(docs if train_on is None else train_on, labels, max_each, max_chars), **options)
+    weights = train(training_sample(docs if train_on is None else train_on, labels, max_toxic, max_clean, max_chars), **options)
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
