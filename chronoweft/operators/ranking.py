@@ -104,3 +104,25 @@ def confusion_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     k = k.select("support", "tp", p.alias("p"), r.alias("r")).withColumn("f", F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0))
     weighted = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
     return k.agg(F.avg("p").alias("macro_p"), F.avg("r").alias("macro_r"), F.avg("f").alias("macro_f1"), (F.sum("tp") / F.sum("support")).alias("micro_f1"), weighted("p").alias("weighted_p"), weighted("f").alias("weighted_f1"))
+
+
+def wasserstein(rows: DataFrame, value: str, group: str, quantiles: int = 257) -> DataFrame:
+    """Mean absolute gap of the two groups' linear quantiles at evenly spaced levels (group 0 and 1)."""
+    levels = F.array(*(F.lit(j / (quantiles - 1)) for j in range(quantiles)))
+    cut = lambda g: F.percentile(F.when(F.col(group) == g, F.col(value)), levels)
+    gaps = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
+    return rows.agg(cut(0).alias("a"), cut(1).alias("b")).select((F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / quantiles).alias("wasserstein"))
+
+
+def closest_to_median(rows: DataFrame, score: str, k: int, tie: Sequence[str]) -> DataFrame:
+    """The k rows nearest to the median score, ties by ``tie``."""
+    mid = rows.agg(F.percentile(score, F.lit(0.5)).alias("mid"))
+    return rows.join(F.broadcast(mid)).withColumn("gap", F.abs(F.col(score) - F.col("mid"))).orderBy("gap", *tie).limit(k).drop("mid", "gap")
+
+
+def batch_auc(rows: DataFrame, score: str, label: str, batch: str) -> DataFrame:
+    """Tie-aware AUC of each batch that has both labels."""
+    counts = rows.groupBy(batch, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    w = Window.partitionBy(batch).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = counts.withColumn("tp", F.sum("p").over(w)).groupBy(batch)
+    return c.agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc")).where("auc is not null")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from chronoweft.operators import ranking, scorers
-from chronoweft.plans import reference
+from chronoweft.plans import reference, sampling  # noqa: F401  (sampling adds its queries)
 from chronoweft.sources.tables import adjacency
 
 SF = "/root/testdata/sf0.001"
