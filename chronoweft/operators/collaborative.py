@@ -39,7 +39,8 @@ def item_cf(events: DataFrame, q: DataFrame, name: str = "item_cf") -> DataFrame
 
 def user_cf(events: DataFrame, q: DataFrame) -> DataFrame:
     """The same with users and items exchanged: over the target's earlier events, by shared items of the users."""
-    return item_cf(events.withColumnsRenamed({"u": "i", "i": "u"}), q.withColumnsRenamed({"src": "tgt", "tgt": "src"}), "user_cf")
+    swapped = q.select(*KEY, F.col("tgt").alias("src"), F.col("src").alias("tgt"), "t")
+    return item_cf(events.select(F.col("i").alias("u"), F.col("u").alias("i"), "ts"), swapped, "user_cf")
 
 
 def location_share(events: DataFrame, q: DataFrame, locations: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from chronoweft.operators import ranking, scorers
+from chronoweft.operators import collaborative, ranking, scorers
 from chronoweft.plans import reference, sampling  # noqa: F401  (sampling adds its queries)
 from chronoweft.sources.tables import adjacency
 
@@ -45,6 +45,18 @@ def test_unknown_node_and_self_loop(spark, tiny):
     assert scorers.common_neighbors(tiny, asked(spark, [3], -1, 99)).first()["cn"] == 0
 
 
+def test_collaborative_scores_strictly_before(spark, tiny):
+    """Item 3 at t=1.5 has the two users 1 and 2 and two events; the source's history is one event of it."""
+    q = asked(spark, [1, 1.5, 3], 1, 3)
+    assert [r["item_cf"] for r in collaborative.item_cf(tiny, q).orderBy("eid").collect()] == [0, 1.0, 2 * 2 / 4]
+    assert [r["user_cf"] for r in collaborative.user_cf(tiny, q).orderBy("eid").collect()] == [0, 2.0, 2 * 1 / 2 + 2 * 1 / 2]
+
+
+def test_pair_stats_counts_one_direction(spark, tiny):
+    got = [tuple(r) for r in collaborative.pair_stats(tiny, asked(spark, [2], 3, 1)).collect()]
+    assert got == [(0, 0, 0, 1.0)]
+
+
 def test_tied_scores(spark):
     rows = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "label int, score double")
     assert ranking.auc_and_ap(rows).first()["auc"] == 0.875
