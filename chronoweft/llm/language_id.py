@@ -111,9 +111,15 @@ def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list
     each at most ``max_chars`` characters from a place drawn by the same hash."""
     h = F.xxhash64("doc_id")
     start = F.pmod(h, F.greatest(F.length("text") - max_chars, F.lit(1))) + 1
-    found = docs.where("text is not null and lang is not null").where(~is_held_out(F.col("doc_id")))
-    found = found.select(h.alias("h"), F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "lang")
-    return [(r["text"], r["lang"]) for r in found.orderBy("h", "lang", "text").limit(max_documents).collect()]
+    labelled = docs.where("lang is not null").where(~is_held_out(F.col("doc_id")))
+    found = labelled.where("text is not null").select(h.alias("h"), F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "lang")
+    # each task would send its own least hashes; a bound that leaves about twice the sample keeps their sum small
+    share = min(1.0, 2 * max_documents / max(labelled.count(), 1))
+    least = lambda rows: rows.orderBy("h", "lang", "text").limit(max_documents).collect()
+    rows = least(found.where(F.col("h") < int(-(2**63) + 2**64 * share)) if share < 1 else found)
+    if share < 1 and len(rows) < max_documents:
+        rows = least(found)
+    return [(r["text"], r["lang"]) for r in rows]
 
 
 def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 1200, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
