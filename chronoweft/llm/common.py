@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 #: only stops growing: words beyond it are computed again, so results don't depend on it.
 CACHE_ENTRIES = 400_000
 
+_held: dict = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]):
+    """What a Python worker keeps under ``key`` from task to task. Workers outlive stages, so asking for another key
+    lets the old one go: a chain of operators needs the memory of its largest, not of all."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""

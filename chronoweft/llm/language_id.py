@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried
+from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
 UNKNOWN = "und"
 #: Words are padded to the least of these widths, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
-_tables: dict[str, WordTable] = {}
 
 
 def _probabilities(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -137,11 +136,8 @@ def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 120
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _tables:
-            _tables.clear()
-            w = shared.value
-            _tables[key] = WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES)
-        words, n = _tables[key], len(langs)
+        w = shared.value
+        words, n = worker_cache(key, lambda: WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES)), len(langs)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.iloc[at : at + 1000]

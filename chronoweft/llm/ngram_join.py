@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm.blocks import forest, forest_between
-from chronoweft.llm.common import CACHE_ENTRIES, materialise
+from chronoweft.llm.common import CACHE_ENTRIES, materialise, worker_cache
 from chronoweft.llm.components import connected_components
 from chronoweft.llm.words import WordTable
 
@@ -30,7 +30,6 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK = 512
 #: Ids up to this number (16 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_tables: dict[str, WordTable] = {}
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = 192) -> tuple[int, int]:
@@ -67,7 +66,7 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def text_shingles(texts: list[str], n: int) -> list[np.ndarray]:
-    table = _tables.setdefault("words", WordTable(_hash_words, CACHE_ENTRIES))
+    table = worker_cache("word hashes", lambda: WordTable(_hash_words, CACHE_ENTRIES))
     split = [WORD.findall(t.lower()) for t in texts]
     rows, hashes = table.find([w for x in split for w in x])
     ends = np.cumsum([len(x) for x in split])

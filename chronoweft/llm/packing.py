@@ -19,12 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import materialise
+from chronoweft.llm.common import materialise, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words a worker remembers (about 200 bytes each); beyond it they are encoded each time they come up.
 WORDS_KNOWN = 900_000
-_tokenizers: dict = {}
 
 
 class WordTokenizer:
@@ -79,12 +78,10 @@ class WordTokenizer:
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_cache(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

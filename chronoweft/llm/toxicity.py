@@ -17,13 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried
+from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights, sigmoid
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
 WINDOW, STRIDE = 16, 8
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 15, 1 << 16, 10, 8
-_tables: dict[str, WordTable] = {}
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,12 +203,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tox
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
-        if key not in _tables:
-            _tables.clear()
-            both = np.concatenate([w["f_w"], w["b_w"]], 1)
-            bias = np.concatenate([w["f_b"], w["b_b"]])
-            _tables[key] = WordTable(lambda words: _vectors(w, words) @ both + bias if words else np.zeros((0, 6 * HIDDEN), F32), CACHE_ENTRIES // 2)
-        words, blank = _tables[key], np.concatenate([w["f_b"], w["b_b"]])
+        both, blank = np.concatenate([w["f_w"], w["b_w"]], 1), np.concatenate([w["f_b"], w["b_b"]])
+        project = lambda words: _vectors(w, words) @ both + blank if words else np.zeros((0, 6 * HIDDEN), F32)
+        words = worker_cache(key, lambda: WordTable(project, CACHE_ENTRIES // 2))
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.iloc[at : at + 500]
