@@ -55,18 +55,19 @@ def query(sql: str | None):
     return add
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, d: str, every: int = 97) -> tuple[DataFrame, DataFrame]:
+    """Events and queries; ``every`` is the filter that the SQL beside the registered queries holds."""
     events = D.edges(spark, d)
-    return events, D.queries(events)
+    return events, D.queries(events, every=every)
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.when(F.round(c, digits) == 0, 0.0).otherwise(F.round(c, digits)) for c in columns})
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
+def fused(spark: SparkSession, d: str, every: int = 97) -> DataFrame:
     """Four scorers of every query, fused by reciprocal ranks within it."""
-    events, q = _graph(spark, d)
+    events, q = _graph(spark, d, every)
     scores = S.pair_history(events, q).join(S.target_history(events, q).select("eid", "k", "popularity"), S.KEY).join(S.common_neighbors(events, q).select("eid", "k", F.round("ra", 9).alias("ra")), S.KEY)
     return R.reciprocal_rank_fusion(scores, ["recency", "popularity", "past", "ra"]).withColumn("label", (F.col("k") == 0).cast("int"))
 
@@ -297,5 +298,5 @@ def windowed_user_activity(spark, d):
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: scorers, fusion and ranking metrics of every query."""
-    return _rounded(R.mrr_and_hits(fused(spark, d), "rrf"), "mrr")
+    """Flagship: scorers, fusion and ranking metrics of every event."""
+    return _rounded(R.mrr_and_hits(fused(spark, d, every=1), "rrf"), "mrr")

@@ -41,8 +41,8 @@ def first_contacts(events: DataFrame) -> DataFrame:
     return adjacency(events).groupBy("node", "nbr").agg(F.min("ts").alias("first_ts"))
 
 
-def queries(events: DataFrame, negatives: int = 3, every: int = 97, nodes: int = 300, shift: int = 0) -> DataFrame:
-    """Every event with ``eid`` divisible by ``every`` as a positive (k = 0) with drawn targets (k > 0)."""
+def queries(events: DataFrame, negatives: int = 3, every: int = 1, nodes: int = 300, shift: int = 0) -> DataFrame:
+    """Every event as a positive (k = 0) with drawn targets (k > 0); ``every`` above 1 asks only ids divisible by it."""
     drawn = (F.col("eid") % 1000003 * 7919 + F.col("k") * 104729) % nodes + shift
     return events.where(F.col("eid") % every == 0).select("eid", F.explode(F.sequence(F.lit(0), F.lit(negatives))).alias("k"), "u", "i", "ts").select(
         "eid", "k", F.col("u").alias("src"), F.when(F.col("k") == 0, F.col("i")).otherwise(drawn).alias("tgt"), F.col("ts").alias("t"))

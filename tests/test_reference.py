@@ -8,7 +8,7 @@ import pytest
 
 from chronoweft.operators import collaborative, ranking, scorers
 from chronoweft.plans import reference, sampling  # noqa: F401  (sampling adds its queries)
-from chronoweft.sources.tables import adjacency
+from chronoweft.sources.tables import adjacency, edges, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +65,16 @@ def test_tied_scores(spark):
     assert (got["mrr"], got["hits_1"]) == (0.5, 1.0)
 
 
+def test_every_event_is_asked(spark, monkeypatch):
+    events = edges(spark, SF)
+    assert queries(events).where("k = 0").count() == events.count()
+    seen = []
+    mrr_and_hits = ranking.mrr_and_hits
+    monkeypatch.setattr(ranking, "mrr_and_hits", lambda rows, score: seen.append(rows) or mrr_and_hits(rows, score))
+    reference.entry(spark, SF)
+    assert seen[0].select("eid").distinct().count() == events.select("eid").distinct().count()
+
+
 @pytest.mark.parametrize("name", sorted(reference.SQL))
 def test_matches_sql(spark, name):
     import duckdb
