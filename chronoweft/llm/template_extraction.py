@@ -7,9 +7,10 @@
 3. A class is valid when it is frequent (occurs on most pages of the host). The class that occurs
    exactly once a page is the outer template; valid classes of repeated tags lie nested in its slots.
 4. Slots between the tokens of the outer template hold the page's own data. A slot is judged by the template
-   tokens around it; text nodes that are themselves template tokens outside the main slot are dropped, and
-   the text of the main slots is extracted. Pages of hosts too small to deduce a template, and pages that
-   lack its main slot, are judged by their own tags in the same way.
+   tokens around it: slots that hold an element for the main text are main, and the text of the main slots is
+   extracted. Text nodes that are themselves template tokens are dropped outside the main slots, and inside
+   them where their kind of element (path and class) holds template text only. Pages of hosts too small to
+   deduce a template, and pages that lack its main slot, are judged by their own tags in the same way.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ MAIN_WORDS = frozenset("article articlebody content entry maincontent main post
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_CLASS = re.compile(r"""(?<![\w-])class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {e: re.compile(rf"</{e}\s*>", re.I) for e in RAW}
@@ -69,6 +71,12 @@ def _kind(name: str, attributes: str, within_main: bool) -> str:
     return ""
 
 
+def _class(attributes: str) -> str:
+    """The class value as part of a path, without what would end a step of it."""
+    found = _CLASS.search(attributes) if attributes else None
+    return "." + re.sub(r"[\s/]+", ".", found[1].strip("\"' ")) if found else ""
+
+
 def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
     """Tokens (role, text, in a side part, in a main part, block): the role of a tag is its path; of a text
     node its path with the text. ``text`` is empty for tags. The block number grows at block elements."""
@@ -117,7 +125,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             out.append((f"{path}/{name}", "", side > 0, main > 0, block))
             continue
-        path = f"{path}/{name}"
+        path = f"{path}/{name}{_class(m[3])}"
         stack.append((name, kind))
         side += kind == "side"
         main += kind == "main"
@@ -133,11 +141,22 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
 
 
 def _hash(role: str) -> int:
+    """64 bits of a tag's role; of a text node's role 32 bits of its path, then 32 of its text."""
     import xxhash
 
+    path, at, text = role.partition("\t")
+    if at and text != "/":
+        return _path(path) | max(1, xxhash.xxh32_intdigest(text))
     return xxhash.xxh64_intdigest(role) - (1 << 63)
 
 
+def _path(path: str) -> int:
+    """The token that counts all text nodes of a path: the upper half of its text nodes' tokens."""
+    import xxhash
+
+    return (xxhash.xxh32_intdigest(path) - (1 << 31)) << 32
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
     """host, token, vector (the occurrence vector as one number), n_pages, total: tokens counted by page and
     summed within each task's batch before the shuffle."""
@@ -148,8 +167,14 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for b in batches:
             sums: dict[tuple[str, int], list[int]] = {}
             for host, key, page in zip(b["host"], b["page_key"], b["html"]):
-                for role, n in Counter(t[0] for t in parse(page) if not t[1].isspace() or not t[1]).items():
-                    s = sums.setdefault((host, _hash(role)), [0, 0, 0])
+                roles = Counter(t[0] for t in parse(page) if not t[1].isspace() or not t[1])
+                counts = Counter({_hash(role): n for role, n in roles.items()})
+                for role, n in roles.items():
+                    path, at, text = role.partition("\t")
+                    if at and text != "/":
+                        counts[_path(path)] += n
+                for token, n in counts.items():
+                    s = sums.setdefault((host, token), [0, 0, 0])
                     s[0] = (s[0] + xxhash.xxh64_intdigest(f"{key} {n}")) % (1 << 64)
                     s[1] += 1
                     s[2] += n
@@ -162,7 +187,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame, sizes: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """host, outer (tokens of the class that occurs once a page), nested (tokens of the other valid classes).
+    """host, outer (tokens of the class that occurs once a page), nested (tokens of the other valid classes),
+    fixed (paths whose text nodes are template tokens, but for a part of less than 1 - ``share``).
 
     ``min_pages`` and ``share``: pages that a host must have, and the part of them a valid class occurs on.
     A class is all tokens of one occurrence vector; classes of a single token are no evidence of a template.
@@ -170,33 +196,49 @@ def templates(tokens: DataFrame, sizes: DataFrame, min_pages: int, share: float)
     # most tokens are a page's own text: they go before anything is dealt out by host
     some = tokens.where(F.col("n_pages") >= share * min_pages)
     frequent = some.join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("n_pages") >= share * F.col("pages")))
-    classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.first("n_pages").alias("n_pages"), F.first("total").alias("total"))
+    is_path = F.col("token").bitwiseAND(0xFFFFFFFF) == 0
+    classes = frequent.where(~is_path).groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.first("n_pages").alias("n_pages"), F.first("total").alias("total"))
     valid = classes.where((F.size("tokens") > 1) | (F.col("total") == F.col("n_pages")))
     once = F.col("total") == F.col("n_pages")
+    # template text of each path against all text of it
+    texts = valid.select("host", F.explode("tokens").alias("token"), "total").groupBy("host", F.shiftright("token", 32).alias("path")).agg(F.sum("total").alias("repeated"))
+    paths = frequent.where(is_path).select("host", F.shiftright("token", 32).alias("path"), "total")
+    fixed = paths.join(texts, ["host", "path"]).where(F.col("repeated") >= share * F.col("total")).groupBy("host").agg(F.collect_list(F.shiftleft("path", 32)).alias("fixed"))
     return valid.groupBy("host").agg(
         F.flatten(F.collect_list(F.when(once, F.col("tokens")))).alias("outer"),
         F.flatten(F.collect_list(F.when(~once, F.col("tokens")))).alias("nested"),
-    )
+    ).join(fixed, "host", "left")
 
 
-def page_text(page: str, outer: frozenset[int], nested: frozenset[int]) -> str:
+def page_text(page: str, outer: frozenset[int], nested: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
     """The main text: text nodes of the main slots of the outer template, blocks joined by one space."""
     tokens = parse(page)
-    keys = [_hash(t[0]) for t in tokens] if outer else []
+    template = outer | nested
+    keys = [_hash(t[0]) for t in tokens] if template else []
     slot, slots = 0, []
     for i in range(len(tokens)):
         if outer and not tokens[i][1] and keys[i] in outer:
             slot += 1
         slots.append(slot)
+
     # a slot is main by what stands around it: an element for the main text, and no part beside it
     def real(i: int) -> bool:
         return bool(tokens[i][1]) and not tokens[i][1].isspace() and not tokens[i][2]
 
+    def repeated(i: int) -> bool:
+        return bool(template) and keys[i] in template
+
     main = {slots[i] for i in range(len(tokens)) if real(i) and tokens[i][3]}
     if main:
-        take = [bool(t[1]) and not t[2] and t[3] and s in main for t, s in zip(tokens, slots)]
+        take = [bool(t[1]) and not tokens[i][2] and t[3] and (slots[i] in main or t[1].isspace()) for i, t in enumerate(tokens)]
+        # a sentence with the page's own words in it stays whole
+        whole = {t[4] for i, t in enumerate(tokens) if take[i] and real(i) and not (repeated(i) and keys[i] >> 32 << 32 in fixed)}
+        own = [use and not (real(i) and tokens[i][4] not in whole) for i, use in enumerate(take)]
+        # a page that holds nothing else (a copy of others of its host) keeps its text
+        if any(use and real(i) for i, use in enumerate(own)):
+            take = own
     else:  # no element for the main text: all slots beside none of the side parts, without template texts
-        take = [bool(t[1]) and not t[2] and not (outer and (keys[i] in outer or keys[i] in nested) and real(i)) for i, t in enumerate(tokens)]
+        take = [bool(t[1]) and not tokens[i][2] and not (repeated(i) and real(i)) for i, t in enumerate(tokens)]
     blocks: list[list[str]] = []
     last = None
     for t, use in zip(tokens, take):
@@ -222,13 +264,13 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, share: float = 0.6)
     found = templates(occurrences(keyed), sizes, min_pages, share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
+        known: dict[str, tuple[frozenset[int], ...]] = {}
         for b in batches:
             texts = []
-            for host, page, outer, nested in zip(b["host"], b["html"], b["outer"], b["nested"]):
+            for host, page, *found in zip(b["host"], b["html"], b["outer"], b["nested"], b["fixed"]):
                 if host not in known:
-                    known[host] = tuple(frozenset() if x is None else frozenset(np.asarray(x).tolist()) for x in (outer, nested))
+                    known[host] = tuple(frozenset() if x is None else frozenset(np.asarray(x).tolist()) for x in found)
                 texts.append(page_text(page, *known[host]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "outer", "nested").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "outer", "nested", "fixed").mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -214,6 +214,17 @@ def test_main_text_of_pages(spark):
     assert got[50] == got[51] == ("", 0) and got[52][0] == "plain"
 
 
+def test_notice_repeated_inside_an_article(spark):
+    from chronoweft.llm.template_extraction import extract_main_text
+
+    page = "<html><body><article><h1>Head {0}</h1><p>Own <b>words</b> <i>{0}</i></p><p class='x7'>Follow us on all channels</p><div class='q'>Best of the week</div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(8)]
+    rows += [(20 + i, f"http://copies.example/{i}", page.format("same")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3 Own words 3"
+    assert got[22] == "Head same Own words same Follow us on all channels Best of the week"
+
+
 def test_language_on_held_out(docs):
     from chronoweft.llm.language_id import language_id
 
