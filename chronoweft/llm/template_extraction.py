@@ -38,6 +38,15 @@ SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo".split()
 )
+#: Parts that may stand beside side words in one class name: ``site-footer`` is a footer, ``related-work`` no list of links.
+NEUTRAL = frozenset("area bar block bottom box button buttons container global group holder inner item items link links list main mobile outer page panel posts primary secondary section site top wrap wrapper".split())
+OF_ARTICLE = frozenset("article entry post".split())
+#: Inside the main text these mark a side part only where the template repeats its text.
+DOUBTFUL_WORDS = frozenset("alert notice notices social".split())
+#: Parts that hold articles of their own.
+LISTS = frozenset("comment comments related replies reply".split())
+#: How far a token lies in a side part.
+DOUBTFUL, SIDE = 1, 2
 #: These mark a page's head, but an article's own head within it.
 HEADS = frozenset("header masthead".split())
 MAIN_WORDS = frozenset("article articlebody content entry maincontent main post postbody story".split())
@@ -53,22 +62,33 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 HOLDERS = frozenset("ul ol dl table tbody thead select div article section main body td blockquote".split())
 
 
-def _kind(name: str, attributes: str, within_main: bool) -> str:
-    """``side``, ``main`` or nothing for an element by its own name and attributes."""
+def _kind(name: str, attributes: str, within_main: bool) -> tuple[str, frozenset[str]]:
+    """``side``, ``soft`` (side, unless it holds the main text), ``doubtful``, ``main`` or nothing for an element by
+    its own name and attributes, with its side words. Words never make the page or its main element a side part."""
     words: set[str] = set()
+    marks: set[str] = set()
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             if key.lower() == "hidden" or key.lower() == "aria-hidden" and "true" in value.lower():
-                return "side"
+                return "side", frozenset()
             for part in value.strip("\"'").split():
-                words.update((part.lower(), *(w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part)))))
+                pieces = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))}
+                words |= {part.lower(), *pieces}
+                found = {part.lower()} & SIDE_WORDS or pieces & SIDE_WORDS
+                if found and (part.lower() in SIDE_WORDS or pieces <= SIDE_WORDS | NEUTRAL or pieces <= SIDE_WORDS | NEUTRAL | OF_ARTICLE and not found <= HEADS):
+                    marks |= found
     if within_main:
         words -= HEADS
-    if name in SIDE_ELEMENTS or words & SIDE_WORDS or name == "header" and not within_main:
-        return "side"
+        marks -= HEADS
+    if name in ("html", "body"):
+        return "", frozenset()
+    if name in SIDE_ELEMENTS or name == "header" and not within_main:
+        return "soft" if name == "form" else "side", frozenset(marks)
+    if marks and name != "main" and (name != "article" or within_main):
+        return "doubtful" if within_main and marks <= DOUBTFUL_WORDS else "soft", frozenset(marks)
     if name in ("article", "main") or words & MAIN_WORDS:
-        return "main"
-    return ""
+        return "main", frozenset()
+    return "", frozenset()
 
 
 def _class(attributes: str) -> str:
@@ -77,24 +97,29 @@ def _class(attributes: str) -> str:
     return "." + re.sub(r"[\s/]+", ".", found[1].strip("\"' ")) if found else ""
 
 
-def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
+def parse(page: str) -> list[tuple[str, str, int, bool, int]]:
     """Tokens (role, text, in a side part, in a main part, block): the role of a tag is its path; of a text
     node its path with the text. ``text`` is empty for tags. The block number grows at block elements."""
-    out: list[tuple[str, str, bool, bool, int]] = []
+    out: list[tuple[str, str, tuple[int, ...], bool, int]] = []
     stack: list[tuple[str, str]] = []
-    path, side, main, block, at = "", 0, 0, 0, 0
+    path, main, block, at = "", 0, 0, 0
+    side: tuple[int, ...] = ()  # the open side parts, as places in these lists
+    level: list[int] = []
+    soft: list[tuple[bool, frozenset[str], Counter]] = []
+    seen: Counter = Counter()
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
             t = entities.unescape(raw)
-            out.append((f"{path}\t{_SPACE.sub(' ', t).strip()}", t, side > 0, main > 0, block))
+            out.append((f"{path}\t{_SPACE.sub(' ', t).strip()}", t, side, main > 0, block))
         elif raw:
-            out.append((path, " ", side > 0, main > 0, block))
+            out.append((path, " ", side, main > 0, block))
 
     def pop() -> None:
         nonlocal path, side, main
         name, kind = stack.pop()
-        side -= kind == "side"
+        if kind in ("side", "soft", "doubtful"):
+            side = side[:-1]
         main -= kind == "main"
         path = path[: path.rindex("/")]
 
@@ -110,7 +135,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
             if any(n == name for n, _ in stack):
                 while stack[-1][0] != name:
                     pop()
-                out.append((f"{path}\t/", "", side > 0, main > 0, block))
+                out.append((f"{path}\t/", "", side, main > 0, block))
                 pop()
             continue
         if name in CLOSES:
@@ -121,15 +146,22 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
                     break
                 if stack[depth][0] in HOLDERS:
                     break
-        kind = _kind(name, m[3], main > 0)
+        kind, words = _kind(name, m[3], main > 0)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
-            out.append((f"{path}/{name}", "", side > 0, main > 0, block))
+            out.append((f"{path}/{name}", "", side, main > 0, block))
             continue
         path = f"{path}/{name}{_class(m[3])}"
         stack.append((name, kind))
-        side += kind == "side"
+        if name in ("main", "article"):
+            seen[name] += 1
+            for e in side:
+                soft[e][2][name] += 1
+        if kind in ("side", "soft", "doubtful"):
+            side = (*side, len(level))
+            level.append(DOUBTFUL if kind == "doubtful" else SIDE)
+            soft.append((kind == "soft", words, Counter()))
         main += kind == "main"
-        out.append((path, "", side > 0, main > 0, block))
+        out.append((path, "", side, main > 0, block))
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             stop = end.start() if end else len(page)
@@ -137,7 +169,15 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int]]:
             at = end.end() if end else len(page)
             pop()
     text(page[at:])
-    return out
+    # a wrapper of the main element, or of all articles, is no side part by its words
+    for e, (is_soft, words, held) in enumerate(soft):
+        if is_soft and (held["main"] or not seen["main"] and held["article"] and held["article"] == seen["article"] and not words & LISTS):
+            level[e] = 0
+    known = {(): 0}
+    for t in out:
+        if t[2] not in known:
+            known[t[2]] = max(level[e] for e in t[2])
+    return [(role, t, known[e], in_main, n) for role, t, e, in_main, n in out]
 
 
 def _hash(role: str) -> int:
@@ -223,14 +263,19 @@ def page_text(page: str, outer: frozenset[int], nested: frozenset[int], fixed: f
 
     # a slot is main by what stands around it: an element for the main text, and no part beside it
     def real(i: int) -> bool:
-        return bool(tokens[i][1]) and not tokens[i][1].isspace() and not tokens[i][2]
+        return bool(tokens[i][1]) and not tokens[i][1].isspace() and not is_side(i)
 
     def repeated(i: int) -> bool:
         return bool(template) and keys[i] in template
 
+    def is_side(i: int) -> bool:
+        # a doubtful part with words of the page's own is main text; without a template the word decides
+        t = tokens[i]
+        return t[2] == SIDE or t[2] == DOUBTFUL and not (template and (t[1].isspace() or not repeated(i)))
+
     main = {slots[i] for i in range(len(tokens)) if real(i) and tokens[i][3]}
     if main:
-        take = [bool(t[1]) and not tokens[i][2] and t[3] and (slots[i] in main or t[1].isspace()) for i, t in enumerate(tokens)]
+        take = [bool(t[1]) and not is_side(i) and t[3] and (slots[i] in main or t[1].isspace()) for i, t in enumerate(tokens)]
         # a sentence with the page's own words in it stays whole
         whole = {t[4] for i, t in enumerate(tokens) if take[i] and real(i) and not (repeated(i) and keys[i] >> 32 << 32 in fixed)}
         own = [use and not (real(i) and tokens[i][4] not in whole) for i, use in enumerate(take)]
@@ -238,7 +283,7 @@ def page_text(page: str, outer: frozenset[int], nested: frozenset[int], fixed: f
         if any(use and real(i) for i, use in enumerate(own)):
             take = own
     else:  # no element for the main text: all slots beside none of the side parts, without template texts
-        take = [bool(t[1]) and not tokens[i][2] and not (repeated(i) and real(i)) for i, t in enumerate(tokens)]
+        take = [bool(t[1]) and not is_side(i) and not (repeated(i) and real(i)) for i, t in enumerate(tokens)]
     blocks: list[list[str]] = []
     last = None
     for t, use in zip(tokens, take):

@@ -225,6 +225,31 @@ def test_notice_repeated_inside_an_article(spark):
     assert got[22] == "Head same Own words same Follow us on all channels Best of the week"
 
 
+def test_side_words_of_wrappers_and_parts_of_words():
+    from chronoweft.llm.template_extraction import page_text
+
+    none = frozenset()
+    for html in (
+        "<body class='single has-sidebar'><article><p>Text</p></article></body>",
+        "<body class='cookie-consent-open sidebar'><div><p>Text</p></div></body>",
+        "<body><main class='content sidebar'><p>Text</p></main></body>",
+        "<body><form id='aspnetForm'><div class='widget'>W</div><main><p>Text</p></main></form></body>",
+        "<body><div class='sidebar'><article class='related'><p>Text</p></article></div></body>",
+        "<body><article><div class='related-work'><p>Text</p></div></article></body>",
+        "<body><article><p>Text</p><div class='share-buttons'>S</div></article><div class='site-footer'>F</div><div id='comments'><article><p>bad</p></article></div></body>",
+    ):
+        assert page_text(html, none, none) == "Text", html
+
+
+def test_own_words_overrule_a_doubtful_side_word(spark):
+    from chronoweft.llm.template_extraction import extract_main_text
+
+    page = "<html><body><article><p>Head {0}</p><div class='notice'><p>Own {0}</p></div><div class='social'>Follow us</div><div class='comments'>Nice {0}</div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3 Own 3"
+
+
 def test_language_on_held_out(docs):
     from chronoweft.llm.language_id import language_id
 
