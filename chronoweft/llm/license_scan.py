@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance.
 
 A file's own licence is the template with the largest cosine to one of its segments: a line, a paragraph
-(lines without a blank one between), or, for a licence file, the whole text. Document frequencies of the
-templates' words are counted over all files. Files without a licence of their own inherit that of the
+(lines without a blank one between), windows of lines of a long paragraph, or, for a licence file, the whole
+text. Document frequencies of all words of the segments are counted over all files. Files without a licence of their own inherit that of the
 licence file in the nearest ancestor directory, found by joins on directory paths.
 """
 
@@ -42,6 +42,13 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["Released under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Released under the ISC License", "SPDX-License-Identifier: ISC"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "Zlib": ["Released under the zlib License", "SPDX-License-Identifier: Zlib"],
 }
 #: A segment without any of these stems is compared with no template.
 ANCHORS = re.compile(r"licen[cs]e|permi(?:ssion|tted)|redistribut|spdx|released under|\bcc0\b", re.I)
@@ -57,47 +64,103 @@ def words(text: str) -> list[str]:
 VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in words(t)})
 
 
+def paragraph_windows(paragraph: str, long: int = 4000) -> Iterator[str]:
+    """The paragraph, and of a long one windows of 2, 4, 8, ... lines, each half over the one before."""
+    yield paragraph
+    lines = paragraph.split("\n") if len(paragraph) >= long else []
+    size = 2
+    while size < len(lines):
+        for i in range(0, len(lines) - size // 2, size // 2):
+            yield "\n".join(lines[i : i + size])
+        size *= 2
+
+
+def anchored(text: str, whole: bool) -> list[str]:
+    """The segments of a text that are compared."""
+    if not ANCHORS.search(text):
+        return []
+    parts = {s for s in text.split("\n") if ANCHORS.search(s)}
+    parts |= {w for s in _BREAK.split(text) if "\n" in s and ANCHORS.search(s) for w in paragraph_windows(s) if ANCHORS.search(w)}
+    if whole:
+        parts.add(text)
+    return sorted(parts)
+
+
 class Scorer:
     def __init__(self, df: dict[str, int], n: int):
-        self.idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
-        self.other = log(1 + n) + 1  # words outside the templates weigh as words of no file
-        self.templates = [(name, self.vector(t)) for name, texts in TEMPLATES.items() for t in texts]
+        self.n = n
+        self.idf = {w: self.weight(df.get(w, 0)) for w in VOCABULARY}
+        self.templates = [(name, self.vector(t, {})) for name, texts in TEMPLATES.items() for t in texts]
+
+    def weight(self, files: int) -> float:
+        return log((1 + self.n) / (1 + files)) + 1
 
-    def vector(self, text: str) -> dict[str, float]:
-        v = {w: c * self.idf.get(w, self.other) for w, c in Counter(words(text)).items()}
+    def vector(self, text: str, df: dict[str, int]) -> dict[str, float]:
+        v = {w: c * (self.idf[w] if w in self.idf else self.weight(df.get(w, 0))) for w, c in Counter(words(text)).items()}
         norm = sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else v
 
-    def best(self, segment: str) -> tuple[float, str]:
-        v = self.vector(segment)
+    def best(self, segment: str, df: dict[str, int]) -> tuple[float, str]:
+        v = self.vector(segment, df)
         return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.templates), key=lambda p: (p[0], p[1]))
 
-    def scan(self, text: str, whole: bool) -> tuple[float, str | None]:
-        """Best (cosine, licence) of the segments of a text; (0, None) without any."""
-        if not ANCHORS.search(text):
-            return 0.0, None
-        parts = {s for s in text.split("\n") if ANCHORS.search(s)}
-        parts |= {s for s in _BREAK.split(text) if "\n" in s and len(s) < 4000 and ANCHORS.search(s)}
-        if whole:
-            parts.add(text)
-        return max(map(self.best, sorted(parts)), default=(0.0, None), key=lambda p: (p[0], p[1] or ""))
+    def scan(self, segments: list[str], df: dict[str, int]) -> tuple[float, str | None]:
+        """Best (cosine, licence) of the segments; (0, None) without any. ``df``: files of the words outside the templates."""
+        return max((self.best(s, df) for s in segments), default=(0.0, None), key=lambda p: (p[0], p[1] or ""))
 
 
-def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
-    """Files that hold each template word, and their number: a bounded number of sums."""
-    vocabulary = frozenset(VOCABULARY)
+def document_frequencies(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """word, files: the files that hold each of the ``asked`` words (word)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n = Counter(), 0
         for b in batches:
+            sums = Counter()
             for t in b["text"].fillna(""):
-                sums.update(vocabulary.intersection(words(t)))
-                n += 1
-        yield pd.DataFrame([*sums.items(), ("", n)], columns=["word", "n"])
+                sums.update(set(words(t)))
+            yield pd.DataFrame([*sums.items()], columns=["word", "n"])
 
-    rows = files.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r["word"]: r["n"] for r in rows}
-    return df, df.pop("", 0)
+    return files.select("text").mapInPandas(count, "word string, n long").join(asked, "word").groupBy("word").agg(F.sum("n").alias("files"))
+
+
+def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
+    """id, path, is_license, score, license for every row: a score depends on the segments alone, so equal ones are scored once."""
+    import hashlib
+
+    from chronoweft.llm.common import materialise
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [anchored(t, w) for t, w in zip(b["text"], b["is_license"])]
+            keys = [hashlib.md5("\0".join(p).encode("utf-8", "replace")).digest() if p else None for p in parts]
+            yield b[["id", "path", "is_license"]].assign(key=keys, parts=parts)
+
+    rows = materialise(files.mapInPandas(cut, "id long, path string, is_license boolean, key binary, parts array<string>"), "segments")
+    distinct = materialise(rows.where("key is not null").groupBy("key").agg(F.first("parts").alias("parts")), "distinct-segments")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(k, w) for k, parts in zip(b["key"], b["parts"]) for w in {w for p in parts for w in words(p)}]
+            yield pd.DataFrame(found, columns=["key", "word"])
+
+    held = materialise(distinct.mapInPandas(split, "key binary, word string"), "segment-words")
+    spark = files.sparkSession
+    vocabulary = spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
+    df = materialise(document_frequencies(files, held.select("word").union(vocabulary).distinct()), "word-files")
+    known = {r["word"]: r["files"] for r in df.join(F.broadcast(vocabulary), "word", "left_semi").collect()}
+    n = rows.count()
+    others = df.join(F.broadcast(vocabulary), "word", "left_anti")
+    by_key = held.join(others, "word").groupBy("key").agg(F.collect_list("word").alias("words"), F.collect_list("files").alias("files"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(known, n)
+        for b in batches:
+            found = [scorer.scan(list(p), {} if w is None else dict(zip(w, f))) for p, w, f in zip(b["parts"], b["words"], b["files"])]
+            yield b[["key"]].assign(score=[s for s, _ in found], license=[x if s >= threshold else None for s, x in found])
+
+    scored = distinct.join(by_key, "key", "left").select("key", "parts", "words", "files").mapInPandas(score, "key binary, score double, license string")
+    bare = rows.select("id", "path", "is_license", "key")
+    without = bare.where("key is null").select("id", "path", "is_license", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
+    return without.union(bare.where("key is not null").join(scored, "key").select("id", "path", "is_license", "score", "license"))
 
 
 def license_scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -109,17 +172,9 @@ def license_scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     paths inherit nothing. Rows are judged one by one, so repeated rows are alike.
     """
     files = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("is_license"), F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_license"))
-    df, n = document_frequencies(files)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(df, n)
-        for b in batches:
-            found = [scorer.scan(t, w) for t, w in zip(b["text"], b["is_license"])]
-            yield b[["id", "path", "is_license"]].assign(score=[s for s, _ in found], license=[x if s >= threshold else None for s, x in found])
-
     from chronoweft.llm.common import materialise
 
-    own = materialise(files.mapInPandas(run, "id long, path string, is_license boolean, score double, license string"), "licences")
+    own = materialise(own_licenses(files, threshold), "licences")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     declared = own.where("is_license and license is not null and path is not null").groupBy(directory.alias("at")).agg(F.min_by("license", "path").alias("given"), F.min("path").alias("license_path"))
     # ancestors are resolved once for each directory that holds a file, not for each file
