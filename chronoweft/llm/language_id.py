@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried, worker_cache
@@ -22,6 +22,8 @@ from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
 UNKNOWN = "und"
+#: Training rows that a language gets at least, if it has them.
+LEAST_ROWS = 50
 #: Words are padded to the least of these widths, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
 
@@ -105,18 +107,36 @@ def word_scores(w: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
     return out
 
 
+def rows_each(counts: Sequence[int], total: int) -> int:
+    """The largest number of rows a language such that all together are at most ``total``; ``LEAST_ROWS`` at least."""
+    left = total
+    for n, count in enumerate(sorted(counts)):
+        if count * (len(counts) - n) > left:
+            return max(LEAST_ROWS, left // (len(counts) - n))
+        left -= count
+    return max(LEAST_ROWS, *counts, 0)
+
+
 def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list[tuple[str, str]]:
-    """At most ``max_documents`` labelled rows outside the held-out fold (least hashes of the id), and of
-    each at most ``max_chars`` characters from a place drawn by the same hash."""
+    """Labelled rows outside the held-out fold, of each language those of the least hashes of the id: all, or
+    as many as share ``max_documents`` out evenly, ``LEAST_ROWS`` at least. Of each row at most ``max_chars``
+    characters from a place drawn by the same hash."""
     h = F.xxhash64("doc_id")
     start = F.pmod(h, F.greatest(F.length("text") - max_chars, F.lit(1))) + 1
-    labelled = docs.where("lang is not null").where(~is_held_out(F.col("doc_id")))
-    found = labelled.where("text is not null").select(h.alias("h"), F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "lang")
-    # each task would send its own least hashes; a bound that leaves about twice the sample keeps their sum small
-    share = min(1.0, 2 * max_documents / max(labelled.count(), 1))
-    least = lambda rows: rows.orderBy("h", "lang", "text").limit(max_documents).collect()
-    rows = least(found.where(F.col("h") < int(-(2**63) + 2**64 * share)) if share < 1 else found)
-    if share < 1 and len(rows) < max_documents:
+    labelled = docs.where("lang is not null and text is not null").where(~is_held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    each = rows_each(list(counts.values()), max_documents)
+    found = labelled.select(h.alias("h"), F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "lang")
+    # only hashes below a bound of the language are dealt out: about twice its rows
+    full = 2**63 - 1
+    bounds = [(lang, full if n <= 2 * each else int(-(2**63) + 2**64 * (2 * each / n))) for lang, n in counts.items()]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    least = lambda rows: rows.withColumn("n", nth).where(F.col("n") <= each).orderBy("h", "lang", "text").collect()
+    rows = least(found.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound").drop("bound"))
+    got = Counter(r["lang"] for r in rows)
+    if any(got[lang] < min(each, n) for lang, n in counts.items()):
         rows = least(found)
     return [(r["text"], r["lang"]) for r in rows]
 
@@ -124,7 +144,7 @@ def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list
 def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 1200, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_positions for every row of ``docs`` (doc_id, text, lang).
 
-    Trains on a bounded sample of ``train_on`` (default: ``docs``), the bound being the two parameters;
+    Trains on a bounded sample of ``train_on`` (default: ``docs``) that holds rows of every labelled language;
     every whole text is then scored. ``und`` with score 0 if the text is null or has no letter, and for
     all texts if no row is labelled. Ties go to the alphabetically first language. Needs no shuffle
     beyond the choice of the sample; of further columns of

@@ -273,6 +273,17 @@ def test_language_on_held_out(docs):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (2000, 2001, 2002, 2003)} == {"und"}
 
 
+def test_rare_language_is_in_the_training_sample(spark):
+    from collections import Counter
+
+    from chronoweft.llm.language_id import LEAST_ROWS, rows_each, training_sample
+
+    df = spark.range(20000).selectExpr("id as doc_id", "concat('word ', id) as text", "if(id % 400 = 7, 'rare', if(id % 2 = 0, 'en', 'de')) as lang")
+    got = Counter(lang for _, lang in training_sample(df, 60, 100))
+    assert got == {"en": LEAST_ROWS, "de": LEAST_ROWS, "rare": df.where("lang = 'rare' and crc32(string(doc_id)) % 4 != 2").count()}
+    assert rows_each([10, 1000, 5000], 2500) == 1490 and rows_each([10, 20], 2500) == LEAST_ROWS and rows_each([3000], 2500) == 2500
+
+
 def test_toxicity_on_held_out(spark):
     from chronoweft.llm.toxicity import toxicity
 
