@@ -205,7 +205,7 @@ def test_licence_beside_common_words_and_in_a_long_paragraph(spark):
     from chronoweft.llm.license_scan import license_scan
 
     line = "See the project details here: licensed under the Apache License, Version 2.0, in this project, see details"
-    long = "\n".join([*(f"filler {i} of a paragraph that never ends" for i in range(150)), "Redistribution and use in source and binary forms,", "with or without modification, are permitted provided", "that the following conditions are met", *(f"more {i} of it" for i in range(150))])
+    long = "\n".join([*(f"filler {i} of a paragraph that never ends" for i in range(150)), "Redistribution and", "use in source and", "binary forms, with or without", "modification, are permitted", "provided that the", "following conditions are met", *(f"more {i} of it" for i in range(150))])
     rows = [(0, "a/0", line, False), (1, "b/1", long, False), (2, "c/2", "Distributed under the Boost Software License, Version 1.0", False)]
     rows += [(10 + i, f"d/{i}", f"see the project details here in this {i}", False) for i in range(3000)]
     got = {r["id"]: (r["license"], r["origin"]) for r in license_scan(spark.createDataFrame(rows, "id long, path string, text string, is_license boolean")).where("id < 10").collect()}
