@@ -9,26 +9,43 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word cache; at about 250 bytes an entry this is some 100 MB. A full cache
+#: Entries of a worker's word cache; at about 250 bytes an entry this is some 75 MB. A full cache
 #: only stops growing: words beyond it are computed again, so results don't depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 _held: dict = {}
 
 
+def _give_back() -> None:
+    """What Python and its allocator hold free goes back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def worker_cache(key: object, make: Callable[[], object]):
     """What a Python worker keeps under ``key`` from task to task. Workers outlive stages, so asking for another key
     lets the old one go: a chain of operators needs the memory of its largest, not of all."""
     if key not in _held:
         _held.clear()
+        _give_back()
         _held[key] = make()
     return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a temporary one on a single machine, as in
+    tests; on a cluster other machines could not see that, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,20 +59,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing is going to read any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/chronoweft-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that hold more than one row in so many are heavy; so there are at most this many heavy keys.
+HEAVY = 1000
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with ``one``, which has one row for each key. Rows of heavy keys, at most ``HEAVY`` keys
+    whatever the size of the table, meet them by a broadcast and stay where they are, and rows with a null key meet nothing, so no
+    task gets the rows of a hot key. Reads ``rows`` several times: give it a written table. ``counts``: ``n`` rows by key, if known."""
+    on, given = list(on), F.lit(True)
+    for c in on:
+        given = given & F.col(c).isNotNull()
+    if counts is None:
+        counts = rows.where(given).groupBy(*on).agg(F.count("*").alias("n"))
+    heavy = counts.where(F.col("n") * HEAVY > rows.count()).select(*on).limit(HEAVY)
+    keys = heavy.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
+    hot = rows.join(F.broadcast(keys.join(one, on, how)), on)
+    out = hot.unionByName(rows.where(given).join(F.broadcast(keys), on, "left_anti").join(one, on, how))
+    return out if how == "inner" else out.unionByName(rows.where(~given), allowMissingColumns=True)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The fold rule: crc32 of the id's decimal text, modulo 4, equals 2."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of few and large input splits dealt to all cores (round robin, so no key can be hot)."""
-    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def with_carried(schema: str, df: DataFrame, carry: Sequence[str]) -> str:
     """``schema`` with the columns of ``df`` that a per-row operator hands on."""
     return ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in carry))])
