@@ -3,14 +3,15 @@
 1. A page is a sequence of tokens: tags, told apart by the path of elements around them, and text nodes.
 2. Tokens of a host that occur equally often on each page have equal occurrence vectors. Spark sums a
    mixed value of (page, count) over the pages of a host, by parts first, so a vector becomes one number
-   and no host is ever gathered; tokens of one number form an equivalence class.
-3. A class is valid when it is frequent (occurs on most pages of the host). The class that occurs
-   exactly once a page is the outer template; valid classes of repeated tags lie nested in its slots.
-4. Slots between the tokens of the outer template hold the page's own data. A slot is judged by the template
-   tokens around it: slots that hold an element for the main text are main, and the text of the main slots is
-   extracted. Text nodes that are themselves template tokens are dropped outside the main slots, and inside
-   them where their kind of element (path and class) holds template text only. Pages of hosts too small to
-   deduce a template, and pages that lack its main slot, are judged by their own tags in the same way.
+   and no host is ever gathered; frequent tokens of one number form an equivalence class.
+3. A class is valid when its tokens come in one order on the pages (by cycles, where they repeat) and its
+   cycles lie nested in those of other classes. Pages vote; a class that most of its pages break is dropped.
+4. The template is the nest of the valid classes; what stands between its tokens are slots, and text that is no
+   token of it is a page's own. Of the elements that the template has once a page, those that hold more than
+   half of the own text outside links are a chain, one in the other; the innermost that still holds the chain's
+   headings is the main slot. Names (``article``, class words) choose within the chain only.
+5. The text of the main slot is extracted, without template text and the side parts that names tell. Pages of
+   hosts too small to deduce a template, and pages that lack its main slot, are judged by their own names.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.llm.common import materialise
+
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,30 +56,27 @@ MAIN_WORDS = frozenset("article articlebody content entry maincontent main post
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_CLASS = re.compile(r"""(?<![\w-])class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+", re.I)
-_SPACE = re.compile(r"\s+")
 _RAW_END = {e: re.compile(rf"</{e}\s*>", re.I) for e in RAW}
 #: A start tag that ends an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead select div article section main body td blockquote".split())
 
 
-def _kind(name: str, attributes: str, within_main: bool) -> tuple[str, frozenset[str]]:
+def _kind(name: str, attributes: tuple[tuple[str, str], ...], within_main: bool) -> tuple[str, frozenset[str]]:
     """``side``, ``soft`` (side, unless it holds the main text), ``doubtful``, ``main`` or nothing for an element by
     its own name and attributes, with its side words. Words never make the page or its main element a side part."""
     words: set[str] = set()
     marks: set[str] = set()
-    if attributes:
-        for key, value in _ATTRIBUTE.findall(attributes):
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and "true" in value.lower():
-                return "side", frozenset()
-            for part in value.strip("\"'").split():
-                pieces = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))}
-                words |= {part.lower(), *pieces}
-                found = {part.lower()} & SIDE_WORDS or pieces & SIDE_WORDS
-                if found and (part.lower() in SIDE_WORDS or pieces <= SIDE_WORDS | NEUTRAL or pieces <= SIDE_WORDS | NEUTRAL | OF_ARTICLE and not found <= HEADS):
-                    marks |= found
+    for key, value in attributes:
+        if key.lower() == "hidden" or key.lower() == "aria-hidden" and "true" in value.lower():
+            return "side", frozenset()
+        for part in value.strip("\"'").split():
+            pieces = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))}
+            words |= {part.lower(), *pieces}
+            found = {part.lower()} & SIDE_WORDS or pieces & SIDE_WORDS
+            if found and (part.lower() in SIDE_WORDS or pieces <= SIDE_WORDS | NEUTRAL or pieces <= SIDE_WORDS | NEUTRAL | OF_ARTICLE and not found <= HEADS):
+                marks |= found
     if within_main:
         words -= HEADS
         marks -= HEADS
@@ -91,231 +91,407 @@ def _kind(name: str, attributes: str, within_main: bool) -> tuple[str, frozenset
     return "", frozenset()
 
 
-def _class(attributes: str) -> str:
-    """The class value as part of a path, without what would end a step of it."""
-    found = _CLASS.search(attributes) if attributes else None
-    return "." + re.sub(r"[\s/]+", ".", found[1].strip("\"' ")) if found else ""
-
-
-def parse(page: str) -> list[tuple[str, str, int, bool, int]]:
-    """Tokens (role, text, in a side part, in a main part, block): the role of a tag is its path; of a text
-    node its path with the text. ``text`` is empty for tags. The block number grows at block elements."""
-    out: list[tuple[str, str, tuple[int, ...], bool, int]] = []
-    stack: list[tuple[str, str]] = []
-    path, main, block, at = "", 0, 0, 0
-    side: tuple[int, ...] = ()  # the open side parts, as places in these lists
-    level: list[int] = []
-    soft: list[tuple[bool, frozenset[str], Counter]] = []
-    seen: Counter = Counter()
-
-    def text(raw: str) -> None:
-        if raw and not raw.isspace():
-            t = entities.unescape(raw)
-            out.append((f"{path}\t{_SPACE.sub(' ', t).strip()}", t, side, main > 0, block))
-        elif raw:
-            out.append((path, " ", side, main > 0, block))
-
-    def pop() -> None:
-        nonlocal path, side, main
-        name, kind = stack.pop()
-        if kind in ("side", "soft", "doubtful"):
-            side = side[:-1]
-        main -= kind == "main"
-        path = path[: path.rindex("/")]
-
-    while (m := _TOKEN.search(page, at)) is not None:
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if name in BLOCKS:
-            block += 1
-        if m[1]:
-            if any(n == name for n, _ in stack):
-                while stack[-1][0] != name:
-                    pop()
-                out.append((f"{path}\t/", "", side, main > 0, block))
-                pop()
-            continue
-        if name in CLOSES:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in CLOSES[name]:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth][0] in HOLDERS:
-                    break
-        kind, words = _kind(name, m[3], main > 0)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
-            out.append((f"{path}/{name}", "", side, main > 0, block))
-            continue
-        path = f"{path}/{name}{_class(m[3])}"
-        stack.append((name, kind))
-        if name in ("main", "article"):
-            seen[name] += 1
-            for e in side:
-                soft[e][2][name] += 1
-        if kind in ("side", "soft", "doubtful"):
-            side = (*side, len(level))
-            level.append(DOUBTFUL if kind == "doubtful" else SIDE)
-            soft.append((kind == "soft", words, Counter()))
-        main += kind == "main"
-        out.append((path, "", side, main > 0, block))
-        if name in RAW:
-            end = _RAW_END[name].search(page, at)
-            stop = end.start() if end else len(page)
-            text(page[at:stop])
-            at = end.end() if end else len(page)
-            pop()
-    text(page[at:])
-    # a wrapper of the main element, or of all articles, is no side part by its words
-    for e, (is_soft, words, held) in enumerate(soft):
-        if is_soft and (held["main"] or not seen["main"] and held["article"] and held["article"] == seen["article"] and not words & LISTS):
-            level[e] = 0
-    known = {(): 0}
-    for t in out:
-        if t[2] not in known:
-            known[t[2]] = max(level[e] for e in t[2])
-    return [(role, t, known[e], in_main, n) for role, t, e, in_main, n in out]
-
-
-def _hash(role: str) -> int:
-    """64 bits of a tag's role; of a text node's role 32 bits of its path, then 32 of its text."""
-    import xxhash
-
-    path, at, text = role.partition("\t")
-    if at and text != "/":
-        return _path(path) | max(1, xxhash.xxh32_intdigest(text))
-    return xxhash.xxh64_intdigest(role) - (1 << 63)
-
-
-def _path(path: str) -> int:
-    """The token that counts all text nodes of a path: the upper half of its text nodes' tokens."""
-    import xxhash
-
-    return (xxhash.xxh32_intdigest(path) - (1 << 31)) << 32
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Places of elements that a worker remembers.
+PLACES = 50_000
+
+
+def _hash32(text: str) -> int:
+    return xxhash.xxh32_intdigest(text)
+
+
+class Place:
+    """An element by its path, and what follows from the path alone. Tokens are 64-bit numbers: a tag's mixes its
+    path; a text node's has 32 bits of its path above 32 bits of its text, which are 0 for the path as a whole."""
+
+    __slots__ = ("below", "depth", "end", "heading", "kind", "link", "main", "name", "path", "start", "text", "void", "words")
+
+    def __init__(self, above: Place | None, name: str, attributes: tuple[tuple[str, str], ...]):
+        classes = " ".join(v.strip("\"' ") for k, v in attributes if k.lower() == "class")
+        self.name, self.below = name, {}
+        self.path = "" if above is None else f"{above.path}/{name}" + (f".{'.'.join(re.split(r'[\s/]+', classes))}" if classes else "")
+        self.depth = 0 if above is None else above.depth + 1
+        self.kind, self.words = _kind(name, attributes, above.main) if above is not None else ("", frozenset())
+        self.main = above is not None and (above.main or self.kind == "main")
+        self.link = above is not None and (above.link or name == "a")
+        self.heading = above is not None and (above.heading or name in HEADINGS)
+        self.void = above is not None and (above.void or name in RAW or name in ("head", "noscript", "template"))
+        self.start = xxhash.xxh64_intdigest(self.path) - (1 << 63)
+        self.end = xxhash.xxh64_intdigest(self.path + "\t/") - (1 << 63)
+        self.text = (_hash32(self.path) - (1 << 31)) << 32
+
+
+class Page:
+    """The tokens of a page, each with its place, text (empty for tags), element and block. Elements are numbered in
+    page order, 0 being the page; the block number grows at block elements."""
+
+    def __init__(self) -> None:
+        self.tokens: list[int] = []
+        self.places: list[Place] = []
+        self.texts: list[str] = []
+        self.of: list[int] = []
+        self.blocks: list[int] = []
+        self.parent, self.starts = [0], [0]  # by element: the one around it, and its own token's place in the list
+
+    def add(self, token: int, place: Place, text: str, element: int, block: int) -> None:
+        self.tokens.append(token)
+        self.places.append(place)
+        self.texts.append(text)
+        self.of.append(element)
+        self.blocks.append(block)
+
+    def levels(self) -> list[int]:
+        """By element, how far it lies in a side part. A wrapper of the main element, or of all articles, is no side
+        part by its words."""
+        own, places, parent = [0], [self.places[i] for i in self.starts[1:]], self.parent
+        kinds = [p.kind for p in places]
+        if any(kinds):
+            held: dict[int, Counter] = {}
+            seen: Counter = Counter()
+            for e, p in enumerate(places, 1):
+                if p.name in ("main", "article"):
+                    seen[p.name] += 1
+                    up = parent[e]
+                    while up:
+                        held.setdefault(up, Counter())[p.name] += 1
+                        up = parent[up]
+            for e, p in enumerate(places, 1):
+                level = {"side": SIDE, "soft": SIDE, "doubtful": DOUBTFUL}.get(p.kind, 0)
+                if p.kind == "soft" and (h := held.get(e)) and (h["main"] or not seen["main"] and h["article"] == seen["article"] > 0 and not p.words & LISTS):
+                    level = 0
+                own.append(max(level, own[parent[e]]))
+            return own
+        return [0] * len(parent)
+
+
+class Parser:
+    """Pages to tokens. Places are kept from page to page (at most ``PLACES`` of them, then anew)."""
+
+    def __init__(self) -> None:
+        self.root, self.kept = Place(None, "", ()), 0
+
+    def below(self, place: Place, name: str, attributes: str) -> Place:
+        key = (name, tuple(_ATTRIBUTE.findall(attributes)) if len(attributes) > 4 else ())
+        found = place.below.get(key)
+        if found is None:
+            found = place.below[key] = Place(place, name, key[1])
+            self.kept += 1
+        return found
+
+    def parse(self, html: str) -> Page:
+        if self.kept > PLACES:
+            self.root, self.kept = Place(None, "", ()), 0
+        page, place, element, block, at = Page(), self.root, 0, 0, 0
+        stack: list[tuple[Place, int]] = []  # what is around the open elements
+        opened: Counter = Counter()
+        add = page.add
+
+        def text(raw: str) -> None:
+            if raw.isspace():
+                add(place.text, place, " ", element, block)
+            else:
+                t = entities.unescape(raw) if "&" in raw else raw
+                add(place.text | max(1, _hash32(" ".join(t.split()))), place, t, element, block)
+
+        def close() -> None:
+            nonlocal place, element
+            opened[place.name] -= 1
+            place, element = stack.pop()
+
+        while (m := _TOKEN.search(html, at)) is not None:
+            if m.start() > at:
+                text(html[at : m.start()])
+            at = m.end()
+            name = m[2]
+            if name is None:
+                continue
+            name = name.lower()
+            if name in BLOCKS:
+                block += 1
+            if m[1]:
+                if opened[name] > 0:
+                    while place.name != name:
+                        close()
+                    add(place.end, place, "", element, block)
+                    close()
+                continue
+            if name in CLOSES:
+                inner = [p for p, _ in stack[1:]] + [place] if stack else []
+                for depth in range(len(inner) - 1, -1, -1):
+                    if inner[depth].name in CLOSES[name]:
+                        while len(stack) > depth:
+                            close()
+                        break
+                    if inner[depth].name in HOLDERS:
+                        break
+            here = self.below(place, name, m[3])
+            if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+                add(here.start, place, "", element, block)
+                continue
+            stack.append((place, element))
+            page.parent.append(element)
+            page.starts.append(len(page.tokens))
+            place, element = here, len(page.parent) - 1
+            opened[name] += 1
+            add(here.start, here, "", element, block)
+            if name in RAW:
+                end = _RAW_END[name].search(html, at)
+                stop = end.start() if end else len(html)
+                if stop > at:
+                    text(html[at:stop])
+                at = end.end() if end else len(html)
+                close()
+        if at < len(html):
+            text(html[at:])
+        return page
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, vector (the occurrence vector as one number), n_pages, total: tokens counted by page and
-    summed within each task's batch before the shuffle."""
+    """host, token, vector (the occurrence vector as one number), n_pages, total, at (sum of the first places on the pages):
+    tokens counted by page and summed within each task's batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
+        parser = Parser()
         for b in batches:
             sums: dict[tuple[str, int], list[int]] = {}
-            for host, key, page in zip(b["host"], b["page_key"], b["html"]):
-                roles = Counter(t[0] for t in parse(page) if not t[1].isspace() or not t[1])
-                counts = Counter({_hash(role): n for role, n in roles.items()})
-                for role, n in roles.items():
-                    path, at, text = role.partition("\t")
-                    if at and text != "/":
-                        counts[_path(path)] += n
+            for host, key, html in zip(b["host"], b["page_key"], b["html"]):
+                page = parser.parse(html)
+                counts: dict[int, int] = {}
+                first: dict[int, int] = {}
+                for i, (token, text, place) in enumerate(zip(page.tokens, page.texts, page.places)):
+                    if text:
+                        if text.isspace():
+                            continue
+                        counts[place.text] = counts.get(place.text, 0) + 1
+                        first.setdefault(place.text, i)
+                    counts[token] = counts.get(token, 0) + 1
+                    first.setdefault(token, i)
+                mixed: dict[int, int] = {}
                 for token, n in counts.items():
-                    s = sums.setdefault((host, token), [0, 0, 0])
-                    s[0] = (s[0] + xxhash.xxh64_intdigest(f"{key} {n}")) % (1 << 64)
+                    if n not in mixed:
+                        mixed[n] = xxhash.xxh64_intdigest(f"{key} {n}")
+                    s = sums.setdefault((host, token), [0, 0, 0, 0])
+                    s[0] = (s[0] + mixed[n]) % (1 << 64)
                     s[1] += 1
                     s[2] += n
-            yield pd.DataFrame([(h, t, v >> 32, v & 0xFFFFFFFF, p, n) for (h, t), (v, p, n) in sums.items()], columns=["host", "token", "high", "low", "n_pages", "total"])
+                    s[3] += first[token]
+            yield pd.DataFrame([(h, t, v >> 32, v & 0xFFFFFFFF, p, n, at) for (h, t), (v, p, n, at) in sums.items()], columns=["host", "token", "high", "low", "n_pages", "total", "at"])
 
-    parts = pages.mapInPandas(run, "host string, token long, high long, low long, n_pages long, total long")
-    sums = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("high", "low", "n_pages", "total")))
+    parts = pages.mapInPandas(run, "host string, token long, high long, low long, n_pages long, total long, at long")
+    sums = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("high", "low", "n_pages", "total", "at")))
     # sums of the two halves of one 64-bit sum: equal for tokens of equal vectors, as a pair
-    return sums.select("host", "token", F.struct("high", "low").alias("vector"), "n_pages", "total")
+    return sums.select("host", "token", F.struct("high", "low").alias("vector"), "n_pages", "total", "at")
 
 
-def templates(tokens: DataFrame, sizes: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """host, outer (tokens of the class that occurs once a page), nested (tokens of the other valid classes),
-    fixed (paths whose text nodes are template tokens, but for a part of less than 1 - ``share``).
+def classes(tokens: DataFrame, sizes: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """host, class, n_pages, once (the class occurs once a page), tokens (in the order of their mean first place): the
+    frequent classes; and, as class null, the paths whose text nodes are tokens of them, but for a part of less than 1 - ``share``.
 
-    ``min_pages`` and ``share``: pages that a host must have, and the part of them a valid class occurs on.
-    A class is all tokens of one occurrence vector; classes of a single token are no evidence of a template.
+    ``min_pages`` and ``share``: pages that a host must have, and the part of them a class must occur on.
+    A class is all tokens of one occurrence vector; a single token is evidence of a template only if it stands once a page.
     """
-    # most tokens are a page's own text: they go before anything is dealt out by host
-    some = tokens.where(F.col("n_pages") >= share * min_pages)
-    frequent = some.join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("n_pages") >= share * F.col("pages")))
+    frequent = tokens.join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("n_pages") >= share * F.col("pages")))
     is_path = F.col("token").bitwiseAND(0xFFFFFFFF) == 0
-    classes = frequent.where(~is_path).groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.first("n_pages").alias("n_pages"), F.first("total").alias("total"))
-    valid = classes.where((F.size("tokens") > 1) | (F.col("total") == F.col("n_pages")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
+    found = frequent.where(~is_path).groupBy("host", "vector").agg(in_order.alias("tokens"), F.first("n_pages").alias("n_pages"), F.first("total").alias("total"))
     once = F.col("total") == F.col("n_pages")
+    valid = found.where((F.size("tokens") > 1) | once).select("host", F.xxhash64("vector").alias("class"), "n_pages", once.alias("once"), "tokens", "total")
     # template text of each path against all text of it
     texts = valid.select("host", F.explode("tokens").alias("token"), "total").groupBy("host", F.shiftright("token", 32).alias("path")).agg(F.sum("total").alias("repeated"))
     paths = frequent.where(is_path).select("host", F.shiftright("token", 32).alias("path"), "total")
-    fixed = paths.join(texts, ["host", "path"]).where(F.col("repeated") >= share * F.col("total")).groupBy("host").agg(F.collect_list(F.shiftleft("path", 32)).alias("fixed"))
-    return valid.groupBy("host").agg(
-        F.flatten(F.collect_list(F.when(once, F.col("tokens")))).alias("outer"),
-        F.flatten(F.collect_list(F.when(~once, F.col("tokens")))).alias("nested"),
-    ).join(fixed, "host", "left")
-
-
-def page_text(page: str, outer: frozenset[int], nested: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
-    """The main text: text nodes of the main slots of the outer template, blocks joined by one space."""
-    tokens = parse(page)
-    template = outer | nested
-    keys = [_hash(t[0]) for t in tokens] if template else []
-    slot, slots = 0, []
-    for i in range(len(tokens)):
-        if outer and not tokens[i][1] and keys[i] in outer:
-            slot += 1
-        slots.append(slot)
-
-    # a slot is main by what stands around it: an element for the main text, and no part beside it
-    def real(i: int) -> bool:
-        return bool(tokens[i][1]) and not tokens[i][1].isspace() and not is_side(i)
-
-    def repeated(i: int) -> bool:
-        return bool(template) and keys[i] in template
+    fixed = paths.join(texts, ["host", "path"]).where(F.col("repeated") >= share * F.col("total")).groupBy("host").agg(F.collect_list(F.shiftleft("path", 32)).alias("tokens"))
+    return valid.drop("total").unionByName(fixed.select("host", F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("n_pages"), F.lit(None).cast("boolean").alias("once"), "tokens"))
+
+
+class Template:
+    """What a page is held against: the classes, the paths of template text, and the main slot (null: none)."""
+
+    def __init__(self, rows: list[dict] | None, slot: int | None = None):
+        self.slot, self.fixed = slot, frozenset()
+        self.step: dict[int, tuple[int, int]] = {}  # token: (class, place in it)
+        self.size: dict[int, int] = {}
+        for r in rows or []:
+            if r["class"] is None:
+                self.fixed = frozenset(r["tokens"])
+            else:
+                self.size[r["class"]] = len(r["tokens"])
+                self.step.update((t, (r["class"], i)) for i, t in enumerate(r["tokens"]))
+
+    def broken(self, page: Page) -> set[int]:
+        """Classes whose tokens stand on the page out of order, or across the cycles of another class."""
+        out: set[int] = set()
+        due: dict[int, int] = {}
+        open_: list[int] = []
+        step, size = self.step, self.size
+        for t in page.tokens:
+            found = step.get(t)
+            if found is None:
+                continue
+            c, i = found
+            if i != due.get(c, 0):
+                out.add(c)
+                continue
+            last = i + 1 == size[c]
+            due[c] = 0 if last else i + 1
+            if size[c] == 1:
+                continue
+            if i == 0:
+                open_.append(c)
+            elif c in open_:
+                while open_[-1] != c:  # the class opened since is cut by this token
+                    out.add(open_.pop())
+                if last:
+                    open_.pop()
+        return out | {c for c, i in due.items() if i}
+
+
+def templated(pages: DataFrame, rows: DataFrame, limit: int = 200_000) -> tuple[DataFrame, Callable[[dict], Template]]:
+    """``pages`` and how a row of them finds its host's template. ``rows``: host, class, tokens, slot. Up to ``limit`` tokens
+    go out as a broadcast; more meet the pages in a join on (host, part), so a host's pages are dealt to many tasks."""
+    total = rows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    by_host = rows.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("rows"), F.first("slot", True).alias("slot"))
+    if total <= limit:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: ([{"class": x["class"], "tokens": list(x["tokens"])} for x in r["rows"]], r["slot"]) for r in by_host.collect()})
+        return pages.withColumns({"rows": F.lit(None).cast(by_host.schema["rows"].dataType), "slot": F.lit(None).cast("long")}), lambda row: Template(*shared.value.get(row["host"], (None,)))
+    parts = 64
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64("page_key"), F.lit(parts)).cast("int"))
+    everywhere = by_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(everywhere, ["host", "part"], "left").drop("part"), lambda row: Template(row["rows"], row["slot"])
+
+
+def _held(batches: Iterator[pd.DataFrame], find: Callable[[dict], Template]) -> Iterator[tuple[pd.DataFrame, list[tuple[Page, Template, str]]]]:
+    """Batches, and for each row the parsed page, its template and host."""
+    parser, known = Parser(), {}
+    for b in batches:
+        def rows(b: pd.DataFrame = b) -> Iterator[tuple[Page, Template, str]]:
+            for host, html, found, slot in zip(b["host"], b["html"], b["rows"], b["slot"]):
+                if host not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    known[host] = find({"host": host, "rows": found, "slot": None if slot is None or slot != slot else int(slot)})
+                yield parser.parse(html), known[host], host
+        yield b, rows()
+
+
+def votes(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host, key, and sums over the pages of ``broken`` (by class, pages that break it), ``own`` and ``headings`` (by element of the
+    template, characters of own text in it outside links, and those in headings), ``depth`` and ``named`` of the element."""
+    joined, find = templated(pages, found.withColumn("slot", F.lit(None).cast("long")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _held(batches, find):
+            sums: dict[tuple[str, int], list[int]] = {}
+            for page, template, host in rows:
+                if not template.step:
+                    continue
+                for c in template.broken(page):
+                    sums.setdefault((host, c), [0, 0, 0, 0, 0])[0] += 1
+                own, heads = [0] * len(page.parent), [0] * len(page.parent)
+                for token, text, place, e in zip(page.tokens, page.texts, page.places, page.of):
+                    if text and not (place.link or place.void or token in template.step or text.isspace()):
+                        own[e] += len(text)
+                        heads[e] += len(text) * place.heading
+                for e in range(len(own) - 1, 0, -1):  # inner elements come later
+                    up = page.parent[e]
+                    own[up] += own[e]
+                    heads[up] += heads[e]
+                    i = page.starts[e]
+                    if page.tokens[i] in template.step:
+                        s = sums.setdefault((host, page.tokens[i]), [0, 0, 0, 0, 0])
+                        s[1] += own[e]
+                        s[2] += heads[e]
+                        s[3] = page.places[i].depth
+                        s[4] = int(page.places[i].kind == "main")
+            yield pd.DataFrame([(h, k, *v) for (h, k), v in sums.items()], columns=["host", "key", "broken", "own", "headings", "depth", "named"])
+
+    parts = joined.mapInPandas(run, "host string, key long, broken long, own long, headings long, depth long, named long")
+    return parts.groupBy("host", "key").agg(*(F.sum(c).alias(c) for c in ("broken", "own", "headings")), F.max("depth").alias("depth"), F.max("named").alias("named"))
+
+
+def templates(found: DataFrame, counted: DataFrame, share: float) -> DataFrame:
+    """host, class, tokens, slot: the valid classes with the paths of template text, and the token of the host's main slot."""
+    bad = counted.select("host", F.col("key").alias("class"), "broken")
+    valid = found.join(bad, ["host", "class"], "left").where(F.col("class").isNull() | (F.coalesce("broken", F.lit(0)) <= (1 - share) * F.col("n_pages"))).drop("broken")
+    elements = valid.where("once").select("host", F.explode("tokens").alias("key")).join(counted, ["host", "key"]).where("own > 0")
+    most = elements.groupBy("host").agg(F.max("own").alias("most"))
+    chain = elements.join(most, "host").where(F.col("own") * 2 > F.col("most"))
+    names = chain.groupBy("host").agg(F.max("named").alias("any_named"))
+    chain = chain.join(names, "host").where(F.col("named") == F.col("any_named"))
+    heads = chain.groupBy("host").agg(F.max("headings").alias("all_headings"))
+    slot = chain.join(heads, "host").where(F.col("headings") * 10 >= F.col("all_headings") * 9).groupBy("host").agg(F.max_by("key", F.struct("depth", "key")).alias("slot"))
+    return valid.join(slot, "host", "left").select("host", "class", "tokens", "slot")
+
+
+def page_text(html: str, template: Template | None = None, parser: Parser | None = None) -> str:
+    """The main text of one page, blocks joined by one space."""
+    page = (parser or Parser()).parse(html)
+    return _text(page, template or Template(None))
+
+
+def _text(page: Page, template: Template) -> str:
+    n, texts, tokens, step = len(page.tokens), page.texts, page.tokens, template.step
+    level = page.levels()
+    real = [bool(t) and not t.isspace() for t in texts]
+    repeated = [tokens[i] in step for i in range(n)]
 
     def is_side(i: int) -> bool:
         # a doubtful part with words of the page's own is main text; without a template the word decides
-        t = tokens[i]
-        return t[2] == SIDE or t[2] == DOUBTFUL and not (template and (t[1].isspace() or not repeated(i)))
-
-    main = {slots[i] for i in range(len(tokens)) if real(i) and tokens[i][3]}
-    if main:
-        take = [bool(t[1]) and not is_side(i) and t[3] and (slots[i] in main or t[1].isspace()) for i, t in enumerate(tokens)]
-        # a sentence with the page's own words in it stays whole
-        whole = {t[4] for i, t in enumerate(tokens) if take[i] and real(i) and not (repeated(i) and keys[i] >> 32 << 32 in fixed)}
-        own = [use and not (real(i) and tokens[i][4] not in whole) for i, use in enumerate(take)]
+        x = level[page.of[i]]
+        return x == SIDE or x == DOUBTFUL and not (step and (not real[i] or not repeated[i]))
+
+    # the main slot: the template's element, where it stands once on the page, else the elements named so
+    at = [e for e, i in enumerate(page.starts) if e and tokens[i] == template.slot] if template.slot is not None else []
+    inside = [False] * len(page.parent)
+    if len(at) == 1:
+        named = page.places[page.starts[at[0]]].main
+        for e in range(1, len(inside)):
+            inside[e] = e == at[0] or inside[page.parent[e]]
+    else:
+        named = True
+        for e in range(1, len(inside)):
+            inside[e] = page.places[page.starts[e]].main
+    if any(real[i] and inside[page.of[i]] and not is_side(i) for i in range(n)):
+        take = [bool(texts[i]) and inside[page.of[i]] and not is_side(i) for i in range(n)]
+        # a sentence with the page's own words in it stays whole; where a name says that this is the main text, template
+        # text goes only from places that hold nothing else
+        whole = {page.blocks[i] for i in range(n) if take[i] and real[i] and not (repeated[i] and (not named or page.places[i].text in template.fixed))}
+        own = [use and not (real[i] and page.blocks[i] not in whole) for i, use in enumerate(take)]
         # a page that holds nothing else (a copy of others of its host) keeps its text
-        if any(use and real(i) for i, use in enumerate(own)):
+        if any(use and real[i] for i, use in enumerate(own)):
             take = own
-    else:  # no element for the main text: all slots beside none of the side parts, without template texts
-        take = [bool(t[1]) and not is_side(i) and not (repeated(i) and real(i)) for i, t in enumerate(tokens)]
+    else:  # no main slot: all text beside the side parts, without template text
+        take = [bool(texts[i]) and not is_side(i) and not (repeated[i] and real[i]) for i in range(n)]
     blocks: list[list[str]] = []
     last = None
-    for t, use in zip(tokens, take):
+    for t, use, b in zip(texts, take, page.blocks):
         if use:
-            if t[4] != last:
+            if b != last:
                 blocks.append([])
-                last = t[4]
-            blocks[-1].append(t[1])
-    done = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return " ".join(b for b in done if b)
+                last = b
+            blocks[-1].append(t)
+    return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 5, share: float = 0.6) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
-    Null or empty html gives an empty text; pages of a null url form one host. Repeated rows are extracted
-    each. Counts cover every page of a host. Templates (a bounded number of tokens per host) meet the pages
-    by a join on the host, for which Spark picks broadcast or a split sort-merge join by their size.
+    Null or empty html gives an empty text; pages of a null url form one host; an empty table gives no rows. Repeated
+    rows are extracted each, pages of any length whole. Of classes that would tie, all count; of elements of equal depth
+    the larger token is the slot. Counts cover every page of a host. Templates reach the pages as a broadcast of a
+    checked size, beyond it by a join that splits each host; html is never shuffled in the first case.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"))
-    keyed = rows.select("host", "html", F.xxhash64("page_id", "url").alias("page_key"))
+    keyed = rows.withColumn("page_key", F.xxhash64("page_id", "url"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    found = templates(occurrences(keyed), sizes, min_pages, share)
+    # most tokens are a page's own text: they go first
+    tokens = materialise(occurrences(keyed.select("host", "html", "page_key")).where(F.col("n_pages") >= share * min_pages), "tokens")
+    found = materialise(classes(tokens, sizes, min_pages, share), "classes")
+    counted = materialise(votes(keyed.select("host", "html", "page_key"), found), "votes")
+    joined, find = templated(keyed, materialise(templates(found, counted, share), "templates"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[frozenset[int], ...]] = {}
-        for b in batches:
-            texts = []
-            for host, page, *found in zip(b["host"], b["html"], b["outer"], b["nested"], b["fixed"]):
-                if host not in known:
-                    known[host] = tuple(frozenset() if x is None else frozenset(np.asarray(x).tolist()) for x in found)
-                texts.append(page_text(page, *known[host]))
+        for b, held in _held(batches, find):
+            texts = [_text(page, template) for page, template, _ in held]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "outer", "nested", "fixed").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "rows", "slot").mapInPandas(run, "page_id long, url string, text string, n_chars long")
