@@ -1,12 +1,13 @@
 """N-gram Jaccard join by MinHash banding.
 
-1. Every text becomes the set of its word 5-grams (64-bit hashes); equal sets are one class.
-2. MinHash bands of each class are shuffled on the band hash; classes of one bucket are tied to the
-   bucket's least class, and tied classes form candidate clusters (a class is in one cluster only, so
-   its full set moves once, not once a band).
-3. Within a cluster all pairs are verified on the full sets, in blocks: a large cluster is cut into
-   pairs of blocks, each a group of its own. A task returns link counts and a spanning forest, so the
-   number of rows never grows with the square of a cluster.
+1. Every text becomes the set of its word n-grams (64-bit hashes); equal sets are one class.
+2. MinHash bands of each class are shuffled on the band hash; classes that share a bucket are candidates. Classes are
+   tied to the least class of each of their buckets, and ties are closed to clusters, so that the full sets of a small
+   cluster move once, not once a band.
+3. Pairs are verified on the full sets. A small cluster is verified whole. A large one is verified in pairs of blocks: of the
+   whole cluster where its buckets hold most of it (a group of near copies), else bucket by bucket, each pair in the
+   first band it shares (loose texts that only a chain of buckets ties). A task returns link counts and a
+   spanning forest, so the number of rows never grows with the square of a cluster.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm.blocks import forest, forest_between
-from chronoweft.llm.common import CACHE_ENTRIES, materialise, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, join_by_key, materialise, release, worker_cache
 from chronoweft.llm.components import connected_components
 from chronoweft.llm.words import WordTable
 
 WORD = re.compile(r"[^\W_]+")
 #: Classes in a block, and rows that a group of small clusters holds about.
 BLOCK = 512
-#: Ids up to this number (16 MB) are broadcast; more are joined by a shuffle.
+#: Ids up to this number (with their keys 40 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -105,20 +106,18 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the packed set in place of the text, where it is the set named by ``set_key``."""
+    """set_key and packed set of the rows of ``docs`` (text, set_key) whose text has the set of that key."""
     import xxhash
 
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.iloc[at : at + 1000]
                 grams = [s.tobytes() for s in text_shingles(b["text"].fillna("").tolist(), n)]
                 same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(grams, b["set_key"])]
-                yield b.drop(columns=["text", "set_key"]).assign(grams=grams)[same]
+                yield b[["set_key"]].assign(grams=grams)[same]
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "set_key")]
-    return docs.mapInPandas(run, ", ".join([*fields, "grams binary"]))
+    return docs.select("text", "set_key").mapInPandas(run, "set_key binary, grams binary")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -139,19 +138,41 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def first_shared(a: pd.DataFrame, b: pd.DataFrame, band: int) -> np.ndarray:
+    """Which pairs share this band and none before it."""
+    x, y = (np.array(s["bands"].tolist(), np.int64)[:, : band + 1] for s in (a, b))
+    out = x[:, None, band] == y[None, :, band]
+    for k in range(band):
+        out &= x[:, None, k] != y[None, :, k]
+    return out
+
+
 def verify_block(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Link counts (rep, null, links) and forest edges (rep, other, null) of the clusters in one group."""
+    """Link counts (rep, null, links) and forest edges (rep, other, null) of the clusters in one group. With a ``band`` of 0 or
+    more the group is a bucket's, and only pairs that share no band before it are its own."""
     rows: list[tuple[int, int | None, int | None]] = []
     for _, c in g.drop_duplicates("rep").groupby("cluster", sort=False):
         sides = [c[c["side"] == s] for s in (0, 1)]
         a, b = sides if len(sides[1]) else (sides[0], sides[0])
-        if a is b and len(a) < 2:
+        if not len(a) or a is b and len(a) < 2:
             continue
+        mine = None
+        if (band := int(c["band"].iloc[0])) >= 0:
+            mine = first_shared(a, b, band)
+            if a is b:
+                np.fill_diagonal(mine, False)
+            keep = [mine.any(1), mine.any(0)]
+            if not keep[0].any():
+                continue
+            if a is not b:
+                a, b, mine = a[keep[0]], b[keep[1]], mine[np.ix_(*keep)]
         sets = [[np.frombuffer(x, np.uint64) for x in s["grams"]] for s in (a, b)]
         inter = overlaps(*sets)
         sizes = [np.array([len(s) for s in x], np.float32) for x in sets]
         union = (sizes[0][:, None] + sizes[1] - inter).astype(np.int64)
         linked = inter.astype(np.int64) * 1_000_000 >= round(threshold * 1e6) * union
+        if mine is not None:
+            linked &= mine
         ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
         if a is b:
             np.fill_diagonal(linked, False)
@@ -162,53 +183,80 @@ def verify_block(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
             counts = [(ra, linked @ b["copies"].to_numpy()), (rb, linked.T @ a["copies"].to_numpy())]
         rows += [(int(r), None, int(n)) for reps, k in counts for r, n in zip(reps, k) if n]
         rows += [(int(ra[i]), int(rb[j]), None) for i, j in edges]
-    return pd.DataFrame(rows, columns=["rep", "other", "links"]).astype({"rep": "int64", "other": "Int64", "links": "Int64"})
+    columns = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({name: pd.array(list(x), "Int64") for name, x in zip(("rep", "other", "links"), columns)})  # never as floats
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 192) -> DataFrame:
     """Links between documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
 
-    Returns for every row of ``docs`` (doc_id, text): doc_id, class_id (least id of the documents with the
-    same set), n_links (other documents linked with it, copies included), component_id (least id that links
-    reach), kept (doc_id is the component's). Words are runs of letters and digits in lower case; a text of
-    fewer than n words is one gram of them all; null texts and texts without words link with nothing.
-    Rows that repeat an id count as copies of each other. Found links are exact; a pair at the very
-    threshold is met with a chance of ``recall`` (more above it, and through its cluster).
+    Returns for every row of ``docs`` (doc_id, text; other columns are not looked at): doc_id, class_id (least id of the
+    documents with the same set), n_links (other documents linked with it, copies included), component_id (least id that
+    links reach), kept (doc_id is the component's), set_key (equal for rows of one class). Words are runs of letters and
+    digits in lower case; a text of fewer than n words is one gram of them all; null texts and texts without words link with
+    nothing, whole texts of any length are compared. Rows that repeat an id count as copies of each other if their sets are
+    equal, else as documents of their own. A null id is never the least. An empty table gives no rows. Found links are
+    exact; a pair at the very threshold is met with a chance of ``recall`` (more above it).
     """
     bands, rows = choose_bands(threshold, recall, max_hashes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, n, bands, rows), "signatures")
-    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # a class goes by a number of its set: two sets may have the same least id where ids repeat
+    classes = materialise(classes.select("set_key", "least_id", "copies", "bands", F.xxhash64("set_key").alias("rep")), "classes")
+    members = materialise(classes.select("rep", F.posexplode("bands").alias("band", "bucket")), "members")
     least = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    ties = members.join(least, "bucket").where("rep > least").select("rep", "least").distinct()
-    clusters = connected_components(ties).withColumnsRenamed({"node": "rep", "component_id": "cluster"})
-    found = materialise(_verified(docs, clusters, classes.select("rep", "copies", "set_key"), n, threshold), "links")
+    least = materialise(least, "buckets")
+    tied = materialise(join_by_key(members, least, ["bucket"], counts=least), "tied")
+    clusters = connected_components(tied.where("rep > least").select("rep", "least")).withColumnsRenamed({"node": "rep", "component_id": "cluster"})
+    found = materialise(_verified(docs, materialise(clusters, "clusters"), tied, classes, n, threshold), "links")
+    release(members, tied)
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select("rep", "other")).withColumnRenamed("node", "rep")
-    by_class = classes.select("set_key", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left")
-    rep = F.coalesce("rep", "doc_id")
-    return sig.select("doc_id", "set_key").join(by_class, "set_key", "left").select(
-        "doc_id", rep.alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component_id", rep).alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", rep)).alias("kept"),
+    # the least id of each component, over its classes
+    parts = materialise(parts.join(classes.select("rep", "least_id"), "rep"), "parts")
+    named = parts.groupBy("component_id").agg(F.min("least_id").alias("component_least"))
+    parts = join_by_key(parts.drop("least_id"), named, ["component_id"]).select("rep", "component_least")
+    by_class = materialise(classes.drop("bands").join(links, "rep", "left").join(parts, "rep", "left"), "by-class")
+    out = join_by_key(sig.select("doc_id", "set_key"), by_class, ["set_key"], "left")
+    class_id = F.coalesce("least_id", "doc_id")
+    component = F.coalesce("component_least", class_id)
+    return out.select(
+        "doc_id", class_id.alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "set_key",
     )
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = materialise(clusters.join(sizes, "cluster").join(classes, "rep"), "members")
+def _verified(docs: DataFrame, clusters: DataFrame, tied: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+    members = materialise(join_by_key(clusters, sizes, ["cluster"], counts=sizes.withColumnRenamed("size", "n")).join(classes.select("rep", "least_id", "copies", "set_key", "bands"), "rep"), "cluster-members")
     total = members.count()
-    ids = members.withColumnRenamed("rep", "doc_id")
+    # rows to be sent for a large cluster: a row for each block, of the cluster or of its buckets
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    large = sizes.where(F.col("size") > BLOCK)
+    buckets = tied.where("rep = least").join(clusters, "rep").join(large, "cluster").groupBy("cluster").agg(F.sum(F.col("n") * blocks("n")).alias("by_bucket"), F.first("size").alias("size"))
+    apart = materialise(buckets.where(F.col("by_bucket") < F.col("size") * blocks("size")).select("cluster", F.lit(True).alias("apart")), "apart")
+    own_buckets = tied.join(members.join(apart, "cluster", "left_semi").select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("buckets"))
     # rows that repeat an id with another text are told apart by the key of their set
-    sets = _sets(docs.join(F.broadcast(ids) if total <= BROADCAST_IDS else ids, "doc_id"), n).withColumnRenamed("doc_id", "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    ids = members.select(F.col("least_id").alias("doc_id"), "set_key")
+    sets = _sets(docs.join(F.broadcast(ids) if total <= BROADCAST_IDS else ids, "doc_id"), n)
+    sets = sets.join(join_by_key(members, apart, ["cluster"], "left", sizes.withColumnRenamed("size", "n")).join(own_buckets, "rep", "left"), "set_key")
     bins = max(16, 2 * total // BLOCK)
-    small = F.col("size") <= BLOCK
-    # small clusters share a group; a block of a large one meets each block of its cluster in a group of two
-    keys = F.when(small, F.array(F.struct(F.lit(-1).alias("a"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("b"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own > o, 1).otherwise(0).alias("side")))
-    )
-    dealt = sets.withColumn("k", F.explode(keys)).select("rep", "copies", "cluster", "grams", "k.*").withColumn("of", F.when(F.col("a") < 0, F.lit(-1)).otherwise(F.col("cluster")))
-    return dealt.groupBy("of", "a", "b").applyInPandas(lambda g: verify_block(g, threshold), "rep long, other long, links long")
+    key = lambda of, band, a, b, side: F.struct(of.alias("of"), band.cast("int").alias("band"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
+    nothing = F.lit(-1)
+
+    def dealt(of: F.Column, band: F.Column, size: F.Column) -> F.Column:
+        """A block meets each block of its group in a group of two."""
+        last = F.ceil(size / BLOCK).cast("int") - 1
+        own = F.pmod(F.xxhash64("rep"), last + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda o: key(of, band, F.least(own, o), F.greatest(own, o), F.when(own > o, 1).otherwise(0)))
+
+    # small clusters share a group
+    small = F.array(key(F.lit(-1).cast("long"), nothing, nothing, F.pmod(F.xxhash64("cluster"), F.lit(bins)), F.lit(0)))
+    by_bucket = F.flatten(F.transform("buckets", lambda x: dealt(x["bucket"], x["band"], x["n"])))
+    keys = F.when(F.col("size") <= BLOCK, small).when(F.col("apart"), by_bucket).otherwise(dealt(F.col("cluster"), nothing, F.col("size")))
+    bands = F.when(F.col("apart"), F.col("bands"))
+    return (
+        sets.withColumn("k", F.explode(keys)).select("rep", "copies", "cluster", bands.alias("bands"), "grams", "k.*")
+        .groupBy("of", "band", "a", "b").applyInPandas(lambda g: verify_block(g, threshold), "rep long, other long, links long")
+    )

@@ -69,14 +69,16 @@ def test_plan_pairs_large_items_and_fills_gaps():
         assert bins <= max(1.3 * total + 2, sum(c for n, c in counts.items() if 2 * n > 100) + 2 + 0.6 * total)
 
 
-def test_odd_white_space_tokenises_like_the_library():
-    from chronoweft.llm.packing import WordTokenizer
+def test_odd_texts_tokenise_like_the_library():
+    from chronoweft.llm.packing import TextTokenizer
 
-    w, rng = WordTokenizer(P.path("byte_bpe_50k.json")), random.Random(1)
-    parts = ["a", "b", " ", " ", "\n", "é", "😀", "'s", "1", "<|endoftext|>", ".", "\t", " ", "\x00", "don't"]
+    w, rng = TextTokenizer(P.path("byte_bpe_50k.json")), random.Random(1)
+    assert w.fast is not None and TextTokenizer(P.path("word_bpe_49k.json")).fast is None
+    parts = ["a", "b", " ", " ", "\n", "é", "😀", "'s", "1", "<|endoftext|>", ".", "\t", " ", "\x00", "don't"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == [e.ids for e in w.lib.encode_batch(texts, add_special_tokens=False)]
+    texts += [f"x{c}y {c}{c} 1{c}2 {c} -{c}" for c in map(chr, range(0x110000)) if rng.random() < 0.02 and not c.encode("utf-8", "ignore") == b""]
+    texts += ["x" * 30_000, "ab" * 20_000, " " * 5_000]
+    assert [w.encode(t) for t in texts] == [e.ids for e in w.lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_prefix_counts_equal_the_library(docs):
@@ -147,6 +149,33 @@ def test_large_cluster_is_cut_into_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 14 and r["component_id"] == 0 for r in got)
 
 
+def test_chained_cluster_is_verified_by_bucket(spark, monkeypatch):
+    """Texts that each share most words with the next only: one cluster, links between near ones alone."""
+    from chronoweft.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(9)
+    text = words(rng, 400).split()
+    rows = [(i, " ".join(f"{w}{k}" for k, w in list(enumerate(text))[12 * i : 12 * i + 100])) for i in range(25)]
+    rows += [(100 + i, rows[3][1] + f" end{i}") for i in range(6)]
+    grams = [(i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))) for i, t in rows for w in [ngram_join.WORD.findall(t.lower())]]
+    for by_bucket in (True, False):
+        if not by_bucket:  # the other plan gives the same links
+            monkeypatch.setattr(ngram_join, "BLOCK", 10_000)
+        got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.7, recall=0.99999).collect()}
+        assert got == {i: sum(10 * len(s & t) >= 7 * len(s | t) for j, t in grams if j != i) for i, s in grams}
+
+
+def test_repeated_ids_with_other_texts_keep_their_links(spark):
+    from chronoweft.llm.ngram_join import ngram_jaccard_join
+
+    a, b = "one two three four five six seven eight", "red green blue black white grey pink brown"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (4, b), (None, a), (5, None)]
+    got = sorted((tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links", "component_id", "kept").collect()), key=str)
+    want = [(1, 1, 2, 1, True), (1, 1, 3, 1, True), (2, 1, 2, 1, False), (3, 1, 3, 1, False), (4, 1, 3, 1, False), (4, 1, 3, 1, False), (None, 1, 2, 1, False), (5, 5, 0, 5, True)]
+    assert got == sorted(want, key=str)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
@@ -239,7 +268,6 @@ def test_notice_repeated_inside_an_article(spark):
 def test_side_words_of_wrappers_and_parts_of_words():
     from chronoweft.llm.template_extraction import page_text
 
-    none = frozenset()
     for html in (
         "<body class='single has-sidebar'><article><p>Text</p></article></body>",
         "<body class='cookie-consent-open sidebar'><div><p>Text</p></div></body>",
@@ -249,7 +277,7 @@ def test_side_words_of_wrappers_and_parts_of_words():
         "<body><article><div class='related-work'><p>Text</p></div></article></body>",
         "<body><article><p>Text</p><div class='share-buttons'>S</div></article><div class='site-footer'>F</div><div id='comments'><article><p>bad</p></article></div></body>",
     ):
-        assert page_text(html, none, none) == "Text", html
+        assert page_text(html) == "Text", html
 
 
 def test_own_words_overrule_a_doubtful_side_word(spark):
