@@ -1,8 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance.
 
-A file's own licence is the template with the largest cosine to one of its segments: a line, a paragraph
-(lines without a blank one between), windows of lines of a long paragraph, or, for a licence file, the whole
-text. Document frequencies of all words of the segments are counted over all files. Files without a licence of their own inherit that of the
+A file's own licence is the template with the largest cosine to one of its segments: every window of successive lines of
+a paragraph (lines without a blank one between), every paragraph, and, for a licence file, the whole text. An inverted index
+of the templates' words gives a segment's products with all templates; a segment whose product, over the least length that its
+other words can give it, stays below the threshold is passed over, which loses nothing. Document frequencies of all words of the
+others are counted over all files. Files without a licence of their own inherit that of the
 licence file in the nearest ancestor directory, found by joins on directory paths.
 """
 
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.llm.common import materialise
+
 # Notices of public licences, several wordings each.
 TEMPLATES = {
     "Apache-2.0": [
@@ -50,11 +54,8 @@ TEMPLATES = {
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
     "Zlib": ["Released under the zlib License", "SPDX-License-Identifier: Zlib"],
 }
-#: A segment without any of these stems is compared with no template.
-ANCHORS = re.compile(r"licen[cs]e|permi(?:ssion|tted)|redistribut|spdx|released under|\bcc0\b", re.I)
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_BREAK = re.compile(r"\n\s*\n")
 
 
 def words(text: str) -> list[str]:
@@ -64,100 +65,163 @@ def words(text: str) -> list[str]:
 VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in words(t)})
 
 
-def paragraph_windows(paragraph: str, long: int = 4000) -> Iterator[str]:
-    """The paragraph, and of a long one windows of 2, 4, 8, ... lines, each half over the one before."""
-    yield paragraph
-    lines = paragraph.split("\n") if len(paragraph) >= long else []
-    size = 2
-    while size < len(lines):
-        for i in range(0, len(lines) - size // 2, size // 2):
-            yield "\n".join(lines[i : i + size])
-        size *= 2
-
+Segment = tuple[int, int]
 
-def anchored(text: str, whole: bool) -> list[str]:
-    """The segments of a text that are compared."""
-    if not ANCHORS.search(text):
-        return []
-    parts = {s for s in text.split("\n") if ANCHORS.search(s)}
-    parts |= {w for s in _BREAK.split(text) if "\n" in s and ANCHORS.search(s) for w in paragraph_windows(s) if ANCHORS.search(w)}
-    if whole:
-        parts.add(text)
-    return sorted(parts)
 
+class Index:
+    """The templates by word, for document frequencies ``df`` of the vocabulary over ``n`` files."""
 
-class Scorer:
-    def __init__(self, df: dict[str, int], n: int):
-        self.n = n
+    def __init__(self, df: dict[str, int], n: int, threshold: float):
+        self.n, self.threshold = n, threshold
         self.idf = {w: self.weight(df.get(w, 0)) for w in VOCABULARY}
-        self.templates = [(name, self.vector(t, {})) for name, texts in TEMPLATES.items() for t in texts]
+        self.names: list[str] = []
+        self.posts: dict[str, list[tuple[int, float]]] = {w: [] for w in VOCABULARY}
+        longest = 0.0
+        for name, texts in TEMPLATES.items():
+            for t in texts:
+                raw = {w: c * self.idf[w] for w, c in Counter(words(t)).items()}
+                norm = sum(x * x for x in raw.values())
+                for w, x in raw.items():
+                    self.posts[w].append((len(self.names), x / sqrt(norm)))
+                self.names.append(name)
+                longest = max(longest, norm)
+        #: Other words that stand beside one notice at most, if the cosine of both together is to reach the threshold.
+        self.most_others = longest * (1 / threshold**2 - 1)
 
     def weight(self, files: int) -> float:
         return log((1 + self.n) / (1 + files)) + 1
 
-    def vector(self, text: str, df: dict[str, int]) -> dict[str, float]:
-        v = {w: c * (self.idf[w] if w in self.idf else self.weight(df.get(w, 0))) for w, c in Counter(words(text)).items()}
-        norm = sqrt(sum(x * x for x in v.values()))
-        return {w: x / norm for w, x in v.items()} if norm else v
-
-    def best(self, segment: str, df: dict[str, int]) -> tuple[float, str]:
-        v = self.vector(segment, df)
-        return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.templates), key=lambda p: (p[0], p[1]))
-
-    def scan(self, segments: list[str], df: dict[str, int]) -> tuple[float, str | None]:
+    def reachable(self, found: set[str]) -> bool:
+        """Whether a text with these words of the vocabulary can come as near as the threshold to any template: its cosine is
+        at most the length of the template's part in these words."""
+        mass: dict[int, float] = {}
+        for w in found:
+            for t, x in self.posts[w]:
+                mass[t] = mass.get(t, 0.0) + x * x
+        return bool(mass) and max(mass.values()) >= self.threshold**2 - 1e-9
+
+    def products(self, counts: dict[str, int]) -> list[tuple[int, float]]:
+        dots: dict[int, float] = {}
+        for w, c in counts.items():
+            if w in self.idf:
+                s = c * self.idf[w]
+                for t, x in self.posts[w]:
+                    dots[t] = dots.get(t, 0.0) + s * x
+        return [*dots.items()]
+
+    def bound(self, counts: dict[str, int], others: int) -> float:
+        """No less than the largest cosine: a word weighs 1 at least, and so do the squares of its count."""
+        own = sum((c * self.idf[w]) ** 2 for w, c in counts.items())
+        return max((x for _, x in self.products(counts)), default=0.0) / sqrt(own + others) if own else 0.0
+
+    def segments(self, text: str, whole: bool) -> tuple[list[str], list[Segment]]:
+        """Lines, and the segments of them (from, to) that can reach the threshold."""
+        if not self.reachable(set(words(text)) & self.idf.keys()):
+            return [], []
+        lines = text.split("\n")
+        counted = []
+        for line in lines:
+            w = words(line)
+            c = Counter(x for x in w if x in self.idf)
+            counted.append((c, len(w) - c.total(), bool(line.strip())))
+        out: set[Segment] = set()
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and counted[end][2]:
+                end += 1
+            if end > at and self.reachable({w for c, _, _ in counted[at:end] for w in c}):
+                for i in range(at, end):
+                    if not counted[i][0]:
+                        continue  # a window gains nothing by a line without a word of the templates
+                    counts, others = Counter(), 0
+                    for j in range(i, end):
+                        counts.update(counted[j][0])
+                        others += counted[j][1]
+                        if others > self.most_others:
+                            break
+                        if counted[j][0] and self.bound(counts, others) >= self.threshold - 1e-9:
+                            out.add((i, j + 1))
+                counts, others = sum((c for c, _, _ in counted[at:end]), Counter()), sum(n for _, n, _ in counted[at:end])
+                if self.bound(counts, others) >= self.threshold - 1e-9:
+                    out.add((at, end))
+            at = end + 1
+        if whole:
+            counts, others = sum((c for c, _, _ in counted), Counter()), sum(n for _, n, _ in counted)
+            if self.bound(counts, others) >= self.threshold - 1e-9:
+                out.add((0, len(lines)))
+        # only the lines that stand in a segment are kept
+        used = sorted({i for a, b in out for i in range(a, b)})
+        place = {i: k for k, i in enumerate(used)}
+        return [lines[i] for i in used], sorted((place[a], place[b - 1] + 1) for a, b in out)
+
+    def scan(self, lines: list[str], segments: list[Segment], df: dict[str, int]) -> tuple[float, str | None]:
         """Best (cosine, licence) of the segments; (0, None) without any. ``df``: files of the words outside the templates."""
-        return max((self.best(s, df) for s in segments), default=(0.0, None), key=lambda p: (p[0], p[1] or ""))
+        counted = [Counter(words(line)) for line in lines]
+        best: tuple[float, str | None] = (0.0, None)
+        for a, b in segments:
+            counts = sum(counted[a:b], Counter())
+            norm = sqrt(sum((c * (self.idf[w] if w in self.idf else self.weight(df.get(w, 0)))) ** 2 for w, c in counts.items()))
+            for t, x in self.products(counts):
+                best = max(best, (x / norm, self.names[t]), key=lambda p: (p[0], p[1] or ""))
+        return best
 
 
-def document_frequencies(files: DataFrame, asked: DataFrame) -> DataFrame:
-    """word, files: the files that hold each of the ``asked`` words (word)."""
+def document_frequencies(files: DataFrame, asked: DataFrame | frozenset[str]) -> DataFrame:
+    """word, files: the files that hold each of the ``asked`` words, counted within a task's batch first. A set of words is
+    looked up in place; a table of them (word), of any size, is joined."""
+    chosen = asked if isinstance(asked, frozenset) else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums = Counter()
             for t in b["text"].fillna(""):
-                sums.update(set(words(t)))
+                found = set(words(t))
+                sums.update(found if chosen is None else found & chosen)
             yield pd.DataFrame([*sums.items()], columns=["word", "n"])
 
-    return files.select("text").mapInPandas(count, "word string, n long").join(asked, "word").groupBy("word").agg(F.sum("n").alias("files"))
+    counted = files.select("text").mapInPandas(count, "word string, n long")
+    if chosen is None:
+        counted = counted.join(asked, "word")
+    return counted.groupBy("word").agg(F.sum("n").alias("files"))
 
 
 def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     """id, path, is_license, score, license for every row: a score depends on the segments alone, so equal ones are scored once."""
     import hashlib
 
-    from chronoweft.llm.common import materialise
+    spark = files.sparkSession
+    vocabulary = spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
+    known = {r["word"]: r["files"] for r in document_frequencies(files, frozenset(VOCABULARY)).collect()}
+    n = files.count()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(known, n, threshold)
         for b in batches:
-            parts = [anchored(t, w) for t, w in zip(b["text"], b["is_license"])]
-            keys = [hashlib.md5("\0".join(p).encode("utf-8", "replace")).digest() if p else None for p in parts]
-            yield b[["id", "path", "is_license"]].assign(key=keys, parts=parts)
+            parts = [index.segments(t, w) for t, w in zip(b["text"], b["is_license"])]
+            keys = [hashlib.md5(repr(p).encode("utf-8", "replace")).digest() if p[1] else None for p in parts]
+            yield b[["id", "path", "is_license"]].assign(key=keys, lines=[p[0] for p in parts], starts=[[a for a, _ in p[1]] for p in parts], ends=[[e for _, e in p[1]] for p in parts])
 
-    rows = materialise(files.mapInPandas(cut, "id long, path string, is_license boolean, key binary, parts array<string>"), "segments")
-    distinct = materialise(rows.where("key is not null").groupBy("key").agg(F.first("parts").alias("parts")), "distinct-segments")
+    rows = materialise(files.mapInPandas(cut, "id long, path string, is_license boolean, key binary, lines array<string>, starts array<int>, ends array<int>"), "segments")
+    distinct = materialise(rows.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("lines", "starts", "ends"))), "distinct-segments")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(k, w) for k, parts in zip(b["key"], b["parts"]) for w in {w for p in parts for w in words(p)}]
+            found = [(k, w) for k, lines in zip(b["key"], b["lines"]) for w in {w for x in lines for w in words(x)}]
             yield pd.DataFrame(found, columns=["key", "word"])
 
-    held = materialise(distinct.mapInPandas(split, "key binary, word string"), "segment-words")
-    spark = files.sparkSession
-    vocabulary = spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
-    df = materialise(document_frequencies(files, held.select("word").union(vocabulary).distinct()), "word-files")
-    known = {r["word"]: r["files"] for r in df.join(F.broadcast(vocabulary), "word", "left_semi").collect()}
-    n = rows.count()
-    others = df.join(F.broadcast(vocabulary), "word", "left_anti")
-    by_key = held.join(others, "word").groupBy("key").agg(F.collect_list("word").alias("words"), F.collect_list("files").alias("files"))
+    held = materialise(distinct.mapInPandas(split, "key binary, word string").join(F.broadcast(vocabulary), "word", "left_anti"), "segment-words")
+    others = document_frequencies(files, held.select("word").distinct())
+    by_key = held.join(materialise(others, "word-files"), "word").groupBy("key").agg(F.collect_list("word").alias("words"), F.collect_list("files").alias("files"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(known, n)
+        index = Index(known, n, threshold)
         for b in batches:
-            found = [scorer.scan(list(p), {} if w is None else dict(zip(w, f))) for p, w, f in zip(b["parts"], b["words"], b["files"])]
+            columns = (b[c] for c in ("lines", "starts", "ends", "words", "files"))
+            found = [index.scan(list(x), [*zip(s, e)], {} if w is None else dict(zip(w, f))) for x, s, e, w, f in zip(*columns)]
             yield b[["key"]].assign(score=[s for s, _ in found], license=[x if s >= threshold else None for s, x in found])
 
-    scored = distinct.join(by_key, "key", "left").select("key", "parts", "words", "files").mapInPandas(score, "key binary, score double, license string")
+    scored = materialise(distinct.join(by_key, "key", "left").select("key", "lines", "starts", "ends", "words", "files").mapInPandas(score, "key binary, score double, license string"), "scored")
     bare = rows.select("id", "path", "is_license", "key")
     without = bare.where("key is null").select("id", "path", "is_license", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
     return without.union(bare.where("key is not null").join(scored, "key").select("id", "path", "is_license", "score", "license"))
@@ -168,12 +232,11 @@ def license_scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     ``is_license`` marks licence files (null: by the file's name). ``origin``: ``own`` (a segment's cosine is
     at least ``threshold``), ``inherited`` or ``none`` (license null). Of several licence files in a directory
-    the least path counts; ties between templates go to the last name. Null texts have no licence of their own, null
-    paths inherit nothing. Rows are judged one by one, so repeated rows are alike.
+    the least path counts; ties between templates go to the last name. ``score`` is 0 where no segment can reach the threshold.
+    Null and empty texts have no licence of their own, null paths inherit nothing, texts and paragraphs of any length are compared
+    whole. Rows are judged one by one, so repeated rows are alike. An empty table gives no rows.
     """
     files = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("is_license"), F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_license"))
-    from chronoweft.llm.common import materialise
-
     own = materialise(own_licenses(files, threshold), "licences")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     declared = own.where("is_license and license is not null and path is not null").groupBy(directory.alias("at")).agg(F.min_by("license", "path").alias("given"), F.min("path").alias("license_path"))
@@ -181,9 +244,10 @@ def license_scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     directories = own.where("path is not null").select(directory.alias("directory")).distinct()
     parts = F.split("directory", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("at")))
-    nearest = directories.select("directory", F.inline(above)).join(declared, "at").groupBy("directory").agg(
+    ancestors = materialise(directories.select("directory", F.inline(above)), "ancestors")
+    nearest = ancestors.join(materialise(declared, "declared"), "at").groupBy("directory").agg(
         F.max_by("given", "depth").alias("given"), F.max_by("license_path", "depth").alias("license_path"))
-    out = own.withColumn("directory", directory).join(nearest, "directory", "left")
+    out = own.withColumn("directory", directory).join(materialise(nearest, "nearest"), "directory", "left")
     is_own = F.col("license").isNotNull()
     return out.select(
         "id", "path", F.coalesce("license", "given").alias("license"), "score",
