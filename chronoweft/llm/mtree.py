@@ -1,161 +1,226 @@
 """Exact top-k search by inner product with M-trees.
 
-Inner products become distances by one more coordinate: with every candidate lifted to the same length
-R, |q - c|^2 = |q|^2 + R^2 - 2 q.c, so the nearest candidates have the largest products. Candidates are
-dealt at random to trees of a bounded size. A tree is a set of pages: an inner page holds routing objects
-with covering radius, distance to the parent's routing object and child page; a leaf holds entries with
-their distance to the page's routing object. A query goes best first: pages by their least possible
-distance, entries only where the stored parent distance does not rule them out by the triangle inequality.
+A ball of radius r around p bounds the inner product of q with all in it by q.p + |q| r (Cauchy-Schwarz), so a metric tree serves
+inner products as it serves distances. Candidates go to the group of the nearest pivot, large groups to several trees. A tree is a set of
+pages: an inner page holds routing objects with covering radius, distance to the parent's routing object and child page; a leaf
+holds entries with their distance to the page's routing object. A query goes best first: pages by their largest possible
+product, and an object is compared only where its stored distance to the parent does not rule it out by the triangle
+inequality. A query asks a tree of its own group first; its k-th score there is the floor for all other groups, and those whose
+ball stays below it are not asked.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm.common import materialise
 
-#: Candidates of a tree, entries of a leaf, children of an inner page, and queries of a block, about.
-TREE, LEAF, FANOUT, BLOCK = 8192, 256, 32, 1024
-#: Distances are compared with this much room for rounding, so rounding never loses a candidate.
-ROOM = 1e-6
-PAGES = "tree int, page int, leaf boolean, ids array<long>, points binary, to_parent binary, radius binary, children array<int>"
+#: Candidates of a tree, entries of a leaf, children of an inner page, queries of a block, about; pivots at most, and rows they are chosen from.
+TREE, LEAF, FANOUT, BLOCK, PIVOTS, SAMPLE = 8192, 128, 32, 1024, 512, 8192
+#: Bounds get this much room for rounding, so rounding never loses a candidate.
+ROOM = 1e-3
+PAGES = "size int, tree long, page int, leaf boolean, ids binary, copies binary, first binary, points binary, to_parent binary, radius binary, children array<int>"
 
 
-def floor_scaled(column: str, scale: int) -> F.Column:
+def floor_scaled(column: str, scale: int) -> Column:
     return F.transform(F.col(column), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
-def build_pages(ids: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> list[dict]:
-    """Pages of one tree over the points ``x`` (lifted), the root being page 0."""
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(-1))
+
+
+def build_pages(ids: list, copies: list, x: np.ndarray, rng: np.random.Generator) -> list[dict]:
+    """Pages of one tree over the distinct points ``x``, each with the ids (and their copies) that stand there; page 0 is the root."""
     pages: list[dict] = []
 
     def add(rows: np.ndarray, pivot: np.ndarray | None) -> int:
         at = len(pages)
         pages.append({})
-        to = lambda p: np.zeros(len(p)) if pivot is None else np.sqrt(((p - pivot) ** 2).sum(1))
+        to = lambda p: np.zeros(len(p)) if pivot is None else lengths(p - pivot)
         if len(rows) <= LEAF:
-            pages[at] = {"page": at, "leaf": True, "ids": ids[rows], "points": x[rows].tobytes(), "to_parent": to(x[rows]).tobytes(), "radius": b"", "children": []}
+            held = [np.asarray(ids[i], np.int64) for i in rows]
+            pages[at] = {
+                "page": at, "leaf": True, "ids": np.concatenate(held).tobytes(), "copies": np.concatenate([np.asarray(copies[i], np.int64) for i in rows]).tobytes(),
+                "first": np.cumsum([0, *map(len, held)]).tobytes(), "points": x[rows].tobytes(), "to_parent": to(x[rows]).tobytes(), "radius": b"", "children": [],
+            }
             return at
         routing = x[rng.choice(rows, min(FANOUT, -(-len(rows) // (LEAF // 2))), replace=False)]
-        d = np.maximum(0, (x[rows] ** 2).sum(1)[:, None] + (routing**2).sum(1) - 2 * x[rows] @ routing.T)
-        nearest = d.argmin(1)
-        if len(np.unique(nearest)) == 1:  # equal points: any split is as good
-            nearest = np.arange(len(rows)) * len(routing) // len(rows)
+        nearest = ((routing**2).sum(1) - 2 * x[rows] @ routing.T).argmin(1)
         kept, radius, children = [], [], []
         for k in np.unique(nearest):
             part = rows[nearest == k]
-            kept.append(k)
-            radius.append(np.sqrt(((x[part] - routing[k]) ** 2).sum(1).max()))
-            children.append(add(part, routing[k]))
+            if len(part) == len(rows):  # no split: rows that lie alike are dealt out as they come
+                half = len(rows) // 2
+                parts = [rows[:half], rows[half:]]
+            else:
+                parts = [part]
+            for part in parts:
+                kept.append(k)
+                radius.append(lengths(x[part] - routing[k]).max())
+                children.append(add(part, routing[k]))
         routing = routing[kept]
-        pages[at] = {"page": at, "leaf": False, "ids": np.zeros(0, np.int64), "points": routing.tobytes(), "to_parent": to(routing).tobytes(), "radius": np.array(radius).tobytes(), "children": children}
+        pages[at] = {"page": at, "leaf": False, "ids": b"", "copies": b"", "first": b"", "points": routing.tobytes(), "to_parent": to(routing).tobytes(), "radius": np.array(radius).tobytes(), "children": children}
         return at
 
-    add(np.arange(len(ids)), None)
+    add(np.arange(len(x)), None)
     return pages
 
 
 class Tree:
-    """A tree read back from its pages."""
+    """A tree read back from its pages; ``compared`` counts the objects whose product was taken."""
 
     def __init__(self, pages: pd.DataFrame, width: int):
+        self.compared = 0
         self.pages = {}
         for p in pages.itertuples():
-            points = np.frombuffer(p.points).reshape(-1, width)
-            self.pages[p.page] = (p.leaf, np.asarray(p.ids, np.int64), points, np.frombuffer(p.to_parent), np.frombuffer(p.radius), p.children)
+            longs = (np.frombuffer(x, np.int64) for x in (p.ids, p.copies, p.first))
+            self.pages[p.page] = (p.leaf, *longs, np.frombuffer(p.points).reshape(len(p.to_parent) // 8, width), np.frombuffer(p.to_parent), np.frombuffer(p.radius), p.children)
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, -id), ids equal to ``own`` left out; ``q`` and the points are whole numbers but
-        for the lifting coordinate, which is 0 in q."""
+    def search(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, -id) of at least ``floor``, a row each; the id ``own`` is left out. Points and ``q`` are whole numbers."""
         best: list[tuple[int, int]] = []  # a heap with the worst kept result on top
-        far, qq, flat = float("inf"), float(q @ q), q[:-1]
-        todo = [(0.0, 0, 0.0, True)]
+        size = float(lengths(q))
+        todo = [(-np.inf, 0, 0.0, True)]
         while todo:
-            least, page, d_parent, root = heapq.heappop(todo)
-            if least > far + ROOM:
+            most, page, at_parent, root = heapq.heappop(todo)
+            if -most < floor - ROOM:
                 break
-            leaf, ids, points, to_parent, radius, children = self.pages[page]
-            if leaf:
-                # the parent distance alone rules entries out before any product is taken
-                use = np.arange(len(ids)) if root or far == float("inf") else np.flatnonzero(np.abs(to_parent - d_parent) <= far + ROOM)
-                if not len(use):
-                    continue
-                score = points[use, :-1] @ flat
-                if len(best) == k:
-                    hit = score >= best[0][0]
-                    use, score = use[hit], score[hit]
-                for s, i in zip(score.tolist(), ids[use].tolist()):
-                    if i == own:
+            leaf, ids, copies, first, points, to_parent, radius, children = self.pages[page]
+            # the product with the parent alone rules objects out before their own is taken
+            use = np.arange(len(points)) if root else np.flatnonzero(at_parent + size * (to_parent + (0 if leaf else radius)) >= floor - ROOM)
+            if not len(use):
+                continue
+            self.compared += len(use)
+            score = points[use] @ q
+            if not leaf:
+                bound = np.minimum(score + size * radius[use], -most)
+                for i, s, b in zip(use.tolist(), score.tolist(), bound.tolist()):
+                    if b >= floor - ROOM:
+                        heapq.heappush(todo, (-b, children[i], s, False))
+                continue
+            hit = score >= floor
+            for i, s in zip(use[hit].tolist(), score[hit].tolist()):
+                for j in range(first[i], first[i + 1]):
+                    if ids[j] == own:
                         continue
-                    if len(best) < k:
-                        heapq.heappush(best, (int(s), -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (int(s), -i))
-                if len(best) == k:
-                    far = np.sqrt(max(0.0, qq + self.lift - 2 * best[0][0]))
-            else:
-                use = np.arange(len(children)) if root else np.flatnonzero(np.abs(to_parent - d_parent) - radius <= far + ROOM)
-                d = np.sqrt(((points[use] - q) ** 2).sum(1))
-                for i, dist in zip(use.tolist(), d.tolist()):
-                    if (bound := max(least, dist - radius[i])) <= far + ROOM:
-                        heapq.heappush(todo, (bound, children[i], dist, False))
+                    for _ in range(min(int(copies[j]), k)):
+                        found = (int(s), -int(ids[j]))
+                        if len(best) < k:
+                            heapq.heappush(best, found)
+                        elif found > best[0]:
+                            heapq.heapreplace(best, found)
+                        else:
+                            break
+            if len(best) == k:
+                floor = max(floor, best[0][0])
         return best
 
-    lift = 0.0
-
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, tree_size: int = TREE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each query (rows whose vec_id is divisible by
     ``query_every``) the k largest inner products of floor(scale * x) with all rows of another id, ties to the
-    smaller id. Fewer rows give fewer results.
-
-    Vectors that are null or hold null or non-finite components take no part, as query or candidate; nor do
-    vectors of another length than the most common one. Rows that repeat an id are candidates each, and the
-    queries of one id are answered once (by its largest vector). A null id takes no part. Trees are bounded in size and
-    each (tree, block of queries) is a task of its own: memory per task does not grow with the table.
+    smaller id. Fewer rows give fewer results, an empty table none.
+
+    Vectors that are null or hold null or non-finite components take no part, as query or candidate. Vectors of different numbers of
+    components have no product: a query is answered from those of its own number. Rows that repeat an id are candidates
+    each, and the queries of one id are answered once (by its largest vector, a longer one being larger). A null id takes no
+    part; other columns are not looked at. Of equal vectors the k + 1 smallest ids can be among anyone's k best, so a group of copies of any
+    size is one object with so many ids. Trees are bounded in size and each (tree, block of queries) is a task of its own: memory per
+    task does not grow with the table.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where("vec_id is not null and vector is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    rows = materialise(rows.where(~F.exists("vector", bad)).select("vec_id", floor_scaled("vector", scale).cast("array<double>").alias("v")), "whole")
-    size = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    rows = rows.where(~F.exists("vector", bad)).select("vec_id", floor_scaled("vector", scale).cast("array<double>").alias("v"))
+    key = ["size", "key", "key2"]
+    rows = materialise(rows.select("vec_id", "v", F.size("v").alias("size"), F.xxhash64("v").alias("key"), F.xxhash64(F.lit(1), "v").alias("key2")), "whole")
+    ids = rows.groupBy(*key, "vec_id").agg(F.count("*").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))
+    ids = ids.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy(*key).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("copies").alias("copies"))
+    points = materialise(rows.groupBy(*key).agg(F.first("v").alias("v")).join(ids, key), "points")
+    total = points.count()
     empty = "query_id long, rank int, vec_id long, score long"
-    if size is None:
+    if not total:
         return vectors.sparkSession.createDataFrame([], empty)
-    width = size["n"]
-    rows = rows.where(F.size("v") == width)
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    lift = rows.agg(F.max(squared)).first()[0]
-    trees = max(1, -(-size["rows"] // tree_size))
+
+    # pivots by number of components: rows of the least hashes
+    each = {r["size"]: r["count"] for r in points.groupBy("size").count().where(F.col("count") > tree_size).collect()}
+    pivots = {}
+    for size, count in each.items():
+        some = points.where(F.col("size") == size).orderBy("key", "key2").limit(min(PIVOTS, -(-count // tree_size), SAMPLE)).collect()
+        pivots[size] = np.array([r["v"] for r in some])
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            group, far = np.zeros(len(b), np.int64), np.zeros(len(b))
+            for size, at in b.reset_index(drop=True).groupby("size").groups.items():
+                if size in pivots:
+                    p, x = pivots[size], np.array(b["v"].iloc[at].tolist())
+                    group[at] = ((p * p).sum(1) - 2 * x @ p.T).argmin(1)
+                    far[at] = lengths(x - p[group[at]])
+            yield b.assign(group=group, far=far)
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in points.schema]
+    grouped = materialise(points.mapInPandas(nearest, ", ".join([*fields, "group long", "far double"])), "grouped")
+    spans = {(r["size"], r["group"]): (r["n"], r["radius"]) for r in grouped.where(F.col("size").isin(*each) if each else F.lit(False)).groupBy("size", "group").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
+    spark = vectors.sparkSession
+    parts = spark.createDataFrame([(s, g, -(-n // tree_size)) for (s, g), (n, _) in spans.items()], "size int, group long, parts long")
+    in_parts = lambda df: df.join(F.broadcast(parts), ["size", "group"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    tree_id = F.col("group") * (1 << 32) + F.pmod(F.xxhash64(F.lit(2), "key"), F.col("parts"))
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(g["v"].tolist(), np.float64).reshape(len(g), width)
-        x = np.concatenate([x, np.sqrt(np.maximum(0, lift - (x * x).sum(1, keepdims=True)))], 1)
-        tree = int(g["tree"].iloc[0])
-        return pd.DataFrame(build_pages(g["vec_id"].to_numpy(), x, np.random.default_rng(tree))).assign(tree=tree)[["tree", "page", "leaf", "ids", "points", "to_parent", "radius", "children"]]
-
-    dealt = rows.withColumn("tree", F.pmod(F.xxhash64("vec_id", "v"), F.lit(trees)).cast("int"))
-    pages = materialise(dealt.groupBy("tree").applyInPandas(build, PAGES), "pages")
-    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    blocks = max(1, -(-size["rows"] // query_every // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    # the stated queries against all rows, in blocks: every block visits every tree
-    asked = queries.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    paged = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        size, tree = int(g["size"].iloc[0]), int(g["tree"].iloc[0])
+        x = np.array(g["v"].tolist(), np.float64).reshape(len(g), size)
+        pages = build_pages(g["ids"].tolist(), g["copies"].tolist(), x, np.random.default_rng(tree))
+        return pd.DataFrame(pages).assign(size=size, tree=tree)[[f.split()[0] for f in PAGES.split(", ")]]
+
+    trees = in_parts(grouped).withColumn("tree", tree_id)
+    pages = materialise(trees.groupBy("size", "tree").applyInPandas(build, PAGES), "pages")
+    largest = F.max(F.struct("size", "v", "key", "key2")).alias("q")
+    asking = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(largest).select("vec_id", "q.*")
+    asking = asking.join(grouped.select(*key, "group"), key).withColumn("floor", F.lit(float("-inf")))
+    blocks = max(1, -(-rows.count() // query_every // BLOCK))
+    asking = materialise(asking.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
 
     def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(p):
-            tree = Tree(p, width + 1)
-            tree.lift = lift
-            for i, v in zip(q["vec_id"], q["v"]):
-                out += [(i, -minus, s) for s, minus in tree.search(np.append(np.asarray(v, np.float64), 0.0), i, k)]
+            tree = Tree(p, int(p["size"].iloc[0]))
+            for i, v, floor in zip(q["vec_id"], q["v"], q["floor"]):
+                out += [(i, -minus, s) for s, minus in tree.search(np.asarray(v, np.float64), i, k, floor)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = asked.groupBy("tree", "block").cogroup(paged.groupBy("tree", "block")).applyInPandas(answer, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ask(asked: DataFrame) -> DataFrame:
+        """The stated queries against all rows, in blocks: ``asked`` has a row for each query and tree."""
+        of = ["size", "tree", "block"]
+        met = pages.join(asked.select(*(F.col(c).alias(c) for c in of)).distinct(), ["size", "tree"])
+        return asked.groupBy(*of).cogroup(met.groupBy(*of)).applyInPandas(answer, "query_id long, vec_id long, score long")
+
+    home = materialise(ask(in_parts(asking).withColumn("tree", tree_id)), "home")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("worst")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "worst")
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A query by the trees it has not asked and whose ball can reach its floor."""
+        for b in batches:
+            out = []
+            for row in b.itertuples():
+                size = int(row.size)
+                if size not in pivots:
+                    continue  # one tree holds all of them
+                p, q = pivots[size], np.asarray(row.v)
+                bound = p @ q + lengths(q) * np.array([spans.get((size, g), (0, -np.inf))[1] for g in range(len(p))])
+                for g in np.flatnonzero(bound >= row.floor - ROOM).tolist():
+                    out += [(size, row.vec_id, row.v, row.floor, row.block, t) for t in range(g << 32, (g << 32) + -(-spans[size, g][0] // tree_size)) if t != row.tree]
+            yield pd.DataFrame(out, columns=["size", "vec_id", "v", "floor", "block", "tree"])
+
+    floored = in_parts(asking).withColumn("tree", tree_id).drop("floor").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("worst", F.lit(float("-inf"))))
+    rest = materialise(floored.select("size", "vec_id", "v", "floor", "block", "tree").mapInPandas(others, "size int, vec_id long, v array<double>, floor double, block int, tree long"), "others")
+    found = home.union(ask(rest))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
