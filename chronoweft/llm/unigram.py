@@ -2,8 +2,11 @@
 
 The trie holds the pieces' characters in two integer arrays: a state's child for character code c is
 ``base[state] + c`` if ``check`` there names the state. Viterbi keeps, for each end position, the best
-sum of piece scores; a character without a piece of its own falls back to its UTF-8 bytes at a score
+sum of the pieces' log scores; a character without a piece of its own falls back to its UTF-8 bytes at a score
 below that of any piece. Decoding joins pieces and bytes and turns markers into spaces.
+
+A unigram model file has log scores of its own. One that was made by merging pairs has the merges' ranks in their place; as
+tokenizers are not trained here, a rank r is then read as a log probability by Zipf's law: p is in proportion to 1 / (r + 1).
 """
 
 from __future__ import annotations
@@ -86,11 +89,24 @@ class DoubleArray:
                 yield end + 1, value[state]
 
 
+def log_scores(score: dict[str, float]) -> dict[str, float]:
+    """Log scores of pieces: the given ones, or, where they are ranks (whole numbers from 0 down to no more than there are
+    pieces, and one number below them all for pieces that no merge makes), logarithms of probabilities by rank."""
+    ranks = sorted({-x for x in score.values()})
+    whole = [r for r in ranks if r == int(r) and 0 <= r < len(score)]
+    if len(whole) < 2 or len(whole) < len(ranks) - 1:
+        return dict(score)
+    place = {p: min(-x, whole[-1] + 1) - whole[0] + 1 for p, x in score.items()}
+    total = sum(1 / r for r in place.values())
+    return {p: -float(np.log(r * total)) for p, r in place.items()}
+
+
 class Unigram:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.trie = DoubleArray(self.pieces.id)
-        self.score = {i: self.pieces.score[p] for i, p in self.pieces.text.items()}
+        scores = log_scores(self.pieces.score)
+        self.score = {i: scores[p] for i, p in self.pieces.text.items()}
         self.fallback = min(self.score.values()) - FALLBACK_PENALTY
         self.bytes_of = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.text.items()} | {i: bytes([b]) for b, i in self.pieces.byte_id.items()}
         self.byte_ids = set(self.pieces.byte_id.values())
@@ -166,7 +182,8 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 def encode_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest of encoding and decoding each whole text: doc_id, n_chars, n_pieces, n_byte_pieces,
     ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (decoding gives the text again, with
-    U+2581 read as a space). Null texts count as empty. Needs no shuffle."""
+    U+2581 read as a space). Null texts count as empty, texts of any length are read whole, repeated rows alike; an empty table
+    gives no rows. Of equally good paths the one whose last piece starts first is taken. Needs no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(model_path)
