@@ -1,8 +1,8 @@
 """Embedding near-duplicates: PCA-ordered tiled comparison with suffix-norm bounds.
 
-Vectors are scaled to length 1 and turned into the axes of the whole table's second moments, largest first. Rows
-sorted by label and first axis are cut into tiles; two tiles of a label are compared unless their ranges
-on the first axis are too far apart. In a tile pair, products accumulate over the leading axes; a row
+Vectors are scaled to length 1 and turned into the axes of the second moments of all vectors of their number of components,
+largest first. Rows sorted by label, number of components and first axis are cut into tiles; two tiles of a label are compared
+unless their boxes on the leading axes are too far apart. In a tile pair, products accumulate over the leading axes; a row
 whose partial product plus the product of the suffix norms stays below the threshold with every other row
 is left out of the rest. Pairs close to the threshold are decided by the plain cosine in double precision.
 """
@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm.blocks import forest, forest_between
-from chronoweft.llm.common import materialise
+from chronoweft.llm.common import materialise, release
 from chronoweft.llm.components import connected_components
 
-TILE = 2048
+TILE = 1024
+#: Axes of the boxes of tiles.
+BOX = 8
+#: Numbers of components that fewer vectors share are compared on the axes as given.
+LEAST_FOR_AXES = 4096
 #: Leading axes after which the bound is taken again.
 STEPS = (8, 16, 32)
 
@@ -38,7 +42,7 @@ def unit(vectors: pd.Series) -> np.ndarray:
 
 
 def principal_axes(rows: DataFrame, width: int) -> np.ndarray:
-    """Axes [width, width] of all rows, the largest first; partial second moments are summed by Spark."""
+    """Axes [width, width] of vectors of that many components, the largest first; partial second moments are summed by Spark."""
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
@@ -74,68 +78,80 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, plain_a: np.ndarray, plain_b: np.
     return out
 
 
-def compare_tiles(g: pd.DataFrame, axes: np.ndarray, threshold: float) -> pd.DataFrame:
+def compare_tiles(g: pd.DataFrame, axes: np.ndarray | None, threshold: float) -> pd.DataFrame:
     """Link counts (node, null, links) and forest edges (node, other, null) of one pair of tiles."""
     a = g[g["side"] == 0]
     b = g[g["side"] == 1]
+    turn = lambda u: u if axes is None else u @ axes
     ua, ids, copies = unit(a["vector"]), a["node"].to_numpy(), a["copies"].to_numpy()
     if not len(b):
-        linked = linked_pairs(ua @ axes, ua @ axes, ua, ua, threshold)
+        linked = linked_pairs(turn(ua), turn(ua), ua, ua, threshold)
         np.fill_diagonal(linked, False)
         linked |= linked.T
         edges, counts, others = forest(linked), [(ids, linked @ copies)], ids
     else:
         ub, others = unit(b["vector"]), b["node"].to_numpy()
-        linked = linked_pairs(ua @ axes, ub @ axes, ua, ub, threshold)
+        linked = linked_pairs(turn(ua), turn(ub), ua, ub, threshold)
         edges, counts = forest_between(linked), [(ids, linked @ b["copies"].to_numpy()), (others, linked.T @ copies)]
     rows = [(int(i), None, int(n)) for x, k in counts for i, n in zip(x, k) if n]
     rows += [(int(ids[i]), int(others[j]), None) for i, j in edges]
-    return pd.DataFrame(rows, columns=["node", "other", "links"]).astype({"node": "int64", "other": "Int64", "links": "Int64"})
+    columns = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({name: pd.array(list(x), "Int64") for name, x in zip(("node", "other", "links"), columns)})  # never as floats
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
-    Rows link if their labels are equal and not null and their cosine is at least ``threshold``. Vectors that
-    are null, zero, or hold null or non-finite components link with nothing, nor do vectors of a length
-    other than the most common one with vectors of that length. Equal vectors of a label are one node with a
-    number of copies, so a group of copies of any size costs one row; repeated ids count as rows. Scales
+    Rows link if their labels are equal and not null, their vectors have the same number of components, and their cosine is
+    at least ``threshold``. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Equal
+    vectors of a label are one node with a number of copies, so a group of copies of any size costs one row; repeated ids count
+    as rows, a null id is the least only where all are null. An empty table gives no rows, other columns are not looked at. Scales
     with the square of a label's distinct vectors divided among tile pairs (all that an exact join leaves
     where tiles overlap), never with pairs as rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
-    rows = rows.withColumn("good", _good("vector") & F.col("label").isNotNull())
-    good = rows.where("good")
-    size = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = size["n"]
-    nodes = good.where(F.size("vector") == width).groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    nodes = materialise(nodes, "nodes")
-    axes = principal_axes(nodes.select("vector"), width)
-    first = axes[:, 0]
-
-    @F.pandas_udf("double")
+    good = _good("vector") & F.col("label").isNotNull()
+    # a node goes by two numbers of its vector, so that no vector is dealt out as a key
+    keys = [F.when(good, x) for x in (F.size("vector"), F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"))]
+    node = ["label", "size", "key", "key2"]
+    rows = materialise(rows.select("vec_id", "label", F.when(good, F.col("vector")).alias("vector"), *(k.alias(c) for k, c in zip(keys, node[1:]))), "rows")
+    nodes = rows.where("key is not null").groupBy(*node).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = materialise(nodes.withColumn("node", F.xxhash64(*node)), "nodes")
+    sizes = {r["size"]: r["count"] for r in nodes.groupBy("size").count().where(F.col("count") >= LEAST_FOR_AXES).collect()}
+    axes = {width: principal_axes(nodes.where(F.col("size") == width).select("vector"), width) for width in sorted(sizes)}
+
+    @F.pandas_udf("array<double>")
     def leading(v: pd.Series) -> pd.Series:
-        return pd.Series(unit(v) @ first)
+        out = pd.Series([None] * len(v), v.index, object)
+        for width, part in v.groupby(v.map(len)):
+            u = unit(part)
+            out[part.index] = [*(u @ axes[width] if width in axes else u)[:, :BOX]]
+        return out
 
+    placed = nodes.withColumn("lead", leading("vector"))
     tiles = max(1, -(-nodes.count() // tile))
-    dealt = nodes.withColumn("lead", leading("vector")).repartitionByRange(tiles, "label", "lead").withColumn("tile", F.spark_partition_id())
+    dealt = placed.withColumn("first", F.get("lead", F.lit(0))).repartitionByRange(tiles, "label", "size", "first").withColumn("tile", F.spark_partition_id())
     dealt = materialise(dealt, "tiles")
-    span = dealt.groupBy("label", "tile").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # of unit vectors whose cosine reaches the threshold
+    box = [f(F.coalesce(F.get("lead", F.lit(k)), F.lit(0.0))).alias(f"{n}{k}") for k in range(BOX) for n, f in (("low", F.min), ("high", F.max))]
+    span = materialise(dealt.groupBy("label", "size", "tile").agg(*box), "boxes")
+    reach = 2 - 2 * threshold + 1e-6  # square of the distance of unit vectors whose cosine reaches the threshold
     a, b = span.alias("a"), span.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("b.low") - F.col("a.high") <= reach) & (F.col("a.low") - F.col("b.high") <= reach))
-    pairs = materialise(pairs.select("a.label", F.col("a.tile").alias("left"), F.col("b.tile").alias("right")), "tile_pairs")
-    one = pairs.select("label", F.col("left").alias("tile"), "left", "right", F.lit(0).alias("side"))
-    two = pairs.where("left <> right").select("label", F.col("right").alias("tile"), "left", "right", F.lit(1).alias("side"))
-    sides = dealt.select("label", "tile", "node", "copies", "vector").join(one.union(two), ["label", "tile"])
-    found = sides.groupBy("label", "left", "right").applyInPandas(lambda g: compare_tiles(g, axes, threshold), "node long, other long, links long")
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"b.low{k}") - F.col(f"a.high{k}"), F.col(f"a.low{k}") - F.col(f"b.high{k}"))
+    apart = sum((gap(k) * gap(k) for k in range(BOX)), F.lit(0.0))
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.tile") <= F.col("b.tile")) & (apart <= reach))
+    pairs = materialise(pairs.select("a.label", "a.size", F.col("a.tile").alias("left"), F.col("b.tile").alias("right")), "tile-pairs")
+    one = pairs.select("label", "size", F.col("left").alias("tile"), "left", "right", F.lit(0).alias("side"))
+    two = pairs.where("left <> right").select("label", "size", F.col("right").alias("tile"), "left", "right", F.lit(1).alias("side"))
+    sides = dealt.select("label", "size", "tile", "node", "copies", "vector").join(one.union(two), ["label", "size", "tile"])
+    found = sides.groupBy("label", "size", "left", "right").applyInPandas(lambda g: compare_tiles(g, axes.get(int(g["size"].iloc[0])), threshold), "node long, other long, links long")
     found = materialise(found, "links")
+    release(dealt, span, pairs)
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select("node", "other"))
-    by_node = nodes.select("label", "vector", "node", "copies").join(links, "node", "left").join(parts, "node", "left")
-    out = rows.join(by_node, ["label", "vector"], "left")
-    component = F.when(F.col("good"), F.coalesce("component_id", "node")).otherwise(F.col("vec_id"))
-    component = F.coalesce(component, "vec_id")
-    return out.select("vec_id", F.when(F.col("node").isNull() | ~F.col("good"), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    parts = materialise(parts.join(nodes.select("node", "least_id"), "node"), "parts")
+    named = materialise(parts.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
+    parts = parts.drop("least_id").join(named, "component_id").select("node", "component_least")
+    by_node = materialise(nodes.drop("vector").join(links, "node", "left").join(parts, "node", "left"), "by-node")
+    out = rows.drop("vector").join(by_node, node, "left")
+    component = F.coalesce("component_least", "least_id", "vec_id")
+    return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
