@@ -119,16 +119,14 @@ def rows_each(counts: Sequence[int], total: int) -> int:
 
 def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list[tuple[str, str]]:
     """Labelled rows outside the held-out fold, of each language those of the least hashes of the id: all, or
-    as many as share ``max_documents`` out evenly, ``LEAST_ROWS`` at least. Of each row at most ``max_chars``
-    characters from a place drawn by the same hash."""
-    h = F.xxhash64("doc_id")
-    start = F.pmod(h, F.greatest(F.length("text") - max_chars, F.lit(1))) + 1
-    labelled = docs.where("lang is not null and text is not null").where(~is_held_out(F.col("doc_id")))
+    as many as share ``max_documents`` out evenly, ``LEAST_ROWS`` at least. Rows of more than ``max_chars`` characters
+    are not drawn; drawn texts are whole."""
+    labelled = docs.where("lang is not null and text is not null").where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False))).where(F.length("text") <= max_chars)
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return []
     each = rows_each(list(counts.values()), max_documents)
-    found = labelled.select(h.alias("h"), F.col("text").substr(start.cast("int"), F.lit(max_chars)).alias("text"), "lang")
+    found = labelled.select(F.xxhash64("doc_id").alias("h"), "text", "lang")
     # only hashes below a bound of the language are dealt out: about twice its rows
     full = 2**63 - 1
     bounds = [(lang, full if n <= 2 * each else int(-(2**63) + 2**64 * (2 * each / n))) for lang, n in counts.items()]
@@ -141,14 +139,15 @@ def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list
     return [(r["text"], r["lang"]) for r in rows]
 
 
-def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 1200, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
+def language_id(docs: DataFrame, max_documents: int = 1600, max_chars: int = 10_000, train_on: DataFrame | None = None, carry: Sequence[str] = (), **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_positions for every row of ``docs`` (doc_id, text, lang).
 
-    Trains on a bounded sample of ``train_on`` (default: ``docs``) that holds rows of every labelled language;
-    every whole text is then scored. ``und`` with score 0 if the text is null or has no letter, and for
-    all texts if no row is labelled. Ties go to the alphabetically first language. Needs no shuffle
-    beyond the choice of the sample; of further columns of
-    ``docs`` those in ``carry`` are returned as well.
+    Trains on a bounded sample of ``train_on`` (default: ``docs``) that holds rows of every labelled language: whole texts of
+    up to ``max_chars`` characters, ``max_documents`` of them shared out evenly over the languages. Every whole text of any
+    length is then scored, repeated rows alike. ``und`` with score 0 if the text is null or has no letter, and for
+    all texts if no row is labelled. Ties go to the alphabetically first language. An empty table gives no rows. Needs no
+    shuffle beyond the choice of the sample; of further columns of ``docs`` those in ``carry`` are returned as well.
+    ``n_positions``: bytes of the words with letters.
     """
     spark = docs.sparkSession
     learn = (docs if train_on is None else train_on).select("doc_id", "text", "lang")
@@ -164,12 +163,12 @@ def language_id(docs: DataFrame, max_documents: int = 2500, max_chars: int = 120
                 split = [segments(t) for t in b["text"].fillna("")]
                 rows, vectors = words.find([s for x in split for s in x])
                 ends = np.cumsum([len(x) for x in split])
-                sums = np.zeros((len(b), 2 * n + 1))
+                sums = np.zeros((len(b), 2 * w["bias"].size + 1))
                 for i, (s, e) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
                     sums[i] = vectors[rows[s:e]].sum(0, dtype=np.float64)
                 positions = sums[:, -1]
                 best = sums[:, :n].argmax(1) if n else np.zeros(len(b), int)
-                score = sums[np.arange(len(b)), n + best] / np.maximum(positions, 1)
+                score = sums[np.arange(len(b)), w["bias"].size + best] / np.maximum(positions, 1)
                 known = (positions > 0) & (n > 0)
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"], "held_out": b["held_out"],
