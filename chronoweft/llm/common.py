@@ -73,28 +73,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Keys that hold more than one row in so many are heavy; so there are at most this many heavy keys.
-HEAVY = 1000
-
-
-def join_by_key(rows: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined (inner or left) with ``one``, which has one row for each key. Rows of heavy keys, at most ``HEAVY`` keys
-    whatever the size of the table, meet them by a broadcast and stay where they are, and rows with a null key meet nothing, so no
-    task gets the rows of a hot key. Reads ``rows`` several times: give it a written table. ``counts``: ``n`` rows by key, if known."""
-    on, given = list(on), F.lit(True)
-    for c in on:
-        given = given & F.col(c).isNotNull()
-    if counts is None:
-        counts = rows.where(given).groupBy(*on).agg(F.count("*").alias("n"))
-    heavy = counts.where(F.col("n") * HEAVY > rows.count()).select(*on).limit(HEAVY)
-    keys = heavy.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
-    hot = rows.join(F.broadcast(keys.join(one, on, how)), on)
-    out = hot.unionByName(rows.where(given).join(F.broadcast(keys), on, "left_anti").join(one, on, how))
-    return out if how == "inner" else out.unionByName(rows.where(~given), allowMissingColumns=True)
-
-
 def is_held_out(doc_id: Column) -> Column:
-    """The fold rule: crc32 of the id's decimal text, modulo 4, equals 2."""
+    """The fold rule: crc32 of the id's decimal text, modulo 4, equals 2; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm.blocks import forest, forest_between
-from chronoweft.llm.common import CACHE_ENTRIES, join_by_key, materialise, release, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, materialise, release, worker_cache
 from chronoweft.llm.components import connected_components
 from chronoweft.llm.words import WordTable
 
@@ -88,8 +88,12 @@ def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def text_key() -> F.Column:
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set_key (null without words), bands: one row per document."""
+    """doc_id, text_key (of the text as it is), set_key (null without words), bands: one row per document."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,11 +102,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 b = whole.iloc[at : at + 1000]
                 sets = text_shingles(b["text"].fillna("").tolist(), n)
                 yield pd.DataFrame({
-                    "doc_id": b["doc_id"], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    "doc_id": b["doc_id"], "text_key": b["text_key"], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInPandas(run, "doc_id long, text_key long, set_key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -192,10 +196,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
 
     Returns for every row of ``docs`` (doc_id, text; other columns are not looked at): doc_id, class_id (least id of the
     documents with the same set), n_links (other documents linked with it, copies included), component_id (least id that
-    links reach), kept (doc_id is the component's), set_key (equal for rows of one class). Words are runs of letters and
+    links reach), kept (doc_id is the component's), text_key (of the text as it is) and group_key (equal for all rows of a component,
+    null where nothing can link). Words are runs of letters and
     digits in lower case; a text of fewer than n words is one gram of them all; null texts and texts without words link with
     nothing, whole texts of any length are compared. Rows that repeat an id count as copies of each other if their sets are
-    equal, else as documents of their own. A null id is never the least. An empty table gives no rows. Found links are
+    equal, else as documents of their own. A null id is the least only where all are null. An empty table gives no rows. Found links are
     exact; a pair at the very threshold is met with a chance of ``recall`` (more above it).
     """
     bands, rows = choose_bands(threshold, recall, max_hashes)
@@ -207,7 +212,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     members = materialise(classes.select("rep", F.posexplode("bands").alias("band", "bucket")), "members")
     least = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     least = materialise(least, "buckets")
-    tied = materialise(join_by_key(members, least, ["bucket"], counts=least), "tied")
+    tied = materialise(members.join(least, "bucket"), "tied")
     clusters = connected_components(tied.where("rep > least").select("rep", "least")).withColumnsRenamed({"node": "rep", "component_id": "cluster"})
     found = materialise(_verified(docs, materialise(clusters, "clusters"), tied, classes, n, threshold), "links")
     release(members, tied)
@@ -215,21 +220,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     parts = connected_components(found.where("other is not null").select("rep", "other")).withColumnRenamed("node", "rep")
     # the least id of each component, over its classes
     parts = materialise(parts.join(classes.select("rep", "least_id"), "rep"), "parts")
-    named = parts.groupBy("component_id").agg(F.min("least_id").alias("component_least"))
-    parts = join_by_key(parts.drop("least_id"), named, ["component_id"]).select("rep", "component_least")
+    named = materialise(parts.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
+    parts = parts.drop("least_id").join(named, "component_id").select("rep", "component_least", "component_id")
     by_class = materialise(classes.drop("bands").join(links, "rep", "left").join(parts, "rep", "left"), "by-class")
-    out = join_by_key(sig.select("doc_id", "set_key"), by_class, ["set_key"], "left")
+    out = sig.select("doc_id", "text_key", "set_key").join(by_class, "set_key", "left")
     class_id = F.coalesce("least_id", "doc_id")
     component = F.coalesce("component_least", class_id)
     return out.select(
         "doc_id", class_id.alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "set_key",
+        component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", F.coalesce(F.col("component_id"), "rep").alias("group_key"),
     )
 
 
 def _verified(docs: DataFrame, clusters: DataFrame, tied: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
     sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    members = materialise(join_by_key(clusters, sizes, ["cluster"], counts=sizes.withColumnRenamed("size", "n")).join(classes.select("rep", "least_id", "copies", "set_key", "bands"), "rep"), "cluster-members")
+    members = materialise(clusters.join(sizes, "cluster").join(classes.select("rep", "least_id", "copies", "set_key", "bands"), "rep"), "cluster-members")
     total = members.count()
     # rows to be sent for a large cluster: a row for each block, of the cluster or of its buckets
     blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
@@ -240,7 +245,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, tied: DataFrame, classes: Da
     # rows that repeat an id with another text are told apart by the key of their set
     ids = members.select(F.col("least_id").alias("doc_id"), "set_key")
     sets = _sets(docs.join(F.broadcast(ids) if total <= BROADCAST_IDS else ids, "doc_id"), n)
-    sets = sets.join(join_by_key(members, apart, ["cluster"], "left", sizes.withColumnRenamed("size", "n")).join(own_buckets, "rep", "left"), "set_key")
+    sets = sets.join(members.join(apart, "cluster", "left").join(own_buckets, "rep", "left"), "set_key")
     bins = max(16, 2 * total // BLOCK)
     key = lambda of, band, a, b, side: F.struct(of.alias("of"), band.cast("int").alias("band"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
     nothing = F.lit(-1)
