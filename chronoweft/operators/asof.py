@@ -1,8 +1,8 @@
-"""Aggregates of a key's history strictly before a time, by union and window.
+"""Aggregates of a key's history strictly before a time.
 
-Events and queries are united and sorted by (time, kind) within their key, queries first, so a running
-aggregate over a query's frame sees the events of earlier times only. One shuffle and one sort serve any
-number of queries; distinct (key, time) pairs are asked once.
+Time is cut into blocks. What lies in the blocks before is a running aggregate over one row for each block of a key; what lies in the
+block itself comes from one sort of events and queries together, queries first among equal times, so that a running aggregate sees
+earlier events only. Rows are dealt out by (key, block): a key with a long history is many groups, not one task.
 """
 
 from __future__ import annotations
@@ -10,19 +10,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_OF = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
+_MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 
-def asof_aggregate(events: DataFrame, asked: DataFrame, keys: list[str], aggs: dict[str, Column], ts: str = "ts", t: str = "t") -> DataFrame:
+
+def _both(kind: str, a: Column, b: Column) -> Column:
+    if kind == "count":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    if kind == "sum":
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return (F.greatest if kind == "max" else F.least)(a, b)  # both leave nulls out
+
+
+def asof_aggregate(events: DataFrame, asked: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], ts: str = "ts", t: str = "t", width: float = 128) -> DataFrame:
     """``asked``'s distinct (keys, t) with each aggregate of the events of the same key before t.
 
-    ``aggs`` are aggregate columns over the events' columns. Keys without earlier events get the aggregate of
-    nothing (null, or 0 for a count of a column).
+    ``aggs``: name to kind (count, sum, max, min) and column over the events' columns. Keys without earlier events get the
+    aggregate of nothing (null, or 0 for a count). ``width``: length of a block of time.
     """
-    values = [c for c in events.columns if c not in keys]
-    past = events.select(*keys, F.col(ts).alias("_at"), F.lit(1).alias("_kind"), *values)
-    now = asked.select(*keys, F.col(t).alias("_at")).distinct().select(*keys, "_at", F.lit(0).alias("_kind"), *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in values))
-    frame = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = past.unionByName(now).select(*keys, "_at", "_kind", *(c.over(frame).alias(n) for n, c in aggs.items()))
-    return out.where("_kind = 0").select(*keys, F.col("_at").alias(t), *aggs)
+    block = lambda c: F.floor(F.col(c) / width)
+    values = {n: c.alias(n) for n, (_, c) in aggs.items()}
+    past = events.select(*keys, F.col(ts).alias("_at"), block(ts).alias("_block"), F.lit(1).alias("_kind"), *values.values())
+    now = asked.select(*keys, F.col(t).alias("_at")).distinct().select(*keys, "_at", block("_at").alias("_block"), F.lit(0).alias("_kind"))
+    sums = past.groupBy(*keys, "_block").agg(*(_OF[k](n).alias(n) for n, (k, _) in aggs.items()))
+    blocks = sums.unionByName(now.select(*keys, "_block").distinct(), allowMissingColumns=True).groupBy(*keys, "_block").agg(*(_MERGE[k](n).alias(n) for n, (k, _) in aggs.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(*keys, "_block", *(_MERGE[k](n).over(earlier).alias(f"_{n}") for n, (k, _) in aggs.items()))
+    here = Window.partitionBy(*keys, "_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = past.unionByName(now, allowMissingColumns=True).select(*keys, "_at", "_block", "_kind", *(_OF[k](n).over(here).alias(n) for n, (k, _) in aggs.items()))
+    out = inside.where("_kind = 0").join(before, [*keys, "_block"])
+    return out.select(*keys, F.col("_at").alias(t), *(_both(k, F.col(n), F.col(f"_{n}")).alias(n) for n, (k, _) in aggs.items()))
 
 
 def attach(asked: DataFrame, found: DataFrame, on: dict[str, str], t: str = "t") -> DataFrame:

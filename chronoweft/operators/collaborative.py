@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
-from chronoweft.operators.sampling import recent_events
+from chronoweft.operators.sampling import numbered, recent_events
 from chronoweft.operators.scorers import KEY
+from chronoweft.sources.written import written
 
 
 def item_cf(events: DataFrame, q: DataFrame, name: str = "item_cf") -> DataFrame:
@@ -27,9 +28,9 @@ def item_cf(events: DataFrame, q: DataFrame, name: str = "item_cf") -> DataFrame
         .join(fc.select(F.col("i").alias("j"), "u", F.col("first").alias("b")), ["j", "u"])
         .select("tgt", "j", F.greatest("a", "b").alias("ts"))
     )
-    co = asof_aggregate(shared, terms.select("tgt", "j", "t"), ["tgt", "j"], {"co": F.count("ts")})
+    co = asof_aggregate(shared, terms.select("tgt", "j", "t"), ["tgt", "j"], {"co": ("count", F.col("ts"))})
     nodes = terms.select(F.col("tgt").alias("node"), "t").union(terms.select(F.col("j").alias("node"), "t"))
-    degree = asof_aggregate(events.select(F.col("i").alias("node"), "ts"), nodes, ["node"], {"d": F.count("ts")})
+    degree = asof_aggregate(events.select(F.col("i").alias("node"), "ts"), nodes, ["node"], {"d": ("count", F.col("ts"))})
     full = attach(terms, co, {"tgt": "tgt", "j": "j"}).where("co > 0")
     full = attach(full, degree.withColumnRenamed("d", "d_tgt"), {"tgt": "node"})
     full = attach(full, degree.withColumnRenamed("d", "d_j"), {"j": "node"})
@@ -47,8 +48,8 @@ def location_share(events: DataFrame, q: DataFrame, locations: DataFrame) -> Dat
     """Share of the source's located earlier items (node, loc) that lie where the target does; 0 without any."""
     located = events.join(locations.withColumnRenamed("node", "i"), "i").select("u", "loc", "ts")
     asked = q.join(locations.withColumnRenamed("node", "tgt"), "tgt")
-    same = asof_aggregate(located, asked.select(F.col("src").alias("u"), "loc", "t"), ["u", "loc"], {"same": F.count("ts")})
-    everything = asof_aggregate(located.select("u", "ts"), asked.select(F.col("src").alias("u"), "t"), ["u"], {"everything": F.count("ts")})
+    same = asof_aggregate(located, asked.select(F.col("src").alias("u"), "loc", "t"), ["u", "loc"], {"same": ("count", F.col("ts"))})
+    everything = asof_aggregate(located.select("u", "ts"), asked.select(F.col("src").alias("u"), "t"), ["u"], {"everything": ("count", F.col("ts"))})
     scored = attach(attach(asked, same, {"src": "u", "loc": "loc"}), everything, {"src": "u"})
     share = scored.where("everything > 0").select("src", "tgt", "t", (F.col("same") / F.col("everything")).alias("location_share")).distinct()
     return q.join(share, ["src", "tgt", "t"], "left").select(*KEY, F.coalesce("location_share", F.lit(0.0)).alias("location_share"))
@@ -58,10 +59,11 @@ def sampled_pagerank(events: DataFrame, q: DataFrame, fanout: int = 20, depth: i
     """Sum over hops h from 1 of alpha (1 - alpha)^h times the share of the fanout^h recent walks that end in the
     target. Walks that meet at a node and time are counted, not repeated; missing neighbours end a walk."""
     frontier = q.select("src", "t").distinct().select("src", "t", F.col("src").alias("node"), F.col("t").alias("at"), F.lit(1).cast("long").alias("m"))
-    hits = None
+    hits, seq = None, written(numbered(events), "numbered")
     for hop in range(1, depth + 1):
-        found = recent_events(events, frontier.select("node", F.col("at").alias("t")), fanout).select("node", F.col("t").alias("at"), "nbr", "ts")
+        found = recent_events(seq, frontier.select("node", F.col("at").alias("t")), fanout).select("node", F.col("t").alias("at"), "nbr", "ts")
         frontier = frontier.join(found, ["node", "at"]).groupBy("src", "t", "nbr", "ts").agg(F.sum("m").alias("m")).withColumnsRenamed({"nbr": "node", "ts": "at"})
+        frontier = written(frontier, "frontier")
         ends = frontier.groupBy("src", "t", F.col("node").alias("tgt")).agg((F.sum("m") * (alpha * (1 - alpha) ** hop / fanout**hop)).alias("mass"))
         hits = ends if hits is None else hits.unionByName(ends)
     mass = hits.groupBy("src", "t", "tgt").agg(F.sum("mass").alias("ppr"))
@@ -70,8 +72,8 @@ def sampled_pagerank(events: DataFrame, q: DataFrame, fanout: int = 20, depth: i
 
 def pair_stats(events: DataFrame, q: DataFrame) -> DataFrame:
     """Directed number of earlier events of the pair, and its last earlier time in either direction (null: none)."""
-    directed = asof_aggregate(events.select("u", "i", "ts"), q.select(F.col("src").alias("u"), F.col("tgt").alias("i"), "t"), ["u", "i"], {"directed": F.count("ts")})
+    directed = asof_aggregate(events.select("u", "i", "ts"), q.select(F.col("src").alias("u"), F.col("tgt").alias("i"), "t"), ["u", "i"], {"directed": ("count", F.col("ts"))})
     ends = lambda a, b: [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
     asked = q.select("*", *ends("src", "tgt"))
-    last = asof_aggregate(events.select(*ends("u", "i"), "ts"), asked.select("lo", "hi", "t"), ["lo", "hi"], {"last_ts": F.max("ts")})
+    last = asof_aggregate(events.select(*ends("u", "i"), "ts"), asked.select("lo", "hi", "t"), ["lo", "hi"], {"last_ts": ("max", F.col("ts"))})
     return attach(attach(asked, directed, {"src": "u", "tgt": "i"}), last, {"lo": "lo", "hi": "hi"}).select(*KEY, "directed", "last_ts")

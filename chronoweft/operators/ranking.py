@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.operators.prefix import quantiles, running_totals
+
 
 def descending_rank(score: str, by: Sequence[str], tie: str = "k") -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))
@@ -18,11 +20,9 @@ def reciprocal_rank_fusion(scores: DataFrame, columns: Sequence[str], by: Sequen
 
 
 def cumulative_by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Per distinct score: positives and negatives at it, and cumulative ones from the top. Scores are counted
-    before the one ordered window, whose input is the distinct scores."""
+    """Per distinct score: positives and negatives at it, and cumulative ones from the top."""
     counts = rows.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(score, "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return running_totals(counts, [F.desc(score)], {"tp": "p", "fp": "n"})
 
 
 def auc_and_ap(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -34,8 +34,9 @@ def auc_and_ap(rows: DataFrame, score: str = "score", label: str = "label") -> D
 
 def mrr_and_hits(rows: DataFrame, score: str, by: Sequence[str] = ("eid",), hits: Sequence[int] = (1, 3, 10)) -> DataFrame:
     """MRR with pessimistic ties (neg >= pos) and Hits@k with optimistic ones (neg > pos); positives have k = 0."""
-    pos = rows.where("k = 0").select(*by, F.col(score).alias("pos"))
-    per = rows.where("k > 0").join(pos, list(by)).groupBy(*by).agg(F.sum((F.col(score) >= F.col("pos")).cast("int")).alias("ge"), F.sum((F.col(score) > F.col("pos")).cast("int")).alias("gt"))
+    pos = F.max(F.when(F.col("k") == 0, F.col(score))).over(Window.partitionBy(*by))
+    negatives = rows.withColumn("_pos", pos).where("k > 0")
+    per = negatives.groupBy(*by).agg(F.sum((F.col(score) >= F.col("_pos")).cast("int")).alias("ge"), F.sum((F.col(score) > F.col("_pos")).cast("int")).alias("gt"))
     return per.agg(F.avg(1 / (1 + F.col("ge"))).alias("mrr"), *(F.avg((F.col("gt") < h).cast("double")).alias(f"hits_{h}") for h in hits))
 
 
@@ -50,20 +51,24 @@ def fit_bounds(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))))
 
 
+def levels(s: Column, low: float | None, high: float | None) -> Column:
+    """High from the upper bound on, Low up to the lower one, else Modest, also where the bounds are equal or the value is missing."""
+    if low is None or low == high:
+        return F.lit("Modest")
+    return F.when(s.isNull(), "Modest").when(s >= high, "High").when(s <= low, "Low").otherwise("Modest")
+
+
 def level_buckets(rows: DataFrame, score: str, low: float = 0.3, high: float = 0.7) -> DataFrame:
-    """``level``: High above the upper quantile, Low below the lower one, Modest between or if both are equal."""
-    cuts = rows.agg(F.percentile(score, F.array(F.lit(low), F.lit(high))).alias("cuts"))
-    s = F.col(score)
-    level = F.when(s.isNull(), "Unknown").when(F.col("cuts")[0] == F.col("cuts")[1], "Modest").when(s > F.col("cuts")[1], "High").when(s < F.col("cuts")[0], "Low").otherwise("Modest")
-    return rows.join(F.broadcast(cuts)).withColumn("level", level).drop("cuts")
+    """``level`` of each row by the quantiles of the scores."""
+    return rows.withColumn("level", levels(F.col(score), *quantiles(rows, score, [low, high])))
 
 
 def balanced_threshold(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """The first best of (TPR + TNR) / 2 over the distinct scores as thresholds (score >= threshold), descending."""
+    """The best of (TPR + TNR) / 2 over the distinct scores as thresholds (score >= threshold); of equally good ones the lowest."""
     c = cumulative_by_score(rows, score, label)
     totals = c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     value = (F.col("tp") / F.col("all_p") + 1 - F.col("fp") / F.col("all_n")) / 2
-    return c.join(F.broadcast(totals)).select(F.col(score).alias("threshold"), F.round(value, 9).alias("balanced_accuracy")).orderBy(F.desc("balanced_accuracy"), F.desc("threshold")).limit(1)
+    return c.join(F.broadcast(totals)).select(F.col(score).alias("threshold"), F.round(value, 9).alias("balanced_accuracy")).orderBy(F.desc("balanced_accuracy"), "threshold").limit(1)
 
 
 def middle_band(rows: DataFrame, score: str, batch: str, k: int, tie: Sequence[str]) -> DataFrame:
@@ -76,21 +81,20 @@ def middle_band(rows: DataFrame, score: str, batch: str, k: int, tie: Sequence[s
 
 def ks_distance(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Largest gap of the two groups' empirical distributions (group 0 and 1)."""
-    counts = rows.groupBy(value).agg(F.sum(F.col(group)).alias("b"), F.sum(1 - F.col(group)).alias("a"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    cum = counts.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
-    return cum.join(F.broadcast(totals)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
+    cum = cumulative_by_score(rows, value, group)
+    totals = cum.agg(F.sum("n").alias("tn"), F.sum("p").alias("tp_"))
+    return cum.join(F.broadcast(totals)).agg(F.max(F.abs(F.col("fp") / F.col("tn") - F.col("tp") / F.col("tp_"))).alias("ks"))
 
 
-def percentile_of(rows: DataFrame, reference: DataFrame, value: str) -> DataFrame:
-    """``percentile``: mid-rank among the reference values over n - 1, times 100; 50 for a reference of one or none."""
+def percentile_of(rows: DataFrame, reference: DataFrame, value: str, invert: bool = False) -> DataFrame:
+    """``percentile``: mid-rank among the reference values over n - 1, times 100; 50 for a reference of one or none; from the other
+    end with ``invert``."""
     counts = reference.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = counts.select(value, "c").unionByName(rows.select(value).distinct().withColumn("c", F.lit(0).cast("long"))).groupBy(value).agg(F.sum("c").alias("c"))
-    cum = both.select(value, "c", F.sum("c").over(w).alias("le"))
+    cum = running_totals(both, [F.col(value)], {"le": "c"})
     n = reference.agg(F.count("*").alias("n"))
-    ranked = cum.join(F.broadcast(n)).select(value, F.when(F.col("n") <= 1, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ((F.col("le") - F.col("c") + F.col("le") - 1) / 2) / (F.col("n") - 1) * 100))).alias("percentile"))
+    place = F.greatest(F.lit(0.0), F.least(F.lit(100.0), ((F.col("le") - F.col("c") + F.col("le") - 1) / 2) / (F.col("n") - 1) * 100))
+    ranked = cum.join(F.broadcast(n)).select(value, F.when(F.col("n") <= 1, 50.0).otherwise(100 - place if invert else place).alias("percentile"))
     return rows.join(ranked, value)
 
 
@@ -106,18 +110,17 @@ def confusion_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     return k.agg(F.avg("p").alias("macro_p"), F.avg("r").alias("macro_r"), F.avg("f").alias("macro_f1"), (F.sum("tp") / F.sum("support")).alias("micro_f1"), weighted("p").alias("weighted_p"), weighted("f").alias("weighted_f1"))
 
 
-def wasserstein(rows: DataFrame, value: str, group: str, quantiles: int = 257) -> DataFrame:
-    """Mean absolute gap of the two groups' linear quantiles at evenly spaced levels (group 0 and 1)."""
-    levels = F.array(*(F.lit(j / (quantiles - 1)) for j in range(quantiles)))
-    cut = lambda g: F.percentile(F.when(F.col(group) == g, F.col(value)), levels)
-    gaps = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
-    return rows.agg(cut(0).alias("a"), cut(1).alias("b")).select((F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / quantiles).alias("wasserstein"))
+def wasserstein(rows: DataFrame, value: str, group: str, levels: int = 257) -> float | None:
+    """Mean absolute gap of the two groups' linear quantiles at evenly spaced levels (group 0 and 1); null if one has no rows."""
+    at = [j / (levels - 1) for j in range(levels)]
+    a, b = (quantiles(rows.where(F.col(group) == g), value, at) for g in (0, 1))
+    return None if a[0] is None or b[0] is None else sum(abs(x - y) for x, y in zip(a, b)) / levels
 
 
 def closest_to_median(rows: DataFrame, score: str, k: int, tie: Sequence[str]) -> DataFrame:
     """The k rows nearest to the median score, ties by ``tie``."""
-    mid = rows.agg(F.percentile(score, F.lit(0.5)).alias("mid"))
-    return rows.join(F.broadcast(mid)).withColumn("gap", F.abs(F.col(score) - F.col("mid"))).orderBy("gap", *tie).limit(k).drop("mid", "gap")
+    (mid,) = quantiles(rows, score, [0.5])
+    return rows.withColumn("gap", F.abs(F.col(score) - F.lit(mid))).orderBy("gap", *tie).limit(k).drop("gap")
 
 
 def batch_auc(rows: DataFrame, score: str, label: str, batch: str) -> DataFrame:

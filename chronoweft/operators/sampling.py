@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
 from chronoweft.operators.splits import historical_candidates
-from chronoweft.sources.tables import adjacency
-
-BUCKETS = 4096
-
-
-def draw(of: str, slot: Column, size: Column, seed: int = 0) -> Column:
-    """A number from 0 below ``size`` for an id and a slot."""
-    return F.pmod(F.col(of) % 1000003 * 7919 + slot * 104729 + seed, size)
-
-
-def dense_index(nodes: DataFrame) -> DataFrame:
-    """Distinct ``node`` with ``idx`` from 0, ordered by (node mod 4096, node): numbers within a bucket plus the
-    sizes of the buckets before, so no task sees all nodes."""
-    pool = nodes.distinct().withColumn("b", F.pmod("node", F.lit(BUCKETS)))
-    sizes = pool.groupBy("b").agg(F.count("*").alias("c")).select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"))
-    return pool.join(sizes, "b").select("node", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("node")) - 1).alias("idx"))
+from chronoweft.sources.tables import adjacency, draw, target_pool
 
 
 def random_negatives(events: DataFrame, positives: DataFrame, per: int, seed: int = 0, first: int = 1) -> DataFrame:
     """``per`` drawn targets of every positive (eid, src, t) from the distinct targets; hits on it are kept."""
-    pool = dense_index(events.select(F.col("i").alias("node")))
+    pool = target_pool(events)
     size = pool.agg(F.count("*").alias("size"))
     slots = positives.select("eid", "src", "t", F.explode(F.sequence(F.lit(first), F.lit(first + per - 1))).alias("k")) if per > 0 else positives.select("eid", "src", "t", F.lit(0).alias("k")).limit(0)
-    return slots.join(F.broadcast(size)).withColumn("idx", draw("eid", F.col("k"), F.col("size"), seed)).join(pool, "idx").select("eid", "k", "src", F.col("node").alias("tgt"), "t")
+    return slots.join(F.broadcast(size)).withColumn("idx", draw(F.col("eid"), F.col("k"), F.col("size"), seed)).join(pool, "idx").select("eid", "k", "src", F.col("node").alias("tgt"), "t")
 
 
 def mixed_negatives(events: DataFrame, positives: DataFrame, per: int, share: float, start: float, end: float) -> DataFrame:
@@ -41,7 +26,7 @@ def mixed_negatives(events: DataFrame, positives: DataFrame, per: int, share: fl
     old = historical_candidates(events, start, end).select(F.col("u").alias("src"), F.col("i").alias("old"))
     old = old.withColumn("idx", F.row_number().over(Window.partitionBy("src").orderBy("old")) - 1)
     sizes = old.groupBy("src").agg(F.count("*").alias("size"))
-    wanted = anyway.join(sizes, "src", "left").withColumn("idx", F.when((F.col("k") > n_random) & (F.col("size") > 0), draw("eid", F.col("k"), F.col("size"))))
+    wanted = anyway.join(sizes, "src", "left").withColumn("idx", F.when((F.col("k") > n_random) & (F.col("size") > 0), draw(F.col("eid"), F.col("k"), F.col("size"))))
     picked = wanted.join(old, ["src", "idx"], "left")
     return picked.select("eid", "k", "src", F.coalesce("old", "tgt").alias("tgt"), "t", F.when(F.col("old").isNotNull(), "historical").otherwise("random").alias("kind"))
 
@@ -51,10 +36,9 @@ def numbered(events: DataFrame) -> DataFrame:
     return adjacency(events).withColumn("seq", F.row_number().over(Window.partitionBy("node").orderBy("ts", "eid", "nbr")).cast("long"))
 
 
-def recent_events(events: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """The last ``size`` events before t of each distinct (node, t): node, t, nbr, ts."""
-    seq = numbered(events)
-    n = asof_aggregate(seq.select("node", "ts"), asked, ["node"], {"n": F.count("ts")}).where("n > 0")
+def recent_events(seq: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """The last ``size`` events before t of each distinct (node, t), from ``numbered`` events: node, t, nbr, ts."""
+    n = asof_aggregate(seq.select("node", "ts"), asked, ["node"], {"n": ("count", F.col("ts"))}).where("n > 0")
     wanted = n.select("node", "t", F.explode(F.sequence(F.greatest(F.col("n") - size + 1, F.lit(1)), "n")).alias("seq"))
     return wanted.join(seq.select("node", "seq", "nbr", "ts"), ["node", "seq"]).select("node", "t", "nbr", "ts")
 
@@ -62,9 +46,9 @@ def recent_events(events: DataFrame, asked: DataFrame, size: int) -> DataFrame:
 def uniform_neighbors(events: DataFrame, q: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` draws with replacement from the source's events before t: eid, k, slot (from 0), nbr, ts."""
     seq = numbered(events)
-    n = asof_aggregate(seq.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": F.count("ts")})
+    n = asof_aggregate(seq.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": ("count", F.col("ts"))})
     slots = attach(q, n, {"src": "node"}).where("n > 0").select("eid", "k", F.col("src").alias("node"), "n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
-    return slots.withColumn("seq", draw("eid", F.col("slot") + F.col("k") * 31, F.col("n"), seed) + 1).join(seq.select("node", "seq", "nbr", "ts"), ["node", "seq"]).select("eid", "k", "slot", "nbr", "ts")
+    return slots.withColumn("seq", draw(F.col("eid"), F.col("slot") + F.col("k") * 31, F.col("n"), seed) + 1).join(seq.select("node", "seq", "nbr", "ts"), ["node", "seq"]).select("eid", "k", "slot", "nbr", "ts")
 
 
 def unique_pairs(events: DataFrame, start: float, end: float) -> DataFrame:

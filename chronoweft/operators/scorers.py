@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
+from chronoweft.operators.prefix import quantiles
 from chronoweft.sources.tables import adjacency, first_contacts
+from chronoweft.sources.written import written
 
 NEVER = -1e15
 KEY = ["eid", "k"]
 
 
 def _last(events: DataFrame, q: DataFrame, keys: list[str], on: dict[str, str]) -> DataFrame:
-    return attach(q, asof_aggregate(events.select(*keys, "ts"), q.select(*(F.col(a).alias(k) for a, k in on.items()), "t"), keys, {"last": F.max("ts"), "n": F.count("ts")}), on)
+    return attach(q, asof_aggregate(events.select(*keys, "ts"), q.select(*(F.col(a).alias(k) for a, k in on.items()), "t"), keys, {"last": ("max", F.col("ts")), "n": ("count", F.col("ts"))}), on)
 
 
 def pair_history(events: DataFrame, q: DataFrame) -> DataFrame:
@@ -34,14 +36,14 @@ def target_history(events: DataFrame, q: DataFrame) -> DataFrame:
 def decayed_popularity(events: DataFrame, q: DataFrame, rate: float, origin: int) -> DataFrame:
     """Sum of exp(-rate (t - ts)) over the target's events; exponents are taken from ``origin``."""
     weight = F.exp(F.lit(rate) * (F.col("ts") - origin))
-    found = asof_aggregate(adjacency(events).select("node", "ts"), q.select(F.col("tgt").alias("node"), "t"), ["node"], {"w": F.sum(weight)})
+    found = asof_aggregate(adjacency(events).select("node", "ts"), q.select(F.col("tgt").alias("node"), "t"), ["node"], {"w": ("sum", weight)})
     return attach(q, found, {"tgt": "node"}).select(*KEY, F.coalesce(F.col("w") * F.exp(F.lit(-rate) * (F.col("t") - origin)), F.lit(0.0)).alias("decayed_popularity"))
 
 
 def recent_degree(events: DataFrame, q: DataFrame, window: int) -> DataFrame:
     """Events of the target in [t - window, t): the count before t less the count before t - window."""
     both = q.select(*KEY, "tgt", F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("sign")), F.struct((F.col("t") - window).alias("t"), F.lit(-1).alias("sign")))).alias("x")).select(*KEY, "tgt", "x.*")
-    found = asof_aggregate(adjacency(events).select("node", "ts"), both.select(F.col("tgt").alias("node"), "t"), ["node"], {"n": F.count("ts")})
+    found = asof_aggregate(adjacency(events).select("node", "ts"), both.select(F.col("tgt").alias("node"), "t"), ["node"], {"n": ("count", F.col("ts"))})
     return attach(both, found, {"tgt": "node"}).groupBy(*KEY).agg(F.sum(F.coalesce("n", F.lit(0)) * F.col("sign")).alias("recent_degree"))
 
 
@@ -51,19 +53,27 @@ def common_neighbors(events: DataFrame, q: DataFrame) -> DataFrame:
     pairs = q.select("src", "tgt", "t").distinct()
     one = pairs.join(fc.withColumnRenamed("node", "src"), "src").where("first_ts < t").drop("first_ts")
     both = one.join(fc.withColumnsRenamed({"node": "tgt"}), ["tgt", "nbr"]).where("first_ts < t").drop("first_ts")
-    degree = asof_aggregate(adjacency(events).select("node", "ts"), both.select(F.col("nbr").alias("node"), "t"), ["node"], {"degree": F.count("ts")})
+    degree = asof_aggregate(adjacency(events).select("node", "ts"), both.select(F.col("nbr").alias("node"), "t"), ["node"], {"degree": ("count", F.col("ts"))})
     scored = attach(both, degree, {"nbr": "node"}).groupBy("src", "tgt", "t").agg(
         F.count("*").alias("cn"), F.sum(F.when(F.col("degree") > 1, 1 / F.log("degree")).otherwise(0.0)).alias("aa"), F.sum(1 / F.col("degree")).alias("ra"))
     return q.join(scored, ["src", "tgt", "t"], "left").select(*KEY, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cn", "aa", "ra")))
 
 
-def edge_memory(events: DataFrame, q: DataFrame, cutoff: float, window: float) -> DataFrame:
-    """EdgeBank over the events up to ``cutoff``: whether the directed pair is in an unlimited memory, in one of
-    the last ``window``, and in one of pairs at least as frequent as the mean pair."""
-    seen = events.where(F.col("ts") <= cutoff).groupBy("u", "i").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    mean = seen.agg(F.avg("n").alias("mean"))
-    pairs = seen.join(F.broadcast(mean)).select(F.col("u").alias("src"), F.col("i").alias("tgt"), F.lit(1).alias("unlimited"), (F.col("last") >= cutoff - window).cast("int").alias("recent"), (F.col("n") >= F.col("mean")).cast("int").alias("frequent"))
-    return q.join(pairs, ["src", "tgt"], "left").select(*KEY, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unlimited", "recent", "frequent")))
+def edge_memory(events: DataFrame, q: DataFrame, cutoff: float, share: float = 0.15) -> DataFrame:
+    """EdgeBank over the events up to ``cutoff``: whether the directed pair is in an unlimited memory, in one of the last ``share`` of
+    them by time, in one of the last mean repeat interval, and in one of pairs at least as frequent as the mean pair."""
+    seen = events.where(F.col("ts") <= cutoff)
+    last = seen.agg(F.max("ts")).first()[0]
+    (recent_from,) = quantiles(seen, "ts", [1 - share])
+    interval = repeat_interval(seen).first()[0]
+    pairs = written(seen.groupBy("u", "i").agg(F.count("*").alias("n"), F.max("ts").alias("last")), "pairs")
+    mean = pairs.agg(F.avg("n")).first()[0]
+    since = lambda start: (F.col("last") >= (start if start is not None else cutoff)).cast("int")
+    flags = pairs.select(
+        F.col("u").alias("src"), F.col("i").alias("tgt"), F.lit(1).alias("unlimited"), since(recent_from).alias("recent"),
+        since(None if interval is None else last - interval).alias("repeated"), (F.col("n") >= F.lit(mean)).cast("int").alias("frequent"),
+    )
+    return q.join(flags, ["src", "tgt"], "left").select(*KEY, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unlimited", "recent", "repeated", "frequent")))
 
 
 def repeat_interval(events: DataFrame) -> DataFrame:
@@ -83,10 +93,10 @@ def transitions(events: DataFrame) -> DataFrame:
 def markov(events: DataFrame, q: DataFrame) -> DataFrame:
     """Mean over the source's last basket before t of count(a to target) / count(a to any)."""
     tr = transitions(events)
-    last = asof_aggregate(events.select("u", "ts"), q.select(F.col("src").alias("u"), "t"), ["u"], {"last": F.max("ts")})
+    last = asof_aggregate(events.select("u", "ts"), q.select(F.col("src").alias("u"), "t"), ["u"], {"last": ("max", F.col("ts"))})
     basket = attach(q, last, {"src": "u"}).join(events.select(F.col("u").alias("src"), F.col("i").alias("a"), F.col("ts").alias("last")).distinct(), ["src", "last"])
-    to = asof_aggregate(tr.select("a", "b", "ts"), basket.select("a", F.col("tgt").alias("b"), "t"), ["a", "b"], {"n": F.count("ts")})
-    total = asof_aggregate(tr.select("a", "ts"), basket.select("a", "t"), ["a"], {"all": F.count("ts")})
+    to = asof_aggregate(tr.select("a", "b", "ts"), basket.select("a", F.col("tgt").alias("b"), "t"), ["a", "b"], {"n": ("count", F.col("ts"))})
+    total = asof_aggregate(tr.select("a", "ts"), basket.select("a", "t"), ["a"], {"all": ("count", F.col("ts"))})
     scored = attach(attach(basket, to, {"a": "a", "tgt": "b"}), total, {"a": "a"})
     share = F.when(F.col("all") > 0, F.coalesce("n", F.lit(0)) / F.col("all")).otherwise(0.0)
     return q.select(*KEY).join(scored.groupBy(*KEY).agg(F.avg(share).alias("markov")), KEY, "left").select(*KEY, F.coalesce("markov", F.lit(0.0)).alias("markov"))
@@ -96,7 +106,7 @@ def recent_neighbors(events: DataFrame, q: DataFrame, size: int) -> DataFrame:
     """The source's last ``size`` events before t (ties by eid), by sequence numbers: the window counts the
     events before t, and an equality join picks the numbers just below."""
     seq = adjacency(events).withColumn("seq", F.row_number().over(Window.partitionBy("node").orderBy("ts", "eid", "nbr")))
-    found = asof_aggregate(seq.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": F.count("ts")})
+    found = asof_aggregate(seq.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": ("count", F.col("ts"))})
     wanted = attach(q, found, {"src": "node"}).select(*KEY, F.col("src").alias("node"), F.explode(F.sequence(F.greatest(F.col("n") - size + 1, F.lit(1)), F.greatest("n", F.lit(1)))).alias("seq"), "n").where("n > 0")
     return wanted.join(seq.select("node", F.col("seq").cast("long"), "nbr", "ts"), ["node", "seq"]).select(*KEY, (F.col("n") - F.col("seq")).alias("age"), "nbr", "ts")
 

@@ -23,6 +23,13 @@ def similarity(q: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.select("eid", "k", F.coalesce(dot("a", "b"), F.lit(0.0)).alias("similarity"))
 
 
+def hadamard(q: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """``features``: product by component of the vectors of source and target; zeros if one has none."""
+    v = vectors.select("node", F.col("vector").cast("array<double>").alias("v"))
+    out = q.join(v.withColumnsRenamed({"node": "src", "v": "a"}), "src", "left").join(v.withColumnsRenamed({"node": "tgt", "v": "b"}), "tgt", "left")
+    return out.select("eid", "k", F.coalesce(F.zip_with("a", "b", lambda x, y: x * y), F.array_repeat(F.lit(0.0), width)).alias("features"))
+
+
 def history_mean(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """node, mean: event-weighted mean of the vectors of a source's destinations, summed by dimension."""
     counts = events.groupBy("u", "i").agg(F.count("*").alias("n"))

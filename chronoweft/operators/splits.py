@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.operators.prefix import quantiles
+from chronoweft.sources.written import written
 
-def boundaries(events: DataFrame, val: float = 0.15, test: float = 0.15) -> DataFrame:
-    """One row (val_time, test_time): linear quantiles of the times of all rows."""
-    q = F.percentile("ts", F.array(F.lit(1 - val - test), F.lit(1 - test)))
-    return events.agg(q.alias("q")).select(F.col("q")[0].alias("val_time"), F.col("q")[1].alias("test_time"))
+
+def boundaries(events: DataFrame, val: float = 0.15, test: float = 0.15) -> tuple[float, float]:
+    """(val_time, test_time): linear quantiles of the times of all rows."""
+    if not 0 <= val + test < 1:
+        raise ValueError("the shares of validation and test must leave something to train on")
+    low, high = quantiles(events, "ts", [1 - val - test, 1 - test])
+    if low is None:
+        raise ValueError("no events to split")
+    return low, high
 
 
 def chronological(events: DataFrame, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """``events`` with split: train up to val_time, val up to test_time, test after it."""
-    out = events.join(F.broadcast(boundaries(events, val, test)))
-    split = F.when(F.col("ts") <= F.col("val_time"), "train").when(F.col("ts") <= F.col("test_time"), "val").otherwise("test")
-    return out.withColumn("split", split)
+    val_time, test_time = boundaries(events, val, test)
+    return events.withColumn("split", F.when(F.col("ts") <= val_time, "train").when(F.col("ts") <= test_time, "val").otherwise("test"))
 
 
 def endpoints(events: DataFrame) -> DataFrame:
@@ -27,7 +33,7 @@ def reserve_nodes(split: DataFrame, share: float = 0.1) -> DataFrame:
     """int(share * nodes) nodes among those seen after val_time, those of the least (node * 7919) % 10007."""
     n = F.floor(F.count("*") * share)
     late = endpoints(split.where("split <> 'train'")).withColumn("h", F.col("node") * 7919 % 10007)
-    # candidates compete by their rank among a bounded key range first, so no task sorts all nodes
+    # candidates are ranked within their h, after the counts of the 10,007 values of h before it
     quota = endpoints(split).agg(n.alias("quota"))
     by_hash = late.groupBy("h").agg(F.count("*").alias("c")).select("h", (F.sum("c").over(Window.orderBy("h")) - F.col("c")).alias("before"))
     ranked = late.join(by_hash, "h").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("node")))
@@ -35,13 +41,13 @@ def reserve_nodes(split: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def inductive(split: DataFrame, reserved: DataFrame) -> DataFrame:
-    """``split`` with observed (a train event without a reserved end) and is_new (an end outside observed train)."""
+    """``split`` with observed (a train event without a reserved end) and is_new (an end outside observed train). Give written tables."""
     flag = reserved.select("node", F.lit(1).alias("hit"))
     out = split
     for c in ("u", "i"):
         out = out.join(flag.withColumnsRenamed({"node": c, "hit": f"held_{c}"}), c, "left")
-    out = out.withColumn("observed", (F.col("split") == "train") & F.col("held_u").isNull() & F.col("held_i").isNull())
-    known = endpoints(out.where("observed")).withColumn("hit", F.lit(1))
+    out = written(out.withColumn("observed", (F.col("split") == "train") & F.col("held_u").isNull() & F.col("held_i").isNull()), "observed")
+    known = written(endpoints(out.where("observed")).withColumn("hit", F.lit(1)), "known")
     for c in ("u", "i"):
         out = out.join(known.withColumnsRenamed({"node": c, "hit": f"known_{c}"}), c, "left")
     return out.withColumn("is_new", F.col("known_u").isNull() | F.col("known_i").isNull()).drop("held_u", "held_i", "known_u", "known_i")
