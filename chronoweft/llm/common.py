@@ -9,14 +9,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word cache; at about 250 bytes an entry this is some 75 MB. A full cache
+#: Entries of a worker's word cache; at about 250 bytes an entry this is some 50 MB. A full cache
 #: only stops growing: words beyond it are computed again, so results don't depend on it.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 _held: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """What Python and its allocator hold free goes back to the system."""
     import ctypes
     import gc
@@ -33,7 +33,7 @@ def worker_cache(key: object, make: Callable[[], object]):
     lets the old one go: a chain of operators needs the memory of its largest, not of all."""
     if key not in _held:
         _held.clear()
-        _give_back()
+        give_back()
         _held[key] = make()
     return _held[key]
 

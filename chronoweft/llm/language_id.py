@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, with_carried, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -56,11 +56,13 @@ def train(samples: list[tuple[str, str]], hidden: int = 16, epochs: int = 4, bat
     for (s, lang), n in counts.items():
         size = len(s.encode("utf-8", "replace"))
         groups.setdefault(next(x for x in WIDTHS if x >= size), []).append((s, langs.index(lang), n**0.5 / total[lang] * len(counts) / len(langs)))
+    del counts, total
     w = {"emb": (0.5 * rng.standard_normal((256, 12))).astype(F32)}
     w |= gru_weights(rng, "f", 12, hidden) | gru_weights(rng, "b", 12, hidden)
     w |= {"out": np.zeros((2 * hidden, max(1, len(langs))), F32), "bias": np.zeros(max(1, len(langs)), F32)}
     adam = Adam(w, rate)
     packed = [(byte_matrix([s for s, _, _ in g], width), np.array([y for _, y, _ in g]), np.array([k for _, _, k in g], F32)) for width, g in sorted(groups.items())]
+    del groups
     for epoch in range(epochs):
         adam.rate = rate * (1 - epoch / epochs)
         orders = [(g, o[i : i + batch]) for g, o in enumerate(rng.permutation(len(p[0])) for p in packed) for i in range(0, len(o), batch)]
@@ -152,6 +154,7 @@ def language_id(docs: DataFrame, max_documents: int = 1600, max_chars: int = 10_
     spark = docs.sparkSession
     learn = (docs if train_on is None else train_on).select("doc_id", "text", "lang")
     weights, langs = train(training_sample(learn, max_documents, max_chars), **options)
+    give_back()
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

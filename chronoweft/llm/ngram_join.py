@@ -209,13 +209,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     # a class goes by a number of its set: two sets may have the same least id where ids repeat
     classes = materialise(classes.select("set_key", "least_id", "copies", "bands", F.xxhash64("set_key").alias("rep")), "classes")
-    members = materialise(classes.select("rep", F.posexplode("bands").alias("band", "bucket")), "members")
+    members = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     least = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     least = materialise(least, "buckets")
     tied = materialise(members.join(least, "bucket"), "tied")
     clusters = connected_components(tied.where("rep > least").select("rep", "least")).withColumnsRenamed({"node": "rep", "component_id": "cluster"})
     found = materialise(_verified(docs, materialise(clusters, "clusters"), tied, classes, n, threshold), "links")
-    release(members, tied)
+    release(tied, least)
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select("rep", "other")).withColumnRenamed("node", "rep")
     # the least id of each component, over its classes

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, is_held_out, with_carried, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, with_carried, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights, sigmoid
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -112,14 +112,19 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
         mask = at < lengths[doc[rows]][None, :]
         return np.where(mask, flat[np.minimum(start[doc[rows]][None, :] + at, len(flat) - 1)], 0), mask
 
+    def features(used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of some words, their n-grams one after the other, and the numbers of these."""
+        n = counts[used]
+        g = grams[np.repeat(places[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return _sums(w, word[used], g, n) * (used > 0)[:, None], g, n
+
     def scores(rows: np.ndarray) -> np.ndarray:
-        vec = np.concatenate([_sums(w, word[i : i + 4096], grams[places[i] : places[i] + counts[i : i + 4096].sum()], counts[i : i + 4096]) for i in range(0, len(word), 4096)])
-        vec[0] = 0
-        pf, pb = vec @ w["f_w"] + w["f_b"], vec @ w["b_w"] + w["b_b"]
         out = []
-        for i in range(0, len(rows), 4096):
+        for i in range(0, len(rows), 4096):  # the words of some windows at a time: no table of all words is held
             ids, mask = tokens(rows[i : i + 4096])
-            out.append(_logits(w, pf[ids], pb[ids], mask))
+            used, back = np.unique(ids, return_inverse=True)
+            vec, back = features(used)[0], back.reshape(ids.shape)
+            out.append(_logits(w, (vec @ w["f_w"] + w["f_b"])[back], (vec @ w["b_w"] + w["b_b"])[back], mask))
         return np.concatenate(out)
 
     adam = Adam(w, rate)
@@ -128,9 +133,7 @@ def train(samples: list[tuple[str, int]], drawn: int = 10, batch: int = 256, rat
         ids, mask = tokens(rows)
         used, back = np.unique(ids, return_inverse=True)
         back = back.reshape(ids.shape)
-        n = counts[used]
-        g = grams[np.repeat(places[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        vec = _sums(w, word[used], g, n) * (used > 0)[:, None]
+        vec, g, n = features(used)
         keep: dict = {}
         p = sigmoid(_logits(w, (vec @ w["f_w"] + w["f_b"])[back], (vec @ w["b_w"] + w["b_b"])[back], mask, keep))
         d = ((p - target) / len(rows)).astype(F32)
@@ -199,6 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tox
     """
     spark = docs.sparkSession
     weights = train(training_sample(docs if train_on is None else train_on, labels, max_toxic, max_clean, max_chars), **options)
+    give_back()
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
