@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.operators.prefix import quantiles
+from chronoweft.operators.prefix import quantiles, row_numbers
 from chronoweft.sources.written import written
 
 
@@ -77,3 +77,13 @@ def historical_candidates(events: DataFrame, start: float, end: float, observed_
 def leakage(history: DataFrame, q: DataFrame) -> DataFrame:
     """Number of history rows (eid, k, ts) that are not strictly before their query's t; 0 if all is well."""
     return history.join(q, ["eid", "k"]).agg(F.coalesce(F.sum((F.col("ts") >= F.col("t")).cast("long")), F.lit(0)).alias("violations"), F.count("*").alias("checked"))
+
+
+def recency_cutoff(events: DataFrame, since: float, share: float | None = None) -> DataFrame:
+    """Events at or after ``since``; with ``share``, of those the latest int(share * n) by (ts, eid)."""
+    out = events.where(F.col("ts") >= since)
+    if share is None:
+        return out
+    ranked = row_numbers(out, [F.desc("ts"), F.desc("eid")], "_place")
+    keep = int(share * ranked.count())
+    return ranked.where(F.col("_place") < keep).drop("_place")
