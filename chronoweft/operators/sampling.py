@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
+from chronoweft.operators.prefix import row_numbers
 from chronoweft.operators.splits import historical_candidates
 from chronoweft.sources.tables import adjacency, draw, target_pool
 
@@ -54,3 +55,109 @@ def uniform_neighbors(events: DataFrame, q: DataFrame, size: int, seed: int = 0)
 def unique_pairs(events: DataFrame, start: float, end: float) -> DataFrame:
     """Distinct (u, i) with an event in the closed range."""
     return events.where(F.col("ts").between(start, end)).select("u", "i").distinct()
+
+
+def _taken(batch: DataFrame) -> DataFrame:
+    return batch.select(F.col("u").alias("src"), F.col("i").alias("tgt")).distinct()
+
+
+def checked_negatives(events: DataFrame, positives: DataFrame, per: int, batch: DataFrame, tries: int = 8) -> DataFrame:
+    """``per`` drawn targets of every positive that form no pair of ``batch`` (u, i) with its source: of ``tries`` times as many draws the first
+    that pass. A positive for which too few pass has fewer."""
+    drawn = random_negatives(events, positives, per * tries).join(_taken(batch), ["src", "tgt"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("eid").orderBy("k"))
+    return drawn.withColumn("k", place).where(F.col("k") <= per)
+
+
+def historical_negatives(events: DataFrame, positives: DataFrame, start: float, end: float, observed_until: float | None = None, least_gap: float = 0) -> DataFrame:
+    """A negative pair for each positive (eid, t): the first of the pairs seen before ``start`` but not in [start, end], last seen at least
+    ``least_gap`` before ``start`` (and, with ``observed_until``, first seen after that), in the order of their draws; random pairs outside the batch where they
+    are too few. eid, src, tgt, t, kind."""
+    seen = events.where(F.col("ts") < start).groupBy("u", "i").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    batch = events.where(F.col("ts").between(start, end)).select("u", "i").distinct()
+    pool = seen.where(F.col("last_ts") <= start - least_gap).join(batch, ["u", "i"], "left_anti")
+    pool = pool if observed_until is None else pool.where(F.col("first_ts") > observed_until)
+    order = draw(F.col("u"), F.col("i"), F.lit(2147483647))
+    pool = row_numbers(pool.select("u", "i", order.alias("h")), [F.col("h"), F.col("u"), F.col("i")], "n")
+    asked = row_numbers(positives.select("eid", "t"), [F.col("t"), F.col("eid")], "n")
+    got = asked.join(pool.select("n", F.col("u").alias("src"), F.col("i").alias("tgt")), "n", "left")
+    fill = checked_negatives(events, positives, 1, batch).select("eid", F.col("src").alias("any_src"), F.col("tgt").alias("any_tgt"))
+    out = got.join(fill, "eid", "left")
+    return out.select("eid", F.coalesce("src", "any_src").alias("src"), F.when(F.col("src").isNull(), F.col("any_tgt")).otherwise(F.col("tgt")).alias("tgt"), "t", F.when(F.col("src").isNull(), "random").otherwise("historical").alias("kind"))
+
+
+def canonical_groups(positives: DataFrame, size: int = 256) -> DataFrame:
+    """Positives with the ``group`` of ``size`` consecutive ones by (t, eid) and their ``place`` in it: negatives frozen for a group are replayed by place."""
+    return row_numbers(positives, [F.col("t"), F.col("eid")], "_n").withColumn("group", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size).drop("_n")
+
+
+def positive_sample(events: DataFrame, n: int, mode: str, block: int = 32, seed: int = 0) -> DataFrame:
+    """``n`` events: random ones, the ``most_recent``, or whole ``blocks`` of consecutive ones (n // block of them)."""
+    if mode == "most_recent":
+        return events.orderBy(F.desc("ts"), F.desc("eid")).limit(n)
+    hashed = lambda c: draw(F.col(c), F.lit(0), F.lit(2147483647), seed)
+    if mode == "random":
+        return events.orderBy(hashed("eid"), "eid").limit(n)
+    if mode != "blocks":
+        raise ValueError("mode is random, most_recent or blocks")
+    numbered = row_numbers(events, [F.col("ts"), F.col("eid")], "_n").withColumn("block", F.floor(F.col("_n") / block))
+    chosen = numbered.select("block").distinct().orderBy(hashed("block"), "block").limit(n // block)
+    return numbered.join(F.broadcast(chosen), "block", "left_semi").drop("_n", "block")
+
+
+def training_positives(pool: DataFrame, n: int, first_touch_share: float, skip_latest: int = 0, exclude: DataFrame | None = None) -> DataFrame:
+    """``n`` of a pool (eid, u, i, ts, first_touch): round(n * share) first touches, then others, each the latest, the ``skip_latest`` latest of all left out,
+    and what ``exclude`` (u, i, ts) names. Too few first touches are made up by others, and the other way round."""
+    rows = pool if exclude is None else pool.join(exclude, ["u", "i", "ts"], "left_anti")
+    order = [F.desc("ts"), F.desc("eid")]
+    rows = row_numbers(rows, order, "_n").where(F.col("_n") >= skip_latest)
+    first = rows.where("first_touch = 1").orderBy("_n").limit(round(n * first_touch_share))
+    rest = rows.join(first.select("eid"), "eid", "left_anti")
+    return first.withColumn("_turn", F.lit(0)).unionByName(rest.withColumn("_turn", 1 + F.col("first_touch"))).orderBy("_turn", "_n").limit(n).drop("_turn", "_n")
+
+
+def query_subset(q: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """All rows of ``n`` queries drawn by their id."""
+    ids = q.select("eid").distinct()
+    return q.join(ids.orderBy(draw(F.col("eid"), F.lit(0), F.lit(2147483647), seed), "eid").limit(n), "eid", "left_semi")
+
+
+def recent_pairs(q: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` queries by (t, eid) with their positive and first negative; raises if one lacks either."""
+    last = q.where("k = 0").orderBy(F.desc("t"), F.desc("eid")).limit(n).select("eid")
+    out = q.where("k <= 1").join(last, "eid", "left_semi")
+    if out.groupBy("eid").agg(F.count("*").alias("n")).where("n <> 2").limit(1).count():
+        raise ValueError("a query without its pair of rows")
+    return out
+
+
+def same_tail(chosen: DataFrame, events: DataFrame, n: int) -> DataFrame:
+    """Number of rows (eid) in which ``chosen`` and the last ``n`` of ``events`` by (ts, eid) differ; 0 if the hold-out is the recent tail."""
+    tail = events.orderBy(F.desc("ts"), F.desc("eid")).limit(n).select("eid")
+    return chosen.select("eid").exceptAll(tail).union(tail.exceptAll(chosen.select("eid"))).agg(F.count("*").alias("different"))
+
+
+def training_pools(samples: DataFrame, entities: DataFrame, pools: int, size: int) -> DataFrame:
+    """For each sample (eid, src, tgt, t) ``pools`` pools of its target (place 0) and ``size`` - 1 drawn entities other than source and target, each once:
+    eid, src, t, pool, place, target. ``entities``: node."""
+    numbered = row_numbers(entities.select("node").distinct(), [F.col("node")], "idx")
+    count = numbered.agg(F.count("*").alias("_size"))
+    slots = samples.select("eid", "src", "tgt", "t", F.explode(F.sequence(F.lit(0), F.lit(pools - 1))).alias("pool"), F.lit(1).alias("_one")).join(F.broadcast(count))
+    # a run of neighbours in the order of the entities, from a drawn one on: distinct without a second draw
+    drawn = slots.withColumn("start", draw(F.col("eid"), F.col("pool"), F.col("_size"))).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_size") - 1))).alias("step"))
+    found = drawn.withColumn("idx", (F.col("start") + F.col("step") * 7919) % F.col("_size")).join(numbered, "idx").where("node <> src and node <> tgt")
+    found = found.dropDuplicates(["eid", "pool", "node"]).withColumn("place", F.row_number().over(Window.partitionBy("eid", "pool").orderBy("step"))).where(F.col("place") < size)
+    anchors = slots.select("eid", "src", "t", "pool", F.lit(0).alias("place"), F.col("tgt").alias("target"))
+    return anchors.unionByName(found.select("eid", "src", "t", "pool", "place", F.col("node").alias("target")))
+
+
+def interval_weights(events: DataFrame, q: DataFrame, rate: float) -> DataFrame:
+    """Chances of the source's earlier events in a time-aware draw: with interval d to the event before, the running share d / (sum of the d up to here),
+    no chance where that sum is 0, softmax of ``rate`` times the share. eid, k, nbr, ts, chance."""
+    gaps = adjacency(events).withColumn("d", F.col("ts") - F.coalesce(F.lag("ts").over(Window.partitionBy("node").orderBy("ts", "eid", F.desc("role"))), F.lit(0)))
+    rows = q.select("eid", "k", F.col("src").alias("node"), "t").join(gaps.select("node", "nbr", "ts", "d"), "node").where("ts < t")
+    w = Window.partitionBy("eid", "k")
+    run = F.sum("d").over(w.orderBy("ts", F.col("d").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("run", run).withColumn("x", F.when(F.col("run") > 0, rate * F.col("d") / F.col("run")).otherwise(-1e10))
+    rows = rows.withColumn("e", F.exp(F.col("x") - F.max("x").over(w)))
+    return rows.select("eid", "k", "nbr", "ts", (F.col("e") / F.sum("e").over(w)).alias("chance"))
