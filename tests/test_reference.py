@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import text as T
 from chronoweft.operators import asof, collaborative, prefix, ranking, scorers, splits
-from chronoweft.plans import reference, sampling  # noqa: F401  (sampling adds its queries)
+from chronoweft.plans import features, history, protocol, reference, routing, sampling  # noqa: F401  (they add their queries)
 from chronoweft.sources.tables import adjacency, edges, queries
 
 SF = "/root/testdata/sf0.001"
