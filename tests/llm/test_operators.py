@@ -395,6 +395,114 @@ def test_main_text_of_pages(spark):
     assert got[50] == got[51] == ("", 0) and got[52][0] == "plain"
 
 
+def test_template_decides_where_no_name_helps(spark):
+    """Pages of plain div elements: menu and footer stand on every page, the article is where the pages' own text is."""
+    from chronoweft.llm.template_extraction import extract_main_text, page_text
+
+    page = "<html><body><div><div><p>Home</p><p>News</p></div><div><p>Hot: {0}x</p></div><div><h1>Head {0}</h1>{1}</div><div><p>About us</p></div></div></body></html>"
+    own = lambda i: "".join(f"<p>Story {i} goes on for a while with words {k}</p>" for k in range(i % 4 + 1))
+    rows = [(i, f"http://h.example/{i}", page.format(i, own(i)).replace("<div><div>", "<div class='w'><div class='a'>").replace("</div><div><h1>", "</div><div class='b'><h1>").replace("</div><div><p>Hot", "</div><div class='c'><p>Hot")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for i, _, html in rows:
+        assert got[i] == " ".join([f"Head {i}", *(f"Story {i} goes on for a while with words {k}" for k in range(i % 4 + 1))])
+        changed += got[i] != page_text(html)
+    assert changed == 12  # the page alone gives its menus too
+
+
+def test_classes_equal_brute_force(spark):
+    from collections import Counter
+
+    from chronoweft.llm.template_extraction import Parser, Template, classes, occurrences
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    part = lambda: rng.choice(["<p>own {}</p>", "<ul><li>a</li><li>b</li></ul>", "<p>same</p>", "<b>{}</b>"]).format(rng.random())
+    pages = [(i, "h", "<html><body><div>Top</div>" + "".join(part() for _ in range(rng.randint(0, 5))) + "<i>end</i></body></html>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_key long, host string, html string")
+    sizes = df.groupBy("host").agg(F.count("*").alias("pages"))
+    found = [r for r in classes(occurrences(df.repartition(5)), sizes, 5, 0.6).collect() if r["class"] is not None]
+    parsed = {i: Parser().parse(h) for i, _, h in pages}
+    counts = {i: Counter(t for t, x in zip(p.tokens, p.texts) if not x or not x.isspace()) for i, p in parsed.items()}
+    vectors: dict = {}
+    for t in {t for c in counts.values() for t in c}:
+        vectors.setdefault(tuple(counts[i][t] for i in range(20)), set()).add(t)
+    want = {frozenset(ts) for v, ts in vectors.items() if sum(map(bool, v)) >= 12 and (len(ts) > 1 or max(v) == 1)}
+    assert {frozenset(r["tokens"]) for r in found} == want
+    # tokens out of order and cycles that cross break a class
+    p = Parser().parse("<html><p>x</p><b>y</b><p>x</p></html>")
+    ids = dict(zip((pl.path + repr(x) + str(n) for n, (pl, x) in enumerate(zip(p.places, p.texts))), p.tokens))
+    html, para, x, bold = (next(v for k, v in ids.items() if k.startswith(q)) for q in ("/html''", "/html/p''", "/html/p'x'", "/html/b''"))
+    assert Template([{"class": 1, "tokens": [para, x]}]).broken(p) == set()
+    assert Template([{"class": 1, "tokens": [x, para]}]).broken(p) == {1}
+    assert 2 in Template([{"class": 1, "tokens": [html, bold]}, {"class": 2, "tokens": [para, bold]}]).broken(p)
+
+
+def test_pages_of_odd_kinds(spark):
+    from chronoweft.llm.template_extraction import extract_main_text
+
+    long = "<article>" + "<p>word &amp; more</p>" * 20_000 + "</article>"
+    rows = [(1, None, None, "c"), (1, None, None, "c"), (2, "", "", "c"), (3, "u", "<p>un<b>closed", "c"), (4, "http://a/1", long, "c"), (None, "http://a/1", "</div></p>text<", "c"), (5, "http://a/2", "<!-- only", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = sorted(((r["page_id"], r["text"]) for r in extract_main_text(df).collect()), key=str)
+    want = [(1, ""), (1, ""), (2, ""), (3, "unclosed"), (4, " ".join(["word & more"] * 20_000)), (None, "text<"), (5, "")]
+    assert got == sorted(want, key=str) and extract_main_text(df.limit(0)).count() == 0
+
+
+def test_odd_texts_in_scorers_and_counters(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, columns of clashing names, empty tables."""
+    from sentencepiece import SentencePieceProcessor
+
+    from chronoweft.llm.packing import best_fit_packing
+    from chronoweft.llm.token_counts import prefix_counts, token_counts
+    from chronoweft.llm.toxicity import toxicity
+    from chronoweft.llm.unigram import encode_report
+
+    long = "some words that go on " * 30_000
+    rows = [(1, None), (2, ""), (3, "  \n "), (4, long), (5, "a b"), (5, "a b"), (None, "no id"), (6, "x" * 100_000)]
+    names = ["score", "held_out", "piece", "n_tokens", "ids_crc32", "predicted", "sequence_id"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    path, none = P.path("piece_bpe_32k.model"), spark.createDataFrame([], "doc_id long, toxic int")
+    sp = SentencePieceProcessor(model_file=path)
+    counted = sorted(((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in token_counts(df, path).collect()), key=str)
+    assert counted == sorted(((i, len(sp.encode(t or "")), len((t or "").encode())) for i, t in rows), key=str)
+    assert {len(r["counts"]) for r in prefix_counts(df.where("doc_id = 5"), path).collect()} == {4}
+    assert all(r["round_trip"] for r in encode_report(df, path).collect())
+    scored = toxicity(df, none).collect()
+    assert len(scored) == len(rows) and len({r["score"] for r in scored}) == 1  # nothing to learn from: all alike
+    packed = best_fit_packing(df, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r["doc_id"] == 5 for r in packed) == 2 and {r["length"] for r in packed if r["doc_id"] in (1, 2)} == {1}
+    for empty in (token_counts(df.limit(0), path), encode_report(df.limit(0), path), toxicity(df.limit(0), none), best_fit_packing(df.limit(0), P.path("byte_bpe_50k.json"))):
+        assert empty.count() == 0
+
+
+def test_pipeline_runs_to_the_end(spark, tmp_path):
+    """Toxic documents, documents without letters and copies go, all others are packed whole."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(240):
+        w, bad = words(rng, rng.randint(20, 60), lang := rng.choice(["en", "de"])).split(), i % 4 == 0
+        for _ in range(4 * bad):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "scum"]))
+        rows.append((i, " ".join(w), lang, "s", 1))
+        labels.append((i, 1, int(bad)))
+    rows += [(300, rows[1][1], "en", "s", 1), (301, "123 !!", None, "s", 1), (302, None, None, None, None), rows[2]]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = c.run(spark, f"file://{tmp_path}").collect()
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    size = {i: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, *_ in rows}
+    kept = {}
+    for r in got:
+        kept[r["doc_id"]] = kept.get(r["doc_id"], 0) + r["length"]
+    assert not set(kept) & {300, 301, 302} and all(kept[i] == size[i] for i in kept)
+    clean = {i for i in range(240) if i % 4}
+    assert len(clean - set(kept)) <= 0.05 * len(clean) and len(set(kept) - clean) <= 0.05 * 60
+
+
 def test_notice_repeated_inside_an_article(spark):
     from chronoweft.llm.template_extraction import extract_main_text
 
