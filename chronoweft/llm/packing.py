@@ -197,6 +197,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, buckets: int | None = N
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null or empty texts are one piece that holds the end id alone. Repeated rows are packed each.
+    Null or empty texts are one piece that holds the end id alone; texts of any length are packed whole, in pieces. Repeated rows are packed
+    each; pieces of one length are alike, and their order by id settles which goes where. An empty table gives no rows.
     """
     return pack_pieces(tokenised_pieces(docs, tokenizer_path, capacity, end_id), capacity)

@@ -121,7 +121,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``), cut_chars (characters that fit
     into ``limit``; the whole length where all do) for every row of ``docs``.
 
-    Null and empty texts: 0 bytes and tokens. Repeated rows are each counted. Needs no shuffle.
+    Null and empty texts: 0 bytes and tokens; texts of any length are counted whole, repeated rows each; an empty table gives no rows, and
+    other columns are not looked at. Needs no shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

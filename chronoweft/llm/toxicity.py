@@ -196,8 +196,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tox
 
     Learns from a bounded sample of the labelled rows of ``train_on`` (default: ``docs``): at most
     ``max_toxic`` and ``max_clean`` of the two labels, each at most ``max_chars`` long. Every window of every whole text is
-    scored; null and empty texts are one empty window. Rows are scored one by one, so repeated rows and
-    ties are alike; without labels of both kinds every score is that of the starting weights. Needs no
+    scored, texts of any length whole; null and empty texts are one empty window. Rows are scored one by one, so repeated rows and
+    ties are alike, and an empty table gives no rows; a null id is held out as null and never learned from; without labels of both kinds every score is that of the starting weights. Needs no
     shuffle of the texts. ``carry``: columns of ``docs`` to return as well.
     """
     spark = docs.sparkSession
