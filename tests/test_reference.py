@@ -1,5 +1,6 @@
 """Temporal operators against hand-made graphs and, on given tables, against DuckDB."""
 
+import functools
 import glob
 import os
 import random
@@ -23,6 +24,26 @@ def tiny(spark):
     return spark.createDataFrame(rows, "eid long, u long, i long, ts double").selectExpr("*", "0L as r")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def formed_once():
+    """Events, queries and fused scores of the smallest tables are the same for all queries here: they are formed once."""
+    from chronoweft.sources.written import written
+
+    fused, graph = reference.fused, reference._graph
+
+    def once(spark, d):
+        events, q = graph(spark, d)
+        return events, written(q, "queries")
+
+    patch = pytest.MonkeyPatch()
+    for name, f in (("fused", functools.cache(fused)), ("_graph", functools.cache(once))):
+        for module in (reference, sampling, history, protocol, routing, features):
+            if hasattr(module, name):
+                patch.setattr(module, name, f)
+    yield
+    patch.undo()
+
+
 def asked(spark, times, src=1, tgt=2):
     return spark.createDataFrame([(n, 0, src, tgt, float(t)) for n, t in enumerate(times)], "eid long, k int, src long, tgt long, t double")
 
