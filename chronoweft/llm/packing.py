@@ -9,6 +9,7 @@ intervals of an item's rank among the items of its length to bins; Spark ranks t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +26,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the split of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The rule above goes back over a run of white space, so its stack grows with the run: texts with longer ones go to ``tokenizers``.
+SPACES = 50_000
+_LONG_SPACE = re.compile(rf"\s{{{SPACES}}}")
+
 
 def _byte_of_character() -> dict[str, int]:
     """Bytes by the characters that stand for them in a byte-level vocabulary: printable bytes for themselves, the
@@ -38,8 +43,8 @@ class TextTokenizer:
     """Ids of whole texts as ``tokenizers`` gives them, at a constant amount of memory.
 
     A byte-level BPE whose merges stand in the order of the ids of what they make is a table of ranks, which
-    ``tiktoken`` encodes several times as fast and without a cache of words. Texts with an added token in
-    them, and files of another kind, go to ``tokenizers`` itself.
+    ``tiktoken`` encodes several times as fast and without a cache of words. Texts with an added token or more than
+    ``SPACES`` white space characters in a row, and files of another kind, go to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -73,7 +78,7 @@ class TextTokenizer:
         return tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or any(t in text for t in self.added):
+        if self.fast is None or any(t in text for t in self.added) or len(text) > SPACES and _LONG_SPACE.search(text):
             return self.lib.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -161,22 +166,22 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[pd.DataFrame, int]
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, buckets: int | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, length, further columns kept) with ``sequence_id`` and ``offset``.
 
-    An item's rank among those of its length comes from counts by (length, bucket of its id) and a rank
-    inside that bucket, so a length that most items share is spread over all tasks. Only the histogram
+    An item's rank among those of its length comes from counts by (length, bucket of its row) and a rank
+    inside that bucket, so a length or an id that most items share is spread over all tasks. Only the histogram
     (at most ``capacity`` rows) reaches the driver, and only the intervals derived from it (a few
     thousand, bounded by the capacity) go out with the tasks. Equal (doc_id, piece) rows are packed
     each; an empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    items = materialise(pieces, "pieces")
+    items = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # fixed once written
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = plan_bins(counts, capacity)
     if buckets is None:
         buckets = max(16, sum(counts.values()) // 20_000)
-    keyed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    keyed = items.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("r"))
     shared = spark.sparkContext.broadcast(plan)
 
@@ -198,6 +203,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
     """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null or empty texts are one piece that holds the end id alone; texts of any length are packed whole, in pieces. Repeated rows are packed
-    each; pieces of one length are alike, and their order by id settles which goes where. An empty table gives no rows.
+    each; pieces of one length are alike, and their order in the input settles which goes where. Further columns are not looked at,
+    whatever their names. An empty table gives no rows.
     """
     return pack_pieces(tokenised_pieces(docs, tokenizer_path, capacity, end_id), capacity)
