@@ -191,13 +191,13 @@ def verify_block(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({name: pd.array(list(x), "Int64") for name, x in zip(("rep", "other", "links"), columns)})  # never as floats
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 192) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 192, keys: bool = False) -> DataFrame:
     """Links between documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
 
     Returns for every row of ``docs`` (doc_id, text; other columns are not looked at): doc_id, class_id (least id of the
     documents with the same set), n_links (other documents linked with it, copies included), component_id (least id that
-    links reach), kept (doc_id is the component's), text_key (of the text as it is) and group_key (equal for all rows of a component,
-    null where nothing can link). Words are runs of letters and
+    links reach), kept (doc_id is the component's); with ``keys`` also text_key (of the text as it is) and group_key (equal for all
+    rows of a component, null where nothing can link). Words are runs of letters and
     digits in lower case; a text of fewer than n words is one gram of them all; null texts and texts without words link with
     nothing, whole texts of any length are compared. Rows that repeat an id count as copies of each other if their sets are
     equal, else as documents of their own. A null id is the least only where all are null. An empty table gives no rows. Found links are
@@ -207,28 +207,31 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, n, bands, rows), "signatures")
     classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    # a class goes by a number of its set: two sets may have the same least id where ids repeat
-    classes = materialise(classes.select("set_key", "least_id", "copies", "bands", F.xxhash64("set_key").alias("rep")), "classes")
+    # a class goes by its row's number, fixed once written: two sets may have the same least id where ids repeat, and a shorter hash could collide
+    classes = materialise(classes.select("set_key", "least_id", "copies", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
     members = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     least = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     least = materialise(least, "buckets")
     tied = materialise(members.join(least, "bucket"), "tied")
     clusters = connected_components(tied.where("rep > least").select("rep", "least")).withColumnsRenamed({"node": "rep", "component_id": "cluster"})
-    found = materialise(_verified(docs, materialise(clusters, "clusters"), tied, classes, n, threshold), "links")
-    release(tied, least)
+    clusters = materialise(clusters, "clusters")
+    found = _verified(docs, clusters, tied, classes, n, threshold)
+    release(tied, least, clusters)
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select("rep", "other")).withColumnRenamed("node", "rep")
     # the least id of each component, over its classes
-    parts = materialise(parts.join(classes.select("rep", "least_id"), "rep"), "parts")
-    named = materialise(parts.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
-    parts = parts.drop("least_id").join(named, "component_id").select("rep", "component_least", "component_id")
+    with_least = materialise(parts.join(classes.select("rep", "least_id"), "rep"), "parts")
+    named = materialise(with_least.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
+    parts = with_least.drop("least_id").join(named, "component_id").select("rep", "component_least", "component_id")
     by_class = materialise(classes.drop("bands").join(links, "rep", "left").join(parts, "rep", "left"), "by-class")
+    release(classes, found, with_least, named)
     out = sig.select("doc_id", "text_key", "set_key").join(by_class, "set_key", "left")
     class_id = F.coalesce("least_id", "doc_id")
     component = F.coalesce("component_least", class_id)
     return out.select(
         "doc_id", class_id.alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", F.coalesce(F.col("component_id"), "rep").alias("group_key"),
+        component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *(["text_key", F.coalesce(F.col("component_id"), "rep").alias("group_key")] if keys else []),
     )
 
 
@@ -261,7 +264,10 @@ def _verified(docs: DataFrame, clusters: DataFrame, tied: DataFrame, classes: Da
     by_bucket = F.flatten(F.transform("buckets", lambda x: dealt(x["bucket"], x["band"], x["n"])))
     keys = F.when(F.col("size") <= BLOCK, small).when(F.col("apart"), by_bucket).otherwise(dealt(F.col("cluster"), nothing, F.col("size")))
     bands = F.when(F.col("apart"), F.col("bands"))
-    return (
+    found = (
         sets.withColumn("k", F.explode(keys)).select("rep", "copies", "cluster", bands.alias("bands"), "grams", "k.*")
         .groupBy("of", "band", "a", "b").applyInPandas(lambda g: verify_block(g, threshold), "rep long, other long, links long")
     )
+    found = materialise(found, "links")
+    release(sizes, members, apart)
+    return found
