@@ -1,7 +1,7 @@
 """Embedding near-duplicates: PCA-ordered tiled comparison with suffix-norm bounds.
 
 Vectors are scaled to length 1 and turned into the axes of the second moments of all vectors of their number of components,
-largest first. Rows sorted by label, number of components and first axis are cut into tiles; two tiles of a label are compared
+largest first. Rows sorted by label, number of components and leading axes are cut into tiles; two tiles of a label are compared
 unless their boxes on the leading axes are too far apart. In a tile pair, products accumulate over the leading axes; a row
 whose partial product plus the product of the suffix norms stays below the threshold with every other row
 is left out of the rest. Pairs close to the threshold are decided by the plain cosine in double precision.
@@ -116,7 +116,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     node = ["label", "size", "key", "key2"]
     rows = materialise(rows.select("vec_id", "label", F.when(good, F.col("vector")).alias("vector"), *(k.alias(c) for k, c in zip(keys, node[1:]))), "rows")
     nodes = rows.where("key is not null").groupBy(*node).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    nodes = materialise(nodes.withColumn("node", F.xxhash64(*node)), "nodes")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # fixed once written
     sizes = {r["size"]: r["count"] for r in nodes.groupBy("size").count().where(F.col("count") >= LEAST_FOR_AXES).collect()}
     axes = {width: principal_axes(nodes.where(F.col("size") == width).select("vector"), width) for width in sorted(sizes)}
 
@@ -130,7 +130,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
 
     placed = nodes.withColumn("lead", leading("vector"))
     tiles = max(1, -(-nodes.count() // tile))
-    dealt = placed.withColumn("first", F.get("lead", F.lit(0))).repartitionByRange(tiles, "label", "size", "first").withColumn("tile", F.spark_partition_id())
+    # all leading axes and the number of the node: ranges that end on one axis could not part vectors that are equal on it
+    dealt = placed.repartitionByRange(tiles, "label", "size", "lead", "node").withColumn("tile", F.spark_partition_id())
     dealt = materialise(dealt, "tiles")
     box = [f(F.coalesce(F.get("lead", F.lit(k)), F.lit(0.0))).alias(f"{n}{k}") for k in range(BOX) for n, f in (("low", F.min), ("high", F.max))]
     span = materialise(dealt.groupBy("label", "size", "tile").agg(*box), "boxes")
@@ -148,10 +149,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     release(dealt, span, pairs)
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select("node", "other"))
-    parts = materialise(parts.join(nodes.select("node", "least_id"), "node"), "parts")
-    named = materialise(parts.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
-    parts = parts.drop("least_id").join(named, "component_id").select("node", "component_least")
+    with_least = materialise(parts.join(nodes.select("node", "least_id"), "node"), "parts")
+    named = materialise(with_least.groupBy("component_id").agg(F.min("least_id").alias("component_least")), "named")
+    parts = with_least.drop("least_id").join(named, "component_id").select("node", "component_least")
     by_node = materialise(nodes.drop("vector").join(links, "node", "left").join(parts, "node", "left"), "by-node")
+    release(nodes, found, with_least, named)
     out = rows.drop("vector").join(by_node, node, "left")
     component = F.coalesce("component_least", "least_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -77,7 +77,7 @@ def test_odd_texts_tokenise_like_the_library():
     parts = ["a", "b", " ", " ", "\n", "é", "😀", "'s", "1", "<|endoftext|>", ".", "\t", " ", "\x00", "don't"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     texts += [f"x{c}y {c}{c} 1{c}2 {c} -{c}" for c in map(chr, range(0x110000)) if rng.random() < 0.02 and not c.encode("utf-8", "ignore") == b""]
-    texts += ["x" * 30_000, "ab" * 20_000, " " * 5_000]
+    texts += ["x" * 30_000, "ab" * 20_000, " " * 5_000, " " * 2_000_000, "one" + "\n" * 2_000_000 + "two", "a" + " \t" * 25_000 + "b", "a" + " " * 49_999 + "b"]
     assert [w.encode(t) for t in texts] == [e.ids for e in w.lib.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -250,6 +250,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
             assert (got[i]["n_links"], got[i]["component_id"]) == (len(links.get(i, ())), min(seen)), i
 
 
+def test_vectors_equal_on_the_first_axis_are_cut_into_tiles(spark, monkeypatch):
+    from chronoweft.llm import vector_dedup
+
+    rng, seen, real = np.random.default_rng(8), [], vector_dedup.materialise
+    rows = [(i, [0.0, *map(float, v)], 1) for i, v in enumerate(rng.integers(0, 2, (900, 11)))]
+    monkeypatch.setattr(vector_dedup, "materialise", lambda df, name: (seen.append((name, out := real(df, name))), out)[1])
+    monkeypatch.setattr(vector_dedup, "release", lambda *t: None)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(vectors(spark, rows), tile=64).collect()}
+    sizes = [r["count"] for name, t in seen if name == "tiles" for r in t.groupBy("tile").count().collect()]
+    assert max(sizes) <= 3 * 64
+    x = np.array([v for _, v, _ in rows])
+    length = np.sqrt((x * x).sum(1))
+    linked = (x @ x.T >= 0.93 * np.outer(length, length) - 1e-12) & (length > 0) & (length > 0)[:, None]
+    assert got == {i: int(linked[i].sum() - linked[i, i]) for i in range(900)}
+
+
 def test_near_duplicates_of_several_lengths(spark):
     from chronoweft.llm.vector_dedup import near_duplicates
 
