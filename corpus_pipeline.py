@@ -35,7 +35,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one, of the least id; of several rows of that id one, by the number of its text, so
     repeated rows go as well. Texts without words link with nothing and stay. An empty table gives no rows."""
-    found = materialise(ngram_jaccard_join(docs), "joined")
+    found = materialise(ngram_jaccard_join(docs, keys=True), "joined")
     kept = found.where("kept and group_key is not null").groupBy("group_key", "doc_id", "text_key").agg(F.count("*").alias("n"))
     several = kept.groupBy("group_key").agg(F.min("text_key").alias("one"), F.sum("n").alias("rows")).where("rows > 1")
     several = materialise(several.join(kept, "group_key").select("doc_id", "text_key", (F.col("text_key") == F.col("one")).alias("first")), "several")
