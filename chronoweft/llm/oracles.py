@@ -53,5 +53,44 @@ links AS (SELECT x.id AS a, y.id AS b FROM units x JOIN units y ON x.label = y.l
 nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
 FROM embeddings e JOIN component p ON p.id = e.vec_id
+""",
+    "op13_source_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents
+),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
+capped AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / w AS full_at FROM sources),
+filling AS (
+  SELECT *, CAST((SELECT sum(source_size) FROM sources) - coalesce(sum(cap) OVER o, 0) AS DOUBLE) / CAST((SELECT sum(w) FROM sources) - coalesce(sum(w) OVER o, 0) AS DOUBLE) AS level
+  FROM capped WINDOW o AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+water AS (SELECT level FROM filling WHERE full_at > level ORDER BY full_at, source NULLS LAST LIMIT 1),
+targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM water) * w, CAST(cap AS DOUBLE))) AS target FROM capped),
+block AS (SELECT CAST(greatest(1, least(64, floor(min(target) / 256))) AS BIGINT) AS words FROM targets WHERE target > 0),
+seats AS (SELECT CAST(floor(CAST(sum(size) AS DOUBLE) / (SELECT words FROM block) + 0.5) AS BIGINT) AS n FROM sized),
+source_quotients AS (SELECT source, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS place FROM targets, range((SELECT n FROM seats)) AS r(k) WHERE target > 0),
+source_quotas AS (SELECT source, count(*) AS seats FROM source_quotients WHERE place <= (SELECT n FROM seats) GROUP BY source),
+line AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place FROM sized WHERE size > 0),
+shards AS (
+  SELECT source, place // 1048576 AS shard, CAST(sum(size) AS BIGINT) AS words, min(place) AS start FROM line GROUP BY ALL
+),
+shard_quotients AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard, k) AS place, seats
+  FROM (SELECT s.*, q.seats, unnest(range(q.seats)) AS k FROM shards s JOIN source_quotas q ON s.source IS NOT DISTINCT FROM q.source)
+),
+shard_quotas AS (SELECT source, shard, count(*) AS quota FROM shard_quotients WHERE place <= seats GROUP BY source, shard),
+asked AS (SELECT s.*, (SELECT words FROM block) AS b, least(coalesce(q.quota, 0) * (SELECT words FROM block), 3 * s.words) AS chosen
+  FROM shards s LEFT JOIN shard_quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.shard = q.shard),
+runs AS (SELECT *, chosen // words AS rounds, chosen % words AS rest, ((shard + 1) * 7919) % CAST(ceil(CAST(words AS DOUBLE) / b) AS BIGINT) * b AS first FROM asked),
+spans AS (
+  SELECT l.doc_id, l.size, l.source, r.rounds, r.words, l.place - r.start AS a, l.place - r.start + l.size AS z, r.first AS c, r.first + r.rest AS d
+  FROM line l JOIN runs r ON l.source IS NOT DISTINCT FROM r.source AND l.place // 1048576 = r.shard
+),
+taken AS (
+  SELECT doc_id, source, size, rounds * size + greatest(0, least(z, d) - greatest(a, c)) + greatest(0, least(z, d - words) - a) AS taken FROM spans
+  UNION ALL SELECT doc_id, source, size, 0 FROM sized WHERE size = 0
+)
+SELECT k.doc_id, k.size, t.source_size, t.target, CAST(k.taken AS BIGINT) AS taken FROM taken k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
 """,
 }
