@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweft.sources.written import written
+
 #: Entries of a worker's word cache; at about 250 bytes an entry this is some 50 MB. A full cache
 #: only stops growing: words beyond it are computed again, so results don't depend on it.
 CACHE_ENTRIES = 200_000
@@ -38,25 +40,10 @@ def worker_cache(key: object, make: Callable[[], object]):
     return _held[key]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a temporary one on a single machine, as in
-    tests; on a cluster other machines could not see that, so it is an error there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and reread it: lineage ends in a table that
     survives the loss of any executor, and nothing below it is computed twice."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/chronoweft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def release(*tables: DataFrame) -> None:
@@ -79,5 +66,32 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def with_carried(schema: str, df: DataFrame, carry: Sequence[str]) -> str:
-    """``schema`` with the columns of ``df`` that a per-row operator hands on."""
+    """``schema`` with the columns of ``df`` that a per-row operator hands on; they must not be named like its results."""
+    if taken := {p.split()[0] for p in schema.split(", ")} & set(carry):
+        raise ValueError(f"carried columns have names of results: {sorted(taken)}")
     return ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in carry))])
+
+
+def to_arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema as convert
+    from pyspark.sql.types import StructType
+
+    return convert(StructType.fromDDL(ddl))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, without a copy: only a part's texts need to become Python strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def texts(column: pa.Array) -> list[str]:
+    """Texts of a column; null ones are empty."""
+    return column.fill_null("").to_pylist()
+
+
+def with_columns(b: pa.RecordBatch, kinds: pa.Schema, made: dict[str, object]) -> pa.RecordBatch:
+    """A batch of the schema ``kinds`` from the values ``made`` and, for other names, the columns of ``b`` as they are."""
+    columns = [pa.array(made[f.name], f.type, from_pandas=True) if f.name in made else b.column(f.name).cast(f.type) for f in kinds]
+    return pa.RecordBatch.from_arrays(columns, schema=kinds)

@@ -13,11 +13,11 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, with_carried, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, slices, texts, to_arrow_schema, with_carried, with_columns, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights, sigmoid
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -205,28 +205,32 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tox
     give_back()
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = with_carried("doc_id long, held_out boolean, score double, predicted int, n_windows long", docs, carry)
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         both, blank = np.concatenate([w["f_w"], w["b_w"]], 1), np.concatenate([w["f_b"], w["b_b"]])
-        project = lambda words: _vectors(w, words) @ both + blank if words else np.zeros((0, 6 * HIDDEN), F32)
-        words = worker_cache(key, lambda: WordTable(project, CACHE_ENTRIES // 2))
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.iloc[at : at + 500]
-                split = [segments(t) for t in b["text"].fillna("")]
-                lengths = np.array([len(x) for x in split])
-                rows, vectors = words.find([s for x in split for s in x])
-                rows = np.append(rows, 0) if len(rows) else np.zeros(1, np.int64)
-                start, (doc, first) = np.cumsum(lengths) - lengths, windows(lengths)
-                top = np.full(len(b), -np.inf)
-                for i in range(0, len(doc), 2048):
-                    d = doc[i : i + 2048]
-                    place = first[i : i + 2048][None, :] + np.arange(WINDOW)[:, None]
-                    mask = place < lengths[d][None, :]
-                    x = vectors[rows[np.minimum(start[d][None, :] + place, len(rows) - 1)]]
-                    x[~mask] = blank
-                    np.maximum.at(top, d, _logits(w, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask))
-                score = sigmoid(top)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32), "n_windows": np.bincount(doc, minlength=len(b))} | {c: b[c] for c in carry})
-
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *(c for c in carry if c != "text")).mapInPandas(run, with_carried("doc_id long, held_out boolean, score double, predicted int, n_windows long", docs, carry))
+        words = worker_cache(key, lambda: WordTable(lambda words: _vectors(w, words), CACHE_ENTRIES // 2))
+        for b in slices(batches, 200):
+            split = [segments(t) for t in texts(b.column("text"))]
+            lengths = np.array([len(x) for x in split])
+            rows, vectors = words.find([s for x in split for s in x])
+            # the words of this part by their own numbers, each projected once; the last stands for none
+            used, rows = np.unique(rows, return_inverse=True)
+            x_of = np.concatenate([vectors[used] @ both + blank, blank[None, :]])
+            start, (doc, first) = np.cumsum(lengths) - lengths, windows(lengths)
+            top = np.full(len(split), -np.inf)
+            for i in range(0, len(doc), 2048):
+                d = doc[i : i + 2048]
+                place = first[i : i + 2048][None, :] + np.arange(WINDOW)[:, None]
+                mask = place < lengths[d][None, :]
+                at = np.full(mask.shape, len(used))
+                at[mask] = rows[(start[d][None, :] + place)[mask]]
+                x = x_of[at]
+                np.maximum.at(top, d, _logits(w, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], mask))
+            score = sigmoid(top)
+            yield with_columns(b, kinds, {"score": score, "predicted": (score >= threshold).astype(np.int32), "n_windows": np.bincount(doc, minlength=len(split))})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
+    return rows.mapInArrow(run, schema)
