@@ -13,11 +13,11 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, with_carried, worker_cache
+from chronoweft.llm.common import CACHE_ENTRIES, give_back, is_held_out, slices, texts, to_arrow_schema, with_carried, with_columns, worker_cache
 from chronoweft.llm.gru import F32, Adam, gru_back, gru_states, gru_weights
 from chronoweft.llm.words import WordTable, byte_matrix, segments
 
@@ -121,7 +121,7 @@ def rows_each(counts: Sequence[int], total: int) -> int:
 
 def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list[tuple[str, str]]:
     """Labelled rows outside the held-out fold, of each language those of the least hashes of the id: all, or
-    as many as share ``max_documents`` out evenly, ``LEAST_ROWS`` at least. Rows of more than ``max_chars`` characters
+    as many as share ``max_documents`` out evenly, ``LEAST_ROWS`` at least; one row of an id. Rows of more than ``max_chars`` characters
     are not drawn; drawn texts are whole."""
     labelled = docs.where("lang is not null and text is not null").where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False))).where(F.length("text") <= max_chars)
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -129,15 +129,17 @@ def training_sample(docs: DataFrame, max_documents: int, max_chars: int) -> list
         return []
     each = rows_each(list(counts.values()), max_documents)
     found = labelled.select(F.xxhash64("doc_id").alias("h"), "text", "lang")
-    # only hashes below a bound of the language are dealt out: about twice its rows
-    full = 2**63 - 1
-    bounds = [(lang, full if n <= 2 * each else int(-(2**63) + 2**64 * (2 * each / n))) for lang, n in counts.items()]
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    least = lambda rows: rows.withColumn("n", nth).where(F.col("n") <= each).orderBy("h", "lang", "text").collect()
-    rows = least(found.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound").drop("bound"))
-    got = Counter(r["lang"] for r in rows)
-    if any(got[lang] < min(each, n) for lang, n in counts.items()):
-        rows = least(found)
+    # only hashes below a bound of the language are dealt out, about twice its rows, and one row of an id; where ids repeat, that may be too few
+    full, widen = 2**63 - 1, 2
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    while True:
+        bounds = {lang: full if n <= widen * each else int(-(2**63) + 2**64 * (widen * each / n)) for lang, n in counts.items()}
+        near = found.join(F.broadcast(docs.sparkSession.createDataFrame([*bounds.items()], "lang string, bound long")), "lang").where("h <= bound")
+        rows = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("n", nth).where(F.col("n") <= each).orderBy("h", "lang").collect()
+        got = Counter(r["lang"] for r in rows)
+        if all(got[lang] >= min(each, n) or bounds[lang] == full for lang, n in counts.items()):
+            break
+        widen *= 8
     return [(r["text"], r["lang"]) for r in rows]
 
 
@@ -157,27 +159,27 @@ def language_id(docs: DataFrame, max_documents: int = 1600, max_chars: int = 10_
     give_back()
     shared, key = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = with_carried("doc_id long, held_out boolean, lang_pred string, score double, n_positions long", docs, carry)
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        words, n = worker_cache(key, lambda: WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES)), len(langs)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.iloc[at : at + 1000]
-                split = [segments(t) for t in b["text"].fillna("")]
-                rows, vectors = words.find([s for x in split for s in x])
-                ends = np.cumsum([len(x) for x in split])
-                sums = np.zeros((len(b), 2 * w["bias"].size + 1))
-                for i, (s, e) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-                    sums[i] = vectors[rows[s:e]].sum(0, dtype=np.float64)
-                positions = sums[:, -1]
-                best = sums[:, :n].argmax(1) if n else np.zeros(len(b), int)
-                score = sums[np.arange(len(b)), w["bias"].size + best] / np.maximum(positions, 1)
-                known = (positions > 0) & (n > 0)
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"], "held_out": b["held_out"],
-                    "lang_pred": [langs[i] if k else UNKNOWN for i, k in zip(best, known)],
-                    "score": np.where(known, np.clip(score, 0, 1), 0.0), "n_positions": positions.astype(np.int64),
-                } | {c: b[c] for c in carry})
-
-    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *(c for c in carry if c != "text"))
-    return rows.mapInPandas(run, with_carried("doc_id long, held_out boolean, lang_pred string, score double, n_positions long", docs, carry))
+        words, n = worker_cache(key, lambda: WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES // 2)), len(langs)
+        for b in slices(batches, 200):
+            split = [segments(t) for t in texts(b.column("text"))]
+            rows, vectors = words.find([s for x in split for s in x])
+            ends = np.cumsum([len(x) for x in split])
+            sums = np.zeros((len(split), 2 * w["bias"].size + 1))
+            for i, (s, e) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+                sums[i] = vectors[rows[s:e]].sum(0, dtype=np.float64)
+            positions = sums[:, -1]
+            best = sums[:, :n].argmax(1) if n else np.zeros(len(split), int)
+            score = sums[np.arange(len(split)), w["bias"].size + best] / np.maximum(positions, 1)
+            known = (positions > 0) & (n > 0)
+            yield with_columns(b, kinds, {
+                "lang_pred": [langs[i] if k else UNKNOWN for i, k in zip(best, known)],
+                "score": np.where(known, np.clip(score, 0, 1), 0.0), "n_positions": positions.astype(np.int64),
+            })
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
+    return rows.mapInArrow(run, schema)
