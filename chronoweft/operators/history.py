@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
+from chronoweft.operators.prefix import numbers_within
 from chronoweft.operators.scorers import KEY
 from chronoweft.sources.tables import adjacency, first_contacts
 from chronoweft.sources.written import written
@@ -14,8 +15,7 @@ from chronoweft.sources.written import written
 def numbered_events(events: DataFrame) -> DataFrame:
     """Every event at both its ends (node, nbr), in its direction (role out or in), with ``seq``, its number in the node's order (ts,
     eid; a self-loop's outgoing entry first)."""
-    order = Window.partitionBy("node").orderBy("ts", "eid", F.desc("role"))
-    return adjacency(events).withColumn("seq", F.row_number().over(order).cast("long"))
+    return numbers_within(adjacency(events), ["node"], [F.col("ts"), F.col("eid"), F.desc("role")], "seq")
 
 
 def endpoint_history(seq: DataFrame, q: DataFrame, end: str, size: int, reach: float | None = None) -> DataFrame:

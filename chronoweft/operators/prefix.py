@@ -35,6 +35,26 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 
+def totals_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """As ``running_totals``, but within each value of ``keys``, whose rows lie in as many ranges as they need: the totals over all rows in the
+    order of (keys, order) less those before the key's first row. Keys must not be null."""
+    out = running_totals(df, [*map(F.col, keys), *order], sums)
+    start = out.groupBy(*keys).agg(*(F.min(F.col(n) - F.col(c)).alias(f"_{n}") for n, c in sums.items()))
+    return out.join(start, list(keys)).select(*df.columns, *((F.col(n) - F.col(f"_{n}")).alias(n) for n in sums))
+
+
+def numbers_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place, from 1, among the rows of its ``keys``."""
+    return totals_within(df.withColumn("_one", F.lit(1).cast("long")), keys, order, {name: "_one"}).drop("_one")
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the row before in the same ``keys`` (name: column; null for the first), met by its number."""
+    placed = written(numbers_within(df, keys, order, "_n"), "numbered")
+    before = placed.select(*keys, (F.col("_n") + 1).alias("_n"), *(F.col(c).alias(n) for n, c in columns.items()))
+    return placed.join(before, [*keys, "_n"], "left").select(*df.columns, *columns)
+
+
 def batches(df: DataFrame, order: Sequence[Column], size: int, name: str = "batch") -> DataFrame:
     """Consecutive rows in groups of ``size``; the last group may be smaller."""
     return row_numbers(df, order, name).withColumn(name, F.floor(F.col(name) / size))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweft.operators.calibration import earlier_quantiles, earlier_share
 from chronoweft.operators.prefix import quantiles, running_totals
 from chronoweft.operators.ranking import auc_and_ap, balanced_threshold, cumulative_by_score, levels
 from chronoweft.sources.tables import draw
@@ -247,31 +248,6 @@ def policy_change(rows: DataFrame, base: str, hybrid: str, label: str = "label")
     return a.join(b).select("base_auc", "base_ap", "auc", "ap", (F.col("auc") - F.col("base_auc")).alias("auc_change"), (F.col("ap") - F.col("base_ap")).alias("ap_change"))
 
 
-def earlier_counts(rows: DataFrame, value: str, t: str = "t") -> DataFrame:
-    """For each time asked, the number of earlier rows of each value up to it: t, v, c. Work and result are times by distinct values, so it is for
-    signals of few values (counts, levels, rounded scores)."""
-    per = rows.groupBy(F.col(t).alias("t"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    times, values = rows.select(F.col(t).alias("t")).distinct(), per.select("v").distinct()
-    grid = values.join(times, how="cross").join(per, ["t", "v"], "left").na.fill(0, ["c"])
-    w = Window.partitionBy("v").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    return grid.select("t", "v", F.sum("c").over(w).alias("c")).where("c > 0")
-
-
-def earlier_quantiles(rows: DataFrame, value: str, at: Sequence[float], t: str = "t") -> DataFrame:
-    """Linear quantiles of the values at strictly earlier times: t, and ``q0``, ``q1``, ... for each time with any."""
-    counts = earlier_counts(rows, value, t)
-    w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy("t"))})
-    aggs = []
-    for j, p in enumerate(at):
-        low = F.floor((F.col("n") - 1) * F.lit(p))
-        for name, k in ((f"a{j}", low), (f"b{j}", F.least(low + 1, F.col("n") - 1))):
-            aggs.append(F.max(F.when((k < F.col("upto")) & (k >= F.col("upto") - F.col("c")), F.col("v"))).alias(name))
-    got = run.groupBy("t").agg(F.first("n").alias("n"), *aggs)
-    value_at = lambda j, p: F.col(f"a{j}") + (F.col(f"b{j}") - F.col(f"a{j}")) * ((F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p)))
-    return got.select("t", *(value_at(j, p).alias(f"q{j}") for j, p in enumerate(at)))
-
-
 def sequential_levels(rows: DataFrame, value: str, low: float = 0.3, high: float = 0.7) -> DataFrame:
     """``level`` of each row by the quantiles of the values at earlier times only; Modest before there are any."""
     found = earlier_quantiles(rows, value, [low, high])
@@ -301,14 +277,7 @@ def expert_labels(rows: DataFrame, score: str, mode: str = "global", threshold:
 def sequential_pseudo_rank(rows: DataFrame, score: str, bins: int) -> DataFrame:
     """``pseudo_rank`` from 1 (best) to ``bins`` by the share of earlier scores up to the row's: round((1 - share)(bins - 1)) + 1, and (bins + 1) // 2
     before there are any."""
-    counts = earlier_counts(rows, score)
-    w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.select("t", "v", F.sum("c").over(w).alias("upto"))
-    total = run.groupBy("t").agg(F.max("upto").alias("n"))
-    # the largest earlier value up to each score: values and scores of a time in one order
-    asked = rows.select("t", F.col(score).alias("v")).distinct()
-    both = run.unionByName(asked.join(run.select("t", "v"), ["t", "v"], "left_anti"), allowMissingColumns=True)
-    share = both.withColumn("upto", F.coalesce(F.max("upto").over(w), F.lit(0))).join(total, "t").select("t", F.col("v").alias(score), (F.col("upto") / F.col("n")).alias("_share"))
+    share = earlier_share(rows, score).select("t", F.col("v").alias(score), F.col("share").alias("_share"))
     rank = F.floor((1 - F.col("_share")) * (bins - 1) + 0.5) + 1
     return rows.join(share, ["t", score], "left").withColumn("pseudo_rank", F.coalesce(rank, F.lit((bins + 1) // 2))).drop("_share")
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
-from chronoweft.operators.prefix import row_numbers
+from chronoweft.operators.prefix import numbers_within, row_numbers
 from chronoweft.operators.splits import historical_candidates
 from chronoweft.sources.tables import adjacency, draw, target_pool
+from chronoweft.sources.written import written
 
 
 def random_negatives(events: DataFrame, positives: DataFrame, per: int, seed: int = 0, first: int = 1) -> DataFrame:
@@ -25,7 +26,7 @@ def mixed_negatives(events: DataFrame, positives: DataFrame, per: int, share: fl
     n_random = int(per * share)
     anyway = random_negatives(events, positives, per)
     old = historical_candidates(events, start, end).select(F.col("u").alias("src"), F.col("i").alias("old"))
-    old = old.withColumn("idx", F.row_number().over(Window.partitionBy("src").orderBy("old")) - 1)
+    old = written(numbers_within(old, ["src"], [F.col("old")], "idx").withColumn("idx", F.col("idx") - 1), "earlier-targets")
     sizes = old.groupBy("src").agg(F.count("*").alias("size"))
     wanted = anyway.join(sizes, "src", "left").withColumn("idx", F.when((F.col("k") > n_random) & (F.col("size") > 0), draw(F.col("eid"), F.col("k"), F.col("size"))))
     picked = wanted.join(old, ["src", "idx"], "left")
@@ -34,7 +35,7 @@ def mixed_negatives(events: DataFrame, positives: DataFrame, per: int, share: fl
 
 def numbered(events: DataFrame) -> DataFrame:
     """Adjacency with ``seq``, the event's number in its node's order (ts, eid, nbr)."""
-    return adjacency(events).withColumn("seq", F.row_number().over(Window.partitionBy("node").orderBy("ts", "eid", "nbr")).cast("long"))
+    return numbers_within(adjacency(events), ["node"], [F.col("ts"), F.col("eid"), F.col("nbr"), F.desc("role")], "seq")
 
 
 def recent_events(seq: DataFrame, asked: DataFrame, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
-from chronoweft.operators.prefix import quantiles
+from chronoweft.operators.prefix import numbers_within, quantiles, with_previous
 from chronoweft.sources.tables import adjacency, first_contacts
 from chronoweft.sources.written import written
 
@@ -85,7 +85,8 @@ def repeat_interval(events: DataFrame) -> DataFrame:
 
 def transitions(events: DataFrame) -> DataFrame:
     """(a, b, ts): item b in a user's basket at ts, item a in the basket before; baskets are equal times."""
-    baskets = events.select("u", "i", "ts").distinct().withColumn("n", F.dense_rank().over(Window.partitionBy("u").orderBy("ts")))
+    turns = numbers_within(events.select("u", "ts").distinct(), ["u"], [F.col("ts")], "n")
+    baskets = written(events.select("u", "i", "ts").distinct().join(turns, ["u", "ts"]), "baskets")
     before = baskets.select("u", F.col("i").alias("a"), (F.col("n") + 1).alias("n"))
     return baskets.join(before, ["u", "n"]).select("a", F.col("i").alias("b"), "ts")
 
@@ -105,7 +106,7 @@ def markov(events: DataFrame, q: DataFrame) -> DataFrame:
 def recent_neighbors(events: DataFrame, q: DataFrame, size: int) -> DataFrame:
     """The source's last ``size`` events before t (ties by eid), by sequence numbers: the window counts the
     events before t, and an equality join picks the numbers just below."""
-    seq = adjacency(events).withColumn("seq", F.row_number().over(Window.partitionBy("node").orderBy("ts", "eid", "nbr")))
+    seq = numbers_within(adjacency(events), ["node"], [F.col("ts"), F.col("eid"), F.col("nbr"), F.desc("role")], "seq")
     found = asof_aggregate(seq.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": ("count", F.col("ts"))})
     wanted = attach(q, found, {"src": "node"}).select(*KEY, F.col("src").alias("node"), F.explode(F.sequence(F.greatest(F.col("n") - size + 1, F.lit(1)), F.greatest("n", F.lit(1)))).alias("seq"), "n").where("n > 0")
     return wanted.join(seq.select("node", F.col("seq").cast("long"), "nbr", "ts"), ["node", "seq"]).select(*KEY, (F.col("n") - F.col("seq")).alias("age"), "nbr", "ts")
@@ -115,7 +116,6 @@ def time_shifts(events: DataFrame) -> DataFrame:
     """Mean and population deviation of the gaps to a node's previous event, by role; the first gap is its time."""
     out = []
     for role in ("u", "i"):
-        w = Window.partitionBy(role).orderBy("ts", "eid")
-        gap = F.col("ts") - F.coalesce(F.lag("ts").over(w), F.lit(0))
-        out.append(events.select(gap.alias("gap")).agg(F.avg("gap").alias("mean_shift"), F.stddev_pop("gap").alias("std_shift")).select(F.lit(role).alias("role"), "*"))
+        before = with_previous(events.select(role, "ts", "eid"), [role], [F.col("ts"), F.col("eid")], {"last": "ts"})
+        out.append(before.select((F.col("ts") - F.coalesce("last", F.lit(0))).alias("gap")).agg(F.avg("gap").alias("mean_shift"), F.stddev_pop("gap").alias("std_shift")).select(F.lit(role).alias("role"), "*"))
     return out[0].union(out[1])
