@@ -35,6 +35,11 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``, by their numbers: no task gathers them all, whatever share of the table they are."""
+    return row_numbers(df, order, "_place").where(F.col("_place") < n).drop("_place")
+
+
 def totals_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """As ``running_totals``, but within each value of ``keys``, whose rows lie in as many ranges as they need: the totals over all rows in the
     order of (keys, order) less those before the key's first row. Keys must not be null."""

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.calibration import earlier_quantiles, earlier_share
-from chronoweft.operators.prefix import quantiles, running_totals
+from chronoweft.operators.prefix import first_rows, quantiles, row_numbers, running_totals
 from chronoweft.operators.ranking import auc_and_ap, balanced_threshold, cumulative_by_score, levels
 from chronoweft.sources.tables import draw
+from chronoweft.sources.written import written
 
 
 def minmax_scores(rows: DataFrame, score: str, name: str) -> DataFrame:
@@ -28,19 +29,19 @@ def budget(fraction: float, n: int) -> int:
 
 def random_budget(rows: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """A share of the rows, those of the least draws of (eid, k)."""
-    return rows.orderBy(draw(F.col("eid"), F.col("k"), F.lit(2147483647), seed), "eid", "k").limit(budget(fraction, rows.count()))
+    return first_rows(rows, [draw(F.col("eid"), F.col("k"), F.lit(2147483647), seed), F.col("eid"), F.col("k")], budget(fraction, rows.count()))
 
 
 def top_rows(rows: DataFrame, priority: str, n: int, tie: Sequence[str] = ("eid", "k")) -> DataFrame:
-    return rows.orderBy(F.desc(priority), *tie).limit(n)
+    return first_rows(rows, [F.desc(priority), *map(F.col, tie)], n)
 
 
 def core_and_shell(rows: DataFrame, uncertainty: str, learned: str, route: int, core: int, candidates: int, tie: Sequence[str] = ("eid", "k")) -> DataFrame:
     """``route`` rows with ``part``: the ``core`` most uncertain, and from the next ones, up to ``candidates`` in all, those of the largest learned value."""
-    near = top_rows(rows, uncertainty, candidates, tie).withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(uncertainty), *tie)))  # candidates are a budget
-    inner = near.where(F.col("_place") <= core).withColumn("part", F.lit("core"))
-    outer = top_rows(near.where(F.col("_place") > core), learned, route - core, tie).withColumn("part", F.lit("shell"))
-    return inner.unionByName(outer).drop("_place")
+    near = written(row_numbers(rows, [F.desc(uncertainty), *map(F.col, tie)], "_turn").where(F.col("_turn") < candidates), "candidates")
+    inner = near.where(F.col("_turn") < core).withColumn("part", F.lit("core"))
+    outer = top_rows(near.where(F.col("_turn") >= core), learned, route - core, tie).withColumn("part", F.lit("shell"))
+    return inner.unionByName(outer).drop("_turn")
 
 
 def threshold_band(rows: DataFrame, score: str, low: float, high: float) -> DataFrame:
@@ -56,7 +57,7 @@ def uncertainty_band(rows: DataFrame, score: str, label: str, fraction: float) -
     center = balanced_threshold(rows, score, label).first()["threshold"]
     n = rows.count()
     wanted = budget(fraction, n)
-    chosen = rows.withColumn("_gap", F.abs(F.col(score) - center)).orderBy("_gap", "eid", "k").limit(wanted).agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
+    chosen = first_rows(rows.withColumn("_gap", F.abs(F.col(score) - center)), [F.col("_gap"), F.col("eid"), F.col("k")], wanted).agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
     low, high = (float(center), float(center)) if not wanted else (float(chosen["lo"]), float(np.nextafter(float(chosen["hi"]), np.inf)))
     inside = (F.col(score) >= low) & (F.col(score) < high)
     return rows.agg(
@@ -298,7 +299,7 @@ def fuse_in_pools(scored: DataFrame, columns: Sequence[str], k: int = 60) -> Dat
 def support_rows(rows: DataFrame, score: str, center: float, fraction: float) -> DataFrame:
     """``routed``: whether a row is among the share nearest to the center; ``diagnostic`` is its gap if so, else null."""
     near = rows.withColumn("_gap", F.abs(F.col(score) - center))
-    chosen = near.orderBy("_gap", "eid", "k").limit(budget(fraction, rows.count())).select("eid", "k", F.lit(True).alias("routed"))
+    chosen = first_rows(near, [F.col("_gap"), F.col("eid"), F.col("k")], budget(fraction, rows.count())).select("eid", "k", F.lit(True).alias("routed"))
     out = near.join(chosen, ["eid", "k"], "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
     return out.withColumn("diagnostic", F.when(F.col("routed"), F.col("_gap"))).drop("_gap")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import text as T
 from chronoweft.operators import ranking as R
+from chronoweft.operators import registry
 from chronoweft.operators import scorers as S
 from chronoweft.operators import semantic as V
 from chronoweft.operators import splits as P
@@ -91,6 +92,13 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     return written(R.reciprocal_rank_fusion(scores, ["recency", "popularity", "past", "ra"]).withColumn("label", (F.col("k") == 0).cast("int")), "fused")
 
 
+def scored(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The named scores of every query, and no others; written, as metrics read them several times."""
+    events, q = _graph(spark, d)
+    rows = registry.scores(events, written(q, "queries"), columns)
+    return written(rows.withColumns({"label": (F.col("k") == 0).cast("int")} | ({"ra": F.round("ra", 9)} if "ra" in columns else {})), "scored")
+
+
 @query(f"WITH {_EDGES}, {_SPLIT} SELECT split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM split GROUP BY split")
 def chronological_split(spark, d):
     return P.chronological(written(D.edges(spark, d), "events")).groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -215,45 +223,45 @@ def fusion_mrr_hits(spark, d):
 
 @query(f"WITH {_EDGES}, {_FUSED}, {_RANKED} SELECT round(sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS ap FROM cum")
 def popularity_auc_ap(spark, d):
-    return _rounded(R.auc_and_ap(fused(spark, d), "popularity"), "auc", "ap")
+    return _rounded(R.auc_and_ap(scored(spark, d, "popularity"), "popularity"), "auc", "ap")
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, {_RANKED}, t AS (SELECT s AS threshold, round((tp / sum(p) OVER () + 1 - fp / sum(n) OVER ()) / 2, 9) AS balanced_accuracy FROM cum)
 SELECT threshold, balanced_accuracy FROM t ORDER BY balanced_accuracy DESC, threshold LIMIT 1""")
 def balanced_threshold(spark, d):
-    return R.balanced_threshold(fused(spark, d), "popularity")
+    return R.balanced_threshold(scored(spark, d, "popularity"), "popularity")
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, c AS (SELECT quantile_cont(popularity, 0.3) AS lo, quantile_cont(popularity, 0.7) AS hi FROM fused)
 SELECT eid, k, CASE WHEN lo = hi THEN 'Modest' WHEN popularity >= hi THEN 'High' WHEN popularity <= lo THEN 'Low' ELSE 'Modest' END AS level FROM fused, c""")
 def level_buckets(spark, d):
-    return R.level_buckets(fused(spark, d), "popularity").select("eid", "k", "level")
+    return R.level_buckets(scored(spark, d, "popularity"), "popularity").select("eid", "k", "level")
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, b AS (SELECT min(popularity) AS lo, max(popularity) AS hi FROM fused WHERE k <= 1)
 SELECT eid, k, round(greatest(0, least(1, (popularity - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END))), 9) AS popularity FROM fused, b""")
 def minmax_scaled(spark, d):
-    rows = fused(spark, d).select("eid", "k", "popularity")
+    rows = scored(spark, d, "popularity").select("eid", "k", "popularity")
     return _rounded(R.minmax(rows, R.fit_bounds(rows.where("k <= 1"), ["popularity"]), ["popularity"]), "popularity", digits=9)
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, {_BATCH}, w AS (SELECT eid, k, popularity, batch, count(*) OVER (PARTITION BY batch) AS n, row_number() OVER (PARTITION BY batch ORDER BY popularity, eid, k) - 1 AS pos FROM fused JOIN bat USING (eid))
 SELECT eid, k, popularity, batch FROM w WHERE pos >= greatest((n - 50) // 2, 0) AND pos < greatest((n - 50) // 2, 0) + 50""")
 def middle_band(spark, d):
-    rows = _in_batches(fused(spark, d)).select("eid", "k", "popularity", "batch")
+    rows = _in_batches(scored(spark, d, "popularity")).select("eid", "k", "popularity", "batch")
     return R.middle_band(rows, "popularity", "batch", 50, ["eid", "k"])
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, {_RANKED} SELECT round(max(abs(tp / (SELECT sum(p) FROM cum) - fp / (SELECT sum(n) FROM cum))), 9) AS ks FROM cum""")
 def ks_distance(spark, d):
-    return _rounded(R.ks_distance(fused(spark, d), "popularity", "label"), "ks", digits=9)
+    return _rounded(R.ks_distance(scored(spark, d, "popularity"), "popularity", "label"), "ks", digits=9)
 
 
 @query(f"""WITH {_EDGES}, {_FUSED}, ref AS (SELECT popularity AS v FROM fused WHERE k = 0), n AS (SELECT count(*) AS n FROM ref),
 x AS (SELECT popularity AS v, (SELECT count(*) FROM ref WHERE ref.v < f.popularity) AS lt, (SELECT count(*) FROM ref WHERE ref.v <= f.popularity) AS le, eid, k FROM fused f)
 SELECT eid, k, round(CASE WHEN n <= 1 THEN 50 ELSE greatest(0, least(100, (lt + le - 1) / 2 / (n - 1) * 100)) END, 6) AS percentile FROM x, n""")
 def score_percentile(spark, d):
-    rows = fused(spark, d).select("eid", "k", "popularity")
+    rows = scored(spark, d, "popularity").select("eid", "k", "popularity")
     return _rounded(R.percentile_of(rows, rows.where("k = 0"), "popularity").select("eid", "k", "percentile"), "percentile")
 
 
