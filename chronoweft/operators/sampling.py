@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate, attach
-from chronoweft.operators.prefix import numbers_within, row_numbers
+from chronoweft.operators.prefix import batches, numbers_within, row_numbers
 from chronoweft.operators.splits import historical_candidates
 from chronoweft.sources.tables import adjacency, draw, target_pool
 from chronoweft.sources.written import written
@@ -58,33 +58,77 @@ def unique_pairs(events: DataFrame, start: float, end: float) -> DataFrame:
     return events.where(F.col("ts").between(start, end)).select("u", "i").distinct()
 
 
-def _taken(batch: DataFrame) -> DataFrame:
-    return batch.select(F.col("u").alias("src"), F.col("i").alias("tgt")).distinct()
-
-
-def checked_negatives(events: DataFrame, positives: DataFrame, per: int, batch: DataFrame, tries: int = 8) -> DataFrame:
-    """``per`` drawn targets of every positive that form no pair of ``batch`` (u, i) with its source: of ``tries`` times as many draws the first
-    that pass. A positive for which too few pass has fewer."""
-    drawn = random_negatives(events, positives, per * tries).join(_taken(batch), ["src", "tgt"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("eid").orderBy("k"))
-    return drawn.withColumn("k", place).where(F.col("k") <= per)
-
-
-def historical_negatives(events: DataFrame, positives: DataFrame, start: float, end: float, observed_until: float | None = None, least_gap: float = 0) -> DataFrame:
-    """A negative pair for each positive (eid, t): the first of the pairs seen before ``start`` but not in [start, end], last seen at least
-    ``least_gap`` before ``start`` (and, with ``observed_until``, first seen after that), in the order of their draws; random pairs outside the batch where they
-    are too few. eid, src, tgt, t, kind."""
-    seen = events.where(F.col("ts") < start).groupBy("u", "i").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    batch = events.where(F.col("ts").between(start, end)).select("u", "i").distinct()
-    pool = seen.where(F.col("last_ts") <= start - least_gap).join(batch, ["u", "i"], "left_anti")
-    pool = pool if observed_until is None else pool.where(F.col("first_ts") > observed_until)
-    order = draw(F.col("u"), F.col("i"), F.lit(2147483647))
-    pool = row_numbers(pool.select("u", "i", order.alias("h")), [F.col("h"), F.col("u"), F.col("i")], "n")
-    asked = row_numbers(positives.select("eid", "t"), [F.col("t"), F.col("eid")], "n")
-    got = asked.join(pool.select("n", F.col("u").alias("src"), F.col("i").alias("tgt")), "n", "left")
-    fill = checked_negatives(events, positives, 1, batch).select("eid", F.col("src").alias("any_src"), F.col("tgt").alias("any_tgt"))
-    out = got.join(fill, "eid", "left")
-    return out.select("eid", F.coalesce("src", "any_src").alias("src"), F.when(F.col("src").isNull(), F.col("any_tgt")).otherwise(F.col("tgt")).alias("tgt"), "t", F.when(F.col("src").isNull(), "random").otherwise("historical").alias("kind"))
+def free_targets(asked: DataFrame, taken: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """``asked`` (keys, eid, k) with ``tgt``: a drawn one of the pool's targets (node, idx) that ``taken`` (keys, tgt) leaves free. The draw is a place among
+    the free ones, so it needs no second try: a taken target of number e with j taken ones before it has e - j free ones before it, and those up to the place move it on. Where nothing
+    is free, any target is drawn."""
+    size = pool.agg(F.count("*").alias("_all"))
+    held = written(numbers_within(taken.distinct().join(pool.withColumnRenamed("node", "tgt"), "tgt").select(*keys, "idx"), keys, [F.col("idx")], "_j"), "taken")
+    counts = held.groupBy(*keys).agg(F.count("*").alias("_held"))
+    slots = asked.join(counts, keys, "left").join(F.broadcast(size)).withColumn("_free", F.col("_all") - F.coalesce("_held", F.lit(0)))
+    slots = written(slots.withColumn("_at", draw(F.col("eid"), F.col("k"), F.when(F.col("_free") > 0, F.col("_free")).otherwise(F.col("_all")))), "slots")
+    before = held.select(*keys, (F.col("idx") - F.col("_j") + 1).alias("ts"))
+    moved = asof_aggregate(before, slots.where("_free > 0").select(*keys, (F.col("_at") + 1).alias("t")), keys, {"_up": ("count", F.col("ts"))}, width=4096)
+    out = slots.withColumn("t_", F.col("_at") + 1).join(moved.withColumnRenamed("t", "t_"), [*keys, "t_"], "left")
+    return out.withColumn("idx", F.col("_at") + F.coalesce("_up", F.lit(0))).join(pool, "idx").select(*asked.columns, F.col("node").alias("tgt"))
+
+
+def checked_negatives(events: DataFrame, positives: DataFrame, per: int, batch: DataFrame) -> DataFrame:
+    """``per`` drawn targets of every positive (eid, src, t) that form no pair of ``batch`` (u, i) with its source, whatever share of the targets it has taken; any
+    targets for a source that has taken all."""
+    slots = positives.select("eid", "src", "t", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("k"))
+    found = free_targets(slots, batch.select(F.col("u").alias("src"), F.col("i").alias("tgt")), target_pool(events), ["src"])
+    return found.select("eid", "k", "src", "tgt", "t")
+
+
+def _first(rows: DataFrame, wanted: DataFrame, order: list, name: str) -> DataFrame:
+    """Of each batch the first ``need`` (of ``wanted``: batch, need) rows in ``order``, numbered from 0."""
+    placed = numbers_within(rows, ["batch"], order, name).withColumn(name, F.col(name) - 1)
+    return placed.join(wanted, "batch").where(F.col(name) < F.col("need")).drop("need")
+
+
+def batch_negatives(events: DataFrame, positives: DataFrame, size: int = 64, observed_until: float | None = None, least_gap: float = 0, tries: int = 4) -> DataFrame:
+    """A negative pair for each positive (eid, src, t), drawn anew for every batch of ``size`` consecutive ones: eid, src, tgt, t, batch, kind.
+
+    A batch draws without replacement from the pairs first seen before it starts (and, with ``observed_until``, after that), last seen at least ``least_gap`` before, that do not
+    occur between its first and last time. Pairs are numbered by their first time, so those a batch may draw are a stretch of numbers. ``tries`` draws for each positive come
+    first; a batch that they leave short takes the rest from all pairs that it may draw, in an order of its own. Only where there
+    are no more, the positive's source gets a drawn target that forms no pair of the batch (``random``).
+    """
+    ends = batches(positives, [F.col("t"), F.col("eid")], size)
+    ends = written(numbers_within(ends.select("batch", "eid", "src", "t"), ["batch"], [F.col("t"), F.col("eid")], "place").withColumn("place", F.col("place") - 1), "batches")
+    spans = ends.groupBy("batch").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("need"))
+    pairs = written(row_numbers(events.groupBy("u", "i").agg(F.min("ts").alias("first_ts")), [F.col("first_ts"), F.col("u"), F.col("i")], "idx"), "pairs")
+    low = 0 if observed_until is None else pairs.where(F.col("first_ts") <= observed_until).count()
+    known = asof_aggregate(pairs.select(F.lit(0).alias("one"), F.col("first_ts").alias("ts")), spans.select(F.lit(0).alias("one"), F.col("start").alias("t")), ["one"], {"high": ("count", F.col("ts"))})
+    spans = written(spans.join(known.select(F.col("t").alias("start"), "high"), "start").withColumn("low", F.lit(low).cast("long")), "spans")
+
+    def allowed(drawn: DataFrame) -> DataFrame:
+        """Of drawn (batch, idx, ...) those that the batch may take, with u and i: each pair's last event before the start, and up to the end, are looked up."""
+        at = written(drawn.join(pairs, "idx").join(spans.select("batch", "start", "end"), "batch"), "drawn-pairs")
+        past = events.select("u", "i", "ts")
+        times = at.select("u", "i", F.explode(F.array("start", "end")).alias("t"))
+        last = written(asof_aggregate(past, times, ["u", "i"], {"last": ("max", F.col("ts"))}), "last-events")
+        found = at.join(last.select("u", "i", F.col("t").alias("start"), F.col("last").alias("before")), ["u", "i", "start"])
+        found = found.join(last.select("u", "i", F.col("t").alias("end"), F.col("last").alias("within")), ["u", "i", "end"])
+        found = found.where((F.col("start") - F.col("before") >= least_gap) & (F.col("within") < F.col("start")))
+        return found.join(past.withColumnRenamed("ts", "end"), ["u", "i", "end"], "left_anti").select(*drawn.columns, "u", "i")
+
+    slots = spans.where("high > low").select("batch", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") * tries - 1)).alias("j"))
+    drawn = slots.select("batch", (F.col("low") + draw(F.col("batch"), F.col("j"), F.col("high") - F.col("low"))).alias("idx"), "j").groupBy("batch", "idx").agg(F.min("j").alias("j"))
+    got = written(_first(allowed(drawn), spans.select("batch", "need"), [F.col("j")], "place").select("batch", "place", "idx", "u", "i"), "drawn")
+    have = got.groupBy("batch").agg(F.count("*").alias("have"))
+    short = written(spans.join(have, "batch", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need"), "short-batches")
+    every = short.where("high > low").select("batch", F.explode(F.sequence("low", F.col("high") - 1)).alias("idx")).join(got.select("batch", "idx"), ["batch", "idx"], "left_anti")
+    order = [draw(F.col("idx"), F.col("batch"), F.lit(2147483647)), F.col("idx")]
+    more = _first(allowed(every), short.select("batch", (F.col("need") - F.col("have")).alias("need")), order, "nth").join(short.select("batch", "have"), "batch")
+    got = written(got.unionByName(more.select("batch", (F.col("have") + F.col("nth")).alias("place"), "idx", "u", "i")), "taken-pairs")
+    named = ends.join(got, ["batch", "place"], "left")
+    bare = written(named.where("u is null").select("batch", "eid", "src", "t").join(spans.select("batch", "start", "end"), "batch"), "bare")
+    here = bare.select("src", "start", "end").distinct().join(events.select(F.col("u").alias("src"), F.col("i").alias("tgt"), "ts"), "src").where("ts between start and end")
+    fill = free_targets(bare.withColumn("k", F.lit(1)), here.select("src", "start", "end", "tgt"), target_pool(events), ["src", "start", "end"])
+    out = named.where("u is not null").select("eid", F.col("u").alias("src"), F.col("i").alias("tgt"), "t", "batch", F.lit("historical").alias("kind"))
+    return out.unionByName(fill.select("eid", "src", "tgt", "t", "batch", F.lit("random").alias("kind")))
 
 
 def canonical_groups(positives: DataFrame, size: int = 256) -> DataFrame:
@@ -152,13 +196,50 @@ def training_pools(samples: DataFrame, entities: DataFrame, pools: int, size: in
     return anchors.unionByName(found.select("eid", "src", "t", "pool", "place", F.col("node").alias("target")))
 
 
-def interval_weights(events: DataFrame, q: DataFrame, rate: float) -> DataFrame:
-    """Chances of the source's earlier events in a time-aware draw: with interval d to the event before, the running share d / (sum of the d up to here),
-    no chance where that sum is 0, softmax of ``rate`` times the share. eid, k, nbr, ts, chance."""
-    gaps = adjacency(events).withColumn("d", F.col("ts") - F.coalesce(F.lag("ts").over(Window.partitionBy("node").orderBy("ts", "eid", F.desc("role"))), F.lit(0)))
-    rows = q.select("eid", "k", F.col("src").alias("node"), "t").join(gaps.select("node", "nbr", "ts", "d"), "node").where("ts < t")
-    w = Window.partitionBy("eid", "k")
-    run = F.sum("d").over(w.orderBy("ts", F.col("d").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("run", run).withColumn("x", F.when(F.col("run") > 0, rate * F.col("d") / F.col("run")).otherwise(-1e10))
-    rows = rows.withColumn("e", F.exp(F.col("x") - F.max("x").over(w)))
-    return rows.select("eid", "k", "nbr", "ts", (F.col("e") / F.sum("e").over(w)).alias("chance"))
+def interval_weights(events: DataFrame, rate: float, block: int = 4096) -> DataFrame:
+    """Every event at both its ends (node, nbr, ts, seq) with ``weight``, its part in a time-aware draw from the node's first events, and ``from`` and ``upto``, the sums of the
+    weights before and up to it. With x = exp(rate * (ts - the node's last time)), a weight is exp(x / the sum of the x up to it), and 0 where that sum is 0. Sums within a node
+    go by blocks of ``block`` events and over one row for each block."""
+    last = adjacency(events).groupBy("node").agg(F.max("ts").alias("_last"))
+    rows = numbered(events).join(last, "node").withColumn("_x", F.exp(F.lit(rate) * (F.col("ts") - F.col("_last")))).withColumn("_block", F.floor(F.col("seq") / block))
+
+    def with_sum(df: DataFrame, column: str, name: str, before_name: str | None = None) -> DataFrame:
+        df = written(df, "weights")
+        before = Window.partitionBy("node").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = df.groupBy("node", "_block").agg(F.sum(column).alias("_s")).select("node", "_block", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_before"))
+        here = Window.partitionBy("node", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        less = Window.partitionBy("node", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        made = {name: F.sum(column).over(here)} | ({before_name: F.coalesce(F.sum(column).over(less), F.lit(0.0))} if before_name else {})
+        return df.withColumns(made).join(sums, ["node", "_block"]).withColumns({n: F.col(n) + F.col("_before") for n in made}).drop("_before")
+
+    weighed = with_sum(rows, "_x", "_run").withColumn("weight", F.when(F.col("_run") > 0, F.exp(F.col("_x") / F.col("_run"))).otherwise(0.0))
+    return with_sum(weighed, "weight", "upto", "from").select("node", "nbr", "ts", "seq", "weight", "from", "upto")
+
+
+def interval_chances(weighed: DataFrame, q: DataFrame) -> DataFrame:
+    """Chance of each earlier time of the source in a time-aware draw: eid, k, ts, n (its events), chance. Alike if all weights are 0."""
+    per = weighed.groupBy("node", "ts").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    asked = q.select(F.col("src").alias("node"), "t").distinct()
+    rows = asked.join(per, "node").where("ts < t")
+    total = rows.groupBy("node", "t").agg(F.sum("w").alias("all"), F.sum("n").alias("events"))
+    chance = F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(F.col("n") / F.col("events"))
+    found = rows.join(total, ["node", "t"]).select("node", "t", "ts", "n", chance.alias("chance"))
+    return q.select("eid", "k", F.col("src").alias("node"), "t").join(found, ["node", "t"]).select("eid", "k", "ts", "n", "chance")
+
+
+def interval_draws(weighed: DataFrame, q: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """``size`` time-aware draws with replacement from the source's events before t: eid, k, slot (from 0 in the order of time), nbr, ts. ``weighed``: of
+    ``interval_weights``. A draw is a point below the sum of the weights and falls to the event whose stretch of sums holds it. Weights lie
+    between 1 and e or are 0, so a unit of the sum meets two stretches at most: draws and stretches are joined by unit."""
+    n = asof_aggregate(weighed.select("node", "ts"), q.select(F.col("src").alias("node"), "t"), ["node"], {"n": ("count", F.col("ts"))}).where("n > 0")
+    ends = n.join(weighed.select("node", F.col("seq").alias("n"), F.col("upto").alias("all")), ["node", "n"])
+    slots = attach(q, ends, {"src": "node"}).where("n > 0").select("eid", "k", F.col("src").alias("node"), "n", "all", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("d"))
+    slot = F.col("d") + F.col("k") * 31
+    point = draw(F.col("eid"), slot, F.lit(2147483647), seed) / 2147483647 * F.col("all")
+    slots = written(slots.withColumn("point", F.when(F.col("all") > 0, point)).withColumn("unit", F.floor("point")), "draw-slots")
+    stretches = weighed.where("weight > 0").select("node", "seq", "nbr", "ts", "from", "upto", F.explode(F.sequence(F.floor("from"), F.floor("upto"))).alias("unit"))
+    found = slots.where("point is not null").join(stretches, ["node", "unit"]).where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("upto")))
+    even = slots.where("point is null").withColumn("seq", draw(F.col("eid"), slot, F.col("n"), seed) + 1).join(weighed.select("node", "seq", "nbr", "ts"), ["node", "seq"])
+    both = found.select("eid", "k", "d", "seq", "nbr", "ts").unionByName(even.select("eid", "k", "d", "seq", "nbr", "ts"))
+    place = F.row_number().over(Window.partitionBy("eid", "k").orderBy("ts", "seq", "d")) - 1
+    return both.select("eid", "k", place.alias("slot"), "nbr", "ts")

@@ -116,37 +116,55 @@ def edge_fingerprint(spark, d):
 _PAIRS = "taken AS (SELECT DISTINCT u AS src, i AS tgt FROM edges)"
 
 
-@query(f"""WITH {_EDGES}, {_PAIRS}, slots AS (SELECT eid, k, src, t FROM late, (SELECT unnest(range(1, 17)) AS k)),
-anyway AS (SELECT eid, k, src, node AS tgt, t FROM (SELECT *, {draw_sql("eid", "k", "SELECT count(*) FROM pool")} AS idx FROM slots) JOIN pool USING (idx)),
-w AS (SELECT a.*, row_number() OVER (PARTITION BY eid ORDER BY k) AS n FROM anyway a ANTI JOIN taken USING (src, tgt)) SELECT eid, CAST(n AS INTEGER) AS k, src, tgt, t FROM w WHERE n <= 2""")
+def _free_sql(name: str, asked: str, taken: str, keys: str) -> str:
+    """Rows of ``asked`` (keys, eid, k) with a drawn target that ``taken`` (keys, tgt) leaves free."""
+    same = " AND ".join(f"h.{k} = s.{k}" for k in keys.split(", "))
+    return f"""{name}_h AS (SELECT {keys}, idx, row_number() OVER (PARTITION BY {keys} ORDER BY idx) - 1 AS j FROM (SELECT DISTINCT * FROM {taken}) JOIN pool ON node = tgt),
+{name}_n AS (SELECT {keys}, count(*) AS held FROM {name}_h GROUP BY ALL), {name}_s AS (SELECT *, {draw_sql("eid", "k", "(SELECT count(*) FROM pool) - coalesce(held, 0)")} AS place FROM {asked} LEFT JOIN {name}_n USING ({keys})),
+{name}_m AS (SELECT s.eid, s.k, any_value(place) + count(h.idx) AS idx FROM {name}_s s LEFT JOIN {name}_h h ON {same} AND h.idx - h.j <= place GROUP BY ALL), {name} AS (SELECT eid, k, node AS tgt FROM {name}_m JOIN pool USING (idx))"""
+
+
+@query(f"""WITH {_EDGES}, {_PAIRS}, slots AS (SELECT eid, CAST(k AS INTEGER) AS k, src, t FROM late, (SELECT unnest([1, 2]) AS k)), {_free_sql("free", "slots", "taken", "src")}
+SELECT eid, k, src, tgt, t FROM slots JOIN free USING (eid, k)""")
 def checked_negatives(spark, d):
     events, q = _graph(spark, d)
     return N.checked_negatives(events, q.where("k = 0"), 2, events)
 
 
-def _drawn_historical(extra: str) -> str:
-    return f"""WITH {_EDGES}, b AS (SELECT DISTINCT u, i FROM edges WHERE ts BETWEEN 11000 AND 11030), p AS (SELECT u, i, min(ts) AS first_ts, max(ts) AS last_ts FROM edges WHERE ts < 11000 GROUP BY u, i),
-e AS (SELECT u, i, row_number() OVER (ORDER BY {draw_sql("u", "i", "2147483647")}, u, i) - 1 AS n FROM p ANTI JOIN b USING (u, i) WHERE {extra}), pos AS (SELECT eid, u, ts AS t, row_number() OVER (ORDER BY ts, eid) - 1 AS n FROM edges WHERE ts BETWEEN 11000 AND 11030),
-slots AS (SELECT eid, k, u AS src FROM pos, (SELECT unnest(range(1, 9)) AS k)), anyway AS (SELECT eid, k, src, node AS tgt FROM (SELECT *, {draw_sql("eid", "k", "SELECT count(*) FROM pool")} AS idx FROM slots) JOIN pool USING (idx)),
-f AS (SELECT eid, src, tgt FROM (SELECT a.*, row_number() OVER (PARTITION BY eid ORDER BY k) AS n FROM anyway a LEFT JOIN b ON b.u = src AND b.i = tgt WHERE b.u IS NULL) WHERE n = 1)
-SELECT pos.eid, coalesce(e.u, f.src) AS src, CASE WHEN e.u IS NULL THEN f.tgt ELSE e.i END AS tgt, t, CASE WHEN e.u IS NULL THEN 'random' ELSE 'historical' END AS kind FROM pos LEFT JOIN e USING (n) LEFT JOIN f ON f.eid = pos.eid"""
-
-
-def _historical(spark, d, **options):
-    events = _events(spark, d)
-    positives = events.where("ts between 11000 and 11030").select("eid", F.col("u").alias("src"), F.col("ts").alias("t"))
-    return N.historical_negatives(events, positives, 11000, 11030, **options)
+def _drawn_historical(low: str, gap: int) -> str:
+    """Negatives of each batch of 64 test events: four draws a place first, then all that the batch may draw, then free targets."""
+    may = f"NOT EXISTS (SELECT 1 FROM edges x WHERE x.u = c.u AND x.i = c.i AND x.ts BETWEEN c.s AND c.e) AND c.s - (SELECT max(ts) FROM edges x WHERE x.u = c.u AND x.i = c.i AND x.ts < c.s) >= {gap}"
+    return f"""WITH {_EDGES}, b AS (SELECT eid, src, t, CAST(floor(n / 64) AS BIGINT) AS batch, n % 64 AS place FROM (SELECT *, row_number() OVER (ORDER BY t, eid) - 1 AS n FROM late)),
+pr AS (SELECT *, row_number() OVER (ORDER BY f, u, i) - 1 AS idx FROM (SELECT u, i, min(ts) AS f FROM edges GROUP BY u, i)),
+sp AS (SELECT batch, min(t) AS s, max(t) AS e, count(*) AS need, {low} AS lo, (SELECT count(*) FROM pr WHERE f < min(b.t)) AS hi FROM b GROUP BY batch),
+d AS (SELECT batch, s, e, lo + {draw_sql("batch", "j", "hi - lo")} AS idx, j FROM (SELECT *, unnest(range(4 * need)) AS j FROM sp WHERE hi > lo)),
+c1 AS (SELECT batch, s, e, u, i, idx, min(j) AS j FROM d JOIN pr USING (idx) GROUP BY ALL),
+g1 AS (SELECT batch, idx, u, i, place FROM (SELECT c.*, row_number() OVER (PARTITION BY batch ORDER BY j) - 1 AS place FROM c1 c WHERE {may}) JOIN sp USING (batch) WHERE place < need),
+sh AS (SELECT sp.*, coalesce(h.n, 0) AS have FROM sp LEFT JOIN (SELECT batch, count(*) AS n FROM g1 GROUP BY batch) h USING (batch) WHERE coalesce(h.n, 0) < need),
+c2 AS (SELECT batch, s, e, idx, u, i FROM (SELECT *, unnest(range(lo, hi)) AS idx FROM sh WHERE hi > lo) JOIN pr USING (idx) ANTI JOIN g1 USING (batch, idx)),
+g2 AS (SELECT batch, idx, u, i, have + n AS place FROM (SELECT c.*, row_number() OVER (PARTITION BY batch ORDER BY {draw_sql("idx", "batch", "2147483647")}, idx) - 1 AS n FROM c2 c WHERE {may}) JOIN sh USING (batch) WHERE have + n < need),
+g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), bare AS (SELECT b.eid, 1 AS k, b.src, b.batch, sp.s, sp.e FROM b JOIN sp USING (batch) ANTI JOIN g USING (batch, place)),
+near AS (SELECT src, s, e, i AS tgt FROM (SELECT DISTINCT src, s, e FROM bare) JOIN edges ON u = src AND ts BETWEEN s AND e), {_free_sql("free", "bare", "near", "src, s, e")}
+SELECT b.eid, coalesce(g.u, b.src) AS src, coalesce(g.i, free.tgt) AS tgt, t, b.batch, CASE WHEN g.u IS NULL THEN 'random' ELSE 'historical' END AS kind FROM b LEFT JOIN g USING (batch, place) LEFT JOIN free ON free.eid = b.eid"""
+
+
+def _historical(spark, d, late: bool, **options):
+    events, q = _graph(spark, d)
+    since = {"observed_until": P.boundaries(events)[1]} if late else {}
+    return N.batch_negatives(events, q.where("k = 0"), **since, **options)
 
 
-@query(_drawn_historical("last_ts <= 11000 - 30"))
+@query(_drawn_historical("0", 30))
 def historical_negative_draws(spark, d):
-    return _historical(spark, d, least_gap=30)
+    """Negatives drawn anew for each batch from the pairs of the past, last seen at least 30 days before."""
+    return _historical(spark, d, False, least_gap=30)
 
 
-@query(_drawn_historical("last_ts <= 11000 AND first_ts > 10990"))
+@query(_drawn_historical("(SELECT count(*) FROM pr, cuts WHERE f <= test_time)", 0))
 def inductive_negative_draws(spark, d):
-    """So few pairs are first seen so late that random ones fill up."""
-    return _historical(spark, d, observed_until=10990)
+    """Pairs first seen in the test split only: the first batches find few or none, and random targets fill up."""
+    return _historical(spark, d, True)
+
 
 
 @query(f"WITH {_EDGES}, n AS (SELECT eid, row_number() OVER (ORDER BY t, eid) - 1 AS n FROM late) SELECT eid, CAST(n // 256 AS BIGINT) AS \"group\", n % 256 AS place FROM n")
@@ -211,11 +229,23 @@ def training_pools(spark, d):
     return N.training_pools(q.where("k = 0"), events.select(F.col("i").alias("node")), 3, 16)
 
 
-@query(f"""WITH {_EDGES}, g AS (SELECT *, ts - coalesce(lag(ts) OVER (PARTITION BY node ORDER BY ts, aeid, role DESC), 0) AS d FROM adj), r AS (SELECT eid, k, nbr, g.ts, d, sum(d) OVER (PARTITION BY eid, k ORDER BY g.ts, d DESC ROWS UNBOUNDED PRECEDING) AS run FROM late JOIN g ON node = src AND g.ts < t, (SELECT CAST(0 AS INTEGER) AS k)),
-x AS (SELECT *, CASE WHEN run > 0 THEN 1.0 * d / run ELSE -1e10 END AS x FROM r), e AS (SELECT *, exp(CAST(x AS DOUBLE) - max(CAST(x AS DOUBLE)) OVER (PARTITION BY eid, k)) AS e FROM x)
-SELECT eid, k, ts, count(*) AS n, round(sum(chance), 6) AS chance FROM (SELECT eid, k, ts, e / sum(e) OVER (PARTITION BY eid, k) AS chance FROM e) GROUP BY ALL""")
+_WEIGHED = """wx AS (SELECT node, nbr, ts, row_number() OVER o AS seq, exp(0.2 * (ts - max(ts) OVER (PARTITION BY node))) AS x FROM adj WINDOW o AS (PARTITION BY node ORDER BY ts, aeid, nbr, role DESC)),
+wr AS (SELECT *, sum(x) OVER (PARTITION BY node ORDER BY seq) AS run FROM wx), ww AS (SELECT *, CASE WHEN run > 0 THEN exp(x / run) ELSE 0 END AS weight FROM wr), wu AS (SELECT *, sum(weight) OVER (PARTITION BY node ORDER BY seq) AS upto FROM ww)"""
+
+
+@query(f"""WITH {_EDGES}, {_WEIGHED}, r AS (SELECT eid, k, ts, weight FROM q JOIN ww ON node = src AND ts < t), a AS (SELECT eid, k, sum(weight) AS w FROM r GROUP BY ALL)
+SELECT eid, k, ts, count(*) AS n, round(sum(weight) / any_value(w), 6) AS chance FROM r JOIN a USING (eid, k) GROUP BY ALL""")
 def interval_weights(spark, d):
     """Chances of a time-aware draw, by time."""
     events, q = _graph(spark, d)
-    found = N.interval_weights(events, q.where("k = 0"), 1.0)
-    return _rounded(found.groupBy("eid", "k", "ts").agg(F.count("*").alias("n"), F.sum("chance").alias("chance")), "chance")
+    return _rounded(N.interval_chances(written(N.interval_weights(events, 0.2), "weighed"), q), "chance")
+
+
+@query(f"""WITH {_EDGES}, {_WEIGHED}, a AS (SELECT node, t, count(*) AS n FROM (SELECT DISTINCT src AS node, t FROM q) JOIN adj USING (node) WHERE ts < t GROUP BY ALL),
+s AS (SELECT q.eid, q.k, src AS node, d, {draw_sql("eid", "d + k * 31", "2147483647")} / 2147483647.0::DOUBLE * u.upto AS point FROM q JOIN a ON a.node = src AND a.t = q.t JOIN wu u ON u.node = src AND u.seq = n, (SELECT unnest([0, 1, 2, 3, 4]) AS d)),
+f AS (SELECT s.eid, s.k, d, w.seq, w.nbr, w.ts FROM s JOIN wu w ON w.node = s.node AND w.upto > point AND w.upto - w.weight <= point QUALIFY row_number() OVER (PARTITION BY s.eid, s.k, d ORDER BY w.seq) = 1)
+SELECT eid, k, row_number() OVER (PARTITION BY eid, k ORDER BY ts, seq, d) - 1 AS slot, nbr, ts FROM f""")
+def interval_draws(spark, d):
+    """Five time-aware draws from each source's history, with replacement, in the order of time."""
+    events, q = _graph(spark, d)
+    return N.interval_draws(written(N.interval_weights(events, 0.2), "weighed"), q, 5)
