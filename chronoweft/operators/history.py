@@ -204,3 +204,21 @@ def relation_context(events: DataFrame, cutoff: float, rate: float) -> DataFrame
     past = adjacency(events.where(F.col("ts") < cutoff)).withColumn("w", F.exp(-rate * (F.lit(cutoff) - F.col("ts"))))
     per = past.groupBy("node", "role", "r").agg(F.sum("w").alias("w"))
     return per.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("node", "role"))).drop("w")
+
+
+def entity_series(events: DataFrame, q: DataFrame, vectors: DataFrame, size: int, top: int, reach: float | None = None) -> DataFrame:
+    """Series of the target's earlier events by the other entity: eid, k, place, entity, score, times (oldest first). Of the last ``size`` events in each role (within ``reach`` before t)
+    the ``top`` entities by their last time, their product with the source's vector (0 without one) and their number of events; ties by the first time and the id. ``vectors``: node,
+    v, scaled to length 1."""
+    pools = []
+    for role in ("out", "in"):
+        own = numbers_within(adjacency(events).where(F.col("role") == role), ["node"], [F.col("ts"), F.col("eid")], "seq")
+        pools.append(endpoint_history(written(own, f"{role}-events"), q, "tgt", size, reach))
+    pool = pools[0].unionByName(pools[1])
+    per = pool.groupBy(*KEY, F.col("nbr").alias("entity")).agg(F.array_sort(F.collect_list("ts")).alias("times"))  # at most twice ``size`` in a group
+    ends = q.select(*KEY, "src").join(vectors.withColumnsRenamed({"node": "src", "v": "a"}), "src", "left")
+    near = per.join(ends, KEY).join(vectors.withColumnsRenamed({"node": "entity", "v": "b"}), "entity", "left")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = near.select(*KEY, "entity", "times", F.round(F.coalesce(product, F.lit(0.0)), 9).alias("score"))
+    w = Window.partitionBy(*KEY).orderBy(F.desc(F.element_at("times", -1)), F.desc("score"), F.desc(F.size("times")), F.element_at("times", 1), "entity")
+    return near.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < top).select(*KEY, "place", "entity", "score", "times")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators.asof import asof_aggregate
+from chronoweft.operators.prefix import numbers_within
 from chronoweft.operators.scorers import KEY
 from chronoweft.operators.semantic import dot, normalise
 from chronoweft.sources.tables import adjacency, draw
@@ -59,18 +60,50 @@ def conditioned_profile(events: DataFrame, q: DataFrame, vectors: DataFrame, tem
     return out.select(*KEY, F.coalesce(dot(F.coalesce("p", "own"), F.col("b")), F.lit(0.0)).alias("score"))
 
 
-def smooth_window(events: DataFrame, vectors: DataFrame, reference: float, window: float, steps: int = 1, decay: float = 0.0, residual: float = 0.0) -> DataFrame:
-    """node, v: ``steps`` of D^-1/2 (A + I) D^-1/2 over the events of [reference - window, reference] between nodes with vectors, in both directions, an
-    event weighing exp(-decay * age); ``residual`` parts of the start are kept; scaled to length 1."""
+def window_pairs(events: DataFrame, v: DataFrame, reference: float, window: float, decay: float = 0.0, top: int | None = None, mode: str = "union", cover: bool = False, least: float | None = None, keep: float = 0.0) -> DataFrame:
+    """node, nbr, w: the events of [reference - window, reference] between nodes with vectors (node, v: scaled), an event weighing exp(-decay * age), summed by pair.
+
+    Without ``top`` every event counts in both directions. ``union``: those that are among the last ``top`` of their source as such or of their target as such, in both directions; with ``cover`` also the last event of every
+    node that is left without one. ``per_node``: for each node its own last ``top`` in either role, in its own direction only. Ties of time go to the larger eid. Pairs whose cosine is below ``least`` weigh
+    ``keep`` times as much; 0 leaves them out."""
+    ids = v.select("node")
+    here = events.where(F.col("ts").between(reference - window, reference)).join(ids.withColumnRenamed("node", "u"), "u", "left_semi").join(ids.withColumnRenamed("node", "i"), "i", "left_semi")
+    latest = [F.desc("ts"), F.desc("eid")]
+    if top is None:
+        rows = adjacency(here)
+    elif mode == "union":
+        here = written(here, "window-events")
+        chosen = [numbers_within(here.select(end, "ts", "eid"), [end], latest, "n").where(F.col("n") <= top).select("eid") for end in ("u", "i")]
+        kept = written(here.join(chosen[0].union(chosen[1]).distinct(), "eid", "left_semi"), "latest-events")
+        if cover:
+            bare = adjacency(here).join(adjacency(kept).select("node").distinct(), "node", "left_anti")
+            kept = kept.unionByName(here.join(bare.groupBy("node").agg(F.max_by("eid", F.struct("ts", "eid")).alias("eid")).select("eid").distinct(), "eid", "left_semi"))
+        rows = adjacency(kept)
+    elif mode == "per_node":
+        rows = numbers_within(adjacency(here), ["node"], [*latest, F.desc("role")], "n").where(F.col("n") <= top)
+    else:
+        raise ValueError("mode is union or per_node")
+    pairs = rows.groupBy("node", "nbr").agg(F.sum(F.exp(-decay * (F.lit(reference) - F.col("ts")))).alias("w"))
+    if least is None:
+        return pairs
+    near = pairs.join(_named(v, "node", "a"), "node").join(_named(v, "nbr", "b"), "nbr").withColumn("low", F.round(dot("a", "b"), 9) < least)
+    return near.where(~F.col("low") | F.lit(keep > 0)).select("node", "nbr", F.when(F.col("low"), keep * F.col("w")).otherwise(F.col("w")).alias("w"))
+
+
+def smooth_window(events: DataFrame, vectors: DataFrame, reference: float, window: float, steps: int = 1, decay: float = 0.0, residual: float = 0.0, symmetric: bool = True, dampen: bool = False, **choice) -> DataFrame:
+    """node, v: ``steps`` of D^-1/2 (A + I) D^-1/2 (not ``symmetric``: D^-1 (A + I)) over the pairs of ``window_pairs`` with the further options ``choice``; ``dampen``: ln(1 + w) of the weights,
+    the loops' included; ``residual`` parts of the start are kept; scaled to length 1."""
     v = units(vectors)
     start = v.select("node", F.posexplode("v").alias("dim", "x"))
     ids = v.select("node")
-    late = adjacency(events.where(F.col("ts").between(reference - window, reference))).withColumn("w", F.exp(-decay * (F.lit(reference) - F.col("ts"))))
-    pairs = late.join(ids, "node", "left_semi").join(ids.withColumnRenamed("node", "nbr"), "nbr", "left_semi").groupBy("node", "nbr").agg(F.sum("w").alias("w"))
+    pairs = window_pairs(events, v, reference, window, decay, **choice)
     pairs = pairs.union(ids.select("node", F.col("node").alias("nbr"), F.lit(1.0))).groupBy("node", "nbr").agg(F.sum("w").alias("w"))
+    if dampen:
+        pairs = pairs.withColumn("w", F.log1p("w"))
     degree = pairs.groupBy("node").agg(F.greatest(F.sum("w"), F.lit(1.0)).alias("d"))
     scaled = pairs.join(degree, "node").join(degree.withColumnsRenamed({"node": "nbr", "d": "e"}), "nbr")
-    scaled = written(scaled.select("node", "nbr", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w")), "window")
+    norm = F.sqrt(F.col("d") * F.col("e")) if symmetric else F.col("d")
+    scaled = written(scaled.select("node", "nbr", (F.col("w") / norm).alias("w")), "window")
     x = start
     for _ in range(steps):
         moved = scaled.join(x.withColumnRenamed("node", "nbr"), "nbr").groupBy("node", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("x"))

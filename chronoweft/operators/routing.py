@@ -157,24 +157,6 @@ def align_by_quantile(rows: DataFrame, score: str, target: DataFrame, value: str
     return rows.join(found, score)
 
 
-def fit_isotonic(rows: DataFrame, x: str, y: str) -> tuple[list[float], list[float]]:
-    """Boundaries and values of the non-decreasing fit of ``y`` on ``x``: by Spark's distributed regression, equal ``x`` averaged first."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    means = rows.groupBy(F.col(x).cast("double").alias("features")).agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(means)
-    return list(model.boundaries), list(model.predictions)
-
-
-def isotonic(score: Column, boundaries: list[float], values: list[float]) -> Column:
-    """Linear between the boundaries, flat outside."""
-    b, v = F.array(*map(F.lit, boundaries)), F.array(*map(F.lit, values))
-    n = F.size(F.filter(b, lambda x: x <= score))  # boundaries up to the score
-    a, c = F.get(b, n - 1), F.get(b, n)
-    inside = F.get(v, n - 1) + (F.get(v, n) - F.get(v, n - 1)) * (score - a) / (c - a)
-    return F.when(n == 0, F.lit(values[0])).when(n == len(boundaries), F.lit(values[-1])).otherwise(inside)
-
-
 def rank_graft(rows: DataFrame, base: str, order: str, name: str, by: Sequence[str], tie: Sequence[str] = ("eid", "k")) -> DataFrame:
     """``name``: the base scores of each group dealt out anew, largest first, in the order of another score."""
     w = Window.partitionBy(*by)
@@ -325,3 +307,58 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], target: str, group: st
         w = np.linalg.solve(a / np.outer(scale, scale) + ridge * np.eye(n), b / scale) / scale
         out = F.when(F.col("fold") == f, sum((float(c) * value(name) for c, name in zip(w, x)), F.lit(0.0))).otherwise(out)
     return placed.withColumn("predicted", out)
+
+
+def out_of_fold_views(rows: DataFrame, features: Sequence[str], call: Sequence[str], available: str, target: str, group: str, seeds: Sequence[int] = (0,), folds: int = 5, ridge: float = 1e-3) -> DataFrame:
+    """``no_call`` and ``called``: predictions of ``target`` without and with the features of a ``call``, by ridge fits of the other folds' rows, meaned over the folds of
+    each seed; folds are drawn by group. Fits see call features where ``available`` (else 0, as in the view without a call). The sums of all seeds and folds are one aggregate, and only they come to the
+    driver (seeds x folds x features^2 numbers)."""
+    import numpy as np
+
+    x = ["1", *features, *call]
+    plain = {c: F.lit(1.0) if c == "1" else F.col(c).cast("double") for c in ["1", *features]}
+    seen = plain | {c: F.when(F.col(available), F.col(c).cast("double")).otherwise(0.0) for c in call}
+    fold = lambda seed: draw(F.col(group), F.lit(0), F.lit(folds), seed).cast("int")
+    spread = rows.withColumn("_sf", F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), fold(s).alias("fold")) for s in seeds))))
+    cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    sums = spread.groupBy("_sf").agg(*(F.sum(seen[x[i]] * seen[x[j]]).alias(f"g{i}_{j}") for i, j in cells), *(F.sum(seen[c] * F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(x))).collect()
+    n = len(x)
+    gram = {(r["_sf"]["seed"], r["_sf"]["fold"]): np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) for r in sums}
+    right = {(r["_sf"]["seed"], r["_sf"]["fold"]): np.array([r[f"r{i}"] for i in range(n)]) for r in sums}
+    views = {"no_call": plain | {c: F.lit(0.0) for c in call}, "called": plain | {c: F.col(c).cast("double") for c in call}}
+    parts: dict[str, list[Column]] = {v: [] for v in views}
+    for s in seeds:
+        all_gram, all_right = sum(g for k, g in gram.items() if k[0] == s), sum(r for k, r in right.items() if k[0] == s)
+        own = {v: F.lit(None).cast("double") for v in views}
+        for f in range(folds):
+            if (s, f) in gram:
+                a, b = all_gram - gram[s, f], all_right - right[s, f]
+                scale = np.sqrt(np.maximum(np.diag(a), 1e-12))
+                w = np.linalg.solve(a / np.outer(scale, scale) + ridge * np.eye(n), b / scale) / scale
+                own = {v: F.when(fold(s) == f, sum((float(c) * cols[name] for c, name in zip(w, x)), F.lit(0.0))).otherwise(own[v]) for v, cols in views.items()}
+        for v in views:
+            parts[v].append(own[v])
+    return rows.withColumns({v: sum(p, F.lit(0.0)) / len(seeds) for v, p in parts.items()})
+
+
+def hyper_fusion(rows: DataFrame, columns: Sequence[str], batch: str, near: float = 0.1) -> DataFrame:
+    """``fused``: the scorers' sum in each batch, each weighing as it agrees with the others. Two scorers are near if the cosine distance of their scores over the batch's positives
+    (k = 0), or over its negatives, lies above 0 and below ``near``; a scorer with a near one is a member of that side, scorers share as many sides as both are members of, and a
+    scorer's weight is 1 and its shares with all scorers, itself included. One aggregate over pairs of scorers."""
+    m = len(columns)
+    value = {c: F.col(c).cast("double") for c in columns}
+    sides = (F.col("k") == 0, F.col("k") > 0)
+    sums = rows.groupBy(batch).agg(*(F.sum(F.when(on, value[columns[i]] * value[columns[j]])).alias(f"_{s}_{i}_{j}") for s, on in enumerate(sides) for i in range(m) for j in range(i, m)))
+
+    def distance(s: int, i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        norm = F.sqrt(F.col(f"_{s}_{i}_{i}") * F.col(f"_{s}_{j}_{j}"))
+        return F.round(1 - F.when(norm > 0, F.col(f"_{s}_{i}_{j}") / norm).otherwise(0.0), 12)
+
+    close = lambda s, i, j: (distance(s, i, j) > 0) & (distance(s, i, j) < near)
+    member = [[F.greatest(*(F.coalesce(close(s, i, j), F.lit(False)).cast("int") for j in range(m) if j != i), F.lit(0)) for i in range(m)] for s in (0, 1)]
+    flags = written(sums.select(batch, *(member[s][i].alias(f"_h_{s}_{i}") for s in (0, 1) for i in range(m))), "members")
+    weight = lambda j: 1 + sum((F.col(f"_h_{s}_{i}") * F.col(f"_h_{s}_{j}") for s in (0, 1) for i in range(m)), F.lit(0))
+    weights = flags.select(batch, *(weight(j).alias(f"_w_{j}") for j in range(m)))
+    out = rows.join(weights, batch).withColumn("fused", sum((F.col(f"_w_{j}") * value[c] for j, c in enumerate(columns)), F.lit(0.0)))
+    return out.drop(*(f"_w_{j}" for j in range(m)))

@@ -55,6 +55,37 @@ def window_smoothing(spark, d):
     return _rounded(_smooth(spark, d, events).select("node", F.posexplode("v").alias("dim", "x")), "x")
 
 
+def _modes_sql(rows: str, low: str, norm: str, weight: str = "sum(w)") -> str:
+    """One smoothing step over ``rows`` (node, nbr, w)."""
+    return f"""WITH {_EDGES}, {_UNIT}, wi AS (SELECT e.*, exp(-0.01 * (test_time - ts)) AS w FROM edges e, cuts WHERE ts BETWEEN test_time - 200 AND test_time AND u IN (SELECT node FROM unit) AND i IN (SELECT node FROM unit)),
+rows AS ({rows}), p0 AS (SELECT node, nbr, sum(w) AS w FROM rows GROUP BY ALL), p1 AS (SELECT p0.node, p0.nbr, {low} AS w FROM p0 JOIN unit a ON a.node = p0.node JOIN unit b ON b.node = p0.nbr),
+p AS (SELECT node, nbr, {weight} AS w FROM (SELECT * FROM p1 UNION ALL SELECT node, node, 1.0 FROM unit) WHERE w > 0 GROUP BY ALL), g AS (SELECT node, greatest(sum(w), 1) AS d FROM p GROUP BY node),
+n AS (SELECT p.node, p.nbr, p.w / {norm} AS w FROM p JOIN g x ON x.node = p.node JOIN g y ON y.node = p.nbr), h AS (SELECT n.node, unit.v, n.w FROM n JOIN unit ON unit.node = n.nbr), {_spread('h', 'node', 'w', 'sm')}
+SELECT node, CAST(dim AS INTEGER) AS dim, CASE WHEN round(x, 6) = 0 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM (SELECT node, unnest(range(64)) AS dim, unnest(v) AS x FROM sm)"""
+
+
+def _one_step(spark, d, **choice):
+    events = written(D.edges(spark, d), "events")
+    out = V.smooth_window(events, _vectors(spark, d), P.boundaries(events)[1], 200, decay=0.01, **choice)
+    return _rounded(out.select("node", F.posexplode("v").alias("dim", "x")), "x")
+
+
+_LATEST = "row_number() OVER (PARTITION BY {} ORDER BY ts DESC, eid DESC)"
+_KEPT = f"SELECT * FROM wi QUALIFY {_LATEST.format('u')} <= 2 OR {_LATEST.format('i')} <= 2"
+
+
+@query(_modes_sql(f"SELECT u AS node, i AS nbr, w FROM ({_KEPT}) UNION ALL SELECT i, u, w FROM ({_KEPT})", "CASE WHEN round(list_dot_product(a.v, b.v), 9) < 0.1 THEN 0.5 * p0.w ELSE p0.w END", "sqrt(x.d * y.d)"))
+def smoothing_latest_of_both(spark, d):
+    """Events among the last two of their source or of their target; pairs of little likeness weigh half."""
+    return _one_step(spark, d, top=2, mode="union", cover=True, least=0.1, keep=0.5)
+
+
+@query(_modes_sql(f"SELECT node, nbr, w FROM (SELECT *, {_LATEST.format('node').replace('eid DESC', 'eid DESC, role DESC')} AS n FROM (SELECT u AS node, i AS nbr, ts, eid, w, 'out' AS role FROM wi UNION ALL SELECT i, u, ts, eid, w, 'in' FROM wi)) WHERE n <= 3", "CASE WHEN round(list_dot_product(a.v, b.v), 9) < 0 THEN 0 ELSE p0.w END", "x.d", "ln(1 + sum(w))"))
+def smoothing_latest_of_node(spark, d):
+    """Each node's own last three events, pairs of opposed vectors left out, weights dampened, rows scaled by their sums."""
+    return _one_step(spark, d, top=3, mode="per_node", least=0.0, keep=0.0, symmetric=False, dampen=True)
+
+
 @query(f"""WITH {_EDGES}, {_WINDOW}, mx AS (SELECT node, {_N} AS v FROM (SELECT u.node, [0.3 * u.v[j] + 0.7 * s.v[j] FOR j IN range(1, 65)] AS v FROM unit u JOIN smooth s USING (node))), my AS (SELECT node, {_N} AS v FROM (SELECT u.node, [0.8 * u.v[j] + 0.2 * s.v[j] FOR j IN range(1, 65)] AS v FROM unit u JOIN smooth s USING (node)))
 SELECT eid, k, round(coalesce(list_dot_product(mx.v, my.v), 0), 6) AS score FROM q LEFT JOIN mx ON mx.node = src LEFT JOIN my ON my.node = tgt""")
 def score_asymmetric_blend(spark, d):

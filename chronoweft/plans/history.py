@@ -190,3 +190,16 @@ def structural_seeds(spark, d):
 @query(f"""WITH {_EDGES}, w AS (SELECT node, role, r, sum(exp(-0.01 * (11000 - ts))) AS w FROM adj WHERE ts < 11000 GROUP BY ALL) SELECT node, role, r, round(w / sum(w) OVER (PARTITION BY node, role), 6) AS weight FROM w""")
 def relation_context(spark, d):
     return _rounded(H.relation_context(D.edges(spark, d), 11000, 0.01), "weight")
+
+
+@query(f"""WITH {_EDGES}, {_VECTORS}, o AS (SELECT node, nbr, ts, role, row_number() OVER (PARTITION BY node, role ORDER BY ts, aeid) AS seq FROM adj), a AS (SELECT DISTINCT tgt, t FROM q),
+n AS (SELECT a.tgt, a.t, role, count(*) AS n FROM a JOIN o ON node = tgt AND ts < t GROUP BY ALL), e AS (SELECT q.eid, q.k, q.src, o.nbr AS entity, o.ts FROM q JOIN n USING (tgt, t) JOIN o ON o.node = q.tgt AND o.role = n.role AND o.seq > n.n - 20 AND o.seq <= n.n),
+s AS (SELECT eid, k, any_value(src) AS src, entity, list(ts ORDER BY ts) AS times FROM e GROUP BY eid, k, entity), r AS (SELECT s.*, round(coalesce(list_cosine_similarity(x.v, y.v), 0), 9) AS score FROM s LEFT JOIN vectors x ON x.node = s.src LEFT JOIN vectors y ON y.node = s.entity),
+w AS (SELECT *, row_number() OVER (PARTITION BY eid, k ORDER BY times[-1] DESC, score DESC, len(times) DESC, times[1], entity) - 1 AS place FROM r)
+SELECT eid, k, CAST(place AS INTEGER) AS place, entity, round(score, 6) AS score, array_to_string([CAST(x AS VARCHAR) FOR x IN times], ',') AS times FROM w WHERE place < 6""")
+def entity_series(spark, d):
+    """The target's earlier events as series by the other entity, the six of the latest times."""
+    events, q = _graph(spark, d)
+    unit = _vectors(spark, d).select("node", V.normalise(F.col("vector").cast("array<double>")).alias("v"))
+    out = H.entity_series(events, written(q, "queries"), unit, 20, 6)
+    return _rounded(out.withColumn("times", F.array_join(F.transform("times", lambda x: x.cast("string")), ",")), "score")

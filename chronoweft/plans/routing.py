@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoweft.operators import alignment as I
 from chronoweft.operators import ranking as R
 from chronoweft.operators import routing as G
 from chronoweft.plans.reference import _BATCH, _EDGES, _FUSED, _graph, _in_batches, _rounded, draw_sql, fused, query, scored
@@ -80,11 +81,13 @@ def quantile_alignment(spark, d):
     return _rounded(G.align_by_quantile(rows.select("eid", "k", "popularity"), "popularity", rows.where("k = 0"), "past", "aligned").select("eid", "k", "aligned"), "aligned")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_BASE}, p AS (SELECT popularity AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(label) AS DOUBLE) AS s FROM fused GROUP BY 1), c AS (SELECT *, sum(w) OVER (ORDER BY x) AS uw, sum(s) OVER (ORDER BY x) AS us FROM p),
+f AS (SELECT x, max(low) AS v FROM (SELECT b.x, a.x AS a, min((z.us - a.us + a.s) / (z.uw - a.uw + a.w)) AS low FROM c b JOIN c a ON a.x <= b.x JOIN c z ON z.x >= b.x GROUP BY ALL) GROUP BY x)
+SELECT eid, k, popularity, round(v, 6) AS aligned FROM fused JOIN f ON f.x = popularity""".replace("WITH RECURSIVE", "WITH"))
 def isotonic_alignment(spark, d):
+    """The largest of the least means of stretches about a value, which pooling reaches, at every value's own fit."""
     rows = scored(spark, d, "popularity")
-    fit = G.fit_isotonic(rows, "popularity", "label")
-    return _rounded(rows.select("eid", "k", "popularity", G.isotonic(F.col("popularity").cast("double"), *fit).alias("aligned")), "aligned")
+    return _rounded(I.apply_isotonic(rows, "popularity", I.fit_isotonic(rows, "popularity", "label"), "aligned").select("eid", "k", "popularity", "aligned"), "aligned")
 
 
 @query(f"""WITH {_BASE}, {_BATCH}, f AS (SELECT eid, k, batch, popularity, round(ra, 9) AS ra FROM fused JOIN bat USING (eid)), a AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ra DESC, eid, k) AS n FROM f), b AS (SELECT batch, popularity AS grafted, row_number() OVER (PARTITION BY batch ORDER BY popularity DESC, eid, k) AS n FROM f)
@@ -185,3 +188,46 @@ def support_rows(spark, d):
 def out_of_fold_scores(spark, d):
     """Labels predicted from four scorers, each query by a fit that has not seen it."""
     return _rounded(G.out_of_fold(fused(spark, d), ["popularity", "past", "ra", "rrf"], "label", "eid").select("eid", "k", "fold", "predicted"), "predicted")
+
+
+_HYPER = ["popularity", "past", "ra", "recent_degree"]
+
+
+def _hyper_sql() -> str:
+    side, pairs, m = ("k = 0", "k > 0"), [(i, j) for i in range(4) for j in range(i, 4)], range(4)
+    sums = ", ".join(f"sum(CASE WHEN {on} THEN {_HYPER[i]}::DOUBLE * {_HYPER[j]} END) AS s{s}{i}{j}" for s, on in enumerate(side) for i, j in pairs)
+    far = lambda s, i, j: f"round(1 - coalesce(s{s}{min(i, j)}{max(i, j)} / nullif(sqrt(s{s}{i}{i} * s{s}{j}{j}), 0), 0), 12)"
+    member = ", ".join("CAST(" + " OR ".join(f"coalesce({far(s, i, j)} > 0 AND {far(s, i, j)} < 0.1, FALSE)" for j in m if j != i) + f" AS INTEGER) AS h{s}{i}" for s in (0, 1) for i in m)
+    fused = " + ".join(f"(1 + {' + '.join(f'h{s}{i} * h{s}{j}' for s in (0, 1) for i in m)}) * {c}" for j, c in enumerate(_HYPER))
+    return f"""WITH {_BASE}, {_BATCH}, rd AS (SELECT eid, k, count(ts) FILTER (ts >= t - 90) AS recent_degree FROM q LEFT JOIN adj ON node = tgt AND ts < t GROUP BY ALL),
+f AS (SELECT eid, k, batch, popularity, past, round(ra, 9) AS ra, recent_degree FROM fused JOIN bat USING (eid) JOIN rd USING (eid, k)), s AS (SELECT batch, {sums} FROM f GROUP BY batch), h AS (SELECT batch, {member} FROM s)
+SELECT eid, k, round(CAST({fused} AS DOUBLE), 9) AS fused FROM f JOIN h USING (batch)"""
+
+
+@query(_hyper_sql())
+def hyper_fusion(spark, d):
+    """Four scorers summed in each batch of 64 queries, weighed by how they agree there."""
+    rows = _in_batches(scored(spark, d, *_HYPER))
+    return _rounded(G.hyper_fusion(rows, _HYPER, "batch").select("eid", "k", "fused"), "fused", digits=9)
+
+
+def _views_sql() -> str:
+    """Ridge fits of three unknowns by determinants, from the sums of all rows less those of the fold."""
+    seeds, x = (0, 1, 2), ("1", "a", "(CASE WHEN on_ THEN b ELSE 0 END)")
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    folds = " UNION ALL ".join(f"SELECT *, {s} AS seed, {draw_sql('eid', '0', '5')[:-1].replace('12345', str(12345 + s))}) AS fold FROM v" for s in seeds)
+    sums = ", ".join([f"sum({x[i]} * {x[j]})::DOUBLE AS g{i}{j}" for i, j in pairs] + [f"sum({x[i]} * label)::DOUBLE AS r{i}" for i in range(3)])
+    rest = ", ".join(f"sum({c}) OVER (PARTITION BY seed) - {c} AS {c}" for c in [f"g{i}{j}" for i, j in pairs] + [f"r{i}" for i in range(3)])
+    scaled = ", ".join([f"g{i}{j} / sqrt(greatest(g{i}{i}, 1e-12) * greatest(g{j}{j}, 1e-12)){' + 0.001' if i == j else ''} AS m{i}{j}" for i, j in pairs] + [f"r{i} / sqrt(greatest(g{i}{i}, 1e-12)) AS y{i}, sqrt(greatest(g{i}{i}, 1e-12)) AS z{i}" for i in range(3)])
+    a = [["m00", "m01", "m02"], ["m01", "m11", "m12"], ["m02", "m12", "m22"]]
+    det = lambda t: f"({t[0][0]} * ({t[1][1]} * {t[2][2]} - {t[1][2]} * {t[2][1]}) - {t[0][1]} * ({t[1][0]} * {t[2][2]} - {t[1][2]} * {t[2][0]}) + {t[0][2]} * ({t[1][0]} * {t[2][1]} - {t[1][1]} * {t[2][0]}))"
+    w = ", ".join(f"{det([[f'y{r}' if c == i else a[r][c] for c in range(3)] for r in range(3)])} / {det(a)} / z{i} AS w{i}" for i in range(3))
+    return f"""WITH {_BASE}, v AS (SELECT eid, k, label, ln(1 + popularity) AS a, ln(1 + past) AS b, past > 0 AS on_ FROM fused), o AS ({folds}), s AS (SELECT seed, fold, {sums} FROM o GROUP BY ALL), t AS (SELECT seed, fold, {rest} FROM s), m AS (SELECT seed, fold, {scaled} FROM t), w AS (SELECT seed, fold, {w} FROM m)
+SELECT eid, k, round(avg(w0 + w1 * a), 6) AS no_call, round(avg(w0 + w1 * a + w2 * b), 6) AS called FROM o JOIN w USING (seed, fold) GROUP BY eid, k"""
+
+
+@query(_views_sql())
+def out_of_fold_views(spark, d):
+    """Labels predicted with and without the pair's own history, each query by fits that have not seen it, over three draws of the folds."""
+    rows = scored(spark, d, "popularity", "past").withColumns({"a": F.log1p(F.col("popularity").cast("double")), "b": F.log1p(F.col("past").cast("double")), "called_for": F.col("past") > 0})
+    return _rounded(G.out_of_fold_views(rows, ["a"], ["b"], "called_for", "label", "eid", (0, 1, 2)).select("eid", "k", "no_call", "called"), "no_call", "called")
