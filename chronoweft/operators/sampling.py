@@ -183,15 +183,22 @@ def same_tail(chosen: DataFrame, events: DataFrame, n: int) -> DataFrame:
 
 
 def training_pools(samples: DataFrame, entities: DataFrame, pools: int, size: int) -> DataFrame:
-    """For each sample (eid, src, tgt, t) ``pools`` pools of its target (place 0) and ``size`` - 1 drawn entities other than source and target, each once:
-    eid, src, t, pool, place, target. ``entities``: node."""
-    numbered = row_numbers(entities.select("node").distinct(), [F.col("node")], "idx")
+    """For each sample (eid, src, tgt, t) ``pools`` pools of its target (place 0) and ``size`` - 1 drawn entities other than source and target, each once (all of them, if
+    they are fewer): eid, src, t, pool, place, target. ``entities``: node."""
+    numbered = written(row_numbers(entities.select("node").distinct(), [F.col("node")], "idx"), "entities")
     count = numbered.agg(F.count("*").alias("_size"))
-    slots = samples.select("eid", "src", "tgt", "t", F.explode(F.sequence(F.lit(0), F.lit(pools - 1))).alias("pool"), F.lit(1).alias("_one")).join(F.broadcast(count))
-    # a run of neighbours in the order of the entities, from a drawn one on: distinct without a second draw
-    drawn = slots.withColumn("start", draw(F.col("eid"), F.col("pool"), F.col("_size"))).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_size") - 1))).alias("step"))
-    found = drawn.withColumn("idx", (F.col("start") + F.col("step") * 7919) % F.col("_size")).join(numbered, "idx").where("node <> src and node <> tgt")
-    found = found.dropDuplicates(["eid", "pool", "node"]).withColumn("place", F.row_number().over(Window.partitionBy("eid", "pool").orderBy("step"))).where(F.col("place") < size)
+    place = lambda node, name: numbered.select(F.col("node").alias(node), F.col("idx").alias(name))
+    known = samples.select("eid", "src", "tgt", "t").join(F.broadcast(count)).join(place("src", "_a"), "src", "left").join(place("tgt", "_b"), "tgt", "left")
+    ends = F.array_sort(F.array_distinct(F.array_compact(F.array("_a", "_b"))))
+    slots = known.select("eid", "src", "tgt", "t", "_size", ends.alias("_ends"), F.explode(F.sequence(F.lit(0), F.lit(pools - 1))).alias("pool")).withColumn("_free", F.col("_size") - F.size("_ends"))
+    # one number below each of the last ``size`` - 1 bounds, the bound itself where it is there already: every set is drawn alike, and none falls short
+    start = F.greatest(F.col("_free") - (size - 1), F.lit(0).cast("long"))
+    bounds = F.when(F.col("_free") > 0, F.sequence(start, F.col("_free") - 1)).otherwise(F.array().cast("array<bigint>"))
+    number = lambda j: draw(F.col("eid"), F.col("pool") * 1_000_003 + j, j + 1)
+    chosen = F.aggregate(bounds, F.array().cast("array<bigint>"), lambda got, j: F.concat(got, F.array(F.when(F.array_contains(got, number(j)), j).otherwise(number(j)))))
+    drawn = slots.select("eid", "src", "t", "pool", "_ends", F.posexplode(chosen).alias("place", "free"))
+    idx = F.aggregate("_ends", F.col("free"), lambda at, e: F.when(e <= at, at + 1).otherwise(at))
+    found = drawn.withColumns({"idx": idx, "place": F.col("place") + 1}).join(numbered, "idx")
     anchors = slots.select("eid", "src", "t", "pool", F.lit(0).alias("place"), F.col("tgt").alias("target"))
     return anchors.unionByName(found.select("eid", "src", "t", "pool", "place", F.col("node").alias("target")))
 

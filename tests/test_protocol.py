@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as T
-from chronoweft.operators import history, profiles, protocol, ranking, registry, routing, sampling
+from chronoweft.operators import alignment, history, profiles, protocol, ranking, registry, routing, sampling
 from chronoweft.sources import files, tables
 
 EVENTS = "eid long, u long, r long, i long, ts long, label int"
@@ -86,11 +86,24 @@ def test_draws_keep_their_rules(spark, events):
     seen = {}
     for r in events.where("ts < 150").orderBy("ts").collect():
         seen.setdefault((r["u"], r["i"]), [r["ts"], 0])[1] = r["ts"]
-    for options, good in (({"least_gap": 20}, lambda f, last: last <= 130), ({"observed_until": 140}, lambda f, last: f > 140)):
-        got = sampling.historical_negatives(events, positives, 150, 170, **options).collect()
-        old = {(r["src"], r["tgt"]) for r in got if r["kind"] == "historical"}
-        assert len(got) == positives.count() and not {(r["src"], r["tgt"]) for r in got} & taken
-        assert old and all(good(*seen[p]) for p in old)
+    rows, late = events.collect(), events.where("ts >= 150").select("eid", F.col("u").alias("src"), F.col("ts").alias("t"))
+    for options, good in (({"least_gap": 20}, lambda f, last, start: start - last >= 20), ({"observed_until": 145}, lambda f, last, start: f > 145)):
+        got = sampling.batch_negatives(events, late, 16, **options).collect()
+        assert len(got) == late.count() and {r["kind"] for r in got} == {"historical", "random"} or "least_gap" in options
+        by_batch = {}
+        for r in got:
+            by_batch.setdefault(r["batch"], []).append(r)
+        for batch_rows in by_batch.values():
+            start, end = min(r["t"] for r in batch_rows), max(r["t"] for r in batch_rows)
+            here = {(r["u"], r["i"]) for r in rows if start <= r["ts"] <= end}
+            past = {}
+            for r in rows:
+                if r["ts"] < start:
+                    past.setdefault((r["u"], r["i"]), [r["ts"], 0])[1] = r["ts"]
+            may = {p for p, (f, last) in past.items() if p not in here and good(f, last, start)}
+            old = [(r["src"], r["tgt"]) for r in batch_rows if r["kind"] == "historical"]
+            assert len(set(old)) == len(old) == min(len(batch_rows), len(may)) and set(old) <= may
+            assert not {(r["src"], r["tgt"]) for r in batch_rows} & here
     pools = {}
     for r in sampling.training_pools(positives.withColumn("tgt", F.lit(7).cast("long")), events.select(F.col("i").alias("node")), 2, 8).collect():
         pools.setdefault((r["eid"], r["pool"]), []).append((r["place"], r["target"], r["src"]))
@@ -101,6 +114,106 @@ def test_draws_keep_their_rules(spark, events):
         sampling.recent_pairs(spark.createDataFrame([(1, 0, 1, 2, 3)], "eid long, k int, src long, tgt long, t long"), 5)
 
 
+def test_negatives_where_nearly_all_is_taken(spark):
+    rows = [(n, 1, 0, n + 2, 5, 1) for n in range(60)] + [(100 + n, 2, 0, 70 + n, 1, 1) for n in range(2)]
+    events = spark.createDataFrame(rows, EVENTS)
+    positives = events.where("u = 1").select("eid", F.col("u").alias("src"), F.col("ts").alias("t"))
+    drawn = sampling.checked_negatives(events, positives, 2, events).collect()
+    assert len(drawn) == 120 and {r["tgt"] for r in drawn} == {70, 71}
+    got = sampling.batch_negatives(events, positives, 60, observed_until=4).collect()
+    assert len(got) == 60 and {(r["src"], r["tgt"], r["kind"]) for r in got} <= {(1, 70, "random"), (1, 71, "random")}
+    got = sampling.batch_negatives(events, positives, 30).collect()
+    assert len(got) == 60 and sorted((r["batch"], r["src"], r["tgt"]) for r in got if r["kind"] == "historical") == [(b, 2, t) for b in (0, 1) for t in (70, 71)]
+
+
+def test_time_aware_draws_have_their_chances(spark):
+    times = [0, 1, 1, 3, 10, 11, 12, 2000]
+    events = spark.createDataFrame([(n, 1, 0, 10 + n, ts, 1) for n, ts in enumerate(times)], EVENTS)
+    weighed = sampling.interval_weights(events, 0.5, block=3)
+    q = spark.createDataFrame([(n, 0, 1, 5, 12) for n in range(4000)], "eid long, k int, src long, tgt long, t long")
+    got = sampling.interval_draws(weighed, q, 4).collect()
+    x = np.exp(0.5 * (np.array(times[:6], float) - 2000))
+    with np.errstate(invalid="ignore"):
+        share = x / np.cumsum(x)
+    chance = np.exp(np.where(np.isnan(share), -1e10, share))
+    chance = np.full(6, 1 / 6) if not chance.sum() else chance / chance.sum()
+    found = np.bincount([r["nbr"] - 10 for r in got], minlength=6) / len(got)
+    assert len(got) == 16000 and found == pytest.approx(chance, abs=0.02)
+    late = spark.createDataFrame([(n, 0, 1, 5, 2001) for n in range(3000)], "eid long, k int, src long, tgt long, t long")
+    x = np.exp(0.01 * (np.array(times, float) - 2000))
+    chance = np.exp(x / np.cumsum(x))
+    rows = sampling.interval_draws(sampling.interval_weights(events, 0.01, block=3), late, 3).orderBy("eid", "slot").collect()
+    assert np.bincount([r["nbr"] - 10 for r in rows], minlength=8) / len(rows) == pytest.approx(chance / chance.sum(), abs=0.02)
+    assert all(a["ts"] <= b["ts"] for a, b in zip(rows, rows[1:]) if a["eid"] == b["eid"])
+
+
+def test_population_ranks_and_quantiles_equal_brute_force(spark):
+    from chronoweft.operators.population import Population
+
+    rng = random.Random(3)
+    value = lambda: float(rng.choice([rng.randint(0, 9), 3, 3, rng.random()]))
+    joined = [(rng.choice("ab"), float(rng.choice([rng.randint(0, 12), 5])), value(), 1) for _ in range(300)]
+    points = joined + [(g, t + rng.randint(0, 4), v, -1) for g, t, v, _ in joined[::3]]
+    asked = [(rng.choice("abc"), float(rng.randint(-1, 16)), value()) for _ in range(150)]
+    p, a = spark.createDataFrame(points, "g string, t double, v double, w int"), spark.createDataFrame(asked, "g string, t double, v double")
+    for size in (9, 50):
+        pop = Population(p, a, a, ["g"], size)
+        ranks = pop.ranks()
+        rows, bounds = ranks.collect(), pop.quantiles(ranks, [0.3, 0.7]).collect()
+
+        def held(g, t):
+            n = {}
+            for h, at, v, w in points:
+                if h == g and at < t:
+                    n[v] = n.get(v, 0) + w
+            return sorted(v for v, c in n.items() for _ in range(c))
+
+        assert len(rows) == len(set(asked))
+        for r in rows:
+            m = held(r["g"], r["t"])
+            assert (r["below"], r["upto"], r["total"]) == (sum(v < r["v"] for v in m), sum(v <= r["v"] for v in m), len(m))
+        for r in bounds:
+            assert [r["q0"], r["q1"]] == pytest.approx(np.quantile(held(r["g"], r["t"]), [0.3, 0.7]).tolist())
+        assert len(bounds) == len({(g, t) for g, t, _ in asked if held(g, t)})
+
+
+def test_a_hub_is_numbered_in_many_ranges(spark, monkeypatch):
+    from chronoweft.operators import prefix
+
+    sizes, real = [], prefix.written
+    monkeypatch.setattr(prefix, "written", lambda df, name: (sizes.append(out := real(df, name)), out)[1])
+    rows = spark.createDataFrame([(1 if n % 2 else 2 + n % 50, n // 5, n) for n in range(20000)], "node long, ts long, eid long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix.numbers_within(rows, ["node"], [F.col("ts"), F.col("eid")], "seq")
+        w = {}
+        for r in sorted(got.collect(), key=lambda r: r["eid"]):
+            w[r["node"]] = w.get(r["node"], 0) + 1
+            assert r["seq"] == w[r["node"]]
+        per = [r["count"] for r in sizes[0].where("node = 1").groupBy("_range").count().collect()]
+        assert len(per) > 1 and max(per) < 10000
+        before = prefix.with_previous(rows, ["node"], [F.col("ts"), F.col("eid")], {"last": "eid"}).where("node = 1").orderBy("eid").collect()
+        assert [r["last"] for r in before] == [None, *(r["eid"] for r in before[:-1])]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_isotonic_fit_over_many_groups(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random(20000)
+    for y in (np.clip(x + rng.normal(0, 0.3, len(x)), 0, 1), -x, x):
+        rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+        order = np.argsort(x)
+        a, b, w, s = alignment.pool(x[order], x[order], np.ones(len(x)), y[order])
+        fit = alignment.fit_isotonic(rows, "x", "y", group=500)
+        got = fit.orderBy("n").collect()
+        assert all(p["value"] <= r["value"] for p, r in zip(got, got[1:]))
+        asked = np.concatenate([rng.random(200) * 1.2 - 0.1, x[:50]])
+        found = alignment.apply_isotonic(spark.createDataFrame([(float(v),) for v in asked], "x double"), "x", fit, "v").collect()
+        value = np.repeat([t / n for n, t in zip(w, s)], np.array(w).astype(int))
+        assert [r["v"] for r in sorted(found, key=lambda r: r["x"])] == pytest.approx(np.interp(np.sort(asked), x[order], value).tolist())
+
+
 def test_files_are_checked(spark, events, tmp_path):
     path = f"file://{tmp_path}/e"
     events.select("label", "ts", "i", "u").write.option("header", True).csv(path)
@@ -138,7 +251,7 @@ def test_isotonic_quantile_and_mixture_fits(spark):
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
     fitted = np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
     asked = np.array([-1, 0, 0.25, 3.1, 5.5, 9])
-    got = spark.createDataFrame([(float(a),) for a in asked], "a double").select(routing.isotonic(F.col("a"), *routing.fit_isotonic(rows, "x", "y")).alias("v")).collect()
+    got = alignment.apply_isotonic(spark.createDataFrame([(float(a),) for a in asked], "a double"), "a", alignment.fit_isotonic(rows, "x", "y"), "v").orderBy("a").collect()
     assert [r["v"] for r in got] == pytest.approx(np.interp(asked, np.unique(x), fitted).tolist())
     aligned = {r["eid"]: r["v"] for r in routing.align_by_quantile(rows, "x", rows, "y", "v").collect()}
     rank = np.array([((x < v).sum() + (x <= v).sum() - 1) / 2 for v in x])
