@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -54,12 +55,15 @@ DOUBTFUL, SIDE = 1, 2
 HEADS = frozenset("header masthead".split())
 MAIN_WORDS = frozenset("article articlebody content entry maincontent main post postbody story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NO_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+", re.I)
 _RAW_END = {e: re.compile(rf"</{e}\s*>", re.I) for e in RAW}
 #: A start tag that ends an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that such a start tag doesn't look beyond.
 HOLDERS = frozenset("ul ol dl table tbody thead select div article section main body td blockquote".split())
 
 
@@ -104,21 +108,23 @@ class Place:
     """An element by its path, and what follows from the path alone. Tokens are 64-bit numbers: a tag's mixes its
     path; a text node's has 32 bits of its path above 32 bits of its text, which are 0 for the path as a whole."""
 
-    __slots__ = ("below", "depth", "end", "heading", "kind", "link", "main", "name", "path", "start", "text", "void", "words")
+    __slots__ = ("below", "depth", "end", "heading", "kind", "link", "main", "mark", "name", "path", "start", "text", "void", "words")
 
     def __init__(self, above: Place | None, name: str, attributes: tuple[tuple[str, str], ...]):
         classes = " ".join(v.strip("\"' ") for k, v in attributes if k.lower() == "class")
         self.name, self.below = name, {}
-        self.path = "" if above is None else f"{above.path}/{name}" + (f".{'.'.join(re.split(r'[\s/]+', classes))}" if classes else "")
+        # the path as one number of the path above and the own name, so that deep elements need no long texts
+        self.path = 0 if above is None else xxhash.xxh64_intdigest(f"{above.path:x}/{name}" + (f".{'.'.join(re.split(r'[\s/]+', classes))}" if classes else ""))
+        self.mark = name in HOLDERS or any(name in c for c in CLOSES.values())
         self.depth = 0 if above is None else above.depth + 1
         self.kind, self.words = _kind(name, attributes, above.main) if above is not None else ("", frozenset())
         self.main = above is not None and (above.main or self.kind == "main")
         self.link = above is not None and (above.link or name == "a")
         self.heading = above is not None and (above.heading or name in HEADINGS)
         self.void = above is not None and (above.void or name in RAW or name in ("head", "noscript", "template"))
-        self.start = xxhash.xxh64_intdigest(self.path) - (1 << 63)
-        self.end = xxhash.xxh64_intdigest(self.path + "\t/") - (1 << 63)
-        self.text = (_hash32(self.path) - (1 << 31)) << 32
+        self.start = self.path - (1 << 63)
+        self.end = xxhash.xxh64_intdigest(f"{self.path:x}\t/") - (1 << 63)
+        self.text = (_hash32(f"{self.path:x}") - (1 << 31)) << 32
 
 
 class Page:
@@ -146,24 +152,50 @@ class Page:
         own, places, parent = [0], [self.places[i] for i in self.starts[1:]], self.parent
         kinds = [p.kind for p in places]
         if any(kinds):
-            held: dict[int, Counter] = {}
-            seen: Counter = Counter()
-            for e, p in enumerate(places, 1):
-                if p.name in ("main", "article"):
-                    seen[p.name] += 1
-                    up = parent[e]
-                    while up:
-                        held.setdefault(up, Counter())[p.name] += 1
-                        up = parent[up]
+            held = {name: [0] * len(parent) for name in ("main", "article")}  # by element: those inside it
+            for name, inside in held.items():
+                for e in range(len(places), 0, -1):  # inner elements come later
+                    inside[parent[e]] += inside[e] + (places[e - 1].name == name)
+            mains, articles = held["main"], held["article"]
             for e, p in enumerate(places, 1):
                 level = {"side": SIDE, "soft": SIDE, "doubtful": DOUBTFUL}.get(p.kind, 0)
-                if p.kind == "soft" and (h := held.get(e)) and (h["main"] or not seen["main"] and h["article"] == seen["article"] > 0 and not p.words & LISTS):
+                if p.kind == "soft" and (mains[e] or not mains[0] and articles[e] == articles[0] > 0 and not p.words & LISTS):
                     level = 0
                 own.append(max(level, own[parent[e]]))
             return own
         return [0] * len(parent)
 
 
+class TagEnds:
+    """Ends of tags of a page on which one has been looked for in vain: found for all places at once, from the back, so that a page
+    of tags without an end takes no longer than others."""
+
+    def __init__(self, html: str):
+        found = [(m.start(), m[0]) for m in _SPECIAL.finditer(html)]
+        self.at, self.html = [i for i, _ in found], html
+        self.end = [-1] * (len(found) + 1)  # the end of a tag whose next special character is this one
+        after = {'"': len(found), "'": len(found)}  # the next quotation mark of each kind
+        for k in range(len(found) - 1, -1, -1):
+            i, c = found[k]
+            if c == ">":
+                self.end[k] = i
+            else:
+                if after[c] < len(found):
+                    self.end[k] = self.end[after[c] + 1]
+                after[c] = k
+        self.name_end = 0
+
+    def match(self, start: int) -> re.Match | None:
+        i = start + (2 if self.html.startswith("</", start) else 1)
+        if not (self.html[i : i + 1].isascii() and self.html[i : i + 1].isalpha()):
+            return None
+        if self.name_end < i:
+            m = _NAME_END.search(self.html, i)
+            self.name_end = m.start() if m else len(self.html)
+        end = self.end[bisect_left(self.at, self.name_end)]
+        return _TAG.match(self.html, start, end + 1) if end >= 0 else None
+
+
 class Parser:
     """Pages to tokens. Places are kept from page to page (at most ``PLACES`` of them, then anew)."""
 
@@ -183,8 +215,10 @@ class Parser:
             self.root, self.kept = Place(None, "", ()), 0
         page, place, element, block, at = Page(), self.root, 0, 0, 0
         stack: list[tuple[Place, int]] = []  # what is around the open elements
+        marks: list[int] = []  # depths of the elements that a start tag may close or stops at
         opened: Counter = Counter()
-        add = page.add
+        add, ends = page.add, None
+        last = html.rfind(">")
 
         def text(raw: str) -> None:
             if raw.isspace():
@@ -196,16 +230,34 @@ class Parser:
         def close() -> None:
             nonlocal place, element
             opened[place.name] -= 1
+            if place.mark:
+                marks.pop()
             place, element = stack.pop()
 
-        while (m := _TOKEN.search(html, at)) is not None:
-            if m.start() > at:
-                text(html[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
+        look = 0
+        while (here_at := html.find("<", look)) >= 0:
+            if here_at > last and not html.startswith("<!--", here_at):  # no tag ends any more, comments may
+                look = here_at + 1
+                if html.find("<!--", look) < 0:
+                    break
+                continue
+            c = html[here_at + 1 : here_at + 2]
+            m = None
+            if c in ("!", "?"):
+                m = _NO_TAG.match(html, here_at)
+            elif c == "/" or c.isalpha():
+                m = _TAG.match(html, here_at) if ends is None else ends.match(here_at)
+                if m is None and ends is None:
+                    ends = TagEnds(html)
+            if m is None:
+                look = here_at + 1
+                continue
+            if here_at > at:
+                text(html[at:here_at])
+            at = look = m.end()
+            if c in ("!", "?"):
                 continue
-            name = name.lower()
+            name = m[2].lower()
             if name in BLOCKS:
                 block += 1
             if m[1]:
@@ -216,18 +268,20 @@ class Parser:
                     close()
                 continue
             if name in CLOSES:
-                inner = [p for p, _ in stack[1:]] + [place] if stack else []
-                for depth in range(len(inner) - 1, -1, -1):
-                    if inner[depth].name in CLOSES[name]:
+                for depth in reversed(marks):
+                    open_ = stack[depth + 1][0] if depth + 1 < len(stack) else place
+                    if open_.name in CLOSES[name]:
                         while len(stack) > depth:
                             close()
                         break
-                    if inner[depth].name in HOLDERS:
+                    if open_.name in HOLDERS:
                         break
             here = self.below(place, name, m[3])
             if name in VOID or m[3].endswith("/") and name not in BLOCKS:
                 add(here.start, place, "", element, block)
                 continue
+            if here.mark:
+                marks.append(len(stack))
             stack.append((place, element))
             page.parent.append(element)
             page.starts.append(len(page.tokens))
@@ -239,7 +293,7 @@ class Parser:
                 stop = end.start() if end else len(html)
                 if stop > at:
                     text(html[at:stop])
-                at = end.end() if end else len(html)
+                at = look = end.end() if end else len(html)
                 close()
         if at < len(html):
             text(html[at:])
@@ -415,10 +469,8 @@ def templates(found: DataFrame, counted: DataFrame, share: float) -> DataFrame:
     elements = valid.where("once").select("host", F.explode("tokens").alias("key")).join(counted, ["host", "key"]).where("own > 0")
     most = elements.groupBy("host").agg(F.max("own").alias("most"))
     chain = elements.join(most, "host").where(F.col("own") * 2 > F.col("most"))
-    names = chain.groupBy("host").agg(F.max("named").alias("any_named"))
-    chain = chain.join(names, "host").where(F.col("named") == F.col("any_named"))
     heads = chain.groupBy("host").agg(F.max("headings").alias("all_headings"))
-    slot = chain.join(heads, "host").where(F.col("headings") * 10 >= F.col("all_headings") * 9).groupBy("host").agg(F.max_by("key", F.struct("depth", "key")).alias("slot"))
+    slot = chain.join(heads, "host").where(F.col("headings") * 10 >= F.col("all_headings") * 9).groupBy("host").agg(F.max_by("key", F.struct("depth", "named", "key")).alias("slot"))
     return valid.join(slot, "host", "left").select("host", "class", "tokens", "slot")
 
 
