@@ -1,6 +1,6 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance.
 
-A file's own licence is the template with the largest cosine to one of its segments: every window of successive lines of
+A file's own licence is the template with the largest cosine to one of its segments: every window of up to ``WINDOW`` successive lines of
 a paragraph (lines without a blank one between), every paragraph, and, for a licence file, the whole text. An inverted index
 of the templates' words gives a segment's products with all templates; a segment whose product, over the least length that its
 other words can give it, stays below the threshold is passed over, which loses nothing. Document frequencies of all words of the
@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,13 @@ def words(text: str) -> list[str]:
 VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in words(t)})
 
 
-Segment = tuple[int, int]
+#: Lines of a window at most: a notice may be wrapped to a word a line. Whole paragraphs and licence files are segments as well.
+WINDOW = 64
+#: Lines whose counts are held at a time.
+LINES = 4096
+_PLACE = {w: i for i, w in enumerate(VOCABULARY)}
+
+Segment = tuple[int, int, float]
 
 
 class Index:
@@ -74,19 +81,21 @@ class Index:
     def __init__(self, df: dict[str, int], n: int, threshold: float):
         self.n, self.threshold = n, threshold
         self.idf = {w: self.weight(df.get(w, 0)) for w in VOCABULARY}
+        self.weights = np.array([self.idf[w] for w in VOCABULARY])
         self.names: list[str] = []
         self.posts: dict[str, list[tuple[int, float]]] = {w: [] for w in VOCABULARY}
-        longest = 0.0
+        columns = []
         for name, texts in TEMPLATES.items():
             for t in texts:
-                raw = {w: c * self.idf[w] for w, c in Counter(words(t)).items()}
-                norm = sum(x * x for x in raw.values())
-                for w, x in raw.items():
-                    self.posts[w].append((len(self.names), x / sqrt(norm)))
+                x = np.zeros(len(VOCABULARY))
+                for w, c in Counter(words(t)).items():
+                    x[_PLACE[w]] = c * self.idf[w]
+                x /= sqrt(x @ x)
+                for i in np.flatnonzero(x):
+                    self.posts[VOCABULARY[i]].append((len(self.names), float(x[i])))
                 self.names.append(name)
-                longest = max(longest, norm)
-        #: Other words that stand beside one notice at most, if the cosine of both together is to reach the threshold.
-        self.most_others = longest * (1 / threshold**2 - 1)
+                columns.append(x)
+        self.columns = np.array(columns).T * self.weights[:, None]  # a count's part of the products
 
     def weight(self, files: int) -> float:
         return log((1 + self.n) / (1 + files)) + 1
@@ -100,22 +109,43 @@ class Index:
                 mass[t] = mass.get(t, 0.0) + x * x
         return bool(mass) and max(mass.values()) >= self.threshold**2 - 1e-9
 
-    def products(self, counts: dict[str, int]) -> list[tuple[int, float]]:
-        dots: dict[int, float] = {}
-        for w, c in counts.items():
-            if w in self.idf:
-                s = c * self.idf[w]
-                for t, x in self.posts[w]:
-                    dots[t] = dots.get(t, 0.0) + s * x
-        return [*dots.items()]
-
-    def bound(self, counts: dict[str, int], others: int) -> float:
-        """No less than the largest cosine: a word weighs 1 at least, and so do the squares of its count."""
-        own = sum((c * self.idf[w]) ** 2 for w, c in counts.items())
-        return max((x for _, x in self.products(counts)), default=0.0) / sqrt(own + others) if own else 0.0
+    def bounds(self, counts: np.ndarray, products: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """No less than the largest cosine of each row of counts: a word weighs 1 at least, and so do the squares of its count."""
+        own = ((counts * self.weights) ** 2).sum(1)
+        return np.divide(products.max(1), np.sqrt(own + others), out=np.zeros(len(own)), where=own > 0)
+
+    def windows(self, counted: list[tuple[Counter, int]]) -> list[Segment]:
+        """Windows (from, to, bound) of up to ``WINDOW`` successive lines of a paragraph that can reach the threshold. They begin and end with a line that has a word of the templates, as others
+        add nothing. Sums of a window are differences of running ones."""
+        out: list[Segment] = []
+        for start in range(0, len(counted), LINES):
+            part = counted[start : start + LINES + WINDOW - 1]
+            counts = np.zeros((len(part) + 1, len(VOCABULARY)), np.int32)
+            for i, (c, _) in enumerate(part, 1):
+                for w, k in c.items():
+                    counts[i, _PLACE[w]] = k
+            has = counts[1:].any(1)
+            products = np.cumsum(counts @ self.columns, 0)
+            counts, others = np.cumsum(counts, 0, dtype=np.int32), np.cumsum([0, *(n for _, n in part)])
+            for length in range(1, min(WINDOW, len(part)) + 1):
+                first = np.flatnonzero(has[: min(LINES, len(part) - length + 1)] & has[length - 1 : length - 1 + min(LINES, len(part) - length + 1)])
+                if not len(first):
+                    continue
+                last = first + length
+                bound = self.bounds(counts[last] - counts[first], products[last] - products[first], others[last] - others[first])
+                hit = bound >= self.threshold - 1e-9
+                out += [(start + i, start + i + length, x) for i, x in zip(first[hit].tolist(), bound[hit].tolist())]
+        return out
+
+    def whole(self, counted: list[tuple[Counter, int]]) -> float:
+        counts = np.zeros((1, len(VOCABULARY)))
+        for c, _ in counted:
+            for w, k in c.items():
+                counts[0, _PLACE[w]] += k
+        return float(self.bounds(counts, counts @ self.columns, np.array([sum(n for _, n in counted)]))[0])
 
     def segments(self, text: str, whole: bool) -> tuple[list[str], list[Segment]]:
-        """Lines, and the segments of them (from, to) that can reach the threshold."""
+        """Lines, and the segments of them (from, to, bound) that can reach the threshold."""
         if not self.reachable(set(words(text)) & self.idf.keys()):
             return [], []
         lines = text.split("\n")
@@ -123,46 +153,49 @@ class Index:
         for line in lines:
             w = words(line)
             c = Counter(x for x in w if x in self.idf)
-            counted.append((c, len(w) - c.total(), bool(line.strip())))
-        out: set[Segment] = set()
+            counted.append((c, len(w) - c.total()))
+        out: dict[tuple[int, int], float] = {}
         at = 0
         while at < len(lines):
             end = at
-            while end < len(lines) and counted[end][2]:
+            while end < len(lines) and lines[end].strip():
                 end += 1
-            if end > at and self.reachable({w for c, _, _ in counted[at:end] for w in c}):
-                for i in range(at, end):
-                    if not counted[i][0]:
-                        continue  # a window gains nothing by a line without a word of the templates
-                    counts, others = Counter(), 0
-                    for j in range(i, end):
-                        counts.update(counted[j][0])
-                        others += counted[j][1]
-                        if others > self.most_others:
-                            break
-                        if counted[j][0] and self.bound(counts, others) >= self.threshold - 1e-9:
-                            out.add((i, j + 1))
-                counts, others = sum((c for c, _, _ in counted[at:end]), Counter()), sum(n for _, n, _ in counted[at:end])
-                if self.bound(counts, others) >= self.threshold - 1e-9:
-                    out.add((at, end))
+            paragraph = counted[at:end]
+            if end > at and self.reachable({w for c, _ in paragraph for w in c}):
+                out |= {(at + a, at + b): x for a, b, x in self.windows(paragraph)}
+                if (bound := self.whole(paragraph)) >= self.threshold - 1e-9:
+                    out[at, end] = bound
             at = end + 1
-        if whole:
-            counts, others = sum((c for c, _, _ in counted), Counter()), sum(n for _, n, _ in counted)
-            if self.bound(counts, others) >= self.threshold - 1e-9:
-                out.add((0, len(lines)))
+        if whole and (bound := self.whole(counted)) >= self.threshold - 1e-9:
+            out[0, len(lines)] = bound
         # only the lines that stand in a segment are kept
-        used = sorted({i for a, b in out for i in range(a, b)})
-        place = {i: k for k, i in enumerate(used)}
-        return [lines[i] for i in used], sorted((place[a], place[b - 1] + 1) for a, b in out)
+        change = np.zeros(len(lines) + 1, np.int64)
+        for a, b in out:
+            change[a] += 1
+            change[b] -= 1
+        used = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        place = np.zeros(len(lines) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        return [lines[i] for i in used], sorted((int(place[a]), int(place[b - 1]) + 1, x) for (a, b), x in out.items())
 
     def scan(self, lines: list[str], segments: list[Segment], df: dict[str, int]) -> tuple[float, str | None]:
-        """Best (cosine, licence) of the segments; (0, None) without any. ``df``: files of the words outside the templates."""
+        """Best (cosine, licence) of the segments; (0, None) without any. ``df``: files of the words outside the templates. Segments are taken from the largest bound on, until
+        none can reach what is found."""
         counted = [Counter(words(line)) for line in lines]
         best: tuple[float, str | None] = (0.0, None)
-        for a, b in segments:
-            counts = sum(counted[a:b], Counter())
+        for a, b, bound in sorted(segments, key=lambda x: -x[2]):
+            if bound < best[0] - 1e-9:
+                break
+            counts: Counter = Counter()
+            for c in counted[a:b]:
+                counts.update(c)
             norm = sqrt(sum((c * (self.idf[w] if w in self.idf else self.weight(df.get(w, 0)))) ** 2 for w, c in counts.items()))
-            for t, x in self.products(counts):
+            dots: dict[int, float] = {}
+            for w, c in counts.items():
+                if w in self.idf:
+                    for t, x in self.posts[w]:
+                        dots[t] = dots.get(t, 0.0) + c * self.idf[w] * x
+            for t, x in dots.items():
                 best = max(best, (x / norm, self.names[t]), key=lambda p: (p[0], p[1] or ""))
         return best
 
@@ -200,10 +233,10 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             parts = [index.segments(t, w) for t, w in zip(b["text"], b["is_license"])]
             keys = [hashlib.md5(repr(p).encode("utf-8", "replace")).digest() if p[1] else None for p in parts]
-            yield b[["id", "path", "is_license"]].assign(key=keys, lines=[p[0] for p in parts], starts=[[a for a, _ in p[1]] for p in parts], ends=[[e for _, e in p[1]] for p in parts])
+            yield b[["id", "path", "is_license"]].assign(key=keys, lines=[p[0] for p in parts], starts=[[a for a, _, _ in p[1]] for p in parts], ends=[[e for _, e, _ in p[1]] for p in parts], bounds=[[x for _, _, x in p[1]] for p in parts])
 
-    rows = materialise(files.mapInPandas(cut, "id long, path string, is_license boolean, key binary, lines array<string>, starts array<int>, ends array<int>"), "segments")
-    distinct = materialise(rows.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("lines", "starts", "ends"))), "distinct-segments")
+    rows = materialise(files.mapInPandas(cut, "id long, path string, is_license boolean, key binary, lines array<string>, starts array<int>, ends array<int>, bounds array<double>"), "segments")
+    distinct = materialise(rows.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("lines", "starts", "ends", "bounds"))), "distinct-segments")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -217,11 +250,11 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(known, n, threshold)
         for b in batches:
-            columns = (b[c] for c in ("lines", "starts", "ends", "words", "files"))
-            found = [index.scan(list(x), [*zip(s, e)], {} if w is None else dict(zip(w, f))) for x, s, e, w, f in zip(*columns)]
+            columns = (b[c] for c in ("lines", "starts", "ends", "bounds", "words", "files"))
+            found = [index.scan(list(x), [*zip(s, e, y)], {} if w is None else dict(zip(w, f))) for x, s, e, y, w, f in zip(*columns)]
             yield b[["key"]].assign(score=[s for s, _ in found], license=[x if s >= threshold else None for s, x in found])
 
-    scored = materialise(distinct.join(by_key, "key", "left").select("key", "lines", "starts", "ends", "words", "files").mapInPandas(score, "key binary, score double, license string"), "scored")
+    scored = materialise(distinct.join(by_key, "key", "left").select("key", "lines", "starts", "ends", "bounds", "words", "files").mapInPandas(score, "key binary, score double, license string"), "scored")
     bare = rows.select("id", "path", "is_license", "key")
     without = bare.where("key is null").select("id", "path", "is_license", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
     return without.union(bare.where("key is not null").join(scored, "key").select("id", "path", "is_license", "score", "license"))
@@ -233,7 +266,7 @@ def license_scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     ``is_license`` marks licence files (null: by the file's name). ``origin``: ``own`` (a segment's cosine is
     at least ``threshold``), ``inherited`` or ``none`` (license null). Of several licence files in a directory
     the least path counts; ties between templates go to the last name. ``score`` is 0 where no segment can reach the threshold.
-    Null and empty texts have no licence of their own, null paths inherit nothing, texts and paragraphs of any length are compared
+    Other columns are not looked at, whatever their names. Null and empty texts have no licence of their own, null paths inherit nothing, texts and paragraphs of any length are compared
     whole. Rows are judged one by one, so repeated rows are alike. An empty table gives no rows.
     """
     files = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("is_license"), F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_license"))
