@@ -340,6 +340,24 @@ def test_licence_beside_common_words_and_in_a_long_paragraph(spark):
     assert got == {0: ("Apache-2.0", "own"), 1: ("BSD-3-Clause", "own"), 2: ("BSL-1.0", "own")}
 
 
+def test_long_paragraphs_and_unclosed_tags_take_no_square_of_time():
+    import time
+
+    from chronoweft.llm.license_scan import VOCABULARY, Index
+    from chronoweft.llm.template_extraction import Parser
+
+    index, rng = Index({}, 1000, 0.6), random.Random(1)
+    text = "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(8)) for _ in range(20_000))
+    start = time.time()
+    lines, segments = index.segments(text, True)
+    found = index.scan(lines, segments, {})
+    assert len(text) > 900_000 and found[0] > 0.6 and time.time() - start < 90
+    for html in ("<a " * 330_000, "<div>" * 200_000, "<article>" * 110_000, '<a b="' * 160_001 + ">", "<!x" * 330_000, "<li><ul>" + "<span>" * 80_000 + "<li></li>" * 50_000):
+        start = time.time()
+        Parser().parse(html).levels()
+        assert time.time() - start < 30
+
+
 def test_licences_equal_brute_force(spark):
     """Every window of lines of a paragraph, every paragraph, and whole licence files, against the templates."""
     from collections import Counter
@@ -362,7 +380,8 @@ def test_licences_equal_brute_force(spark):
         if i % 5 == 0:
             lines.insert(rng.randint(0, len(lines)), "  ")
         rows.append((i, f"d{i}/x", "\n".join(lines), i % 7 == 0))
-    rows += [(900, "e/1", notices[-1], False), (901, "e/2", None, None), (902, None, "", None), (903, "f/LICENSE", "filler\n" * 6000 + "Released under the MIT License", None), (5, "d5/x", rows[5][2], False)]
+    repeated = " ".join([notices[0]] * 3) + " of other words there are more than one notice could bear " + " ".join(words(rng, 1) for _ in range(9))
+    rows += [(899, "e/0", f"{words(rng, 40)}\n{repeated}\n{words(rng, 40)}", False), (900, "e/1", notices[-1], False), (901, "e/2", None, None), (902, None, "", None), (903, "f/LICENSE", "filler\n" * 6000 + "Released under the MIT License", None), (5, "d5/x", rows[5][2], False)]
     n = len(rows)
     df = Counter(w for r in rows for w in set(tokens(r[2] or "")))
     vector = lambda t: {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(tokens(t)).items()}
@@ -447,7 +466,7 @@ def test_classes_equal_brute_force(spark):
     assert {frozenset(r["tokens"]) for r in found} == want
     # tokens out of order and cycles that cross break a class
     p = Parser().parse("<html><p>x</p><b>y</b><p>x</p></html>")
-    ids = dict(zip((pl.path + repr(x) + str(n) for n, (pl, x) in enumerate(zip(p.places, p.texts))), p.tokens))
+    ids = dict(zip((str(pl.path) + repr(x) + str(n) for n, (pl, x) in enumerate(zip(p.places, p.texts))), p.tokens))
     html, para, x, bold = (next(v for k, v in ids.items() if k.startswith(q)) for q in ("/html''", "/html/p''", "/html/p'x'", "/html/b''"))
     assert Template([{"class": 1, "tokens": [para, x]}]).broken(p) == set()
     assert Template([{"class": 1, "tokens": [x, para]}]).broken(p) == {1}
