@@ -466,8 +466,8 @@ def test_classes_equal_brute_force(spark):
     assert {frozenset(r["tokens"]) for r in found} == want
     # tokens out of order and cycles that cross break a class
     p = Parser().parse("<html><p>x</p><b>y</b><p>x</p></html>")
-    ids = dict(zip((str(pl.path) + repr(x) + str(n) for n, (pl, x) in enumerate(zip(p.places, p.texts))), p.tokens))
-    html, para, x, bold = (next(v for k, v in ids.items() if k.startswith(q)) for q in ("/html''", "/html/p''", "/html/p'x'", "/html/b''"))
+    ids = dict(zip((pl.name + repr(x) + str(n) for n, (pl, x) in enumerate(zip(p.places, p.texts))), p.tokens))
+    html, para, x, bold = (next(v for k, v in ids.items() if k.startswith(q)) for q in ("html''", "p''", "p'x'", "b''"))
     assert Template([{"class": 1, "tokens": [para, x]}]).broken(p) == set()
     assert Template([{"class": 1, "tokens": [x, para]}]).broken(p) == {1}
     assert 2 in Template([{"class": 1, "tokens": [html, bold]}, {"class": 2, "tokens": [para, bold]}]).broken(p)
