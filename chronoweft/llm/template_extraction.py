@@ -450,7 +450,7 @@ def votes(pages: DataFrame, found: DataFrame) -> DataFrame:
                     own[up] += own[e]
                     heads[up] += heads[e]
                     i = page.starts[e]
-                    if page.tokens[i] in template.step:
+                    if page.tokens[i] in template.step and page.places[i].name in HOLDERS:  # a heading or a paragraph is no slot
                         s = sums.setdefault((host, page.tokens[i]), [0, 0, 0, 0, 0])
                         s[1] += own[e]
                         s[2] += heads[e]
