@@ -164,8 +164,8 @@ def language_id(docs: DataFrame, max_documents: int = 1600, max_chars: int = 10_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        words, n = worker_cache(key, lambda: WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES // 2)), len(langs)
-        for b in slices(batches, 200):
+        words, n = worker_cache(key, lambda: WordTable(lambda words: word_scores(w, words), CACHE_ENTRIES)), len(langs)
+        for b in slices(batches, 1000):
             split = [segments(t) for t in texts(b.column("text"))]
             rows, vectors = words.find([s for x in split for s in x])
             ends = np.cumsum([len(x) for x in split])

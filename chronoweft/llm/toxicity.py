@@ -212,7 +212,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tox
         w = shared.value
         both, blank = np.concatenate([w["f_w"], w["b_w"]], 1), np.concatenate([w["f_b"], w["b_b"]])
         words = worker_cache(key, lambda: WordTable(lambda words: _vectors(w, words), CACHE_ENTRIES // 2))
-        for b in slices(batches, 200):
+        for b in slices(batches, 400):
             split = [segments(t) for t in texts(b.column("text"))]
             lengths = np.array([len(x) for x in split])
             rows, vectors = words.find([s for x in split for s in x])
