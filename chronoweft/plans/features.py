@@ -14,6 +14,8 @@ from chronoweft.plans.reference import _CN, _EDGES, _FUSED, _PAST, _graph, _roun
 from chronoweft.sources import tables as D
 from chronoweft.sources.written import written
 from chronoweft.streaming.memory import last_messages
+from chronoweft.streaming.memory import memory_bank as bank
+from chronoweft.streaming.rolling import rolling_neighbors as near
 
 _UNIT = "unit AS (SELECT vec_id AS node, [CAST(x AS DOUBLE) / sqrt(list_dot_product([CAST(y AS DOUBLE) FOR y IN embedding], [CAST(y AS DOUBLE) FOR y IN embedding])) FOR x IN embedding] AS v FROM embeddings)"
 _N = "[CAST(x AS DOUBLE) / sqrt(list_dot_product(v, v)) FOR x IN v]"
@@ -218,3 +220,21 @@ def scalar_chances(spark, d):
 def node_memory(spark, d):
     """The last message of each node; the same function keeps it as state over a stream."""
     return last_messages(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id"), "ts", "event_id", "value"))
+
+
+@query("""WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) - 1 AS age FROM d)
+SELECT user_id, round(coalesce(sum(0.3 * pow(0.7, age - 1) * value) FILTER (age >= 1), 0), 6) AS memory, max(ts) FILTER (age = 1) AS updated, max(value) FILTER (age = 0) AS message, max(ts) FILTER (age = 0) AS at FROM n GROUP BY user_id""")
+def memory_bank(spark, d):
+    """Memories of the nodes after all days, each day a batch; the same function keeps them as state over a stream."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value", F.date_trunc("day", "ts").alias("batch"))
+    return _rounded(bank(rows, 0.3), "memory")
+
+
+@query(f"""WITH {_EDGES} SELECT src AS node, q.eid * 4 + k AS ask, epoch_ms(t * 86400000) AS t, nbr, count(adj.ts) AS n FROM q LEFT JOIN adj ON node = src AND adj.ts < t AND adj.ts >= t - 120 GROUP BY ALL""")
+def rolling_neighbors(spark, d):
+    """The source's neighbours of the 120 days before each query; the same function answers a stream that arrives out of order."""
+    events, q = _graph(spark, d)
+    time = lambda c: F.timestamp_seconds(F.col(c) * 86400)
+    rows = D.adjacency(events).select("node", time("ts").alias("ts"), "nbr", F.lit(None).cast("long").alias("ask"))
+    rows = rows.unionByName(q.select(F.col("src").alias("node"), time("t").alias("ts"), F.lit(None).cast("long").alias("nbr"), (F.col("eid") * 4 + F.col("k")).alias("ask")))
+    return near(written(rows, "rolling"), 120 * 86400)
