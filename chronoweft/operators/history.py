@@ -43,9 +43,12 @@ def mutual_history(events: DataFrame, q: DataFrame, size: int) -> DataFrame:
 def latest_neighbor_events(events: DataFrame, q: DataFrame, end: str) -> DataFrame:
     """The last event with each neighbour of the query's ``end`` before t; one that came in stands before any that went out. eid, k, nbr, role, ts."""
     asked = q.select(F.col(end).alias("node"), "t").distinct()
-    per = adjacency(events).groupBy("node", "nbr", "role", "ts").agg(F.max("eid").alias("eid"))
-    seen = asked.join(per, "node").where("ts < t").groupBy("node", "t", "nbr").agg(F.max(F.struct(F.when(F.col("role") == "in", 1).otherwise(0).alias("came"), "ts", "eid")).alias("m"))
-    found = seen.select("node", "t", "nbr", F.when(F.col("m.came") == 1, "in").otherwise("out").alias("role"), F.col("m.ts").alias("ts"))
+    met = written(asked.join(first_contacts(events), "node").where("first_ts < t").select("node", "nbr", "t"), "met")  # a row for each row of the result
+    found = met
+    for role in ("in", "out"):
+        last = asof_aggregate(adjacency(events).where(F.col("role") == role).select("node", "nbr", "ts"), met, ["node", "nbr"], {role: ("max", F.col("ts"))})
+        found = found.join(last, ["node", "nbr", "t"])
+    found = found.select("node", "nbr", "t", F.when(F.col("in").isNotNull(), "in").otherwise("out").alias("role"), F.coalesce("in", "out").alias("ts"))
     return q.select(*KEY, F.col(end).alias("node"), "t").join(found, ["node", "t"]).select(*KEY, "nbr", "role", "ts")
 
 

@@ -21,9 +21,10 @@ def _last(events: DataFrame, q: DataFrame, keys: list[str], on: dict[str, str])
     return attach(q, asof_aggregate(events.select(*keys, "ts"), q.select(*(F.col(a).alias(k) for a, k in on.items()), "t"), keys, {"last": ("max", F.col("ts")), "n": ("count", F.col("ts"))}), on)
 
 
-def pair_history(events: DataFrame, q: DataFrame) -> DataFrame:
-    """recency (last - t) and number of past interactions of the pair; a self-loop counts twice."""
-    out = _last(adjacency(events), q, ["node", "nbr"], {"src": "node", "tgt": "nbr"})
+def pair_history(events: DataFrame, q: DataFrame, directed: bool = False) -> DataFrame:
+    """recency (last - t) and number of past interactions of the pair; a self-loop counts twice. ``directed``: of events from source to target only."""
+    told = events.select(F.col("u").alias("node"), F.col("i").alias("nbr"), "ts") if directed else adjacency(events)
+    out = _last(told, q, ["node", "nbr"], {"src": "node", "tgt": "nbr"})
     return out.select(*KEY, F.coalesce((F.col("last") - F.col("t")).cast("double"), F.lit(NEVER)).alias("recency"), F.coalesce("n", F.lit(0)).alias("past"))
 
 
@@ -33,6 +34,20 @@ def target_history(events: DataFrame, q: DataFrame) -> DataFrame:
     return out.select(*KEY, F.coalesce("n", F.lit(0)).alias("popularity"), F.coalesce((F.col("last") - F.col("t")).cast("double"), F.lit(NEVER)).alias("global_recency"))
 
 
+def popularity(events: DataFrame, q: DataFrame, mode: str = "target", rate: float = 0.0, origin: int = 0) -> DataFrame:
+    """``popularity`` of the ``target``, the ``source`` or of both (``sum``): events before t, each weighing exp(-rate (t - ts)) if a rate is given."""
+    if mode not in ("target", "source", "sum"):
+        raise ValueError("mode is target, source or sum")
+    out = q.select(*KEY)
+    for end in ("tgt", "src"):
+        if mode == "sum" or (mode == "target") == (end == "tgt"):
+            asked = q.withColumn("tgt", F.col(end))
+            one = decayed_popularity(events, asked, rate, origin).withColumnRenamed("decayed_popularity", end) if rate else target_history(events, asked).select(*KEY, F.col("popularity").alias(end))
+            out = out.join(one, KEY)
+    ends = [F.col(c) for c in out.columns if c not in KEY]
+    return out.select(*KEY, sum(ends[1:], ends[0]).alias("popularity"))
+
+
 def decayed_popularity(events: DataFrame, q: DataFrame, rate: float, origin: int) -> DataFrame:
     """Sum of exp(-rate (t - ts)) over the target's events; exponents are taken from ``origin``."""
     weight = F.exp(F.lit(rate) * (F.col("ts") - origin))

@@ -80,13 +80,13 @@ def score_recent_four_pack(spark, d):
     return _rounded(H.recent_four_pack(*_graph(spark, d), 20), "ra")
 
 
-@query(f"""WITH {_EDGES}, {_SEQ}, p AS (SELECT * FROM q WHERE k = 0), {_last('src', 10, 'a', 'p')}, {_last('tgt', 10, 'b', 'p')}, s AS (SELECT 'src' AS side, * FROM a UNION ALL SELECT 'tgt', * FROM b),
+@query(f"""WITH {_EDGES}, {_SEQ}, p AS (SELECT * FROM q), {_last('src', 10, 'a', 'p')}, {_last('tgt', 10, 'b', 'p')}, s AS (SELECT 'src' AS side, * FROM a UNION ALL SELECT 'tgt', * FROM b),
 w AS (SELECT *, row_number() OVER (PARTITION BY eid, k, side ORDER BY age DESC) - 1 AS place FROM s)
 SELECT w.eid, w.k, w.side, CAST(place AS INTEGER) AS place, w.nbr, CAST(count(*) FILTER (s.side = w.side) AS INTEGER) AS own, CAST(count(*) FILTER (s.side <> w.side) AS INTEGER) AS other
 FROM w JOIN s ON s.eid = w.eid AND s.k = w.k AND s.nbr = w.nbr GROUP BY ALL""")
 def neighbor_co_occurrence(spark, d):
     events, q = _graph(spark, d)
-    return H.co_occurrence(events, q.where("k = 0"), 10)
+    return H.co_occurrence(events, q, 10)
 
 
 def _hop(asked: str) -> str:
@@ -163,7 +163,7 @@ def salient_partners(spark, d):
     return H.salient_partners(D.edges(spark, d))
 
 
-@query(f"""WITH {_EDGES}, {_SEQ}, {_VECTORS}, p AS (SELECT * FROM q WHERE k = 0), {_last('src', 30, 'h', 'p')},
+@query(f"""WITH {_EDGES}, {_SEQ}, {_VECTORS}, p AS (SELECT * FROM q), {_last('src', 30, 'h', 'p')},
 s AS (SELECT h.eid, h.k, age, h.nbr, CAST(h.t - h.ts AS DOUBLE) AS gap, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 9) AS similarity FROM h JOIN p USING (eid, k) LEFT JOIN vectors a ON a.node = h.nbr LEFT JOIN vectors b ON b.node = tgt),
 m AS (SELECT eid, k, quantile_cont(gap, 0.5) AS tau, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT s.*, n, exp(-1.0 * gap / greatest(tau, 1)) AS fresh FROM s JOIN m USING (eid, k)),
 v AS (SELECT *, CASE WHEN n = 1 THEN 1 ELSE 0.5 * (1 - (row_number() OVER (PARTITION BY eid, k ORDER BY similarity DESC, age) - 1) / (n - 1)) + 0.5 * (1 - (row_number() OVER (PARTITION BY eid, k ORDER BY fresh DESC, age) - 1) / (n - 1)) END AS value FROM f),
@@ -171,7 +171,6 @@ w AS (SELECT *, row_number() OVER (PARTITION BY eid, k ORDER BY CASE WHEN age <
 def ranked_history(spark, d):
     """Of the source's pool the events nearest to the target in meaning and time."""
     seq, q = _seq(spark, d)
-    q = q.where("k = 0")
     pool = H.endpoint_history(seq, q, "src", 30).join(q.select("eid", "k", "tgt", "t"), ["eid", "k"])
     asked = pool.select("eid", "k", "age", F.col("nbr").alias("src"), "tgt")
     unit = _vectors(spark, d).select("node", V.normalise(F.col("vector").cast("array<double>")).alias("v"))
