@@ -238,3 +238,27 @@ def rolling_neighbors(spark, d):
     rows = D.adjacency(events).select("node", time("ts").alias("ts"), "nbr", F.lit(None).cast("long").alias("ask"))
     rows = rows.unionByName(q.select(F.col("src").alias("node"), time("t").alias("ts"), F.lit(None).cast("long").alias("nbr"), (F.col("eid") * 4 + F.col("k")).alias("ask")))
     return near(written(rows, "rolling"), 120 * 86400)
+
+
+@query(f"WITH {_EDGES}, x AS (SELECT DISTINCT ts, ln(1 + (SELECT max(ts) FROM edges) - ts) AS x FROM edges) SELECT ts, 'fourier' AS kind, CAST(j AS INTEGER) AS dim, round(CASE WHEN j < 4 THEN sin(x * exp(ln(10000) * (j % 4) / 3.0)) ELSE cos(x * exp(ln(10000) * (j % 4) / 3.0)) END, 6) + 0.0 AS v FROM x, (SELECT unnest(range(8)) AS j) UNION ALL SELECT ts, 'rbf', CAST(j AS INTEGER), round(exp(-16 * pow(x / (1 + x) - j / 7.0, 2)), 6) FROM x, (SELECT unnest(range(8)) AS j)")
+def time_bases(spark, d):
+    """Fourier and radial bases of the time since each day."""
+    events = D.edges(spark, d)
+    last = events.agg(F.max("ts")).first()[0]
+    days = events.select("ts").distinct()
+    parts = [days.select("ts", F.lit(kind).alias("kind"), F.posexplode(f(F.lit(last) - F.col("ts"), 8)).alias("dim", "v")) for kind, f in (("fourier", T.fourier_time), ("rbf", T.rbf_time))]
+    return _rounded(parts[0].union(parts[1]), "v")
+
+
+_MARKS = "[" + ", ".join(f"'{m}'" for m in T.LOW_SIGNAL) + "]"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(0), ' '), '\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT doc_id, t, list_min([strpos(lower(t), m) - 1 FOR m IN {_MARKS} IF strpos(lower(t), m) > 0]) AS place FROM c),
+b AS (SELECT doc_id, CASE WHEN place >= 80 THEN regexp_replace(t[1:place], '[ ,;:-]+$', '') ELSE t END AS t FROM a), p AS (SELECT doc_id, t, [regexp_replace(x, '^[ .]+|[ .]+$', '', 'g') FOR x IN string_split(regexp_replace(t, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1))] AS l FROM b),
+g AS (SELECT doc_id, t, [x FOR x IN l IF x <> '' AND len([m FOR m IN {_MARKS} IF contains(lower(x), m)]) = 0 AND length(x) - length(replace(x, '|', '')) < 2 AND NOT regexp_matches(x, '^[0-9]+\.\s+\S') AND NOT regexp_matches(x, '(?i)^(disc|episode|chapter|side)\s+[0-9]+\b') AND NOT regexp_matches(x, '(?i)^(track|song|bonus)\s*[:-]')][1:2] AS good FROM p),
+j AS (SELECT doc_id, t, good, array_to_string(good, '. ') AS s FROM g), w AS (SELECT doc_id, t, good, CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END AS s FROM j), k AS (SELECT *, regexp_replace(s[1:280], '[ ,;:-]+$', '') AS cut FROM w), z AS (SELECT *, length(cut) - strpos(reverse(cut), ' ') AS sp FROM k)
+SELECT doc_id, CASE WHEN t = '' THEN '' WHEN len(good) = 0 THEN CASE WHEN len(string_split(t, ' ')) <= 40 THEN t ELSE regexp_replace(array_to_string(string_split(t, ' ')[1:40], ' '), '[ ,;:-]+$', '') || '...' END
+WHEN length(s) <= 280 THEN s ELSE regexp_replace(CASE WHEN strpos(cut, ' ') > 0 AND sp >= 80 THEN cut[1:sp] ELSE cut END, '[ ,;:-]+$', '') || '...' END AS summary FROM z""")
+def text_summaries(spark, d):
+    """The first two sentences of each whole text that say something, in at most 280 characters."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.summarise(T.normalise_space(F.col("text"))).alias("summary"))

@@ -324,3 +324,62 @@ def test_marginal_utility_equals_brute_force(spark):
     for e, k, a, b, y in rows:
         assert math.isclose(got[e, k], win(b, neg if y else pos, y) - win(a, neg if y else pos, y), abs_tol=1e-9)
     assert ranking.wasserstein(spark.createDataFrame([(0, 1.0), (1, 3.0)], "g int, v double"), "v", "g") == 2.0
+
+
+def test_samples_are_finished_in_every_mode(spark, events):
+    from chronoweft.operators import finalise
+
+    past, late = events.where("ts < 190"), events.where("ts >= 190")
+    q = tables.queries(events, late, 2).drop("_size")
+    names = {f"{s.name}_{c}" for s in finalise.PROMPT_SIGNALS for c in ("level", "pct")}
+    for mode, reference, expert in (("sequential", "contextual", "global"), ("train_pool", "sequential", "fixed")):
+        got = finalise.finalise_samples(events, q, mode=mode, reference=reference, expert=expert, pools=2, pool_size=6)
+        rows = got.collect()
+        assert len(rows) == q.count() and names <= set(got.columns) and {r["expert"] for r in rows} <= {"Yes", "No"}
+        assert {r["structural"] for r in rows} <= {"Low", "Modest", "High"} and all(r["rrf"] > 0 for r in rows)
+    # the mean over pools of the fused ranks of the anchor
+    from chronoweft.operators.sampling import training_pools
+
+    columns = ["recency", "popularity"]
+    fused = {(r["eid"], r["k"]): r["rrf"] for r in finalise.pool_fusion(past, q, columns, 2, 6).collect()}
+    assert set(fused) == {(r["eid"], r["k"]) for r in q.collect()}
+    one = q.where("k = 1")
+    pools = training_pools(one.withColumn("eid", F.col("eid") * 4096 + 1), past.select(F.col("i").alias("node")), 2, 6)
+    asked = pools.select((F.col("eid") * 2 + F.col("pool")).alias("eid"), F.col("place").alias("k"), "src", F.col("target").alias("tgt"), "t")
+    seen: dict = {}
+    for r in registry.scores(past, asked, columns).collect():
+        seen.setdefault(r["eid"], []).append(r)
+    want: dict = {}
+    for e, rows in seen.items():
+        assert len(rows) == 6
+        rank = lambda c: sorted(rows, key=lambda r: (-r[c], r["k"])).index(next(r for r in rows if r["k"] == 0)) + 1  # noqa: B023, E731
+        want.setdefault(e // 2 // 4096, []).append(sum(1 / (60 + rank(c)) for c in columns))
+    for e, parts in want.items():
+        assert len(parts) == 2 and math.isclose(fused[e, 1], sum(parts) / 2)
+    with pytest.raises(ValueError):
+        finalise.learned_top(q, q.limit(1).withColumn("priority", F.lit(1.0)), 0.1)
+    assert finalise.learned_top(q, q.limit(1).withColumn("priority", F.lit(1.0)), 0.1, default=0.0).count() == round(0.1 * q.count())
+
+
+def test_contextual_levels_are_not_changed_by_reverse_events(spark):
+    from chronoweft.operators.calibration import contextual_calibration
+    from chronoweft.plans.calibration import signal_rows
+
+    rows = [(0, 1, 0, 2, 1), (1, 1, 1, 3, 2), (2, 1, 2, 3, 3), (3, 2, 3, 1, 4), (4, 4, 4, 1, 5)]
+    q = spark.createDataFrame([(n, 0, 1, n, 10) for n in (2, 3, 4)], "eid long, k int, src long, tgt long, t long")
+    got = {}
+    for name, kept in (("both", rows), ("out", rows[:3])):
+        events = spark.createDataFrame([(*r, 1) for r in kept], EVENTS)
+        got[name] = {r["eid"]: (r["past"], r["past_level"], r["past_pct"]) for r in contextual_calibration(events, signal_rows(events, q)).collect()}
+    assert got["both"] == got["out"] == {2: (1, "Low", 0.0), 3: (2, "High", 100.0), 4: (0, "Low", 0.0)}
+
+
+def test_few_shot_blocks_and_summaries(spark):
+    one = lambda f, text: spark.createDataFrame([(text,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+    text = "intro\n## Example 1 (short)\n```text\nQ: a\nA: b\n```\nID 2\n\n  plain block \nExample 3\n\n"
+    assert one(T.few_shot_blocks, text) == ["Q: a\nA: b", "plain block"]
+    assert one(T.few_shot_blocks, " no header ") == ["no header"] and one(T.few_shot_blocks, None) == [] and one(T.few_shot_blocks, "  ") == []
+    long = "A film about a long walk through the hills of a country that nobody knows. Side 2 holds extras. It ends well! Bonus features include a tour"
+    assert one(T.summarise, long) == "A film about a long walk through the hills of a country that nobody knows. It ends well!"
+    assert one(T.summarise, "Disc 1 of 3. Track: one") == "Disc 1 of 3. Track: one" and one(T.summarise, "") == ""
+    assert one(T.summarise, "word " * 70 + "end") == ("word " * 56).strip()[:280].rstrip() + "..."
