@@ -382,4 +382,4 @@ def test_few_shot_blocks_and_summaries(spark):
     long = "A film about a long walk through the hills of a country that nobody knows. Side 2 holds extras. It ends well! Bonus features include a tour"
     assert one(T.summarise, long) == "A film about a long walk through the hills of a country that nobody knows. It ends well!"
     assert one(T.summarise, "Disc 1 of 3. Track: one") == "Disc 1 of 3. Track: one" and one(T.summarise, "") == ""
-    assert one(T.summarise, "word " * 70 + "end") == ("word " * 56).strip()[:280].rstrip() + "..."
+    assert one(T.summarise, "word " * 70 + "end") == ("word " * 55).strip() + "..."
