@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 _OF = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
+#: Events of a block of time.
+ROWS = 1 << 17
 
 
 def _both(kind: str, a: Column, b: Column) -> Column:
@@ -22,22 +24,27 @@ def _both(kind: str, a: Column, b: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(a, b)  # both leave nulls out
 
 
-def asof_aggregate(events: DataFrame, asked: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], ts: str = "ts", t: str = "t", width: float = 128) -> DataFrame:
+def asof_aggregate(events: DataFrame, asked: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], ts: str = "ts", t: str = "t", width: float | None = None) -> DataFrame:
     """``asked``'s distinct (keys, t) with each aggregate of the events of the same key before t.
 
     ``aggs``: name to kind (count, sum, max, min) and column over the events' columns. Keys without earlier events get the
-    aggregate of nothing (null, or 0 for a count). ``width``: length of a block of time.
+    aggregate of nothing (null, or 0 for a count). ``width``: length of a block of time; by default such that a block holds about
+    ``ROWS`` of all events where times lie evenly, so that a key's share of them is split. Events of a key at one time are merged to one row before they are sorted.
     """
+    if width is None:
+        n, low, high = events.agg(F.count("*"), F.min(F.col(ts).cast("double")), F.max(F.col(ts).cast("double"))).first()
+        width = max((high - low) / max(1, n // ROWS), 1e-9) if n and high > low else 1.0
     block = lambda c: F.floor(F.col(c) / width)
     values = {n: c.alias(n) for n, (_, c) in aggs.items()}
     past = events.select(*keys, F.col(ts).alias("_at"), block(ts).alias("_block"), F.lit(1).alias("_kind"), *values.values())
     now = asked.select(*keys, F.col(t).alias("_at")).distinct().select(*keys, "_at", block("_at").alias("_block"), F.lit(0).alias("_kind"))
-    sums = past.groupBy(*keys, "_block").agg(*(_OF[k](n).alias(n) for n, (k, _) in aggs.items()))
+    past = past.groupBy(*keys, "_at", "_block", "_kind").agg(*(_OF[k](n).alias(n) for n, (k, _) in aggs.items()))  # merged from here on
+    sums = past.groupBy(*keys, "_block").agg(*(_MERGE[k](n).alias(n) for n, (k, _) in aggs.items()))
     blocks = sums.unionByName(now.select(*keys, "_block").distinct(), allowMissingColumns=True).groupBy(*keys, "_block").agg(*(_MERGE[k](n).alias(n) for n, (k, _) in aggs.items()))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(*keys, "_block", *(_MERGE[k](n).over(earlier).alias(f"_{n}") for n, (k, _) in aggs.items()))
     here = Window.partitionBy(*keys, "_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = past.unionByName(now, allowMissingColumns=True).select(*keys, "_at", "_block", "_kind", *(_OF[k](n).over(here).alias(n) for n, (k, _) in aggs.items()))
+    inside = past.unionByName(now, allowMissingColumns=True).select(*keys, "_at", "_block", "_kind", *(_MERGE[k](n).over(here).alias(n) for n, (k, _) in aggs.items()))
     out = inside.where("_kind = 0").join(before, [*keys, "_block"])
     return out.select(*keys, F.col("_at").alias(t), *(_both(k, F.col(n), F.col(f"_{n}")).alias(n) for n, (k, _) in aggs.items()))
 
