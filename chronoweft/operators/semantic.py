@@ -38,6 +38,14 @@ def history_mean(events: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean.select(F.col("u").alias("node"), F.col("pos").alias("dim"), "x")
 
 
+def initialised_sources(events: DataFrame, vectors: DataFrame) -> DataFrame:
+    """node, v: the scaled mean of the vectors of a source's destinations in place of its own, events counting, where both ends have a vector; other nodes keep theirs."""
+    own = vectors.select("node", F.col("vector").cast("array<double>").alias("own"))
+    known = events.join(own.select(F.col("node").alias("u")), "u", "left_semi")
+    mean = history_mean(known, vectors).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
+    return own.join(mean.select("node", normalise(F.col("v")).alias("v")), "node", "left").select("node", F.coalesce("v", "own").alias("v"))
+
+
 def smooth(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """One step of symmetric-normalised smoothing with self-loops: node, dim, x of D^-1/2 (A + I) D^-1/2 X."""
     both = events.select("u", "i").union(events.select(F.col("i").alias("u"), F.col("u").alias("i")))

@@ -133,7 +133,20 @@ def pair_gram(spark, d):
     return _rounded(V.pair_gram(fused(spark, d), _FEATURES), "g", "d")
 
 
-@query(None)
+def _ridge_sql() -> str:
+    """The ridge fit of three features by determinants, from the sums over pairs."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = ", ".join([f"sum({_FEATURES[i]} * {_FEATURES[j]})::DOUBLE AS g{i}{j}" for i, j in pairs] + [f"sum({c})::DOUBLE AS r{i}" for i, c in enumerate(_FEATURES)])
+    size = lambda i: f"sqrt(greatest(g{i}{i}, 1e-12))"
+    scaled = ", ".join([f"g{i}{j} / ({size(i)} * {size(j)}){' + 1.0' if i == j else ''} AS m{i}{j}" for i, j in pairs] + [f"r{i} / {size(i)} AS y{i}, {size(i)} AS z{i}" for i in range(3)])
+    a = [["m00", "m01", "m02"], ["m01", "m11", "m12"], ["m02", "m12", "m22"]]
+    det = lambda t: f"({t[0][0]} * ({t[1][1]} * {t[2][2]} - {t[1][2]} * {t[2][1]}) - {t[0][1]} * ({t[1][0]} * {t[2][2]} - {t[1][2]} * {t[2][0]}) + {t[0][2]} * ({t[1][0]} * {t[2][1]} - {t[1][1]} * {t[2][0]}))"
+    w = ", ".join(f"{det([[f'y{r}' if c == i else a[r][c] for c in range(3)] for r in range(3)])} / {det(a)} / z{i} AS w{i}" for i in range(3))
+    return f"""WITH {_EDGES}, {_FUSED}, m AS (SELECT p.popularity - n.popularity AS popularity, p.past - n.past AS past, p.rrf - n.rrf AS rrf FROM fused p JOIN fused n ON n.eid = p.eid AND p.k = 0 AND n.k > 0),
+g AS (SELECT {sums} FROM m), h AS (SELECT {scaled} FROM g), w AS (SELECT {w} FROM h) SELECT eid, k, round({" + ".join(f"w{i} * {c}" for i, c in enumerate(_FEATURES))}, 6) AS score FROM fused, w"""
+
+
+@query(_ridge_sql())
 def pairwise_ridge_scores(spark, d):
     """Queries scored by the weights of a pairwise ridge fit."""
     rows = fused(spark, d)

@@ -294,6 +294,16 @@ def semantic_history_mean(spark, d):
     return _rounded(V.history_mean(D.edges(spark, d), _vectors(spark, d)), "x")
 
 
+@query(f"""WITH {_EDGES}, {_VECTORS}, l AS (SELECT u, unnest(b.v) AS x, unnest(range(len(b.v))) AS dim FROM edges JOIN cuts ON ts <= test_time JOIN vectors a ON a.node = u JOIN vectors b ON b.node = i), m AS (SELECT u, dim, avg(x) AS x FROM l GROUP BY ALL),
+n AS (SELECT u, dim, x / sqrt(sum(x * x) OVER (PARTITION BY u)) AS x FROM m), o AS (SELECT node, unnest(v) AS x, unnest(range(len(v))) AS dim FROM vectors)
+SELECT o.node, CAST(o.dim AS INTEGER) AS dim, round(coalesce(n.x, o.x), 6) + 0.0 AS x FROM o LEFT JOIN n ON n.u = o.node AND n.dim = o.dim""")
+def initialised_sources(spark, d):
+    """Vectors whose sources start from the mean of their history up to the test split."""
+    events = written(D.edges(spark, d), "events")
+    out = V.initialised_sources(events.where(F.col("ts") <= P.boundaries(events)[1]), _vectors(spark, d))
+    return _rounded(out.select("node", F.posexplode("v").alias("dim", "x")), "x")
+
+
 @query(f"""WITH {_EDGES}, {_VECTORS}, a AS (SELECT u, i, sum(w) AS w FROM (SELECT node AS u, nbr AS i, 1.0::DOUBLE AS w FROM adj WHERE node IN (SELECT node FROM vectors) AND nbr IN (SELECT node FROM vectors) UNION ALL SELECT node, node, 1 FROM vectors) GROUP BY ALL),
 deg AS (SELECT u, greatest(sum(w), 1) AS d FROM a GROUP BY u),
 l AS (SELECT a.u, w / sqrt(x.d * y.d) AS w, unnest(v) AS x, unnest(range(len(v))) AS dim FROM a JOIN deg x ON x.u = a.u JOIN deg y ON y.u = a.i JOIN vectors ON node = a.i)

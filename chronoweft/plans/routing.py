@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from chronoweft.operators import alignment as I
 from chronoweft.operators import ranking as R
 from chronoweft.operators import routing as G
+from chronoweft.operators import scorers as S
+from chronoweft.operators import splits as P
 from chronoweft.plans.reference import _BATCH, _EDGES, _FUSED, _graph, _in_batches, _rounded, draw_sql, fused, query, scored
+from chronoweft.sources import tables as D
 from chronoweft.sources.written import written
 
 _AUC = "round(sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6)"
@@ -153,10 +156,17 @@ def sequential_levels(spark, d):
     return G.sequential_levels(scored(spark, d, "popularity"), "popularity").select("eid", "k", "level")
 
 
-@query(f"""WITH {_BASE}, c AS (SELECT quantile_cont(popularity, 0.3) AS lo, quantile_cont(popularity, 0.7) AS hi FROM fused WHERE k = 1) SELECT eid, k, CASE WHEN lo = hi THEN 'Modest' WHEN popularity >= hi THEN 'High' WHEN popularity <= lo THEN 'Low' ELSE 'Modest' END AS level FROM fused, c""")
+@query(f"""WITH {_BASE}, ve AS (SELECT eid, u AS src, i, ts AS t FROM edges, cuts WHERE ts > val_time AND ts <= test_time),
+vq AS (SELECT eid, 0 AS k, i AS tgt, t FROM ve UNION ALL SELECT eid, k, node, t FROM (SELECT eid, k, t, {draw_sql("eid", "k", "SELECT count(*) FROM pool")} AS idx FROM ve, (SELECT unnest([1, 2, 3]) AS k)) JOIN pool USING (idx)),
+vp AS (SELECT eid, k, count(ts) AS popularity FROM vq LEFT JOIN adj ON node = tgt AND ts < t GROUP BY ALL), c AS (SELECT quantile_cont(popularity, 0.3) AS lo, quantile_cont(popularity, 0.7) AS hi FROM vp)
+SELECT eid, k, CASE WHEN lo = hi THEN 'Modest' WHEN popularity >= hi THEN 'High' WHEN popularity <= lo THEN 'Low' ELSE 'Modest' END AS level FROM fused, c""")
 def frozen_levels(spark, d):
-    rows = scored(spark, d, "popularity")
-    return G.frozen_levels(rows, rows.where("k = 1"), "popularity").select("eid", "k", "level")
+    """Levels of the test queries by bounds that the validation queries gave."""
+    events = written(D.edges(spark, d), "events")
+    val_time, test_time = P.boundaries(events)
+    earlier = written(D.queries(events, events.where((F.col("ts") > val_time) & (F.col("ts") <= test_time))), "validation")
+    reference = S.target_history(events, earlier).select("popularity")
+    return G.frozen_levels(scored(spark, d, "popularity"), written(reference, "reference"), "popularity").select("eid", "k", "level")
 
 
 @query(f"""WITH {_BASE}, {_EARLIER}, c AS (SELECT tt.t, quantile_cont(f.popularity, 0.5) AS m FROM tt JOIN fused f ON f.t < tt.t GROUP BY tt.t), g AS (SELECT quantile_cont(popularity, 0.5) AS g FROM fused)
