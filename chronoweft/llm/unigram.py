@@ -107,6 +107,7 @@ class Unigram:
         self.trie = DoubleArray(self.pieces.id)
         scores = log_scores(self.pieces.score)
         self.score = {i: scores[p] for i, p in self.pieces.text.items()}
+        self.scores = [self.score.get(i, 0.0) for i in range(max(self.score) + 1)]  # by id
         self.fallback = min(self.score.values()) - FALLBACK_PENALTY
         self.bytes_of = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.text.items()} | {i: bytes([b]) for b, i in self.pieces.byte_id.items()}
         self.byte_ids = set(self.pieces.byte_id.values())
@@ -116,12 +117,19 @@ class Unigram:
         """Ids of the best path; of equal ones, that whose last piece starts first."""
         n, low = len(unit), float("-inf")
         best, back, piece = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.scores
+        codes, size = [self.trie.code.get(c, -1) for c in unit], len(check)
         for at in range(n):
-            here, single = best[at], False
-            for end, i in self.trie.prefixes(unit, at):
-                single |= end == at + 1
-                if (s := here + self.score[i]) > best[end]:
-                    best[end], back[end], piece[end] = s, at, i
+            here, single, state = best[at], False, 0
+            for end in range(at, n):  # the walk of ``DoubleArray.prefixes``
+                child = base[state] + codes[end]
+                if codes[end] < 0 or child >= size or child == 0 or check[child] != state:
+                    break
+                state, i = child, value[child]
+                if i >= 0:
+                    single |= end == at
+                    if (s := here + score[i]) > best[end + 1]:
+                        best[end + 1], back[end + 1], piece[end + 1] = s, at, i
             if not single and (s := here + self.fallback) > best[at + 1]:
                 best[at + 1], back[at + 1], piece[at + 1] = s, at, -1
         out: list[int] = []
@@ -137,7 +145,7 @@ class Unigram:
         if found is None:
             ids = self.viterbi(unit)
             found = np.array(ids, "<u4").tobytes(), sum(i in self.byte_ids for i in ids)
-            if len(self.known) < 2 * CACHE_ENTRIES and len(unit) <= 64:
+            if len(self.known) < 4 * CACHE_ENTRIES and len(unit) <= 64:
                 self.known[unit] = found
         return found
 
