@@ -114,6 +114,38 @@ def test_history_is_the_same_in_blocks_of_any_width(spark):
             assert got[k, t] == want
 
 
+def test_history_of_crowded_and_other_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 0, 0, 0, 1, 2, None]), rng.randint(0, 40), rng.randint(-5, 5)) for _ in range(400)]
+    asked_rows = [(rng.randint(0, 4), rng.randint(-2, 45)) for _ in range(60)] * 2
+    events, q = spark.createDataFrame(rows, "k int, ts int, x int"), spark.createDataFrame(asked_rows, "k int, t int")
+    aggs = {"n": ("count", F.col("ts")), "total": ("sum", F.col("x")), "last": ("max", F.col("ts"))}
+    for most in (100, 1000):
+        monkeypatch.setattr(asof, "ROWS", most)
+        found = asof.asof_aggregate(events, q, ["k"], aggs)
+        # without a crowded key events move once
+        assert ("_block" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 100)
+        found = found.collect()
+        assert len(found) == len(set(asked_rows))
+        for r in found:
+            xs = [(ts, x) for c, ts, x in rows if c == r["k"] and ts < r["t"]]
+            assert tuple(r)[2:] == ((len(xs), sum(x for _, x in xs), max(ts for ts, _ in xs)) if xs else (0, None, None))
+
+
+def test_shared_contacts_of_crowded_and_other_ends(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1, rng.randint(0, 30)]), rng.randint(0, 40), rng.randint(0, 50), i) for i in range(500)]
+    asked = [(rng.choice([0, 1, rng.randint(0, 40)]), rng.choice([0, 1, rng.randint(0, 40)]), rng.randint(0, 55)) for _ in range(200)]
+    events = spark.createDataFrame(rows, "u int, i int, ts int, eid int").withColumn("r", F.lit(0))
+    q = spark.createDataFrame(asked, "src int, tgt int, t int")
+    met = lambda n, t: {b if a == n else a for a, b, ts, _ in rows if n in (a, b) and ts < t}
+    want = {(a, b, t, n) for a, b, t in asked for n in met(a, t) & met(b, t)}
+    for listed in (0, 20, 4096):
+        monkeypatch.setattr(scorers, "LISTED", listed)
+        got = [tuple(r) for r in scorers.shared_contacts(events, q).select("src", "tgt", "t", "nbr").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_ranks_totals_and_quantiles_over_ranges(spark):
     rng = random.Random(3)
     values = [rng.choice([None, rng.randint(0, 20) / 2]) for _ in range(300)]
