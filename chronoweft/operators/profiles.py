@@ -1,6 +1,6 @@
 """Vector scorers over time: profiles of histories, smoothing in time windows, propagation, projections, and pairwise fits.
 
-Vectors (node, vector) are scaled to length 1 first. Sums of vectors are made by dimension, so no group holds a node's history.
+Vectors (node, vector) are scaled to length 1 first. Sums of vectors are made by dimension or by running sums of some dimensions each, so no group holds a node's history.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from chronoweft.operators.semantic import dot, normalise
 from chronoweft.sources.tables import adjacency, draw
 from chronoweft.sources.written import written
 
+#: Components of a vector that one row of a running sum holds.
+WIDE = 32
+
 
 def units(vectors: DataFrame) -> DataFrame:
     return vectors.select("node", normalise(F.col("vector").cast("array<double>")).alias("v"))
@@ -34,14 +37,21 @@ def _named(v: DataFrame, node: str, name: str) -> DataFrame:
 def history_profile(events: DataFrame, q: DataFrame, vectors: DataFrame) -> DataFrame:
     """eid, k, score: product of the target's vector and the scaled mean of the source's neighbours' before t (events count); without any, the
     source's own vector; 0 without one, or without the target's."""
-    v = units(vectors)
-    dims = v.select("node", F.posexplode("v").alias("dim", "x"))
-    told = adjacency(events).select("node", "nbr", "ts").join(_named(dims, "nbr", "v"), "nbr")
-    asked = q.select(F.col("src").alias("node"), "t").distinct()
-    width = v.agg(F.max(F.size("v"))).first()[0] or 0
-    spread = asked.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(max(0, width - 1)))))
-    sums = asof_aggregate(told.select("node", "dim", "ts", "x"), spread, ["node", "dim"], {"x": ("sum", F.col("x"))}).where("x is not null")
-    profile = as_vectors(sums, ["node", "t"]).select(F.col("node").alias("src"), "t", normalise(F.col("v")).alias("p"))
+    v = written(units(vectors), "units")
+    ids = v.select("node")
+    # other queries' score is 0
+    asked = written(q.join(ids.withColumnRenamed("node", "tgt"), "tgt", "left_semi").select(F.col("src").alias("node"), "t").distinct(), "asked")
+    parts = -(-(v.agg(F.max(F.size("v"))).first()[0] or 0) // WIDE)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / WIDE).cast("int")), lambda p: F.slice("v", p * WIDE + 1, WIDE))
+    pieces = v.where(F.size("v") > 0).select("node", F.posexplode(cut).alias("part", "v"))
+    told = adjacency(events).select("node", "nbr", "ts").join(ids.withColumnRenamed("node", "nbr"), "nbr", "left_semi").join(asked.select("node").distinct(), "node", "left_semi")
+    told = told.join(_named(pieces, "nbr", "v"), "nbr")
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))))
+    names = [f"x{d}" for d in range(WIDE)]
+    sums = asof_aggregate(told.select("node", "part", "ts", "v"), spread, ["node", "part"], {n: ("sum", F.get("v", F.lit(d))) for d, n in enumerate(names)})
+    sums = sums.select("node", "t", "part", F.array_compact(F.array(*names)).alias("x")).where(F.size("x") > 0)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "x"))), lambda p: p["x"]))
+    profile = sums.groupBy("node", "t").agg(whole.alias("v")).select(F.col("node").alias("src"), "t", normalise(F.col("v")).alias("p"))
     out = q.join(profile, ["src", "t"], "left").join(_named(v, "src", "own"), "src", "left").join(_named(v, "tgt", "b"), "tgt", "left")
     return out.select(*KEY, F.coalesce(dot(F.coalesce("p", "own"), F.col("b")), F.lit(0.0)).alias("score"))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as T
-from chronoweft.operators import asof, collaborative, prefix, ranking, scorers, splits
+from chronoweft.operators import asof, collaborative, prefix, profiles, ranking, scorers, splits
 from chronoweft.plans import features, history, protocol, reference, routing, sampling  # noqa: F401  (they add their queries)
 from chronoweft.sources.tables import adjacency, edges, queries
 
@@ -146,6 +146,30 @@ def test_shared_contacts_of_crowded_and_other_ends(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_history_profile_sums_only_what_is_asked(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 8), rng.randint(0, 8), rng.randint(0, 30), i) for i in range(150)]
+    asked = [(i, 0, rng.randint(0, 8), rng.randint(0, 8), rng.randint(0, 33)) for i in range(60)]
+    vector = {n: [rng.uniform(-1, 1) for _ in range(5)] for n in (0, 2, 3, 5, 7)}
+    events = spark.createDataFrame(rows, "u int, i int, ts int, eid int").withColumn("r", F.lit(0))
+    q = spark.createDataFrame(asked, "eid int, k int, src int, tgt int, t int")
+    vectors = spark.createDataFrame(list(vector.items()), "node int, vector array<double>")
+    unit = {n: np.array(v) / np.linalg.norm(v) for n, v in vector.items()}
+    seen = []
+    monkeypatch.setattr(profiles, "asof_aggregate", lambda e, a, *rest: (seen.append((e.count(), a.select("node").distinct().count())), asof.asof_aggregate(e, a, *rest))[1])
+    for wide, parts in ((2, 3), (32, 1)):
+        monkeypatch.setattr(profiles, "WIDE", wide)
+        got = {r["eid"]: r["score"] for r in profiles.history_profile(events, q, vectors).collect()}
+        for eid, _, src, tgt, t in asked:
+            met = [unit[b] for u, i, ts, _ in rows for a, b in ((u, i), (i, u)) if a == src and ts < t and b in unit]
+            own = sum(met) if met else unit.get(src)
+            want = 0.0 if own is None or tgt not in unit else float(own @ unit[tgt] / np.linalg.norm(own))
+            assert got[eid] == pytest.approx(want, abs=1e-9)
+        sources = {src for _, _, src, tgt, _ in asked if tgt in unit}
+        told = sum(b in unit for u, i, _, _ in rows for a, b in ((u, i), (i, u)) if a in sources)
+        assert seen.pop() == (told * parts, len(sources))
+
+
 def test_ranks_totals_and_quantiles_over_ranges(spark):
     rng = random.Random(3)
     values = [rng.choice([None, rng.randint(0, 20) / 2]) for _ in range(300)]
