@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as T
+from chronoweft.operators import history as H
 from chronoweft.operators import asof, collaborative, prefix, profiles, ranking, scorers, splits
 from chronoweft.plans import features, history, protocol, reference, routing, sampling  # noqa: F401  (they add their queries)
 from chronoweft.sources.tables import adjacency, edges, queries
@@ -170,6 +171,26 @@ def test_history_profile_sums_only_what_is_asked(spark, monkeypatch):
         assert seen.pop() == (told * parts, len(sources))
 
 
+def test_a_question_does_not_move_for_each_of_its_latest_events(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([0, 0, 0, rng.randint(0, 6)]), rng.randint(0, 6), rng.randint(0, 30), i) for i in range(200)]
+    asked = [(i, 0, rng.randint(0, 8), rng.randint(0, 8), rng.randint(0, 33)) for i in range(50)]
+    events = spark.createDataFrame(rows, "u long, i long, ts int, eid int").withColumn("r", F.lit(0))
+    q = spark.createDataFrame(asked, "eid int, k int, src long, tgt long, t int")
+    seq = H.numbered_events(events)
+    for size in (1, 7, 60):
+        out = H.endpoint_history(seq, q, "tgt", size)
+        assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row of q for each number asked
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["eid"], []).append((r["age"], r["nbr"], r["role"], r["ts"]))
+        sequences = {r["eid"]: [x["nbr"] for x in r["a"]] for r in H.recent_sequences(seq, q, "tgt", size, "a").collect()}
+        for eid, _, _, node, t in asked:
+            told = sorted(((ts, e, role == "in"), n, role, ts) for u, i, ts, e in rows for a, n, role in ((u, i, "out"), (i, u, "in")) if a == node and ts < t)
+            want = [(age, n, role, ts) for age, (_, n, role, ts) in enumerate(told[::-1][:size])]
+            assert sorted(got.get(eid, [])) == want and sequences[eid] == [n for _, n, _, _ in want[::-1]]
+
+
 def test_ranks_totals_and_quantiles_over_ranges(spark):
     rng = random.Random(3)
     values = [rng.choice([None, rng.randint(0, 20) / 2]) for _ in range(300)]
