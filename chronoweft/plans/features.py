@@ -171,7 +171,9 @@ s AS (SELECT *, [trim(x, ' .') FOR x IN string_split(category, ',')] AS l FROM f
 def text_labelled_fields(spark, d):
     card = F.concat(F.lit("Title: "), "p_name", F.lit(". Category: "), "p_type", F.lit(", "), "p_brand", F.lit(" , "), F.lower("p_brand"), F.lit(". rank : "), "p_size", F.lit("."))
     m = T.labelled_fields(card, ["Title", "Category", "Rank", "Description"])
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", m["title"].alias("title"), F.array_join(T.dedupe(F.split(m["category"], ",")), "|").alias("categories"), m["rank"].alias("rank"))
+    fields = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", m.alias("m"))
+    m = F.col("m")
+    return fields.select("p_partkey", m["title"].alias("title"), F.array_join(T.dedupe(F.split(m["category"], ",")), "|").alias("categories"), m["rank"].alias("rank"))
 
 
 @query("SELECT c_custkey, 'Lower ' || lower(c_mktsegment) || ', CA' AS city, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(10000 + c_custkey % 80000 AS VARCHAR) END AS zip FROM customer")

@@ -383,3 +383,12 @@ def test_few_shot_blocks_and_summaries(spark):
     assert one(T.summarise, long) == "A film about a long walk through the hills of a country that nobody knows. It ends well!"
     assert one(T.summarise, "Disc 1 of 3. Track: one") == "Disc 1 of 3. Track: one" and one(T.summarise, "") == ""
     assert one(T.summarise, "word " * 70 + "end") == ("word " * 55).strip() + "..."
+
+
+def test_long_text_functions_work_out_their_argument_once(spark):
+    """A text that is named at many places would be normalised at each of them, within loops even for every mark of every sentence."""
+    rows = spark.createDataFrame([("Name: x. Track: y",)], "told string")
+    normal = T.normalise_space(F.col("told"))
+    for made in (T.summarise(normal), T.labelled_fields(F.col("told"), ["Name", "Track"]), T.city_zip(F.col("told")), T.dedupe(F.split(normal, ",")), T.shorten(F.col("told"), 5), T.shorten_words(F.col("told"), 2)):
+        plan = rows.select(made.alias("made"))._jdf.queryExecution().analyzed().toString().splitlines()[0]
+        assert plan.count("told#") == 1, plan
