@@ -392,3 +392,23 @@ def test_long_text_functions_work_out_their_argument_once(spark):
     for made in (T.summarise(normal), T.labelled_fields(F.col("told"), ["Name", "Track"]), T.city_zip(F.col("told")), T.dedupe(F.split(normal, ",")), T.shorten(F.col("told"), 5), T.shorten_words(F.col("told"), 2)):
         plan = rows.select(made.alias("made"))._jdf.queryExecution().analyzed().toString().splitlines()[0]
         assert plan.count("told#") == 1, plan
+
+
+def test_draws_of_all_batches_are_not_broadcast(spark, monkeypatch):
+    events = spark.createDataFrame([(n, n % 7, 10 + n % 11, float(n // 8)) for n in range(160)], "eid long, u long, i long, ts double").selectExpr("*", "0L as r")
+    plans, kept = {}, sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    sampling.batch_negatives(events, events.where("ts > 10").selectExpr("eid", "u AS src", "ts AS t"), 16)
+    assert "SortMergeJoin [idx" in plans["drawn-pairs"]
+
+
+def test_popularity_of_both_ends_takes_one_run_over_the_events(spark, monkeypatch):
+    from chronoweft.operators import scorers
+
+    events = spark.createDataFrame([(0, 1, 3, 1.0), (1, 1, 3, 2.0), (2, 2, 3, 1.0)], "eid long, u long, i long, ts double").selectExpr("*", "0L as r")
+    q = spark.createDataFrame([(9, 0, 1, 3, 2.0), (9, 1, 2, 7, 3.0)], "eid long, k int, src long, tgt long, t double")
+    runs, once = [], scorers.asof_aggregate
+    monkeypatch.setattr(scorers, "asof_aggregate", lambda *a, **o: (runs.append(1), once(*a, **o))[1])
+    assert {r["k"]: r["popularity"] for r in scorers.popularity(events, q, "sum").collect()} == {0: 3, 1: 1} and len(runs) == 1
+    got = {r["k"]: (r["src_n"], r["tgt_n"], round(r["tgt_decayed"], 6)) for r in scorers.end_degrees(events, q, ["src", "tgt"], 1.0, 2).collect()}
+    assert got == {0: (1, 2, round(2 * math.exp(-1), 6)), 1: (1, 0, 0.0)} and len(runs) == 2
