@@ -5,7 +5,7 @@ inner products as it serves distances. Candidates go to the group of the nearest
 pages: an inner page holds routing objects with covering radius, distance to the parent's routing object and child page; a leaf
 holds entries with their distance to the page's routing object. A query goes best first: pages by their largest possible
 product, and an object is compared only where its stored distance to the parent does not rule it out by the triangle
-inequality. A query asks a tree of its own group first; its k-th score there is the floor for all other groups, and those whose
+inequality; the queries of a block go through a tree together. A query asks a tree of its own group first; its k-th score there is the floor for all other groups, and those whose
 ball stays below it are not asked.
 """
 
@@ -23,6 +23,8 @@ from chronoweft.llm.common import materialise
 
 #: Candidates of a tree, entries of a leaf, children of an inner page, queries of a block, about; pivots at most, and rows they are chosen from.
 TREE, LEAF, FANOUT, BLOCK, PIVOTS, SAMPLE = 8192, 128, 32, 1024, 512, 8192
+#: Results of a search that wait to be cut to each query's k best.
+HELD = 1 << 19
 #: Bounds get this much room for rounding, so rounding never loses a candidate.
 ROOM = 1e-3
 PAGES = "size int, tree long, page int, leaf boolean, ids binary, copies binary, first binary, points binary, to_parent binary, radius binary, children array<int>"
@@ -85,42 +87,69 @@ class Tree:
 
     def search(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
         """The k best (score, -id) of at least ``floor``, a row each; the id ``own`` is left out. Points and ``q`` are whole numbers."""
-        best: list[tuple[int, int]] = []  # a heap with the worst kept result on top
-        size = float(lengths(q))
-        todo = [(-np.inf, 0, 0.0, True)]
+        _, ids, scores = self.search_all(np.asarray(q)[None, :], np.array([own]), k, np.array([floor]))
+        return list(zip(scores.tolist(), (-ids).tolist()))
+
+    def search_all(self, q: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for all rows of ``q`` at once: number of the row, id, score. A page is visited once, by the queries that its bound does not rule out; their products with its objects
+        are one product of matrices."""
+        floors, size, best = floors.astype(np.float64), lengths(q), np.full((len(q), k), -np.inf)
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
+        todo: list[tuple] = [(-np.inf, 0, np.arange(len(q)), np.full(len(q), np.inf), np.zeros(len(q)), True)]
         while todo:
-            most, page, at_parent, root = heapq.heappop(todo)
-            if -most < floor - ROOM:
-                break
+            _, page, rows, most, at_parent, root = heapq.heappop(todo)
+            kept = most >= floors[rows] - ROOM
+            rows, most, at_parent = rows[kept], most[kept], at_parent[kept]
             leaf, ids, copies, first, points, to_parent, radius, children = self.pages[page]
-            # the product with the parent alone rules objects out before their own is taken
-            use = np.arange(len(points)) if root else np.flatnonzero(at_parent + size * (to_parent + (0 if leaf else radius)) >= floor - ROOM)
-            if not len(use):
+            if not len(rows) or not len(points):
                 continue
-            self.compared += len(use)
-            score = points[use] @ q
+            use = np.arange(len(points))
+            if not root:
+                # the product with the parent alone rules objects out before their own is taken
+                use = np.flatnonzero((at_parent + np.outer(to_parent + (0 if leaf else radius), size[rows]) >= floors[rows] - ROOM).any(1))
+                if not len(use):
+                    continue
+            self.compared += len(use) * len(rows)
+            score = points[use] @ q[rows].T
             if not leaf:
-                bound = np.minimum(score + size * radius[use], -most)
-                for i, s, b in zip(use.tolist(), score.tolist(), bound.tolist()):
-                    if b >= floor - ROOM:
-                        heapq.heappush(todo, (-b, children[i], s, False))
+                bound = np.minimum(score + np.outer(radius[use], size[rows]), most)
+                for i, s, b in zip(use.tolist(), score, bound):
+                    at = np.flatnonzero(b >= floors[rows] - ROOM)
+                    if len(at):
+                        heapq.heappush(todo, (-b[at].max(), children[i], rows[at], b[at], s[at], False))
                 continue
-            hit = score >= floor
-            for i, s in zip(use[hit].tolist(), score[hit].tolist()):
-                for j in range(first[i], first[i + 1]):
-                    if ids[j] == own:
-                        continue
-                    for _ in range(min(int(copies[j]), k)):
-                        found = (int(s), -int(ids[j]))
-                        if len(best) < k:
-                            heapq.heappush(best, found)
-                        elif found > best[0]:
-                            heapq.heapreplace(best, found)
-                        else:
-                            break
-            if len(best) == k:
-                floor = max(floor, best[0][0])
-        return best
+            # floors rise by points, each counted once, and not where the query's own id stands alone
+            each = first[use + 1] - first[use]
+            alone = (each == 1)[:, None] & (ids[first[use]][:, None] == own[rows])
+            best[rows] = -np.partition(-np.hstack([best[rows], np.where(alone, -np.inf, score).T]), k - 1, axis=1)[:, :k]
+            floors[rows] = np.maximum(floors[rows], best[rows].min(1))
+            point, row = np.nonzero((score >= floors[rows]) & ~alone)
+            n = each[point]
+            at = np.repeat(first[use[point]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, value = np.repeat(rows[row], n), np.repeat(score[point, row], n)
+            other = ids[at] != own[row]
+            held.append((row[other], ids[at][other], value[other].astype(np.int64), copies[at][other]))
+            waiting += len(row)
+            if waiting > HELD:
+                held = [self._first(held, k)]
+                waiting = len(held[0][0])
+        row, ids, value, copies = self._first(held, k)
+        # rows that repeat an id count each
+        n = np.minimum(copies, k)
+        row, ids, value = (np.repeat(x, n) for x in (row, ids, value))
+        start = np.searchsorted(row, row)
+        top = np.arange(len(row)) - start < k
+        return row[top], ids[top], value[top]
+
+    @staticmethod
+    def _first(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+        """Of (row, id, score, copies) each row's k first by score, then smaller id, in that order."""
+        row, ids, value, copies = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in range(4))
+        order = np.lexsort((ids, -value, row))
+        row, ids, value, copies = (x[order] for x in (row, ids, value, copies))
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[top], ids[top], value[top], copies[top]
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, tree_size: int = TREE) -> DataFrame:
@@ -189,12 +218,12 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     asking = materialise(asking.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
 
     def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(p):
-            tree = Tree(p, int(p["size"].iloc[0]))
-            for i, v, floor in zip(q["vec_id"], q["v"], q["floor"]):
-                out += [(i, -minus, s) for s, minus in tree.search(np.asarray(v, np.float64), i, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        if not len(q) or not len(p):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        width, own = int(p["size"].iloc[0]), q["vec_id"].to_numpy()
+        x = np.array(q["v"].tolist(), np.float64).reshape(len(q), width)
+        row, ids, scores = Tree(p, width).search_all(x, own, k, q["floor"].to_numpy())
+        return pd.DataFrame({"query_id": own[row], "vec_id": ids, "score": scores})
 
     def ask(asked: DataFrame) -> DataFrame:
         """The stated queries against all rows, in blocks: ``asked`` has a row for each query and tree."""

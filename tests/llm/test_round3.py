@@ -214,3 +214,27 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
     assert mix_sources(df.where("false")).count() == 0
     assert all(r["taken"] == 0 and r["target"] == 0 for r in mix_sources(df.where("source = 'empty'")).collect())
+
+
+def test_block_of_queries_goes_through_a_tree_together():
+    """Ties by id, copies, points of several ids and the query's own id, against all products; queries of no length, where all scores tie; cuts while results wait."""
+    import numpy as np
+    import pandas as pd
+
+    from chronoweft.llm import mtree
+
+    rng = np.random.default_rng(5)
+    x = np.unique(np.vstack([np.zeros((1, 6)), rng.integers(-3, 4, (900, 6))]), axis=0).astype(float)
+    ids = [[3 * i, 3 * i + 1] if i % 5 == 0 else [3 * i] for i in range(len(x))]
+    copies = [[1 + (i % 7 == 0)] * len(n) for i, n in enumerate(ids)]
+    pages = pd.DataFrame(mtree.build_pages(ids, copies, x, rng))
+    rows = rng.permutation(len(x))[:200]
+    rows[0] = int(np.flatnonzero((x == 0).all(1))[0])
+    own = np.array([ids[i][-1] for i in rows])
+    for held in (mtree.HELD, 50):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(mtree, "HELD", held)
+            row, got, scores = mtree.Tree(pages, 6).search_all(x[rows], own, 20, np.full(len(rows), -np.inf))
+        for n, i in enumerate(rows):
+            every = [(-int(x[j] @ x[i]), e) for j in range(len(x)) for e, c in zip(ids[j], copies[j]) if e != own[n] for _ in range(c)]
+            assert sorted(zip((-scores[row == n]).tolist(), got[row == n].tolist())) == sorted(every)[:20]
