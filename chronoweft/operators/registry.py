@@ -15,6 +15,8 @@ SCORERS: dict[tuple[str, ...], Scorer] = {
     ("recency", "past"): S.pair_history, ("popularity", "global_recency"): S.target_history, ("recent_degree",): lambda e, q: S.recent_degree(e, q, 90), ("cn", "aa", "ra"): S.common_neighbors,
     ("markov",): S.markov, ("item_cf",): C.item_cf, ("user_cf",): C.user_cf, ("ppr",): C.sampled_pagerank,
 }
+#: Of scorers that look up what a query's own columns name: functions of (events, queries, rows) that add the columns to rows of the queries, without a join by query.
+ADDING: dict[Scorer, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {S.pair_history: S.add_pair_history, S.target_history: S.add_target_history}
 
 
 def register(columns: Sequence[str], scorer: Scorer) -> None:
@@ -29,5 +31,8 @@ def scores(events: DataFrame, q: DataFrame, names: Sequence[str]) -> DataFrame:
     out = q
     for columns, scorer in SCORERS.items():
         if wanted := [c for c in columns if c in names]:
-            out = out.join(scorer(events, q).select(*S.KEY, *wanted), S.KEY)
+            if scorer in ADDING:
+                out = ADDING[scorer](events, q, out).select(*out.columns, *wanted)
+            else:
+                out = out.join(scorer(events, q).select(*S.KEY, *wanted), S.KEY)
     return out

@@ -412,3 +412,12 @@ def test_popularity_of_both_ends_takes_one_run_over_the_events(spark, monkeypatc
     assert {r["k"]: r["popularity"] for r in scorers.popularity(events, q, "sum").collect()} == {0: 3, 1: 1} and len(runs) == 1
     got = {r["k"]: (r["src_n"], r["tgt_n"], round(r["tgt_decayed"], 6)) for r in scorers.end_degrees(events, q, ["src", "tgt"], 1.0, 2).collect()}
     assert got == {0: (1, 2, round(2 * math.exp(-1), 6)), 1: (1, 0, 0.0)} and len(runs) == 2
+
+
+def test_histories_are_added_without_a_join_by_query(spark):
+    events = spark.createDataFrame([(0, 1, 3, 1.0), (1, 3, 1, 2.0), (2, 2, 2, 1.0), (3, 2, 3, 2.0)], "eid long, u long, i long, ts double").selectExpr("*", "0L as r")
+    q = spark.createDataFrame([(9, 0, 1, 3, 3.0), (9, 1, 2, 2, 2.0), (9, 2, 1, 7, 2.0)], "eid long, k int, src long, tgt long, t double")
+    out = registry.scores(events, q, ["recency", "past", "popularity", "global_recency"])
+    assert {r["k"]: tuple(r)[5:] for r in out.collect()} == {0: (-1.0, 2, 3, -1.0), 1: (-1.0, 2, 2, -1.0), 2: (-1e15, 0, 0, -1e15)}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 2 and not any("eid" in line for line in joins)
