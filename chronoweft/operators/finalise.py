@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from chronoweft.operators import ranking as R
 from chronoweft.operators import registry
 from chronoweft.operators import routing as G
-from chronoweft.operators.calibration import Signal, contextual_calibration, earlier_share, sequential_calibration
-from chronoweft.operators.collaborative import pair_stats
+from chronoweft.operators.asof import asof_attach
+from chronoweft.operators.calibration import Signal, contextual_calibration, earlier_shares, sequential_calibration
+from chronoweft.operators.collaborative import add_pair_stats
 from chronoweft.operators.prefix import first_rows
 from chronoweft.operators.sampling import training_pools
-from chronoweft.operators.scorers import KEY, target_history
+from chronoweft.operators.scorers import KEY
+from chronoweft.sources.tables import adjacency
 from chronoweft.sources.written import written
 
 #: Signals that prompts show; a calibration takes those of its reference.
@@ -27,12 +29,12 @@ PROMPT_SIGNALS = [
 def sequential_fusion(rows: DataFrame, columns: Sequence[str], bins: int = 1024, k: int = 60) -> DataFrame:
     """``rows`` with ``<scorer>_rank``, a pseudo-rank from 1 to ``bins`` by the share of earlier scores (those at smaller t) up to the row's own, and ``rrf``, the
     sum of 1 / (k + rank). Every scorer may be of any real values; before there are earlier ones the rank is the middle one."""
-    out = rows
+    out, shares = rows, written(earlier_shares(rows, columns), "shares")
     for c in columns:
-        share = written(earlier_share(rows, c).select("t", F.col("v").alias(f"_{c}"), F.col("share").alias("_share")), "shares")
+        share = shares.where(F.col("name") == c).select(F.col("t").alias("_t"), F.col("v").alias(f"_{c}"), F.col("share").alias("_share"))
         rank = F.coalesce(F.floor((1 - F.col("_share")) * (bins - 1) + 0.5) + 1, F.lit((bins + 1) // 2))
-        out = out.withColumns({f"_{c}": F.col(c).cast("double"), "_t": F.col("t").cast("double")}).join(share.withColumnRenamed("t", "_t"), ["_t", f"_{c}"], "left")
-        out = written(out.withColumn(f"{c}_rank", rank).drop("_t", f"_{c}", "_share"), "ranked")
+        out = out.withColumns({f"_{c}": F.col(c).cast("double"), "_t": F.col("t").cast("double")}).join(share, ["_t", f"_{c}"], "left")
+        out = out.withColumn(f"{c}_rank", rank).drop("_t", f"_{c}", "_share")
     return out.withColumn("rrf", sum((1 / (F.lit(k) + F.col(f"{c}_rank")) for c in columns), F.lit(0.0)))
 
 
@@ -62,7 +64,6 @@ def finalise_samples(
     (``sequential``) or among active entities and the source's counterparts (``contextual``). ``expert``: Yes or No by the fused score against the median of all (``global``), of earlier ones (``running``, Unknown
     before there are any) or ``fixed_threshold`` (``fixed``). ``structural``: the fused score's bucket between ``low`` and ``high``."""
     q = written(q, "samples")
-    source = target_history(events, q.withColumn("tgt", F.col("src"))).select("eid", "k", F.col("popularity").alias("source_popularity"))
     known = [*dict.fromkeys([*columns, "popularity", "global_recency"])]
     rows = registry.scores(events, q, known).withColumns({c: F.round(c, 9) for c in ("aa", "ra", "markov", "item_cf", "user_cf", "ppr") if c in known})
     rows = written(rows, "sample-scores")
@@ -75,10 +76,10 @@ def finalise_samples(
     else:
         raise ValueError("mode is query_local, sequential or train_pool")
     fused = written(fused.withColumn("rrf", F.round("rrf", 9)), "sample-fusion").withColumn("rrf_rank", R.descending_rank("rrf", ["eid"]))
-    signals = pair_stats(events, q).select("eid", "k", F.col("directed").alias("_past"), "last_ts")
     seen = lambda c: F.when(F.col(c) > -1e14, F.col(c))
-    base = fused.join(source, KEY).join(signals, KEY).select(
-        *q.columns, "source_popularity", F.col("popularity").alias("target_popularity"), F.col("_past").alias("past"), (F.col("t") - F.col("last_ts")).alias("recency"), seen("global_recency").alias("global_recency"))
+    base = asof_attach(adjacency(events).select("node", "ts"), fused.select(*q.columns, "popularity", "global_recency"), {"src": "node"}, {"source_popularity": ("count", F.col("ts"))}, counted=q)
+    base = add_pair_stats(events, q, base).select(
+        *q.columns, "source_popularity", F.col("popularity").alias("target_popularity"), F.col("directed").alias("past"), (F.col("t") - F.col("last_ts")).alias("recency"), seen("global_recency").alias("global_recency"))
     base = written(base, "sample-signals")
     if reference == "sequential":
         placed = sequential_calibration(base, PROMPT_SIGNALS)

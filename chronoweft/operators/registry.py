@@ -16,7 +16,7 @@ SCORERS: dict[tuple[str, ...], Scorer] = {
     ("markov",): S.markov, ("item_cf",): C.item_cf, ("user_cf",): C.user_cf, ("ppr",): C.sampled_pagerank,
 }
 #: Of scorers that look up what a query's own columns name: functions of (events, queries, rows) that add the columns to rows of the queries, without a join by query.
-ADDING: dict[Scorer, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {S.pair_history: S.add_pair_history, S.target_history: S.add_target_history}
+ADDING: dict[Scorer, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {S.pair_history: S.add_pair_history, S.target_history: S.add_target_history, S.common_neighbors: S.add_common_neighbors}
 
 
 def register(columns: Sequence[str], scorer: Scorer) -> None:

@@ -421,3 +421,20 @@ def test_histories_are_added_without_a_join_by_query(spark):
     assert {r["k"]: tuple(r)[5:] for r in out.collect()} == {0: (-1.0, 2, 3, -1.0), 1: (-1.0, 2, 2, -1.0), 2: (-1e15, 0, 0, -1e15)}
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert len(joins) == 2 and not any("eid" in line for line in joins)
+
+
+def test_fusion_places_all_scorers_by_one_population(spark, monkeypatch):
+    from chronoweft.operators import calibration, finalise
+
+    rows = spark.createDataFrame([(n, 0, n // 3, float(n % 4), -1e15 if n % 2 else float(-n)) for n in range(30)], "eid long, k int, t long, a double, b double")
+    made, names, population, kept = [], [], calibration.Population, finalise.written
+    monkeypatch.setattr(calibration, "Population", lambda *a, **o: (made.append(1), population(*a, **o))[1])
+    monkeypatch.setattr(finalise, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    got = finalise.sequential_fusion(rows, ["a", "b"], 16).collect()
+    assert len(made) == 1 and names == ["shares"] and len(got) == 30
+    data = [r.asDict() for r in got]
+    for r in data:
+        for c in ("a", "b"):
+            earlier = [x[c] for x in data if x["t"] < r["t"]]
+            want = math.floor((1 - sum(x <= r[c] for x in earlier) / len(earlier)) * 15 + 0.5) + 1 if earlier else 8
+            assert r[f"{c}_rank"] == want

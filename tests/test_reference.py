@@ -235,3 +235,38 @@ def test_matches_sql(spark, name):
     c = sorted(want.columns)
     rows = lambda d: sorted(map(repr, d[c].map(lambda v: float(v) if isinstance(v, (int, float)) and not pd.isna(v) else None if v is None or v is pd.NA or v != v else str(v)).itertuples(index=False, name=None)))
     assert rows(want) == rows(got)
+
+
+def test_rows_with_their_histories_move_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.randint(0, 40), rng.choice([None, 3, 4])) for _ in range(400)]
+    asked_rows = [(n, rng.randint(0, 4), rng.randint(-2, 45)) for n in range(60)]
+    asked_rows += [(100 + n, a, t) for n, a, t in asked_rows]
+    events, q = spark.createDataFrame(rows, "k int, ts int, x int"), spark.createDataFrame(asked_rows, "id long, a long, t int")
+    aggs = {"n": ("count", F.col("x")), "total": ("sum", F.col("x")), "last": ("max", F.col("ts"))}
+    for most in (100, 1000):
+        monkeypatch.setattr(asof, "ROWS", most)
+        found = asof.asof_attach(events, q, {"a": "k"}, aggs)
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 100)
+        got = {r["id"]: tuple(r) for r in found.collect()}
+        assert len(got) == len(asked_rows)
+        for n, a, t in asked_rows:
+            xs = [(ts, x) for c, ts, x in rows if c == a and ts < t]
+            known = [x for _, x in xs if x is not None]
+            assert got[n] == (n, a, t, len(known), sum(known) if known else None, max(ts for ts, _ in xs) if xs else None)
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    import time
+
+    from chronoweft.sources import written as W
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = files(), spark.conf.get(W.REMOVE_SHUFFLES, None)
+    kept = W.written(spark.range(5000).selectExpr("id % 7 AS k", "id").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 7 and spark.conf.get(W.REMOVE_SHUFFLES, None) == setting
