@@ -438,3 +438,15 @@ def test_fusion_places_all_scorers_by_one_population(spark, monkeypatch):
             earlier = [x[c] for x in data if x["t"] < r["t"]]
             want = math.floor((1 - sum(x <= r[c] for x in earlier) / len(earlier)) * 15 + 0.5) + 1 if earlier else 8
             assert r[f"{c}_rank"] == want
+
+
+def test_calibrated_rows_are_not_taken_apart(spark):
+    """A row's signals are looked up by its own values: no row for each signal that a grouping by query puts together again."""
+    from chronoweft.operators.calibration import Signal, sequential_calibration
+
+    rows = spark.createDataFrame([(n, n % 2, n // 4, float(n % 5), None if n % 3 else n) for n in range(40)], "eid long, k int, t long, a double, b long")
+    out = sequential_calibration(rows, [Signal("a", pool="p"), Signal("b", False, "None", "p")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("eid" in line for line in plan if "Aggregate" in line or "Join" in line)
+    got = out.collect()
+    assert len(got) == 40 and {r["b_level"] for r in got if r["b"] is None} == {"None"} and {r["b_pct"] for r in got if r["b"] is None} == {0.0}
