@@ -450,3 +450,25 @@ def test_calibrated_rows_are_not_taken_apart(spark):
     assert not any("eid" in line for line in plan if "Aggregate" in line or "Join" in line)
     got = out.collect()
     assert len(got) == 40 and {r["b_level"] for r in got if r["b"] is None} == {"None"} and {r["b_pct"] for r in got if r["b"] is None} == {0.0}
+
+
+def test_contextual_rows_are_not_taken_apart(spark):
+    from chronoweft.operators.calibration import contextual_calibration
+    from chronoweft.plans.calibration import signal_rows
+
+    events = spark.createDataFrame([(n, 1 + n % 3, 0, 10 + n % 5, n, 1) for n in range(40)], EVENTS)
+    q = spark.createDataFrame([(n, 0, 1 + n % 4, 10 + n % 6, 5 * n) for n in range(9)], "eid long, k int, src long, tgt long, t long")
+    out = contextual_calibration(events, signal_rows(events, q))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("eid" in line for line in plan if "Aggregate" in line or "Join" in line)
+    got = {r["eid"]: r for r in out.collect()}
+    assert len(got) == 9
+    for n, r in got.items():
+        counts: dict = {}
+        for e in range(min(40, 5 * n)):
+            if 1 + e % 3 == r["src"]:
+                counts[10 + e % 5] = counts.get(10 + e % 5, 0) + 1
+        v, every = counts.get(r["tgt"], 0), list(counts.values())
+        below, upto = sum(x < v for x in every), sum(x <= v for x in every)
+        want = max(0, min(100, 100 * ((below + upto - 1) / 2) / (len(every) - 1))) if len(every) > 1 else 50.0
+        assert r["past"] == v and math.isclose(r["past_pct"], want)
