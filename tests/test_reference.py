@@ -298,3 +298,20 @@ def test_markov_asks_for_sums_of_next_baskets(spark, monkeypatch):
     assert got == {(9, 0): 1 / 3, (9, 1): 1 / 3, (9, 2): 0.0, (8, 0): 0.0, (7, 0): 0.0}
     # one row for an item of a basket with a next one, not one for each transition
     assert told["a",] == 4 and told["a", "b"] == 10
+
+
+def test_interval_weights_and_draws_by_node_and_by_block(spark, monkeypatch):
+    from chronoweft.operators import sampling as N
+
+    events = spark.createDataFrame([(n, 1 + n % 2, 10 + n % 5, float(n // 3)) for n in range(80)], "eid long, u long, i long, ts double").selectExpr("*", "0L as r")
+    q = spark.createDataFrame([(n, 0, 1 + n % 3, 10, float(3 * n)) for n in range(8)], "eid long, k int, src long, tgt long, t double")
+    names, kept, got = [], N.written, {}
+    monkeypatch.setattr(N, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    for most in (5, 1000):
+        monkeypatch.setattr(asof, "ROWS", most)
+        names.clear()
+        weighed = N.interval_weights(events, 0.1, block=7)
+        assert ("weights" in names) == (most == 5)
+        drawn = {tuple(r) for r in N.interval_draws(weighed, q, 4).collect()}
+        got[most] = {(r["node"], r["seq"]): (r["nbr"], round(r["weight"], 9), round(r["from"], 9), round(r["upto"], 9)) for r in weighed.collect()}, drawn
+    assert got[5] == got[1000] and len(got[5][0]) == 160 and len(got[5][1]) == 4 * sum(1 for n in range(1, 8) if n % 3 < 2)
