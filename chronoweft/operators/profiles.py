@@ -34,6 +34,32 @@ def _named(v: DataFrame, node: str, name: str) -> DataFrame:
     return v.withColumnsRenamed({"node": node, "v": name})
 
 
+def _lengths(vectors: DataFrame) -> DataFrame:
+    """node, v, norm: vectors in the type they came in, which moves as fewer bytes than scaled doubles, and what to divide them by."""
+    wide = F.col("vector").cast("array<double>")
+    return vectors.select("node", F.col("vector").alias("v"), F.sqrt(dot(wide, wide)).alias("norm")).withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
+
+
+def _scaled(v: str, norm: str) -> Column:
+    return F.transform(F.col(v).cast("array<double>"), lambda x: x / F.col(norm))
+
+
+def _pieces(v: DataFrame) -> DataFrame:
+    """node, part, v, norm: ``WIDE`` components of ``_lengths`` in a row."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / WIDE).cast("int")), lambda p: F.slice("v", p * WIDE + 1, WIDE))
+    return v.where(F.size("v") > 0).select("node", F.posexplode(cut).alias("part", "v"), "norm")
+
+
+def _component(d: int) -> Column:
+    return F.get("v", F.lit(d)).cast("double") / F.col("norm")
+
+
+def _whole(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, v: vectors, scaled to length 1, of (keys, part, x0, x1, ...); none where there are no components."""
+    parts = sums.select(*keys, "part", F.array_compact(F.array(*(f"x{d}" for d in range(WIDE)))).alias("x")).where(F.size("x") > 0)
+    return parts.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "x"))), lambda p: p["x"])).alias("v")).select(*keys, normalise(F.col("v")).alias("v"))
+
+
 def history_profile(events: DataFrame, q: DataFrame, vectors: DataFrame) -> DataFrame:
     """eid, k, score: product of the target's vector and the scaled mean of the source's neighbours' before t (events count); without any, the
     source's own vector; 0 without one, or without the target's."""
@@ -131,24 +157,34 @@ def blend_scores(q: DataFrame, raw: DataFrame, smooth: DataFrame, a: float, g: f
 
 
 def smoothed_at_time(events: DataFrame, q: DataFrame, vectors: DataFrame, window: float) -> DataFrame:
-    """eid, k, score: product of the two ends' vectors after one smoothing step over the events of [t - window, t), which is made for the asked nodes
-    and times alone; -1 where an end has no vector."""
-    v = written(units(vectors), "units")
-    ids = v.select("node")
+    """eid, k, score: product of the two ends' vectors after one smoothing step over the events of [t - window, t), which is made for the nodes
+    and times of queries with two vectors alone; -1 where an end has no vector."""
+    v = written(_lengths(vectors), "lengths")
+    ids = v.select("node").distinct()
+    marked = q.select(*KEY, "src", "tgt", "t")
+    for end in ("src", "tgt"):
+        marked = marked.join(ids.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    marked = written(marked.withColumn("_both", F.coalesce(F.col("_src") & F.col("_tgt"), F.lit(False))).drop("_src", "_tgt"), "marked")
+    both = marked.where("_both").drop("_both")
     told = adjacency(events).select("node", "nbr", "ts").join(ids, "node", "left_semi").join(ids.withColumnRenamed("node", "nbr"), "nbr", "left_semi")
     told = written(told, "told")
-    asked = written(q.select("t", F.explode(F.array("src", "tgt")).alias("node")).distinct().join(ids, "node", "left_semi"), "asked")
-    near = written(asked.join(told, "node").where((F.col("ts") < F.col("t")) & (F.col("ts") >= F.col("t") - window)).groupBy("node", "t", "nbr").agg(F.count("*").alias("w")), "near")
+    asked = written(both.select("t", F.explode(F.array("src", "tgt")).alias("node")).distinct(), "asked")
+    # only stretches of time that a window reaches into are met
+    stretch = lambda c: F.floor(c / (window if window > 0 else 1))
+    reach = asked.withColumn("_at", F.explode(F.sequence(stretch(F.col("t") - window), stretch(F.col("t")))))
+    near = reach.join(told.withColumn("_at", stretch(F.col("ts"))), ["node", "_at"]).where((F.col("ts") < F.col("t")) & (F.col("ts") >= F.col("t") - window))
+    near = written(near.groupBy("node", "t", "nbr").agg(F.count("*").alias("w")), "near")
     need = near.select(F.col("nbr").alias("node"), "t").union(asked.select("node", "t")).distinct()
     ends = need.select("node", "t", F.explode(F.array(F.struct(F.col("t").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("t") - window).alias("at"), F.lit(-1).alias("sign")))).alias("x")).select("node", "t", "x.*")
     counts = asof_aggregate(told.select("node", "ts"), ends.select("node", F.col("at")), ["node"], {"n": ("count", F.col("ts"))}, t="at")
     degree = written(ends.join(counts, ["node", "at"]).groupBy("node", "t").agg((1 + F.sum(F.col("n") * F.col("sign"))).cast("double").alias("d")), "degree")
     rows = near.unionByName(asked.select("node", "t", F.col("node").alias("nbr"), F.lit(1).cast("long").alias("w")))
-    rows = rows.join(degree, ["node", "t"]).join(degree.withColumnsRenamed({"node": "nbr", "d": "e"}), ["nbr", "t"]).join(_named(v, "nbr", "h"), "nbr")
-    sums = rows.select("node", "t", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"), F.posexplode("h").alias("dim", "y")).groupBy("node", "t", "dim").agg(F.sum(F.col("w") * F.col("y")).alias("x"))
-    at = written(as_vectors(sums, ["node", "t"]).select("node", "t", normalise(F.col("v")).alias("v")), "smoothed")
-    out = q.join(_named(at, "src", "a"), ["src", "t"], "left").join(_named(at, "tgt", "b"), ["tgt", "t"], "left")
-    return out.select(*KEY, F.coalesce(dot("a", "b"), F.lit(-1.0)).alias("score"))
+    rows = rows.join(degree, ["node", "t"]).join(degree.withColumnsRenamed({"node": "nbr", "d": "e"}), ["nbr", "t"]).join(_named(_pieces(v), "nbr", "v"), "nbr")
+    rows = rows.select("node", "t", "part", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"), "v", "norm")
+    sums = rows.groupBy("node", "t", "part").agg(*(F.sum(F.col("w") * _component(d)).alias(f"x{d}") for d in range(WIDE)))
+    at = written(_whole(sums, ["node", "t"]), "smoothed")
+    out = both.join(_named(at, "src", "a"), ["src", "t"], "left").join(_named(at, "tgt", "b"), ["tgt", "t"], "left").select(*KEY, F.coalesce(dot("a", "b"), F.lit(-1.0)).alias("score"))
+    return out.unionByName(marked.where("not _both").select(*KEY, F.lit(-1.0).alias("score")))
 
 
 def propagate(adjacent: DataFrame, vectors: DataFrame, epsilon: float = 0.0) -> DataFrame:
