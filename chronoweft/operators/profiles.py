@@ -62,24 +62,26 @@ def _whole(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def history_profile(events: DataFrame, q: DataFrame, vectors: DataFrame) -> DataFrame:
     """eid, k, score: product of the target's vector and the scaled mean of the source's neighbours' before t (events count); without any, the
-    source's own vector; 0 without one, or without the target's."""
-    v = written(units(vectors), "units")
+    source's own vector; 0 without one, or without the target's.
+
+    Only queries whose target has a vector meet any."""
+    v = written(_lengths(vectors), "lengths")
     ids = v.select("node")
-    # other queries' score is 0
-    asked = written(q.join(ids.withColumnRenamed("node", "tgt"), "tgt", "left_semi").select(F.col("src").alias("node"), "t").distinct(), "asked")
+    hit = ids.distinct().select(F.col("node").alias("tgt"), F.lit(True).alias("_hit"))
+    marked = written(q.select(*KEY, "src", "tgt", "t").join(hit, "tgt", "left"), "marked")
+    hits = marked.where("_hit").drop("_hit")
+    asked = written(hits.select(F.col("src").alias("node"), "t").distinct(), "asked")
     parts = -(-(v.agg(F.max(F.size("v"))).first()[0] or 0) // WIDE)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / WIDE).cast("int")), lambda p: F.slice("v", p * WIDE + 1, WIDE))
-    pieces = v.where(F.size("v") > 0).select("node", F.posexplode(cut).alias("part", "v"))
     told = adjacency(events).select("node", "nbr", "ts").join(ids.withColumnRenamed("node", "nbr"), "nbr", "left_semi").join(asked.select("node").distinct(), "node", "left_semi")
-    told = told.join(_named(pieces, "nbr", "v"), "nbr")
+    told = told.join(_named(_pieces(v), "nbr", "v"), "nbr").select("node", "part", "ts", "v", "norm")
     spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))))
-    names = [f"x{d}" for d in range(WIDE)]
-    sums = asof_aggregate(told.select("node", "part", "ts", "v"), spread, ["node", "part"], {n: ("sum", F.get("v", F.lit(d))) for d, n in enumerate(names)})
-    sums = sums.select("node", "t", "part", F.array_compact(F.array(*names)).alias("x")).where(F.size("x") > 0)
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "x"))), lambda p: p["x"]))
-    profile = sums.groupBy("node", "t").agg(whole.alias("v")).select(F.col("node").alias("src"), "t", normalise(F.col("v")).alias("p"))
-    out = q.join(profile, ["src", "t"], "left").join(_named(v, "src", "own"), "src", "left").join(_named(v, "tgt", "b"), "tgt", "left")
-    return out.select(*KEY, F.coalesce(dot(F.coalesce("p", "own"), F.col("b")), F.lit(0.0)).alias("score"))
+    sums = asof_aggregate(told, spread, ["node", "part"], {f"x{d}": ("sum", _component(d)) for d in range(WIDE)})
+    profile = _whole(sums, ["node", "t"]).withColumnsRenamed({"node": "src", "v": "p"})
+    b = v.withColumnsRenamed({"node": "tgt", "v": "b", "norm": "b_norm"})
+    score = lambda a: F.coalesce(dot(a, _scaled("b", "b_norm")), F.lit(0.0)).alias("score")
+    scored = written(hits.join(b, "tgt").join(profile, ["src", "t"], "left").select(*KEY, "src", "tgt", score(F.col("p")), F.col("p").isNull().alias("bare")), "scored")
+    bare = scored.where("bare").select(*KEY, "src", "tgt").join(v.withColumnsRenamed({"node": "src", "v": "own"}), "src", "left").join(b, "tgt").select(*KEY, score(_scaled("own", "norm")))
+    return marked.where("_hit is null").select(*KEY, F.lit(0.0).alias("score")).unionByName(scored.where("not bare").select(*KEY, "score")).unionByName(bare)
 
 
 def conditioned_profile(events: DataFrame, q: DataFrame, vectors: DataFrame, temperature: float = 0.2) -> DataFrame:
