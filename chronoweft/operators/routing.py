@@ -13,6 +13,9 @@ from chronoweft.operators.ranking import auc_and_ap, balanced_threshold, cumulat
 from chronoweft.sources.tables import draw
 from chronoweft.sources.written import written
 
+#: Rows of a table of distinct values that is broadcast.
+HELD = 1 << 20
+
 
 def minmax_scores(rows: DataFrame, score: str, name: str) -> DataFrame:
     """``name``: the score over the range of all scores; 0.5 where all are equal."""
@@ -212,8 +215,10 @@ def marginal_utility(rows: DataFrame, base: str, other: str, label: str = "label
     grid = c.unionByName(asked.select("s", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))).groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     cum = running_totals(grid, [F.col("s")], {"pp": "p", "nn": "n"})
     totals = grid.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    rates = cum.join(F.broadcast(totals)).select("s", ((F.col("nn") - F.col("n") / 2) / F.col("tn")).alias("above"), ((F.col("tp") - F.col("pp") + F.col("p") / 2) / F.col("tp")).alias("below"))
-    one = lambda column, tag: rates.select(F.col("s").alias(column), F.col("above").alias(f"above_{tag}"), F.col("below").alias(f"below_{tag}"))
+    rates = written(cum.join(F.broadcast(totals)).select("s", ((F.col("nn") - F.col("n") / 2) / F.col("tn")).alias("above"), ((F.col("tp") - F.col("pp") + F.col("p") / 2) / F.col("tp")).alias("below")), "rates")
+    # few values that many rows have go to the rows, which then do not gather by value
+    held = F.broadcast(rates) if rates.count() <= HELD else rates
+    one = lambda column, tag: held.select(F.col("s").alias(column), F.col("above").alias(f"above_{tag}"), F.col("below").alias(f"below_{tag}"))
     out = rows.withColumns({"_b": F.col(base).cast("double"), "_o": F.col(other).cast("double")}).join(one("_b", "b"), "_b").join(one("_o", "o"), "_o")
     change = F.when(F.col(label) == 1, F.col("above_o") - F.col("above_b")).otherwise(F.col("below_o") - F.col("below_b"))
     return out.withColumn("utility", change).drop("_b", "_o", "above_b", "below_b", "above_o", "below_o")
