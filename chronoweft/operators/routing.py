@@ -324,26 +324,29 @@ def out_of_fold_views(rows: DataFrame, features: Sequence[str], call: Sequence[s
     plain = {c: F.lit(1.0) if c == "1" else F.col(c).cast("double") for c in ["1", *features]}
     seen = plain | {c: F.when(F.col(available), F.col(c).cast("double")).otherwise(0.0) for c in call}
     fold = lambda seed: draw(F.col(group), F.lit(0), F.lit(folds), seed).cast("int")
-    spread = rows.withColumn("_sf", F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), fold(s).alias("fold")) for s in seeds))))
+    places = [f"_f{s}" for s in range(len(seeds))]
+    placed = rows.withColumns({p: fold(s) for p, s in zip(places, seeds)})
     cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    sums = spread.groupBy("_sf").agg(*(F.sum(seen[x[i]] * seen[x[j]]).alias(f"g{i}_{j}") for i, j in cells), *(F.sum(seen[c] * F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(x))).collect()
+    # a row stands once for all seeds; what has the same folds is summed for each seed afterwards
+    together = placed.groupBy(*places).agg(*(F.sum(seen[x[i]] * seen[x[j]]).alias(f"g{i}_{j}") for i, j in cells), *(F.sum(seen[c] * F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(x)))
+    spread = together.withColumn("_sf", F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.col(p).alias("fold")) for p, s in zip(places, seeds)))))
+    sums = spread.groupBy("_sf").agg(*(F.sum(c).alias(c) for c in (*(f"g{i}_{j}" for i, j in cells), *(f"r{i}" for i in range(len(x)))))).collect()
     n = len(x)
     gram = {(r["_sf"]["seed"], r["_sf"]["fold"]): np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) for r in sums}
     right = {(r["_sf"]["seed"], r["_sf"]["fold"]): np.array([r[f"r{i}"] for i in range(n)]) for r in sums}
     views = {"no_call": plain | {c: F.lit(0.0) for c in call}, "called": plain | {c: F.col(c).cast("double") for c in call}}
-    parts: dict[str, list[Column]] = {v: [] for v in views}
-    for s in seeds:
+    weights: list[list[Column]] = []
+    for s, p in zip(seeds, places):
         all_gram, all_right = sum(g for k, g in gram.items() if k[0] == s), sum(r for k, r in right.items() if k[0] == s)
-        own = {v: F.lit(None).cast("double") for v in views}
+        fits = np.zeros((folds, n))
         for f in range(folds):
             if (s, f) in gram:
                 a, b = all_gram - gram[s, f], all_right - right[s, f]
                 scale = np.sqrt(np.maximum(np.diag(a), 1e-12))
-                w = np.linalg.solve(a / np.outer(scale, scale) + ridge * np.eye(n), b / scale) / scale
-                own = {v: F.when(fold(s) == f, sum((float(c) * cols[name] for c, name in zip(w, x)), F.lit(0.0))).otherwise(own[v]) for v, cols in views.items()}
-        for v in views:
-            parts[v].append(own[v])
-    return rows.withColumns({v: sum(p, F.lit(0.0)) / len(seeds) for v, p in parts.items()})
+                fits[f] = np.linalg.solve(a / np.outer(scale, scale) + ridge * np.eye(n), b / scale) / scale
+        weights.append([F.get(F.array(*(F.lit(float(c)) for c in fits[:, i])), F.col(p)) for i in range(n)])
+    value = lambda cols: sum((sum((w * cols[name] for w, name in zip(ws, x)), F.lit(0.0)) for ws in weights), F.lit(0.0)) / len(seeds)
+    return placed.withColumns({v: value(cols) for v, cols in views.items()}).select(*rows.columns, *views)
 
 
 def hyper_fusion(rows: DataFrame, columns: Sequence[str], batch: str, near: float = 0.1) -> DataFrame:
