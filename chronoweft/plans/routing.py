@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from chronoweft.operators import alignment as I
 from chronoweft.operators import ranking as R
+from chronoweft.operators import registry
 from chronoweft.operators import routing as G
-from chronoweft.operators import scorers as S
 from chronoweft.operators import splits as P
 from chronoweft.plans.reference import _BATCH, _EDGES, _FUSED, _graph, _in_batches, _rounded, draw_sql, fused, query, scored
 from chronoweft.sources import tables as D
@@ -164,9 +164,10 @@ def frozen_levels(spark, d):
     """Levels of the test queries by bounds that the validation queries gave."""
     events = written(D.edges(spark, d), "events")
     val_time, test_time = P.boundaries(events)
-    earlier = written(D.queries(events, events.where((F.col("ts") > val_time) & (F.col("ts") <= test_time))), "validation")
-    reference = S.target_history(events, earlier).select("popularity")
-    return G.frozen_levels(scored(spark, d, "popularity"), written(reference, "reference"), "popularity").select("eid", "k", "level")
+    # the queries of both splits in one run: a target's events are met once
+    asked = written(D.queries(events, events.where(F.col("ts") > val_time)), "queries")
+    rows = written(registry.scores(events, asked, ["popularity"]), "scored")
+    return G.frozen_levels(rows.where(F.col("t") > test_time), rows.where(F.col("t") <= test_time), "popularity").select("eid", "k", "level")
 
 
 @query(f"""WITH {_BASE}, {_EARLIER}, c AS (SELECT tt.t, quantile_cont(f.popularity, 0.5) AS m FROM tt JOIN fused f ON f.t < tt.t GROUP BY tt.t), g AS (SELECT quantile_cont(popularity, 0.5) AS g FROM fused)
